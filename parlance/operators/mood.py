@@ -87,26 +87,32 @@ def mood_trends(scored: DataFrame, window: int = 7, keys: Sequence[str] = KEYS)
     )
 
 
-def emotion_trend(
-    scored: DataFrame, ignore_neutral: bool = True, keys: Sequence[str] = KEYS
+def emotion_trend_wide(
+    scored: DataFrame, labels: Sequence[str] = EMOTIONS, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Share of each emotion in the weekly total (Monday weeks); null when the total is 0."""
-    rows = scored.where(F.col("emotion").isNotNull()).select(
-        *keys, monday_week(F.col("date")).alias("week"), F.explode("emotion").alias("emotion", "_v")
+    """Share of each emotion in the weekly total (Monday weeks), one column per label.
+
+    ``neutral`` takes no part.  An emotion without scores is 0; all are null when the total is 0.
+    """
+    names = [e for e in labels if e != "neutral"]
+    score = {e: F.coalesce(F.try_element_at("emotion", F.lit(e)), F.lit(0.0)) for e in names}
+    sums = (
+        scored.where(F.col("emotion").isNotNull())
+        .groupBy(*keys, monday_week(F.col("date")).alias("week"))
+        .agg(*[F.sum(score[e]).alias(e) for e in names])
     )
-    if ignore_neutral:
-        rows = rows.where(F.col("emotion") != "neutral")
-    sums = rows.groupBy(*keys, "week", "emotion").agg(F.sum("_v").alias("_sum"))
-    total = F.sum("_sum").over(Window.partitionBy(*keys, "week"))
-    return sums.withColumn("share", F.col("_sum") / F.nullif(total, F.lit(0.0))).drop("_sum")
-
-
-def emotion_trend_wide(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per week with a column per emotion; 0 for an emotion without scores."""
-    labels = [e for e in EMOTIONS if e != "neutral"]
-    long = emotion_trend(scored, keys=keys)
-    wide = long.groupBy(*keys, "week").pivot("emotion", labels).agg(F.first("share"))
-    return wide.fillna(0.0, subset=labels)
+    total = F.aggregate(F.array(*names), F.lit(0.0), lambda acc, x: acc + x)
+    shares = sums.withColumn("_total", F.nullif(total, F.lit(0.0)))
+    return shares.select(*keys, "week", *[(F.col(e) / F.col("_total")).alias(e) for e in names])
+
+
+def emotion_trend(
+    scored: DataFrame, labels: Sequence[str] = EMOTIONS, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Long form: ``keys, week, emotion, share``."""
+    names = [e for e in labels if e != "neutral"]
+    wide = emotion_trend_wide(scored, labels, keys)
+    return wide.unpivot([*keys, "week"], names, "emotion", "share")
 
 
 def _bin(x: Column, low: Column, high: Column, labels: Sequence[str]) -> Column:
