@@ -7,6 +7,7 @@ with partial aggregation or cut into time slots (see plans.ordered).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +30,12 @@ def zero_fill(people: DataFrame, stats: DataFrame, keys: Sequence[str], **fill)
     return joined
 
 
-def _appearance(pos: Column) -> Column:
-    """(ts, seq, position) as one number, so that a running minimum needs no sort."""
-    wide = "decimal(38,0)"
-    at = epoch_seconds(F.col("ts")).cast(wide) * F.lit(10**24).cast("decimal(25,0)")
-    row = F.col("seq").cast("decimal(14,0)") * F.lit(10**9).cast("decimal(10,0)")
-    return (at.cast(wide) + row.cast(wide) + pos.cast(wide)).cast(wide)
+def _appearance() -> Column:
+    """(ts, seq) as one number with room for a position, so that a running minimum is a plain
+    fixed-width aggregate instead of a sort of every token."""
+    at = epoch_seconds(F.col("ts")).cast("decimal(38,0)") * F.lit(Decimal(10) ** 24)
+    row = F.col("seq").cast("decimal(14,0)") * F.lit(Decimal(10) ** 9)
+    return (at + row).cast("decimal(38,0)")
 
 
 def top_words(
@@ -49,7 +50,7 @@ def top_words(
         messages.where(F.col("content") != "")
         .select(
             *keys,
-            _appearance(F.lit(0)).alias("_row"),
+            _appearance().alias("_row"),
             F.posexplode(tokens(F.lower("content"))).alias("_pos", "_token"),
         )
         .where((F.length("_token") >= min_len) & ~E.is_item(F.col("_token")))
@@ -133,7 +134,7 @@ def reply_time(
 
 def _emoji_counts(messages: DataFrame, group: Sequence[str]) -> DataFrame:
     found = messages.where(F.col("content") != "").select(
-        *group, _appearance(F.lit(0)).alias("_row"),
+        *group, _appearance().alias("_row"),
         F.posexplode(E.items(F.col("content"))).alias("_pos", "emoji"),
     )
     return found.groupBy(*group, "emoji").agg(
