@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FOREVER = "9999-12-31 23:59:59"
 
-
-def epoch_seconds(ts: Column) -> Column:
-    return (
-        F.unix_date(ts.cast("date")).cast("bigint") * 86400
-        + F.hour(ts) * 3600
-        + F.minute(ts) * 60
-        + F.second(ts)
+def epoch_seconds(ts: str) -> Column:
+    """Whole seconds since 1970 of a timestamp column, named."""
+    return F.expr(
+        f"unix_date(CAST({ts} AS DATE)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60"
+        f" + second({ts})"
     )
 
 
-def slot(ts: Column, seconds: int) -> Column:
-    return F.floor(epoch_seconds(ts) / F.lit(seconds)).cast("bigint")
+def hour_slot(ts: str) -> Column:
+    """Hours since 1970 of a timestamp column, named."""
+    return F.expr(f"unix_date(CAST({ts} AS DATE)) * 24L + hour({ts})")
 
 
 def shift_minutes(ts: Column, minutes: int) -> Column:

@@ -33,7 +33,7 @@ def zero_fill(people: DataFrame, stats: DataFrame, keys: Sequence[str], **fill)
 def _appearance() -> Column:
     """(ts, seq) as one number with room for a position, so that a running minimum is a plain
     fixed-width aggregate instead of a sort of every token."""
-    at = epoch_seconds(F.col("ts")).cast("decimal(38,0)") * F.lit(Decimal(10) ** 24)
+    at = epoch_seconds("ts").cast("decimal(38,0)") * F.lit(Decimal(10) ** 24)
     row = F.col("seq").cast("decimal(14,0)") * F.lit(Decimal(10) ** 9)
     return (at + row).cast("decimal(38,0)")
 
@@ -91,7 +91,7 @@ def longest_message(
     best = rows.groupBy(*keys, F.col("sender").alias("participant")).agg(
         F.max_by(
             F.struct("content", F.col("_words").alias("length"), "ts"),
-            F.struct("_words", -epoch_seconds(F.col("ts")), -F.col("seq")),
+            F.struct("_words", -epoch_seconds("ts"), -F.col("seq")),
         ).alias("_best")
     )
     people = people if people is not None else from_rows(messages, keys)
@@ -112,7 +112,7 @@ def reply_gaps(
     participant who was answered.  Longer gaps than the threshold are no replies."""
     rows = messages.select(*keys, "ts", "seq", "sender")
     before = nearest(rows, keys, F.struct("sender", "ts"), "_before")
-    gap = epoch_seconds(F.col("ts")) - epoch_seconds(F.col("_before.ts"))
+    gap = epoch_seconds("ts") - epoch_seconds("_before.ts")
     return before.where(
         (F.col("_before.sender") != F.col("sender")) & (gap <= threshold_minutes * 60)
     ).select(*keys, F.col("_before.sender").alias("participant"), gap.alias("seconds"))

@@ -6,8 +6,9 @@ message up to the threshold after its last own one; own messages after the first
 It is closed by the first later message of the chat, which also gives the receiver, or by the end
 of the chat.
 
-No step joins all sessions of a chat with all its messages: sessions are listed per time slot they
-touch and meet only the messages of that slot.
+No step joins all sessions of a chat with all its messages: sessions are listed per hour they touch
+and meet only the messages of that hour.  The closing row is the one that follows the last message
+held, so each message brings its successor's receiver along.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.dates import FOREVER, epoch_seconds, shift_minutes, slot
+from parlance.functions.dates import epoch_seconds, hour_slot, shift_minutes
 from parlance.plans.ordered import nearest
 from parlance.schema import KEYS
 
-LAST_SEQ = (1 << 63) - 1
-SESSION = ("sender", "first_ts", "first_seq")
+SESSION = ("sender", "first_ts", "first_seq", "last_ts")
 
 
 def sessions(messages: DataFrame, threshold: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -34,7 +34,7 @@ def sessions(messages: DataFrame, threshold: int, keys: Sequence[str] = KEYS) ->
     own = [*keys, "sender"]
     rows = messages.select(*own, "ts", "seq")
     before = nearest(rows, own, F.col("ts"), "_before")
-    gap = epoch_seconds(F.col("ts")) - epoch_seconds(F.col("_before"))
+    gap = epoch_seconds("ts") - epoch_seconds("_before")
     starts = before.where(F.col("_before").isNull() | (gap > threshold * 60)).select(
         *own, F.col("ts").alias("first_ts"), F.col("seq").alias("first_seq"), "_before"
     )
@@ -50,32 +50,6 @@ def sessions(messages: DataFrame, threshold: int, keys: Sequence[str] = KEYS) ->
     )
 
 
-def closed_sessions(messages: DataFrame, threshold: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sessions with ``receiver`` and ``flushed`` (closed by the end of the chat)."""
-    closer = F.struct("receiver", F.lit(False).alias("flushed"))
-    rows = messages.select(*keys, "ts", "seq", closer.alias("_closer"))
-    ends = (
-        messages.groupBy(*keys)
-        .agg(F.max_by("receiver", F.struct("ts", "seq")).alias("receiver"))
-        .select(
-            *keys,
-            F.lit(FOREVER).cast("timestamp_ntz").alias("ts"),
-            F.lit(LAST_SEQ).alias("seq"),
-            F.struct("receiver", F.lit(True).alias("flushed")).alias("_closer"),
-        )
-    )
-    marks = sessions(messages, threshold, keys).withColumns(
-        {"ts": shift_minutes(F.col("last_ts"), threshold), "seq": F.lit(LAST_SEQ)}
-    )
-    stream = marks.withColumn("_mark", F.lit(True)).unionByName(
-        rows.unionByName(ends), allowMissingColumns=True
-    )
-    found = nearest(stream, keys, F.col("_closer"), "_found", after=True)
-    return found.where("_mark").select(
-        *keys, *SESSION, "last_ts", "_found.receiver", "_found.flushed"
-    )
-
-
 def members(
     messages: DataFrame,
     threshold: int = 60,
@@ -90,15 +64,15 @@ def members(
     rows = messages.where(F.col(text_column).isNotNull()).select(
         *keys, "seq", "sender", "receiver", "ts", F.col(text_column).alias("_text")
     )
-    width = max(threshold, 1) * 60
     reach = shift_minutes(F.col("last_ts"), threshold)
-    windows = closed_sessions(rows, threshold, keys).withColumn(
-        "_slot",
-        F.explode(F.sequence(slot(F.col("first_ts"), width), slot(reach, width))),
+    windows = (
+        sessions(rows, threshold, keys)
+        .withColumn("_reach", reach)
+        .withColumn("_hour", F.explode(F.sequence(hour_slot("first_ts"), hour_slot("_reach"))))
     )
-    said = rows.select(
-        *keys, "ts", "seq", "_text", F.col("sender").alias("_by"),
-        slot(F.col("ts"), width).alias("_slot"),
+    said = nearest(
+        rows.withColumnRenamed("sender", "_by"), keys, F.struct("receiver"), "_next",
+        after=True, slot_column="_hour",
     )
     first = (F.col("ts") == F.col("first_ts")) & (F.col("seq") == F.col("first_seq"))
     begun = (F.col("ts") > F.col("first_ts")) | (
@@ -106,19 +80,20 @@ def members(
     )
     twice = (F.col("_by") == F.col("sender")) & ~first & F.lit(not dedupe)
     return (
-        windows.join(said, [*keys, "_slot"])
-        .where(begun & (F.col("ts") <= reach))
+        said.join(windows, [*keys, "_hour"])
+        .where(begun & (F.col("ts") <= F.col("_reach")))
         .withColumn("copies", F.when(twice, 2).otherwise(1))
     )
 
 
 def parts(held: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Text of each context per time slot: joined in order, a context is its full text."""
+    """Text of each context per hour (joined in order, a context is its full text) and the last
+    message held in that hour."""
     text = F.when(F.col("copies") == 2, F.concat_ws(" ", "_text", "_text")).otherwise(F.col("_text"))
     pieces = F.array_sort(F.collect_list(F.struct("ts", "seq", text.alias("text"))))
-    return held.groupBy(*keys, *SESSION, "last_ts", "receiver", "flushed", "_slot").agg(
+    return held.groupBy(*keys, *SESSION, "_hour").agg(
         F.array_join(F.transform(pieces, lambda p: p["text"]), " ").alias("_part"),
-        F.max("ts").alias("_until"),
+        F.max(F.struct("ts", "seq", "receiver", "_next")).alias("_last"),
     )
 
 
@@ -136,21 +111,24 @@ def merge(
     first, in which case it is the last message held.
     """
     held = members(messages, threshold, text_column, dedupe, keys)
-    slices = F.array_sort(F.collect_list(F.struct("_slot", "_part")))
+    slices = F.array_sort(F.collect_list(F.struct("_hour", "_part")))
     whole = (
         parts(held, keys)
         .groupBy(*keys, *SESSION)
         .agg(
             F.array_join(F.transform(slices, lambda s: s["_part"]), " ").alias(merged_column),
-            F.max("_until").alias("_until"),
-            F.max("last_ts").alias("start_ts"),
-            F.any_value("receiver").alias("receiver"),
-            F.any_value("flushed").alias("_flushed"),
+            F.max("_last").alias("_last"),
         )
         .where(F.length(F.trim(merged_column)) > 3)
     )
+    ended = F.col("_last._next").isNull()
     return whole.select(
-        *keys, "sender", "receiver", merged_column,
-        F.col("start_ts").cast("date").alias("date"), "start_ts",
-        F.when(F.col("_flushed"), F.col("_until")).otherwise(F.col("start_ts")).alias("end_ts"),
+        *keys, "sender",
+        F.when(ended, F.col("_last.receiver")).otherwise(F.col("_last._next.receiver")).alias(
+            "receiver"
+        ),
+        merged_column,
+        F.col("last_ts").cast("date").alias("date"),
+        F.col("last_ts").alias("start_ts"),
+        F.when(ended, F.col("_last.ts")).otherwise(F.col("last_ts")).alias("end_ts"),
     )

@@ -157,7 +157,7 @@ def corrections(words: DataFrame, dictionary: DataFrame, distance: int = 2) -> D
     )
     steps = F.levenshtein("word", "phrase", distance)
     return (
-        left.join(right, "_left")
+        left.join(right.hint("merge"), "_left")
         .withColumn("_steps", steps)
         .where(F.col("_steps") >= 0)
         .groupBy(F.col("word").alias("key"))

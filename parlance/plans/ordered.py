@@ -1,9 +1,10 @@
 """Order-dependent lookups that never put a whole chat into one window group.
 
 A chat may hold a third of all rows, so ``Window.partitionBy(chat)`` over raw rows would leave one
-task with all of them.  Rows are cut into time slots instead; each slot's edge value goes through
-the same lookup one level coarser, and the answer re-enters the slot as one extra row.  A window
-group is then one slot of one chat, and the last level sees one row per chat and coarsest slot.
+task with all of them.  Rows are cut into hour slots instead.  Each slot needs one value from
+outside, its neighbour's edge value, which enters it as an extra row.  Only edge values are ordered
+per key as a whole: one row per key and hour, at most 876,600 in the hundred years that two-digit
+dates can name, however many messages there are.
 """
 
 from __future__ import annotations
@@ -13,10 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.dates import epoch_seconds
-
-HOUR = 3600
-SPANS = (HOUR, 30 * 24 * HOUR)
+from parlance.functions.dates import hour_slot
 
 
 def nearest(
@@ -26,46 +24,38 @@ def nearest(
     name: str,
     *,
     after: bool = False,
-    spans: Sequence[int] = SPANS,
+    slot_column: str | None = None,
 ) -> DataFrame:
     """Add ``name``: the nearest non-null ``value`` strictly before (``after``: strictly after)
-    each row in ``(ts, seq)`` order among the rows with the same keys."""
-    at = rows.withColumn("_at", epoch_seconds(F.col("ts")))
-    found = _nearest(at, list(keys), value, name, ["ts", "seq"], after, list(spans), 0)
-    return found.drop("_at")
-
+    each row in ``(ts, seq)`` order among the rows with the same keys.
 
-def _nearest(rows, keys, value, name, order, after, spans, level):
+    The result is partitioned by (keys, slot); ``slot_column`` keeps the slot for a later join.
+    """
+    keys = list(keys)
     direction = F.desc if after else F.asc
-    ordering = [direction(c) for c in order]
-    if not spans:
-        w = Window.partitionBy(*keys).orderBy(*ordering)
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
-
-    slot, held, extra = f"_slot{level}", f"_held{level}", f"_extra{level}"
-    span = spans[0]
-    rows = rows.withColumn(held, value).withColumn(
-        slot, F.floor(F.col("_at") / F.lit(span)).cast("bigint")
+    earlier = [Window.unboundedPreceding, -1]
+    cut = rows.withColumns({"_held": value, "_slot": hour_slot("ts")})
+
+    position = F.when(F.col("_held").isNotNull(), F.struct("ts", "seq"))
+    edge = (F.min_by if after else F.max_by)("_held", position)
+    edges = cut.groupBy(*keys, "_slot").agg(edge.alias("_edge"))
+    along = Window.partitionBy(*keys).orderBy(direction("_slot")).rowsBetween(*earlier)
+    entering = (
+        edges.withColumn("_held", F.last("_edge", ignorenulls=True).over(along))
+        .where(F.col("_held").isNotNull())
+        .select(*keys, "_slot", "_held", F.lit(True).alias("_enters"))
     )
-    position = F.when(F.col(held).isNotNull(), F.struct(*order))
-    edge = (F.min_by if after else F.max_by)(F.col(held), position)
-    edges = (
-        rows.groupBy(*keys, slot)
-        .agg(edge.alias(held))
-        .withColumn("_at", F.col(slot) * F.lit(span))
+    stream = cut.withColumn("_enters", F.lit(False)).unionByName(
+        entering, allowMissingColumns=True
     )
-    carried = _nearest(
-        edges, keys, F.col(held), "_carried", [slot], after, spans[1:], level + 1
-    ).where(F.col("_carried").isNotNull())
-    entering = carried.select(
-        *keys, slot, F.col("_carried").alias(held), F.lit(True).alias(extra)
+    inside = (
+        Window.partitionBy(*keys, "_slot")
+        .orderBy(F.desc("_enters"), direction("ts"), direction("seq"))
+        .rowsBetween(*earlier)
     )
-    stream = rows.withColumn(extra, F.lit(False)).unionByName(entering, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, slot).orderBy(F.desc(extra), *ordering)
-    w = w.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        stream.withColumn(name, F.last(F.col(held), ignorenulls=True).over(w))
-        .where(~F.col(extra))
-        .drop(held, slot, extra)
+    found = (
+        stream.withColumn(name, F.last("_held", ignorenulls=True).over(inside))
+        .where(~F.col("_enters"))
+        .drop("_held", "_enters")
     )
+    return found.withColumnRenamed("_slot", slot_column) if slot_column else found.drop("_slot")
