@@ -298,20 +298,20 @@ _ACCENTED = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 _SPARE = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[: len(_ACCENTED)]
 
 
-def distance(a: str, b: str) -> str:
-    plain = f"translate({{}}, '{_ACCENTED}', '{_SPARE}')"
-    return f"levenshtein({plain.format(a)}, {plain.format(b)})"
+def plain(word: str) -> str:
+    return f"translate({word}, '{_ACCENTED}', '{_SPARE}')"
 
 
 SPELLED = f"""{MESSAGES}, {dictionary("lang = 'en'")},
 tagged AS (SELECT *, CASE WHEN chat_id % 4 = 0 THEN 'hi' ELSE 'en' END AS language FROM messages),
 fixable AS (SELECT * FROM tagged WHERE language = 'en' AND length({stripped("content")}) > 1),
 {tokens_of("fixable")},
-unknown AS (SELECT DISTINCT w FROM tok WHERE regexp_matches(w, '^\\p{{L}}+$')
-  AND w NOT IN (SELECT word FROM dict)),
-fixes AS (SELECT w, first(word ORDER BY {distance('w', 'word')}, freq DESC, word) AS word
-  FROM unknown JOIN dict ON abs(length(w) - length(word)) <= 2 AND {distance('w', 'word')} <= 2
-  GROUP BY w),
+unknown AS (SELECT DISTINCT w, {plain("w")} AS pw, length(w) AS n FROM tok
+  WHERE regexp_matches(w, '^\\p{{L}}+$') AND w NOT IN (SELECT word FROM dict)),
+known AS MATERIALIZED (SELECT word, freq, {plain("word")} AS pk, length(word) AS m FROM dict),
+close AS (SELECT w, word, freq, levenshtein(pw, pk) AS d FROM unknown JOIN known
+  ON m BETWEEN n - 2 AND n + 2 WHERE levenshtein(pw, pk) <= 2),
+fixes AS (SELECT w, first(word ORDER BY d, freq DESC, word) AS word FROM close GROUP BY w),
 mapped AS (SELECT chat_id, seq, string_agg(coalesce(f.word, tok.w), ' ' ORDER BY pos) AS mapped
   FROM tok LEFT JOIN fixes f ON f.w = tok.w GROUP BY chat_id, seq),
 spelled AS (SELECT t.* REPLACE (coalesce(mapped, content) AS content)

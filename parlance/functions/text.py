@@ -54,10 +54,17 @@ def contains_any(text: Column, phrases) -> Column:
     """Whether the text contains any phrase as a substring.
 
     A phrase that contains another phrase adds nothing and is left out; the rest are tested
-    literally, so a phrase may hold regex characters.
+    literally, so a phrase may hold regex characters.  The tests form a balanced tree of ORs, which
+    stays inside generated code and stops at the first hit.
     """
     unique = list(dict.fromkeys(phrases))
-    needed = [p for p in unique if not any(q != p and q in p for q in unique)]
-    if not needed:
+    tests = [
+        F.contains(text, F.lit(p))
+        for p in unique
+        if not any(q != p and q in p for q in unique)
+    ]
+    if not tests:
         return F.lit(False)
-    return F.exists(F.array(*[F.lit(p) for p in needed]), lambda p: F.contains(text, p))
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) & ~1 :]
+    return tests[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import StopWordsRemover
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions import emoji as E
 from parlance.functions.text import is_blank, strip, tokens
 from parlance.operators.scoring import route_by_language
-from parlance.plans.blocks import salted_lookup
+from parlance.plans.blocks import salted_lookup, spread
 from parlance.resources.phrases import ABBREVIATIONS
 from parlance.schema import KEYS
 
@@ -29,17 +30,31 @@ def bare(token: Column) -> Column:
     return F.regexp_replace(token, "[^a-zA-Z0-9]", "")
 
 
-def map_tokens(text: Column, table: Mapping[str, str], key: Callable = lambda t: t) -> Column:
-    """Replace tokens whose key is in the table; tokens are rejoined by one space.
+def map_tokens(text: Column, table: Mapping[str, str], punctuated: bool = False) -> Column:
+    """Replace the tokens found in the table; tokens are rejoined by one space.
 
-    Membership is one hash probe; only hits search the literal map.
+    Membership is one hash probe; only hits search the literal map.  With ``punctuated`` a token is
+    looked up by its bare form, which is only made for tokens that have punctuation; entries with
+    punctuation of their own can then never be reached.
     """
-    if not table:
-        return F.array_join(tokens(text), " ")
     if len(table) > LITERAL_ENTRIES:
         raise ValueError("dictionary too large for the plan; pass it as a DataFrame")
+    if punctuated:
+        table = {k: v for k, v in table.items() if re.fullmatch("[a-zA-Z0-9]*", k)}
+    if not table:
+        return F.array_join(tokens(text), " ")
     flat = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    swap = lambda t: F.when(key(t).isin(*table), F.element_at(flat, key(t))).otherwise(t)
+
+    def swap(token: Column) -> Column:
+        found = F.when(token.isin(*table), F.element_at(flat, token))
+        if punctuated:
+            key = bare(token)
+            found = found.when(
+                token.rlike("[^a-zA-Z0-9]"),
+                F.when(key.isin(*table), F.element_at(flat, key)).otherwise(token),
+            )
+        return found.otherwise(token)
+
     return F.array_join(F.transform(tokens(text), swap), " ")
 
 
@@ -84,7 +99,7 @@ def expand_abbreviations(
         return map_tokens_by_table(rows, column, dictionary, bare, keys=keys)
     table = {k.lower(): v.lower() for k, v in dictionary.items()}
     text = F.col(column)
-    return rows.withColumn(column, F.when(text.isNotNull(), map_tokens(text, table, bare)))
+    return rows.withColumn(column, F.when(text.isNotNull(), map_tokens(text, table, punctuated=True)))
 
 
 def demojize(rows: DataFrame, column: str = "content") -> DataFrame:
@@ -109,7 +124,7 @@ def word_frequencies(
     documents: DataFrame, text: str = "text", at_least: int = 3, longest: int = 20
 ) -> DataFrame:
     """Spelling dictionary ``word, freq``: lower-cased tokens made of letters only."""
-    words = documents.select(F.explode(tokens(F.lower(text))).alias("word"))
+    words = spread(documents.select(text)).select(F.explode(tokens(F.lower(text))).alias("word"))
     return (
         words.where(F.col("word").rlike(r"^\p{L}+$") & F.length("word").between(2, longest))
         .groupBy("word")

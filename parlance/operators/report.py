@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import call_stats, chat_stats, insights, mood
 from parlance.operators.preprocess import preprocess
+from parlance.plans.stored import stored
 from parlance.schema import KEYS
 from parlance.sources.tables import write_json
 
@@ -111,28 +112,33 @@ def full_report(
     calls: DataFrame | None = None,
     scored: DataFrame | None = None,
     preprocessed: bool = True,
+    store: bool = True,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """``keys, participants, chat_stats{overview, deep_analysis}, call_stats``.
 
-    The overview describes the preprocessed text, as the pipeline it follows does.
+    The overview describes the preprocessed text, as the analysis it follows does.  Inputs are read
+    by many statistics; ``store`` writes them once first (leave it off for tables on disk).
     """
+    keep = stored if store else (lambda rows, _: rows)
+    people = keep(people, "people")
     rows = preprocess(messages, keys=keys) if preprocessed else messages
+    rows = keep(rows, "messages")
     names = people.groupBy(*keys).agg(
         F.array_sort(F.collect_set("participant")).alias("participants")
     )
+    nothing = F.lit(None).cast("string")
     parts = [names, _tagged(chat_summary(rows, people, keys), "overview", keys)]
-    parts.append(
-        _tagged(deep_summary(scored, people, keys), "deep_analysis", keys)
-        if scored is not None
-        else names.select(*keys, F.lit(None).cast("string").alias("deep_analysis"))
-    )
-    parts.append(
-        _tagged(call_summary(calls, keys), "call_stats", keys)
-        if calls is not None
-        else names.select(*keys, F.lit(None).cast("string").alias("call_stats"))
-    )
-    return _gather(parts, keys).select(
+    if scored is not None:
+        deep = deep_summary(keep(scored, "scored"), people, keys)
+        parts.append(_tagged(deep, "deep_analysis", keys))
+    if calls is not None:
+        parts.append(_tagged(call_summary(keep(calls, "calls"), keys), "call_stats", keys))
+    report = _gather(parts, keys)
+    for name in ("deep_analysis", "call_stats"):
+        if name not in report.columns:
+            report = report.withColumn(name, nothing)
+    return report.select(
         *keys, "participants", F.struct("overview", "deep_analysis").alias("chat_stats"), "call_stats"
     )
 

@@ -79,3 +79,13 @@ def salted_lookup(
     salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(copies, [on, "_salt"], "left").drop("_salt")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores.
+
+    Text work is bound by CPU, and a scan of few files may offer fewer splits than cores; an input
+    with enough splits is left alone and pays no shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
