@@ -16,18 +16,26 @@ def write_parquet(rows: DataFrame, path: str, partition_by: Sequence[str] = ())
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Header, no index; nested values as JSON text.  Nulls and empty strings stay apart."""
+    """Header, no index; nested values as JSON text.
+
+    CSV has one way to say nothing: an empty text comes back as null.  Parquet and JSON keep the two
+    apart.
+    """
     flat = [
         F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, NESTED) else F.col(f.name)
         for f in rows.schema.fields
     ]
-    rows.select(*flat).write.mode("overwrite").options(**CSV).csv(path)
+    rows.select(*flat).write.mode("overwrite").options(**CSV).option(
+        "maxRecordsPerFile", FILE_ROWS
+    ).csv(path)
 
 
 CSV = {
-    "header": "true", "quote": '"', "escape": '"', "multiLine": "true", "emptyValue": '""',
-    "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    "header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
+#: A CSV file with line breaks in its texts is read by one task, so files stay small.
+FILE_ROWS = 1_000_000
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -38,7 +46,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
             for f in schema.fields
         ]
     )
-    rows = spark.read.schema(flat).options(**{**CSV, "emptyValue": ""}).csv(path)
+    rows = spark.read.schema(flat).options(**CSV).csv(path)
     return rows.select(
         *[
             F.from_json(f.name, f.dataType).alias(f.name)
