@@ -48,10 +48,9 @@ def top_words(
     """
     words = (
         messages.where(F.col("content") != "")
+        .select(*keys, "content", _appearance().alias("_row"))
         .select(
-            *keys,
-            _appearance().alias("_row"),
-            F.posexplode(tokens(F.lower("content"))).alias("_pos", "_token"),
+            *keys, "_row", F.posexplode(tokens(F.lower("content"))).alias("_pos", "_token")
         )
         .where((F.length("_token") >= min_len) & ~E.is_item(F.col("_token")))
         .select(
@@ -133,9 +132,11 @@ def reply_time(
 
 
 def _emoji_counts(messages: DataFrame, group: Sequence[str]) -> DataFrame:
-    found = messages.where(F.col("content") != "").select(
-        *group, _appearance().alias("_row"),
-        F.posexplode(E.items(F.col("content"))).alias("_pos", "emoji"),
+    rows = messages.where(F.col("content") != "").select(
+        *group, "content", _appearance().alias("_row")
+    )
+    found = rows.select(
+        *group, "_row", F.posexplode(E.items(F.col("content"))).alias("_pos", "emoji")
     )
     return found.groupBy(*group, "emoji").agg(
         F.count(F.lit(1)).alias("n"),
