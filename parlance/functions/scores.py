@@ -20,10 +20,21 @@ def label_of_max(scores: Column, names: Sequence[str]) -> Column:
     return F.when(scores.isNotNull(), F.get(_labels(names), at - 1))
 
 
+def _let(value: Column, use) -> Column:
+    """An expression of a value that is computed once, also inside per-element functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda e: e / total)
+    exps = _let(
+        F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top))
+    )
+
+    def shares(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+        return _let(total, lambda t: F.transform(e, lambda x: x / t))
+
+    return _let(exps, shares)
 
 
 def sigmoid(logits: Column) -> Column:
@@ -43,7 +54,7 @@ def top_emotions(logits: Column, n: int = 3, names: Sequence[str] = EMOTIONS) ->
             (-F.round(z["p"], 4)).alias("neg"), i.alias("at"), z["name"].alias("name")
         ),
     )
-    best = F.slice(F.array_sort(scored), 1, n)
+    best = F.slice(F.sort_array(scored), 1, n)
     return F.transform(best, lambda s: F.struct(s["name"].alias("emotion"), (-s["neg"]).alias("score")))
 
 

@@ -67,8 +67,10 @@ def top_words(
 
 def first_texter(messages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """On how many days each sender wrote first."""
-    firsts = messages.groupBy(*keys, F.col("ts").cast("date").alias("_date")).agg(
-        F.min_by("sender", F.struct("ts", "seq")).alias("sender")
+    firsts = (
+        messages.where(F.col("ts").isNotNull())
+        .groupBy(*keys, F.col("ts").cast("date").alias("_date"))
+        .agg(F.min_by("sender", F.struct("ts", "seq")).alias("sender"))
     )
     return firsts.groupBy(*keys, "sender").agg(F.count(F.lit(1)).alias("days"))
 
@@ -101,7 +103,8 @@ def longest_message(
 
 def active_hours(messages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Messages per hour of day; empty hours are absent."""
-    return messages.groupBy(*keys, F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    timed = messages.where(F.col("ts").isNotNull())
+    return timed.groupBy(*keys, F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def reply_gaps(
@@ -109,7 +112,7 @@ def reply_gaps(
 ) -> DataFrame:
     """``keys, participant, seconds``: the time until somebody else answered, credited to the
     participant who was answered.  Longer gaps than the threshold are no replies."""
-    rows = messages.select(*keys, "ts", "seq", "sender")
+    rows = messages.where(F.col("ts").isNotNull()).select(*keys, "ts", "seq", "sender")
     before = nearest(rows, keys, F.struct("sender", "ts"), "_before")
     gap = epoch_seconds("ts") - epoch_seconds("_before.ts")
     return before.where(

@@ -61,7 +61,8 @@ def members(
 
     This is the form for contexts of any length; ``parts`` and ``merge`` build on it.
     """
-    rows = messages.where(F.col(text_column).isNotNull()).select(
+    usable = F.col(text_column).isNotNull() & F.col("ts").isNotNull()
+    rows = messages.where(usable).select(
         *keys, "seq", "sender", "receiver", "ts", F.col(text_column).alias("_text")
     )
     reach = shift_minutes(F.col("last_ts"), threshold)
@@ -90,7 +91,7 @@ def parts(held: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Text of each context per hour (joined in order, a context is its full text) and the last
     message held in that hour."""
     text = F.when(F.col("copies") == 2, F.concat_ws(" ", "_text", "_text")).otherwise(F.col("_text"))
-    pieces = F.array_sort(F.collect_list(F.struct("ts", "seq", text.alias("text"))))
+    pieces = F.sort_array(F.collect_list(F.struct("ts", "seq", text.alias("text"))))
     return held.groupBy(*keys, *SESSION, "_hour").agg(
         F.array_join(F.transform(pieces, lambda p: p["text"]), " ").alias("_part"),
         F.max(F.struct("ts", "seq", "receiver", "_next")).alias("_last"),
@@ -111,7 +112,7 @@ def merge(
     first, in which case it is the last message held.
     """
     held = members(messages, threshold, text_column, dedupe, keys)
-    slices = F.array_sort(F.collect_list(F.struct("_hour", "_part")))
+    slices = F.sort_array(F.collect_list(F.struct("_hour", "_part")))
     whole = (
         parts(held, keys)
         .groupBy(*keys, *SESSION)

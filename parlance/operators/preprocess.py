@@ -78,7 +78,7 @@ def map_tokens_by_table(
     hits = salted_lookup(
         words.withColumn("key", key(F.col("_token"))), table.select("key", "phrase"), "key", row
     )
-    pieces = F.array_sort(
+    pieces = F.sort_array(
         F.collect_list(F.struct("_pos", F.coalesce("phrase", "_token").alias("w")))
     )
     texts = hits.groupBy(*row).agg(

@@ -30,7 +30,7 @@ def combined_text(
     A chat of more than ``part_rows`` lines comes in several parts that follow one another, so no
     task and no row ever holds an unbounded chat.
     """
-    pieces = F.array_sort(F.collect_list(F.struct("seq", "content")))
+    pieces = F.sort_array(F.collect_list(F.struct("seq", "content")))
     return (
         messages.where(F.col("content").isNotNull())
         .groupBy(*keys, block_of(F.col("seq"), part_rows).alias("part"))
@@ -47,7 +47,7 @@ def prompts(
     """Seven prompts per chat: ``keys, kind, part, prompt, max_length``.  Part 0 starts with the
     instruction; the parts of one kind, joined by a space, are the whole prompt."""
     names = people.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_set("participant")), ", ").alias("_people")
+        F.array_join(F.sort_array(F.collect_set("participant")), ", ").alias("_people")
     )
     texts = combined_text(messages, keys, part_rows)
     first = texts.groupBy(*keys).agg(F.min("part").alias("_first")).join(names, list(keys), "left")

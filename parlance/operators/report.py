@@ -15,10 +15,13 @@ from parlance.sources.tables import write_json
 
 
 def _listed(stats: DataFrame, name: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per chat: an ordered array of the statistic's records."""
+    """One row per chat: an array of the statistic's records, ordered by the given fields.  A
+    leading minus sorts a count from high to low."""
     fields = [c for c in stats.columns if c not in keys]
-    record = F.struct(*[c for c in order], *[c for c in fields if c not in order])
-    return stats.groupBy(*keys).agg(F.array_sort(F.collect_list(record)).alias(name))
+    sort = [-F.col(c[1:]) if c.startswith("-") else F.col(c) for c in order]
+    sort = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(sort)])
+    held = F.sort_array(F.collect_list(F.struct(sort.alias("o"), F.struct(*fields).alias("r"))))
+    return stats.groupBy(*keys).agg(F.transform(held, lambda x: x["r"]).alias(name))
 
 
 def _tagged(stats: DataFrame, tag: str, keys: Sequence[str]) -> DataFrame:
@@ -43,11 +46,11 @@ def chat_summary(
     return _gather(
         [
             listed(chat_stats.top_words(messages, keys=keys), "most_used_words_phrases", "rank"),
-            listed(chat_stats.first_texter(messages, keys), "who_texts_first_most", "sender"),
+            listed(chat_stats.first_texter(messages, keys), "who_texts_first_most", "-days", "sender"),
             listed(chat_stats.avg_message_length(messages, keys), "who_sends_longer_messages", "sender"),
             listed(chat_stats.longest_message(messages, people, keys), "longest_message", "participant"),
             listed(chat_stats.reply_time(messages, people, keys=keys), "average_reply_time", "participant"),
-            listed(chat_stats.media_stats(messages, keys), "media_stats", "sender", "type"),
+            listed(chat_stats.media_stats(messages, keys), "media_stats", "sender", "-n", "type"),
             listed(chat_stats.active_hours(messages, keys), "most_active_chat_times", "hour"),
             listed(chat_stats.top_emojis(messages, keys=keys), "most_used_emojis", "rank"),
             listed(
@@ -74,11 +77,11 @@ def call_summary(calls: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             call_stats.calls_per_day(calls, keys).withColumnRenamed(
                 "avg_calls", "average_call_frequency_per_day"
             ),
-            listed(call_stats.missed_calls(calls, keys), "missed_calls_per_participant", "receiver"),
-            listed(call_stats.call_hours(calls, keys), "most_active_call_times", "hour"),
+            listed(call_stats.missed_calls(calls, keys), "missed_calls_per_participant", "-n", "receiver"),
+            listed(call_stats.call_hours(calls, keys), "most_active_call_times", "-n", "hour"),
             _tagged(call_stats.longest_call(calls, keys), "longest_call_details", keys),
-            listed(call_stats.calls_per_sender(calls, keys), "total_calls_per_participant", "sender"),
-            listed(call_stats.calls_per_type(calls, keys), "type_of_calls_count", "type"),
+            listed(call_stats.calls_per_sender(calls, keys), "total_calls_per_participant", "-n", "sender"),
+            listed(call_stats.calls_per_type(calls, keys), "type_of_calls_count", "-n", "type"),
         ],
         keys,
     )
@@ -125,7 +128,7 @@ def full_report(
     rows = preprocess(messages, keys=keys) if preprocessed else messages
     rows = keep(rows, "messages")
     names = people.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("participant")).alias("participants")
+        F.sort_array(F.collect_set("participant")).alias("participants")
     )
     nothing = F.lit(None).cast("string")
     parts = [names, _tagged(chat_summary(rows, people, keys), "overview", keys)]
