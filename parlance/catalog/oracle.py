@@ -109,6 +109,7 @@ LINES_ANDROID = MESSAGES + "," + _lines(
     "CASE WHEN (chat_id + seq) % 4 = 0 THEN '<Media omitted>' ELSE content END",
 )
 
+# The line and content patterns of the export formats, one pattern per rule.
 IOS = r"^\[(\d{2}/\d{2}/\d{2}), (\d{1,2}:\d{2}:\d{2} [APM]{2})\] (.*?): (.*)"
 PERSON = r"^\[.*\] (.+?): .*"
 ANDROID = r"^(\d{2}/\d{2}/\d{2})," + SPACE_CLASS + r"(\d{1,2}:\d{1,2}).([ap]m) - (.*?): (.*)"
@@ -416,7 +417,21 @@ ORACLE["compliments"] = _phrase("compliment")
 ORACLE["questions"] = _phrase("questioning")
 ORACLE["swearing"] = _phrase("swearing")
 
-ORACLE["contexts"] = f"""WITH {MESSAGES},
+HITS = ", ".join(
+    f"count(*) FILTER (content <> '' AND len(list_filter({texts(phrases)}, "
+    f"lambda p: contains(lower(content), p))) > 0) AS {kind}"
+    for kind, phrases in PHRASES.items()
+)
+ORACLE["phrase_counts"] = f"""WITH {MESSAGES}
+SELECT chat_id, sender AS participant, {HITS} FROM messages GROUP BY 1, 2"""
+ORACLE["reply_gaps"] = f"""WITH {MESSAGES},
+g AS (SELECT chat_id, sender, ts, lag(sender) OVER w AS before, lag(ts) OVER w AS before_ts
+  FROM messages WINDOW w AS (PARTITION BY chat_id ORDER BY ts, seq))
+SELECT chat_id, before AS participant, CAST(epoch(ts - before_ts) AS BIGINT) AS seconds,
+ count(*) AS n FROM g WHERE before <> sender AND ts - before_ts <= INTERVAL '480' MINUTE
+GROUP BY 1, 2, 3"""
+
+SESSIONS = f"""{MESSAGES},
 m AS (SELECT * FROM messages WHERE content IS NOT NULL),
 o AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL '60' MINUTE
   THEN 1 ELSE 0 END AS brk FROM m WINDOW w AS (PARTITION BY chat_id, sender ORDER BY ts, seq)),
@@ -424,11 +439,14 @@ g AS (SELECT *, sum(brk) OVER (PARTITION BY chat_id, sender ORDER BY ts, seq
   ROWS UNBOUNDED PRECEDING) AS sid FROM o),
 ses AS (SELECT chat_id, sender, sid, min(ts) AS first_ts, min(seq) AS first_seq, max(ts) AS last_ts
   FROM g GROUP BY chat_id, sender, sid),
-j AS (SELECT ses.chat_id, ses.sender, ses.sid, ses.last_ts, m.ts, m.seq, m.content,
+j AS (SELECT ses.chat_id, ses.sender, ses.sid, ses.first_seq, ses.last_ts, m.ts, m.seq, m.content,
   CASE WHEN m.sender = ses.sender AND m.seq <> ses.first_seq THEN 2 ELSE 1 END AS reps
   FROM ses JOIN m ON m.chat_id = ses.chat_id
   AND (m.ts > ses.first_ts OR (m.ts = ses.first_ts AND m.seq >= ses.first_seq))
-  AND m.ts <= ses.last_ts + INTERVAL '60' MINUTE),
+  AND m.ts <= ses.last_ts + INTERVAL '60' MINUTE)"""
+ORACLE["context_members"] = f"""WITH {SESSIONS}
+SELECT chat_id, sender, first_seq, last_ts, seq, CAST(reps AS BIGINT) AS copies FROM j"""
+ORACLE["contexts"] = f"""WITH {SESSIONS},
 c AS (SELECT ses.chat_id, ses.sender, ses.sid, m.receiver,
   row_number() OVER (PARTITION BY ses.chat_id, ses.sender, ses.sid ORDER BY m.ts, m.seq) AS rn
   FROM ses JOIN m ON m.chat_id = ses.chat_id AND m.ts > ses.last_ts + INTERVAL '60' MINUTE),
@@ -533,6 +551,20 @@ LEFT JOIN tot ON tot.chat_id = w.chat_id AND tot.week = w.week
 LEFT JOIN s ON s.chat_id = w.chat_id AND s.week = w.week AND s.emotion = l.emotion"""
 
 
+_SHARES = ", ".join(
+    f"round(CASE WHEN max(tot.total) > 0 THEN coalesce(sum(e.score) FILTER (e.emotion = '{x}'), 0)"
+    f" / max(tot.total) END, 6) AS {x}"
+    for x in EMOTIONS
+    if x != "neutral"
+)
+ORACLE["emotion_trend_wide"] = f"""WITH {SCORED},
+e AS (SELECT chat_id, CAST(date_trunc('week', date) AS DATE) AS week, emotion, score
+  FROM emotions_long),
+tot AS (SELECT chat_id, week, sum(score) AS total FROM e WHERE emotion <> 'neutral' GROUP BY 1, 2)
+SELECT e.chat_id, e.week, {_SHARES} FROM e LEFT JOIN tot ON tot.chat_id = e.chat_id
+ AND tot.week = e.week GROUP BY 1, 2"""
+
+
 def _cut(x: str, lo: str, hi: str, labels: list[str]) -> str:
     step = f"(({hi} - {lo}) / 5)"
     return f"""CASE WHEN {lo} = {hi} THEN '{labels[2]}'

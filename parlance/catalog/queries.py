@@ -293,6 +293,23 @@ def media_table(spark, sf_dir):
     return chat_stats.media_table(rows, participants.from_rows(rows), types)
 
 
+@query
+def phrase_counts(spark, sf_dir):
+    return insights.phrase_counts(X.messages(spark, sf_dir))
+
+
+@query
+def reply_gaps(spark, sf_dir):
+    gaps = chat_stats.reply_gaps(X.messages(spark, sf_dir))
+    return gaps.groupBy("chat_id", "participant", "seconds").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def context_members(spark, sf_dir):
+    held = contexts.members(X.messages(spark, sf_dir))
+    return held.select("chat_id", "sender", "first_seq", "last_ts", "seq", "copies")
+
+
 @query
 def contexts_60(spark, sf_dir):
     return contexts.merge(X.messages(spark, sf_dir))
@@ -327,6 +344,11 @@ for _op in (
     query_named(_op.__name__, lambda s, d, op=_op: op(X.scored(s, d)))
 
 
+@query
+def emotion_trend_wide(spark, sf_dir):
+    return mood.emotion_trend_wide(X.scored(spark, sf_dir))
+
+
 @query
 def toxicity_summary(spark, sf_dir):
     rows = mood.toxicity_summary(X.scored(spark, sf_dir))

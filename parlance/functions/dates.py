@@ -6,17 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+HOUR = 3600
+
+
+def _epoch(ts: str) -> str:
+    return (
+        f"(unix_date(CAST({ts} AS DATE)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60"
+        f" + second({ts}))"
+    )
+
+
 def epoch_seconds(ts: str) -> Column:
     """Whole seconds since 1970 of a timestamp column, named."""
-    return F.expr(
-        f"unix_date(CAST({ts} AS DATE)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60"
-        f" + second({ts})"
-    )
+    return F.expr(_epoch(ts))
 
 
-def hour_slot(ts: str) -> Column:
-    """Hours since 1970 of a timestamp column, named."""
-    return F.expr(f"unix_date(CAST({ts} AS DATE)) * 24L + hour({ts})")
+def slot(ts: str, seconds: int = HOUR) -> Column:
+    """Number of the time slot a timestamp column, named, falls into."""
+    return F.expr(f"CAST(floor({_epoch(ts)} / {int(seconds)}) AS BIGINT)")
 
 
 def shift_minutes(ts: Column, minutes: int) -> Column:

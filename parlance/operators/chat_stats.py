@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import emoji as E
-from parlance.functions.dates import epoch_seconds
+from parlance.functions.dates import HOUR, epoch_seconds
 from parlance.functions.text import tokens, word_count
 from parlance.operators.participants import from_rows
 from parlance.plans.ordered import nearest
@@ -108,12 +108,15 @@ def active_hours(messages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def reply_gaps(
-    messages: DataFrame, threshold_minutes: int = 480, keys: Sequence[str] = KEYS
+    messages: DataFrame,
+    threshold_minutes: int = 480,
+    keys: Sequence[str] = KEYS,
+    span: int = HOUR,
 ) -> DataFrame:
     """``keys, participant, seconds``: the time until somebody else answered, credited to the
     participant who was answered.  Longer gaps than the threshold are no replies."""
     rows = messages.where(F.col("ts").isNotNull()).select(*keys, "ts", "seq", "sender")
-    before = nearest(rows, keys, F.struct("sender", "ts"), "_before")
+    before = nearest(rows, keys, F.struct("sender", "ts"), "_before", span=span)
     gap = epoch_seconds("ts") - epoch_seconds("_before.ts")
     return before.where(
         (F.col("_before.sender") != F.col("sender")) & (gap <= threshold_minutes * 60)
@@ -125,9 +128,13 @@ def reply_time(
     people: DataFrame | None = None,
     threshold_minutes: int = 480,
     keys: Sequence[str] = KEYS,
+    span: int = HOUR,
 ) -> DataFrame:
-    """Mean minutes until a participant is answered; null without any answer."""
-    stats = reply_gaps(messages, threshold_minutes, keys).groupBy(*keys, "participant").agg(
+    """Mean minutes until a participant is answered; null without any answer.
+
+    ``span`` is the width in seconds of the slots a chat is ordered in (see plans.ordered).
+    """
+    stats = reply_gaps(messages, threshold_minutes, keys, span).groupBy(*keys, "participant").agg(
         (F.sum("seconds") / F.count("seconds") / 60).alias("avg_reply_minutes")
     )
     people = people if people is not None else from_rows(messages, keys)

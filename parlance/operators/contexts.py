@@ -18,14 +18,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.dates import epoch_seconds, hour_slot, shift_minutes
+from parlance.functions.dates import HOUR, epoch_seconds, shift_minutes, slot
 from parlance.plans.ordered import nearest
 from parlance.schema import KEYS
 
 SESSION = ("sender", "first_ts", "first_seq", "last_ts")
 
 
-def sessions(messages: DataFrame, threshold: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def sessions(
+    messages: DataFrame, threshold: int, keys: Sequence[str] = KEYS, span: int = HOUR
+) -> DataFrame:
     """``keys, sender, first_ts, first_seq, last_ts``: runs of own messages without a longer gap.
 
     A session ends where the next one says its predecessor's last message was, so only session
@@ -33,7 +35,7 @@ def sessions(messages: DataFrame, threshold: int, keys: Sequence[str] = KEYS) ->
     """
     own = [*keys, "sender"]
     rows = messages.select(*own, "ts", "seq")
-    before = nearest(rows, own, F.col("ts"), "_before")
+    before = nearest(rows, own, F.col("ts"), "_before", span=span)
     gap = epoch_seconds("ts") - epoch_seconds("_before")
     starts = before.where(F.col("_before").isNull() | (gap > threshold * 60)).select(
         *own, F.col("ts").alias("first_ts"), F.col("seq").alias("first_seq"), "_before"
@@ -69,7 +71,7 @@ def members(
     windows = (
         sessions(rows, threshold, keys)
         .withColumn("_reach", reach)
-        .withColumn("_hour", F.explode(F.sequence(hour_slot("first_ts"), hour_slot("_reach"))))
+        .withColumn("_hour", F.explode(F.sequence(slot("first_ts"), slot("_reach"))))
     )
     said = nearest(
         rows.withColumnRenamed("sender", "_by"), keys, F.struct("receiver"), "_next",

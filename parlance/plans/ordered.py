@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.dates import hour_slot
+from parlance.functions.dates import HOUR, slot
 
 
 def nearest(
@@ -25,16 +25,19 @@ def nearest(
     *,
     after: bool = False,
     slot_column: str | None = None,
+    span: int = HOUR,
 ) -> DataFrame:
     """Add ``name``: the nearest non-null ``value`` strictly before (``after``: strictly after)
     each row in ``(ts, seq)`` order among the rows with the same keys.
 
-    The result is partitioned by (keys, slot); ``slot_column`` keeps the slot for a later join.
+    The result is partitioned by (keys, slot); ``slot_column`` keeps the slot for a later join.  A
+    shorter ``span`` (seconds) splits chats that are crowded within an hour, at the price of more
+    edge values.
     """
     keys = list(keys)
     direction = F.desc if after else F.asc
     earlier = [Window.unboundedPreceding, -1]
-    cut = rows.withColumns({"_held": value, "_slot": hour_slot("ts")})
+    cut = rows.withColumns({"_held": value, "_slot": slot("ts", span)})
 
     position = F.when(F.col("_held").isNotNull(), F.struct("ts", "seq"))
     edge = (F.min_by if after else F.max_by)("_held", position)

@@ -37,10 +37,12 @@ def random_rows(seed, n=120, chats=3, gap=90):
 
 
 @pytest.mark.parametrize("after", [False, True])
-@pytest.mark.parametrize("seed", range(3))
-def test_nearest(spark, after, seed):
+@pytest.mark.parametrize("seed, span", [(0, 3600), (1, 3600), (2, 60)])
+def test_nearest(spark, after, seed, span):
     rows = random_rows(seed)
-    df = nearest(chat(spark, rows), ["chat_id"], F.col("content"), "found", after=after)
+    df = nearest(
+        chat(spark, rows), ["chat_id"], F.col("content"), "found", after=after, span=span
+    )
     got = {(r["chat_id"], r["seq"]): r["found"] for r in df.collect()}
     for c, seq, _, m, _ in rows:
         side = [r for r in rows if r[0] == c and r[4] is not None]
@@ -117,10 +119,11 @@ def test_contexts_without_copies(spark):
     assert texts == {"A": "one two three", "B": "three"}
 
 
-@pytest.mark.parametrize("partitions", [1, 7, 64])
-def test_reply_time(spark, partitions):
+@pytest.mark.parametrize("partitions, span", [(1, 3600), (7, 60), (64, 86400)])
+def test_reply_time(spark, partitions, span):
     rows = random_rows(11)
-    got = chat_stats.reply_time(chat(spark, rows).repartition(partitions)).collect()
+    df = chat(spark, rows).repartition(partitions)
+    got = chat_stats.reply_time(df, span=span).collect()
     sums = {}
     for c in {r[0] for r in rows}:
         ordered = sorted((r for r in rows if r[0] == c), key=lambda r: (r[3], r[1]))
