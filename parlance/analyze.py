@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from parlance.operators import contexts, participants, parse, preprocess, report, scoring
-from parlance.plans.blocks import tail
+from parlance.plans.blocks import spread, tail
 from parlance.plans.stored import stored
 from parlance.resources.phrases import ABBREVIATIONS
 from parlance.schema import KEYS
@@ -55,7 +55,8 @@ def analyze(
                 preprocess.clean_text(clean, spelling, detect, translation), "clean"
             )
         merged = stored(contexts.merge(clean, threshold), "contexts")
-        scored = stored(scoring.score_all(merged, "merged_content", load_model, batch_size), "scored")
+        texts = spread(merged)
+        scored = stored(scoring.score_all(texts, "merged_content", load_model, batch_size), "scored")
     return report.full_report(
         messages, people, stored(calls, "calls"), scored, preprocessed=False, store=False
     )

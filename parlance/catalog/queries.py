@@ -17,7 +17,7 @@ from parlance.operators import (
     call_stats, chat_stats, contexts, insights, language, mood, parse, participants, preprocess,
     prompts, report, scoring, workers,
 )
-from parlance.plans.blocks import tail
+from parlance.plans.blocks import spread, tail
 from parlance.session import scratch
 from parlance.sources import exports, tables
 
@@ -53,6 +53,10 @@ def _comparable(rows: DataFrame) -> DataFrame:
     return rows.select(*columns)
 
 
+def _documents(spark, sf_dir, *columns):
+    return spread(X.table(spark, sf_dir, "documents").select(*columns))
+
+
 def _language(chat_id="chat_id"):
     return F.when(F.col(chat_id) % 4 == 0, "hi").otherwise("en")
 
@@ -203,7 +207,7 @@ def expand_abbreviations(spark, sf_dir):
 @query
 def expand_abbreviations_by_table(spark, sf_dir):
     """The path for dictionaries of any size: every frequent document word gets a marked form."""
-    words = preprocess.word_frequencies(X.table(spark, sf_dir, "documents"))
+    words = preprocess.word_frequencies(_documents(spark, sf_dir, "text"))
     table = words.select(F.col("word").alias("key"), F.concat("word", F.lit("*")).alias("phrase"))
     rows = preprocess.expand_abbreviations(X.messages(spark, sf_dir), dictionary=table)
     return rows.select("chat_id", "seq", "content")
@@ -229,7 +233,7 @@ QUERIES["preprocess"] = QUERIES.pop("preprocess_text")
 
 
 def _spelling(spark, sf_dir):
-    documents = X.table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir, "text", "lang")
     return preprocess.word_frequencies(documents.where(F.col("lang") == "en"))
 
 
@@ -419,8 +423,7 @@ def score_all(spark, sf_dir):
 
 @query
 def detect_language(spark, sf_dir):
-    documents = X.table(spark, sf_dir, "documents")
-    model = language.train_language(documents)
+    model = language.train_language(_documents(spark, sf_dir, "text", "lang"))
     rows = X.messages(spark, sf_dir).select("chat_id", "seq", "content")
     return language.detect_language(rows, model, valid=DOC_LANGUAGES).select(
         "chat_id", "seq", "language"
@@ -429,7 +432,7 @@ def detect_language(spark, sf_dir):
 
 @query
 def toxicity_model(spark, sf_dir):
-    documents = X.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _documents(spark, sf_dir, "doc_id", "text")
     labels = X.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = language.train_toxicity(documents.join(labels, "doc_id"))
     return language.score_toxicity(documents, model, "text").select("doc_id", "toxicity_score")

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from parlance.functions.scores import restrict_language
 from parlance.functions.text import SPACE_CLASS, is_blank, tokens
-from parlance.plans.blocks import spread
 
 
 def trigrams(text: Column) -> Column:
@@ -38,9 +37,9 @@ def train_language(
     Words are counted first and each distinct word is one weighted instance: the trigram counts are
     the same as over whole texts, at a fraction of the work.  Class priors are shares of words.
     """
+    documents = documents.where(F.col(label).isNotNull())
     rows = (
-        spread(documents.select(label, text))
-        .select(label, F.explode(tokens(F.lower(text))).alias("_word"))
+        documents.select(label, F.explode(tokens(F.lower(text))).alias("_word"))
         .groupBy(label, "_word")
         .agg(F.count(F.lit(1)).cast("double").alias("_weight"))
         .select(label, "_weight", trigrams(F.col("_word")).alias("_grams"))
@@ -87,7 +86,7 @@ def train_toxicity(
     iterations: int = 20,
 ) -> PipelineModel:
     """Word TF-IDF and logistic regression."""
-    rows = spread(documents).select(
+    rows = documents.select(
         F.col(text).alias("_text"), F.col(label).cast("double").alias("_label")
     )
     stages = [

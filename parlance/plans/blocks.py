@@ -85,7 +85,8 @@ def spread(rows: DataFrame) -> DataFrame:
     """Rows over at least as many partitions as there are cores.
 
     Text work is bound by CPU, and a scan of few files may offer fewer splits than cores; an input
-    with enough splits is left alone and pays no shuffle.
+    with enough splits is left alone and pays no shuffle.  Meant for plain scans: asking a plan with
+    shuffles for its partitions would run them.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
