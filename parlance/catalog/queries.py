@@ -89,12 +89,12 @@ def scan_lines(spark, sf_dir):
 def scan_zip(spark, sf_dir):
     """Message lines zipped file by file, then unzipped by the scan."""
     path = _write_lines(spark, sf_dir)
-    pack = workers.zip_texts
+    pack, member = workers.zip_texts, exports.MEMBER
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     chat = F.regexp_extract("path", "chat=([^/]+)", 1)
     named = files.select(F.concat(F.lit("/Log of the "), chat, F.lit(".zip")).alias("path"), "content")
     zipped = named.mapInPandas(
-        lambda batches: pack(batches, exports.MEMBER), "path string, content binary"
+        lambda batches: pack(batches, member), "path string, content binary"
     )
     return exports.unzip(zipped)
 

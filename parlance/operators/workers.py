@@ -49,7 +49,7 @@ def unzip_lines(batches, member, batch_lines):
     for files in batches:
         for path, content in zip(files["path"], files["content"]):
             stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            name = " ".join(stem.replace("%20", " ").split()[3:])
+            name = " ".join(stem.split()[3:])
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 with archive.open(member) as raw:
                     text = io.TextIOWrapper(raw, encoding="utf-8")

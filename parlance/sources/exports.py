@@ -12,9 +12,9 @@ LINES = "chat_id string, seq bigint, line string"
 
 
 def chat_of_path(path: Column) -> Column:
-    """File name without its extension."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.url_decode(F.regexp_replace(name, r"\.[^.]*$", ""))
+    """File name without its extension.  Paths are URI-encoded, in which a plus is a plus."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def scan_lines(spark: SparkSession, path: str, chat_id: Column | None = None) -> DataFrame:

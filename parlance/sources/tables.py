@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +57,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+def _by_name(column: Column, kind: T.DataType) -> Column:
+    """The same value with the fields of every record in name order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [_by_name(column[f.name], f.dataType).alias(f.name) for f in fields]
+        return F.when(column.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(column, lambda x: _by_name(x, kind.elementType))
+    return column
+
+
 def write_json(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """One object per line, top-level fields in name order."""
-    names = sorted(rows.columns)
-    rows.select(*names).write.mode("overwrite").partitionBy(*partition_by).json(path)
+    """One object per line, fields in name order at every level."""
+    fields = sorted(rows.schema.fields, key=lambda f: f.name)
+    ordered = rows.select(*[_by_name(F.col(f.name), f.dataType).alias(f.name) for f in fields])
+    ordered.write.mode("overwrite").partitionBy(*partition_by).json(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -8,10 +8,10 @@ TEXT = "first\r\nsecond: ünï\n\nfourth" + "".join(f"\nline {i}" for i in range
 
 
 def test_lines_are_numbered_across_splits(spark, tmp_path):
-    for name, text in (("a b.txt", TEXT), ("c.txt", "only\n")):
+    for name, text in (("a b.txt", TEXT), ("+91 5%20é.v2.txt", "only\n")):
         (tmp_path / name).write_bytes(text.encode())
     want = {("a b", i, t) for i, t in enumerate(TEXT.replace("\r\n", "\n").split("\n")[:-1])}
-    want.add(("c", 0, "only"))
+    want.add(("+91 5%20é.v2", 0, "only"))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         for size in ("97", old):
@@ -23,14 +23,14 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
 
 
 def test_zip_exports(spark, tmp_path):
-    for who in ("Ann", "Ben Lee"):
+    for who in ("Ann", "+1 5%20"):
         with zipfile.ZipFile(tmp_path / f"Saved Chat with {who}.zip", "w") as z:
             z.writestr("_chat.txt", TEXT)
             z.writestr("photo.jpg", b"\xff\xfe")
     rows = exports.scan_zip(spark, str(tmp_path / "*.zip")).collect()
     lines = TEXT.replace("\r\n", "\n").split("\n")[:-1]
     assert {tuple(r) for r in rows} == {
-        (who, i, t) for who in ("Ann", "Ben Lee") for i, t in enumerate(lines)
+        (who, i, t) for who in ("Ann", "+1 5%20") for i, t in enumerate(lines)
     }
     small = exports.unzip(spark.read.format("binaryFile").load(str(tmp_path)), batch_lines=7)
     assert small.count() == 2 * len(lines)
@@ -62,3 +62,16 @@ def test_analyze_end_to_end(spark, tmp_path):
     assert ann["call_stats"]["most_frequent_call_type"] == "missed_voice_call"
     assert ann["chat_stats"]["deep_analysis"]["sentiment_summary"]
     assert out["few"]["participants"] == ["C", "D"] and "call_stats" not in out["few"]
+
+
+def test_json_fields_are_sorted_at_every_level(spark, tmp_path):
+    from parlance.sources import tables
+
+    df = spark.sql(
+        "SELECT named_struct('z', 1, 'a', array(named_struct('y', 1, 'b', 2))) AS s, 5 AS k, "
+        "CAST(NULL AS STRUCT<q:INT>) AS m"
+    )
+    tables.write_json(df, str(tmp_path / "j"))
+    assert spark.read.text(str(tmp_path / "j")).first()[0] == (
+        '{"k":5,"s":{"a":[{"b":2,"y":1}],"z":1}}'
+    )
