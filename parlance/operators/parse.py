@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parlance.functions.text import SPACE_CLASS, normalize, strip, strip_first_link
 from parlance.operators import participants as people_ops
 from parlance.operators.participants import MARKER, with_receiver
+from parlance.plans.once import once
 from parlance.schema import KEYS
 
 # Line prefixes of the two export formats.
@@ -35,19 +36,16 @@ ATTACHMENTS = ("image", "audio", "video", "gif", "sticker", "contact card", "vid
 EDITED = " <this message was edited>"
 
 
-def _split_rest(rows: DataFrame, prefix: Column, line: Column) -> DataFrame:
-    """Cut ``rest`` at its first ``': '`` into sender and content; other lines are dropped."""
-    return (
-        rows.withColumn("_prefix", prefix)
-        .where(F.col("_prefix") != "")
-        .withColumn("_rest", F.substring(line, F.length("_prefix") + 1, F.length(line)))
-        .withColumn("_cut", F.instr("_rest", ": "))
-        .where(F.col("_cut") > 0)
-        .withColumn("sender", F.substring(F.col("_rest"), F.lit(1), F.col("_cut") - 1))
-        .withColumn(
-            "content",
-            normalize(F.substring(F.col("_rest"), F.col("_cut") + 2, F.length("_rest"))),
-        )
+def _split_rest(rows: DataFrame, pattern: str) -> DataFrame:
+    """Match the prefix of ``_line`` and cut the rest at its first ``': '`` into sender and content;
+    other lines are dropped."""
+    found = once(rows, "_prefix", F.regexp_extract("_line", pattern, 0)).where("_prefix <> ''")
+    rest = F.substring(F.col("_line"), F.length("_prefix") + 1, F.length("_line"))
+    found = once(found, "_rest", rest)
+    found = once(found, "_cut", F.instr("_rest", ": ")).where("_cut > 0")
+    content = normalize(F.substring(F.col("_rest"), F.col("_cut") + 2, F.length("_rest")))
+    return once(found, "content", content).withColumn(
+        "sender", F.substring(F.col("_rest"), F.lit(1), F.col("_cut") - 1)
     )
 
 
@@ -69,11 +67,8 @@ def _timestamp(date: Column, hour: Column, minute: Column, second: Column, half:
 
 def split_ios(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``keys, seq, sender, content, ts`` of bracketed lines, notice lines left out."""
-    line = F.col("_line")
-    rows = lines.select(
-        *keys, "seq", F.replace(strip(F.col("line")), F.lit(MARKER), F.lit("")).alias("_line")
-    )
-    rows = _split_rest(rows, F.regexp_extract(line, IOS_PREFIX, 0), line)
+    line = F.replace(strip(F.col("line")), F.lit(MARKER), F.lit(""))
+    rows = _split_rest(once(lines.select(*keys, "seq", "line"), "_line", line), IOS_PREFIX)
     clock = F.split(F.substring(F.col("_prefix"), F.lit(12), F.length("_prefix") - 13), "[: ]")
     ts = _timestamp(
         F.substring("_prefix", 2, 8),
@@ -89,9 +84,8 @@ def split_ios(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def split_android(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``keys, seq, sender, content, ts`` of dashed lines; the notice line has no prefix."""
-    line = F.col("_line")
-    rows = lines.select(*keys, "seq", strip(F.col("line")).alias("_line"))
-    rows = _split_rest(rows, F.regexp_extract(line, ANDROID_PREFIX, 0), line)
+    line = strip(F.col("line"))
+    rows = _split_rest(once(lines.select(*keys, "seq", "line"), "_line", line), ANDROID_PREFIX)
     clock = F.substring(F.col("_prefix"), F.lit(11), F.length("_prefix") - 13)
     digits = F.split(F.substring(clock, F.lit(1), F.length(clock) - 3), ":")
     ts = _timestamp(
@@ -197,15 +191,13 @@ def android_message_type(content: Column) -> Column:
 
 def route(rows: DataFrame) -> DataFrame:
     """Add ``call_type`` (null for messages) to split iOS rows."""
-    return rows.withColumn("call_type", call_type(F.col("content")))
+    return once(rows, "call_type", call_type(F.col("content")))
 
 
 def ios_messages(routed: DataFrame) -> DataFrame:
     rows = routed.where(F.col("call_type").isNull()).drop("call_type")
-    kind = ios_message_type(F.col("content"))
-    return rows.withColumn("type", kind).withColumn(
-        "content", ios_content(F.col("content"), F.col("type"))
-    )
+    typed = once(rows, "type", ios_message_type(F.col("content")))
+    return typed.withColumn("content", ios_content(F.col("content"), F.col("type")))
 
 
 def ios_calls(routed: DataFrame) -> DataFrame:
@@ -221,10 +213,8 @@ def ios_calls(routed: DataFrame) -> DataFrame:
 
 
 def android_messages(rows: DataFrame) -> DataFrame:
-    kind = android_message_type(F.col("content"))
-    return rows.withColumn("type", kind).withColumn(
-        "content", F.when(F.col("type") == "text", F.col("content"))
-    )
+    typed = once(rows, "type", android_message_type(F.col("content")))
+    return typed.withColumn("content", F.when(F.col("type") == "text", F.col("content")))
 
 
 def _people(lines, platform, people, keys):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import strip
 from parlance.plans.blocks import attach
+from parlance.plans.once import once
 from parlance.schema import KEYS
 
 MARKER = "‎"
@@ -24,8 +25,9 @@ def from_lines(lines: DataFrame, platform: str, keys: Sequence[str] = KEYS) -> D
 
     if platform == "ios":
         clean = strip(F.replace(F.col("line"), F.lit(MARKER), F.lit("")))
-        found = lines.select(*keys, F.regexp_extract(clean, IOS_PARTICIPANT, 1).alias("participant"))
-        return found.where(F.col("participant") != "").distinct()
+        person = F.regexp_extract(clean, IOS_PARTICIPANT, 1)
+        found = once(lines.select(*keys, "line"), "participant", person)
+        return found.where("participant <> ''").select(*keys, "participant").distinct()
     if platform == "android":
         return split_android(lines, keys).select(*keys, F.col("sender").alias("participant")).distinct()
     raise ValueError(f"unknown platform {platform!r}")
