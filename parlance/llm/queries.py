@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from parlance.llm.common import documents
-from parlance.llm import mixing, quality_rules
+from parlance.llm import mixing, quality_classifier, quality_rules
 
 QUERIES = {
     "op3_quality_rules": lambda spark, sf_dir: quality_rules.quality_rules(documents(spark, sf_dir)),
+    "op8_quality_classifier": lambda spark, sf_dir: quality_classifier.quality_classifier(
+        spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ),
     "op7_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
 }
 
