@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from parlance.llm import mixing, quality_classifier, quality_rules, sentencepieces
 from parlance.llm.common import documents
-from parlance.llm import mixing, quality_classifier, quality_rules
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {
     "op3_quality_rules": lambda spark, sf_dir: quality_rules.quality_rules(documents(spark, sf_dir)),
     "op8_quality_classifier": lambda spark, sf_dir: quality_classifier.quality_classifier(
         spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     ),
+    "op4_sentencepieces": lambda spark, sf_dir: sentencepieces.sentencepieces(documents(spark, sf_dir), PIECES),
     "op7_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
 }
 
