@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parlance.llm import mixing, quality_classifier, quality_rules, sentencepieces
+from parlance.llm import fingerprints, mixing, quality_classifier, quality_rules, sentencepieces
 from parlance.llm.common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,6 +16,7 @@ QUERIES = {
     ),
     "op4_sentencepieces": lambda spark, sf_dir: sentencepieces.sentencepieces(documents(spark, sf_dir), PIECES),
     "op7_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
+    "op10_fingerprints": lambda spark, sf_dir: fingerprints.fingerprints(documents(spark, sf_dir)),
 }
 
 ORACLE = {
