@@ -108,13 +108,21 @@ def print_batches(batches, text, name):
         yield batch.append_column(name, pa.array(prints, pa.string()))
 
 
+def descending(rows):
+    docs = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()), key=lambda r: r[1] or "")
+    docs.sort(key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)
+    return docs
+
+
+def first_of_run(rows):
+    return pa.table({"of": rows.column("run").slice(0, 1), "head": pa.array([descending(rows)[0][1]], pa.string())})
+
+
 def edit_run(rows, following):
     """One run of ids, descending; ``following`` has the first row of the run after it."""
-    order = lambda r: (r[0] is not None, r[0] or 0)
-    docs = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()), key=lambda r: r[1] or "")
-    docs.sort(key=order, reverse=True)
+    docs = descending(rows)
     texts = [t or "" for _, t in docs]
-    after = sorted(t or "" for t in following.column("head").to_pylist())[0]
+    after = following.column("head").to_pylist()[0] or ""
     out, first, held = [], None, {}
     for i, (doc, text) in enumerate(zip((d for d, _ in docs), texts)):
         other = texts[i + 1] if i + 1 < len(texts) else after
@@ -159,14 +167,10 @@ def _after(keys: DataFrame, levels: int) -> DataFrame:
 def with_edits(docs: DataFrame) -> DataFrame:
     run = F.coalesce(F.shiftright("doc_id", RUN_BITS), F.lit(NO_ID))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").select("doc_id", "text", run.alias("run"))
-    runs = rows.groupBy("run").agg(F.max("doc_id").alias("_first"))
-    order = _after(runs.select(F.col("run").alias("key")), LEVELS)
-    goes_to = runs.join(order, runs["run"] == order["after"]).select("run", "_first", F.col("key").alias("_to"))
-    heads = (
-        rows.join(goes_to, "run")
-        .where(F.col("doc_id").eqNullSafe(F.col("_first")))
-        .select(F.col("_to").alias("run"), F.col("text").alias("head"))
-    )
+    order = _after(rows.select(F.col("run").alias("key")).distinct(), LEVELS)
+    # grouped as below, so that Spark reuses the shuffled texts instead of dealing them out again
+    firsts = rows.groupBy("run").applyInArrow(first_of_run, "of bigint, head string")
+    heads = order.join(firsts, order["after"] == firsts["of"]).select(F.col("key").alias("run"), "head")
     return rows.groupBy("run").cogroup(heads.groupBy("run")).applyInArrow(edit_run, EDITS)
 
 
