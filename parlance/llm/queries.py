@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parlance.llm import fingerprints, mixing, quality_classifier, quality_rules, sentencepieces, simhash
+from parlance.llm import fingerprints, mixing, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup
 from parlance.llm.common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES = {
+    "op1_substring_dedup": lambda spark, sf_dir: substring_dedup.substring_dedup(documents(spark, sf_dir)),
     "op2_simhash": lambda spark, sf_dir: simhash.simhash(documents(spark, sf_dir)),
     "op3_quality_rules": lambda spark, sf_dir: quality_rules.quality_rules(documents(spark, sf_dir)),
     "op8_quality_classifier": lambda spark, sf_dir: quality_classifier.quality_classifier(
