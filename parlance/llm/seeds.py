@@ -44,18 +44,23 @@ LONGEST = 256
 NO_ID = (1 << 63) - 1
 
 
-def sliding_min(values, width):
-    """Minimum of every ``width`` consecutive values, by doubling."""
+def sliding(pick, values, width):
+    """np.minimum or np.maximum of every ``width`` consecutive values, by doubling."""
     have, out = 1, values
     while have * 2 <= width:
-        out = np.minimum(out[: len(out) - have], out[have:])
+        out = pick(out[: len(out) - have], out[have:])
         have *= 2
     if have < width:
         step = width - have
-        out = np.minimum(out[: len(out) - step], out[step:])
+        out = pick(out[: len(out) - step], out[step:])
     return out
 
 
+def gram_hashes(sums, gram):
+    at = np.arange(len(sums) - gram)
+    return span_hash(sums, at, at + gram, BASES[0])
+
+
 def window_seeds(symbols, row, window, gram):
     """(starts of the windows inside one document each, their seeds, running sums of the symbols).
 
@@ -65,9 +70,7 @@ def window_seeds(symbols, row, window, gram):
     n = len(symbols)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), sums
-    at = np.arange(n - gram + 1)
-    grams = span_hash(sums, at, at + gram, BASES[0])
-    seeds = sliding_min(grams, window - gram + 1)
+    seeds = sliding(np.minimum, gram_hashes(sums, gram), window - gram + 1)
     inside = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
     return inside, seeds[inside], sums
 
@@ -85,16 +88,24 @@ def runs(starts, seeds, chosen):
     return starts[head], starts[np.append(head[1:], len(starts)) - 1], seeds[head]
 
 
-def seed_rows(block, seeds):
-    """Seeds of a block with the number of runs that have them."""
-    new = np.ones(len(seeds), dtype=bool)
-    new[1:] = seeds[1:] != seeds[:-1]
-    found, n = np.unique(seeds[new], return_counts=True)
+def seed_rows(block, symbols, window, gram):
+    """Seeds of a block with the number of places that have them.
+
+    A gram is the seed of some window if the largest of the minima of the windows around it is its
+    own hash.  Windows across two documents are looked at too: a seed too many does no harm.
+    """
+    width, n = window - gram + 1, len(symbols)
+    found, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if n >= window:
+        grams = gram_hashes(prefix(symbols, BASES[0]), gram)
+        none = np.zeros(width - 1, dtype=np.uint64)
+        around = np.concatenate([none, sliding(np.minimum, grams, width), none])
+        found, count = np.unique(grams[sliding(np.maximum, around, width) == grams], return_counts=True)
     return pa.table(
         {
             "seed": pa.array(found.view(np.int64)),
             "block": pa.array(np.full(len(found), block)),
-            "n": pa.array(n.astype(np.int32)),
+            "n": pa.array(count.astype(np.int32)),
         }
     )
 

@@ -50,8 +50,7 @@ def word_stream(texts):
 
 def seeds_of(docs):
     _, texts = sorted_docs(docs)
-    _, _, row, hashes = word_stream(texts)
-    return seed_rows(block_id(docs), window_seeds(hashes, row, WINDOW, GRAM)[1])
+    return seed_rows(block_id(docs), word_stream(texts)[3], WINDOW, GRAM)
 
 
 def pieces(docs, hits):
