@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parlance.llm import fingerprints, mixing, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, suffix_dedup
+from parlance.llm import fingerprints, line_dedup, mixing, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, suffix_dedup
 from parlance.llm.common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,7 @@ QUERIES = {
         spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     ),
     "op4_sentencepieces": lambda spark, sf_dir: sentencepieces.sentencepieces(documents(spark, sf_dir), PIECES),
+    "op5_line_dedup": lambda spark, sf_dir: line_dedup.line_dedup(documents(spark, sf_dir)),
     "op6_suffix_dedup": lambda spark, sf_dir: suffix_dedup.suffix_dedup(documents(spark, sf_dir)),
     "op7_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
     "op10_fingerprints": lambda spark, sf_dir: fingerprints.fingerprints(documents(spark, sf_dir)),
