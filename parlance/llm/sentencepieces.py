@@ -5,45 +5,40 @@ has a marker after another character (``pieces_stay_inside`` checks that), so no
 a character to a following marker, and a text falls into chunks, a run of markers and what follows
 up to the next marker, that are segmented independently.
 
-1. ``blocks``: documents are cut into blocks of about ``BLOCK`` bytes; a block numbers its distinct
-   chunks and keeps each document as a sequence of those numbers.  The blocks are stored once in the
-   shared folder: later steps refer to chunk numbers, so they must not see another numbering.
-2. ``answers``: the distinct chunks of all blocks meet by hash; each task keeps a table of those it
-   has met and segments each once.  A frequent chunk comes once per block, not once per use.
-3. ``assemble``: the ids go back to their blocks, where every document's ids are put together by
-   position, with begin and end ids, and decoded by the library.
-
-Null texts count as empty: begin and end id only.  Rows with equal doc_id stay rows of their own; a
-very long text is a block of its own; white space other than U+0020 is an ordinary character here.
+Every task keeps a table of the distinct chunks it has met.  A portion of texts becomes sequences of
+chunk numbers; the chunks that are new are segmented, each once, in one call; then the ids of each
+document are taken from the table by position, with begin and end ids, and decoded by the library.
+The table is started again when it holds ``TABLE`` chunks, which bounds its memory for any input.
+
+The table is one per task and not one for the corpus: a corpus-wide table needs every block's
+distinct chunks and their ids to travel (see the README for what that cost), and segmenting a chunk
+again in another task is cheaper than fetching its ids.  So nothing is shuffled, a lost task is
+simply run again, and a frequent chunk or a hot source makes no task larger than another.
+
+Null texts count as empty: begin and end id only.  Rows with equal doc_id stay rows of their own;
+white space other than U+0020 is an ordinary character here; texts of any length are processed whole.
 """
 
 from __future__ import annotations
 
 import re
-import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import by_value, stored
+from parlance.llm.common import by_value
 from parlance.llm.textscan import portions
 
 by_value(__name__)
 
-BLOCK = 8 << 20
-#: Distinct chunks a task remembers; a task that meets more starts its table again.
-TABLE = 2_000_000
+#: Characters of text in a portion.
+PORTION = 2 << 20
+#: Distinct chunks a task remembers.
+TABLE = 500_000
 MARK = "▁"
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-BLOCKS = (
-    "block bigint, doc_ids array<bigint>, positions array<binary>, "
-    "parts array<struct<part:int,chunks:binary>>"
-)
 
 
 def load(model):
@@ -58,145 +53,66 @@ def pieces_stay_inside(model):
     return inside and sp.piece_to_id(MARK) != sp.unk_id()
 
 
-def pack(arrays):
-    """Integer arrays as one compressed binary: byte planes, which compress best."""
-    out = []
-    for a in arrays:
-        planes = a.astype("<u4").view(np.uint8).reshape(-1, 4).T
-        out.append(struct.pack("<Q", len(a)) + planes.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+class ChunkTable:
+    """Distinct chunks, numbered, with their ids laid end to end."""
 
+    def __init__(self, sp):
+        self.sp = sp
+        self.start()
 
-def unpack(data):
-    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(raw):
-        (n,) = struct.unpack_from("<Q", raw, at)
-        planes = np.frombuffer(raw, dtype=np.uint8, count=4 * n, offset=at + 8).reshape(4, n)
-        out.append(np.ascontiguousarray(planes.T).view("<u4").reshape(n))
-        at += 8 + 4 * n
-    return out
+    def start(self):
+        self.number, self.firsts, self.ids = {}, np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        # one marker at the end of a text is the only chunk without a character after its first marker
+        self.add([" ", MARK], [[self.sp.piece_to_id(MARK)]] * 2)
 
+    def add(self, chunks, ids):
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks))))
+        ends = self.firsts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.firsts = np.concatenate([self.firsts, ends])
+        self.ids = np.concatenate([self.ids, *(np.array(x, dtype=np.uint32) for x in ids)])
 
-def pack_chunks(chunks):
-    encoded = [c.encode() for c in chunks]
-    lengths = np.fromiter(map(len, encoded), dtype="<u4", count=len(encoded)).tobytes()
-    raw = struct.pack("<Q", len(encoded)) + lengths + b"".join(encoded)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    def learn(self, chunks):
+        if len(self.number) > TABLE:
+            self.start()
+        new = [c for c in dict.fromkeys(chunks) if c not in self.number]
+        if new:  # the library puts the first marker in front itself
+            self.add(new, self.sp.encode([c[1:] for c in new], num_threads=1))
 
+    def take(self, chunks):
+        number = self.number
+        at = np.fromiter((number[c] for c in chunks), np.int64, len(chunks))
+        count = self.firsts[at + 1] - self.firsts[at]
+        shift = self.firsts[at] - (np.cumsum(count) - count)
+        found = self.ids[np.repeat(shift, count) + np.arange(int(count.sum()))]
+        return np.concatenate([[self.sp.bos_id()], found, [self.sp.eos_id()]]).astype("<u4")
 
-def unpack_chunks(data):
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    (n,) = struct.unpack_from("<Q", raw)
-    ends = 8 + 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u4", n, 8), dtype=np.int64)])
-    return [raw[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-
-def block_batches(batches, parts):
-    task, serial = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-        texts = batch.column("text").to_pylist()
-        for a, b in portions([len(t or "") for t in texts], BLOCK):
-            number, positions = {}, []
-            for t in texts[a:b]:
-                found = CHUNK.findall(" " + t) if t else []
-                positions.append(
-                    pack([np.fromiter((number.setdefault(c, len(number)) for c in found), np.uint32, len(found))])
-                )
-            dealt = [[] for _ in range(parts)]
-            for c in number:
-                dealt[zlib.crc32(c.encode()) % parts].append(c)
-            # chunk numbers follow the parts, so that answers can be laid end to end
-            order = np.fromiter((number[c] for d in dealt for c in d), np.int64, len(number))
-            renumber = np.empty(len(order), dtype=np.uint32)
-            renumber[order] = np.arange(len(order), dtype=np.uint32)
-            positions = [pack([renumber[unpack(p)[0]]]) for p in positions]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": [(task << 32) + serial],
-                    "doc_ids": [ids[a:b]],
-                    "positions": [positions],
-                    "parts": [[{"part": p, "chunks": pack_chunks(d)} for p, d in enumerate(dealt) if d]],
-                },
-                schema=pa.schema(
-                    {
-                        "block": pa.int64(),
-                        "doc_ids": pa.list_(pa.int64()),
-                        "positions": pa.list_(pa.binary()),
-                        "parts": pa.list_(pa.struct({"part": pa.int32(), "chunks": pa.binary()})),
-                    }
-                ),
-            )
-            serial += 1
-
-
-def answer_batches(batches, model):
+def encode_batches(batches, model):
     sp = load(model)
-    # one space at the end of a text is the only chunk without a character after its first marker
-    alone = {c: np.array([sp.piece_to_id(MARK)], dtype=np.uint32) for c in (" ", MARK)}
-    table = dict(alone)
+    table = ChunkTable(sp)
     for batch in batches:
-        out = []
-        for data in batch.column("chunks").to_pylist():
-            chunks = unpack_chunks(data)
-            if len(table) > TABLE:
-                table = dict(alone)
-            new = [c for c in chunks if c not in table]
-            # the library puts the first marker in front itself
-            table.update(
-                (c, np.array(ids, dtype=np.uint32))
-                for c, ids in zip(new, sp.encode([c[1:] for c in new], num_threads=1))
+        texts = batch.column("text").to_pylist()
+        for a, b in portions([len(t or "") for t in texts], PORTION):
+            found = [CHUNK.findall(" " + t) if t else [] for t in texts[a:b]]
+            table.learn([c for chunks in found for c in chunks])
+            ids = [table.take(chunks) for chunks in found]
+            decoded = [sp.decode(x.tolist()) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(a, b - a),
+                    pa.array([x.tobytes() for x in ids], pa.binary()),
+                    pa.array(decoded, pa.string()),
+                ],
+                ["doc_id", "ids", "decoded"],
             )
-            ids = [table[c] for c in chunks]
-            out.append(pack([np.fromiter(map(len, ids), np.uint32, len(ids)), np.concatenate(ids)]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("part"), pa.array(out, pa.binary())], ["block", "part", "ids"]
-        )
-
-
-def assemble_block(left, right, model):
-    sp = load(model)
-    answers = sorted(zip(right.column("part").to_pylist(), right.column("ids").to_pylist()))
-    parts = [unpack(x) for _, x in answers]
-    none = np.zeros(0, dtype=np.uint32)
-    counts = np.concatenate([none, *(p[0] for p in parts)]).astype(np.int64)
-    ids = np.concatenate([none, *(p[1] for p in parts)])
-    firsts = np.concatenate([[0], np.cumsum(counts)])
-    doc_ids, encoded, decoded = [], [], []
-    for docs, positions in zip(left.column("doc_ids").to_pylist(), left.column("positions").to_pylist()):
-        for doc, packed in zip(docs, positions):
-            at = unpack(packed)[0].astype(np.int64)
-            n = counts[at]
-            # places of all ids of the document in the block's id list
-            places = np.repeat(firsts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(at) else at, n)
-            found = ids[places + np.arange(len(places))]
-            mine = np.concatenate([[sp.bos_id()], found, [sp.eos_id()]]).astype("<u4")
-            doc_ids.append(doc)
-            encoded.append(mine.tobytes())
-            decoded.append(sp.decode(mine.tolist()))
-    return pa.table(
-        {"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(encoded, pa.binary()), "decoded": pa.array(decoded, pa.string())}
-    )
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded text of every row."""
     if not pieces_stay_inside(model):
         raise ValueError("this vocabulary has pieces that cross chunks")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text")
-    blocks = stored(rows.mapInArrow(lambda it: block_batches(it, parts), BLOCKS), "chunks")
-    asked = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.part", "p.chunks")
-    answers = asked.repartition(parts, "part").mapInArrow(
-        lambda it: answer_batches(it, model), "block bigint, part int, ids binary"
-    )
-    return (
-        blocks.select("block", "doc_ids", "positions")
-        .groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInArrow(lambda a, b: assemble_block(a, b, model), "doc_id bigint, ids binary, decoded string")
-    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(lambda it: encode_batches(it, model), "doc_id bigint, ids binary, decoded string")
 
 
 def sentencepieces(docs: DataFrame, model: str) -> DataFrame:
