@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parlance.llm import fingerprints, line_dedup, mixing, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, suffix_dedup
+from parlance.llm import fingerprints, line_dedup, mixing, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, suffix_dedup, token_counts
 from parlance.llm.common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, sf_dir: substring_dedup.substring_dedup(documents(spark, sf_dir)),
@@ -20,6 +21,9 @@ QUERIES = {
     "op5_line_dedup": lambda spark, sf_dir: line_dedup.line_dedup(documents(spark, sf_dir)),
     "op6_suffix_dedup": lambda spark, sf_dir: suffix_dedup.suffix_dedup(documents(spark, sf_dir)),
     "op7_mixing": lambda spark, sf_dir: mixing.mixing(documents(spark, sf_dir)),
+    "op9_token_counts": lambda spark, sf_dir: token_counts.token_counts(
+        documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN
+    ),
     "op10_fingerprints": lambda spark, sf_dir: fingerprints.fingerprints(documents(spark, sf_dir)),
 }
 
