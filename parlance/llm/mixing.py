@@ -23,7 +23,7 @@ rows of their own.  Sources without words get target 0, an empty table gives an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import WORD
@@ -37,12 +37,16 @@ SEED = "mix"
 DIGITS = 3
 
 
+def size_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """Adds _size, _group (sorts like source, null last), _key (order in the source) and _bucket."""
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))
     return docs.withColumns(
         {
-            "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("bigint"), F.lit(0)),
+            "_size": size_of("text"),
             "_group": F.coalesce(F.concat(F.lit("a"), "source"), F.lit("b")),
             "_key": key,
             "_bucket": F.substring(key, 1, DIGITS),
