@@ -16,37 +16,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message per conversation turn, with injected links, emoji, abbreviations and gaps."""
+    """A text message per conversation turn, whole, with an ending that has links, emoji or
+    abbreviations; after some turns a message without text follows (seq is 2 turn, 2 turn + 1)."""
     turns = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), F.col("role").alias("sender"),
-        "text",
+        F.col("conv_id").alias("chat_id"), "turn", F.col("role").alias("sender"), "text"
     )
-    chat, seq = F.col("chat_id"), F.col("seq")
-    kind_no = (chat * 7 + seq * 3) % 13
-    kind = (
+    chat, turn = F.col("chat_id"), F.col("turn")
+    kind_no = (chat * 7 + turn * 3) % 13
+    extra = (
         F.when(kind_no == 0, "image").when(kind_no == 1, "audio")
-        .when(kind_no == 2, "deleted_by_others").otherwise("text")
+        .when(kind_no == 2, "deleted_by_others")
     )
-    tail_no = (chat + seq) % 6
+    tail_no = (chat + turn) % 6
     tail = (
         F.when(tail_no == 0, " brb! sorry 😂😂").when(tail_no == 1, " this is so cool 👍")
         .when(tail_no == 2, " asap, damn").when(tail_no == 3, " why 😂 http://x.io/a")
         .otherwise("")
     )
-    first_line = F.lower(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
     minutes = (
-        (chat % 90) * 1440 + (chat * 37) % 1440 + seq * 10
-        + F.when(seq >= 3, (chat % 7) * 50).otherwise(0)
-        + F.when(seq >= 5, (chat % 3) * 235).otherwise(0)
-        + F.when(seq >= 7, (chat % 4) * 300).otherwise(0)
+        (chat % 90) * 1440 + (chat * 37) % 1440 + turn * 10
+        + F.when(turn >= 3, (chat % 7) * 50).otherwise(0)
+        + F.when(turn >= 5, (chat % 3) * 235).otherwise(0)
+        + F.when(turn >= 7, (chat % 4) * 300).otherwise(0)
+        + F.col("m.extra")
     )
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    ts = start + F.make_dt_interval(mins=minutes.cast("int"))
     people = turns.select("chat_id", F.col("sender").alias("participant")).distinct()
-    rows = turns.select(
-        "chat_id", "seq", "sender",
-        F.when(kind == "text", F.concat(first_line, tail)).alias("content"),
-        ts.alias("ts"), kind.alias("type"),
+    both = F.array(
+        F.struct(F.lit(0).alias("extra"), F.lit("text").alias("type")),
+        F.struct(F.lit(1).alias("extra"), extra.alias("type")),
+    )
+    rows = (
+        turns.withColumn("m", F.explode(both))
+        .where(F.col("m.type").isNotNull())
+        .select(
+            "chat_id", (turn * 2 + F.col("m.extra")).alias("seq"), "sender",
+            F.when(F.col("m.extra") == 0, F.concat(F.lower(F.trim("text")), tail)).alias("content"),
+            (start + F.make_dt_interval(mins=minutes.cast("int"))).alias("ts"),
+            F.col("m.type").alias("type"),
+        )
     )
     return with_receiver(rows, people).select(
         "chat_id", "seq", "sender", "receiver", "content", "ts", "type"
@@ -54,11 +62,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call per event.  Calls of every seventh day are moved to the day before, so that there
+    are days without calls."""
     kind = F.col("event_type")
     user = F.col("user_id")
     return (
         table(spark, sf_dir, "events")
-        .where(F.dayofmonth("ts") % 7 != 3)
         .select(
             F.col("event_id").alias("seq"),
             (user % 3).alias("chat_id"),
@@ -72,7 +81,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(kind == "signup", "voice_call").when(kind == "purchase", "video_call")
             .when(kind == "view", "missed_voice_call").when(kind == "click", "missed_video_call")
             .otherwise("silenced_voice_call").alias("type"),
-            "ts",
+            F.expr("CASE WHEN dayofmonth(ts) % 7 = 3 THEN ts - INTERVAL 1 DAY ELSE ts END").alias("ts"),
         )
     )
 
@@ -112,7 +121,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Golden contents by (chat_id * 5 + seq) % 29; higher numbers keep the message text.
+# Golden contents of the extra lines, by (chat_id * 5 + seq) % 29; higher numbers have none.
 SPECIAL = (
     f"{MARKER}image omitted",
     f"{MARKER}video note omitted",
@@ -137,27 +146,33 @@ SPECIAL = (
 )
 
 
-def _lines(rows: DataFrame, prefix, notice) -> DataFrame:
-    """Up to three lines per message: the message, a continuation, and the notice before turn 0."""
+#: Line numbers that a message may use.
+STRIDE = 1_000
+
+
+def _lines(rows: DataFrame, prefix, notice, extra) -> DataFrame:
+    """The lines of an export: the notice before the first message, every message with all lines of
+    its text, an extra message with a golden content, and a line that continues it."""
     chat, seq = F.col("chat_id"), F.col("seq")
-    special = F.get(F.array(*[F.lit(s) for s in SPECIAL]), ((chat * 5 + seq) % 29).cast("int"))
-    body = F.coalesce(special, F.col("content"), F.concat(F.lit(f"{MARKER}"), "type", F.lit(" omitted")))
-    line = F.concat(prefix, F.col("sender"), F.lit(": "), body)
-    pieces = F.array(
-        F.when(seq == 0, F.struct((seq * 3).alias("seq"), notice.alias("line"))),
-        F.struct((seq * 3 + 1).alias("seq"), line.alias("line")),
-        F.when(
-            (chat + seq) % 5 == 0,
-            F.struct((seq * 3 + 2).alias("seq"), F.lit("and a second line: more").alias("line")),
-        ),
+    head = F.concat(prefix, F.col("sender"), F.lit(": "))
+    body = F.coalesce(F.col("content"), F.concat(F.lit(f"{MARKER}"), "type", F.lit(" omitted")))
+    more = F.when((chat + seq) % 5 == 0, F.lit("and a second line: more"))
+    pieces = F.concat(
+        F.array(F.when(seq == 0, notice)),
+        F.split(F.concat(head, body), "\n"),
+        F.array(F.concat(head, extra), more),
     )
-    return (
-        rows.select("chat_id", F.explode(pieces).alias("p"))
-        .where(F.col("p").isNotNull())
-        .select("chat_id", "p.seq", "p.line")
+    lines = F.filter(pieces, lambda line: line.isNotNull())
+    return rows.select("chat_id", "seq", F.posexplode(lines).alias("at", "line")).select(
+        "chat_id", (seq * STRIDE + F.col("at")).alias("seq"), "line"
     )
 
 
+def _golden():
+    at = ((F.col("chat_id") * 5 + F.col("seq")) % 29).cast("int")
+    return F.get(F.array(*[F.lit(s) for s in SPECIAL]), at)
+
+
 NOTICE_TEXT = (
     "Messages and calls are end-to-end encrypted. No one outside of this chat, not even WhatsApp, "
     "can read or listen to them."
@@ -168,7 +183,7 @@ def lines_ios(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = F.concat(F.lit("["), F.date_format("ts", "dd/MM/yy, h:mm:ss a"), F.lit("] "))
     poster = F.when(F.col("chat_id") % 2 == 0, F.lit("Desk")).otherwise(F.col("sender"))
     notice = F.concat(prefix, poster, F.lit(": "), F.lit(NOTICE_TEXT))
-    return _lines(messages(spark, sf_dir), prefix, notice)
+    return _lines(messages(spark, sf_dir), prefix, notice, _golden())
 
 
 def lines_android(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,10 +191,6 @@ def lines_android(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = F.concat(
         F.date_format("ts", "dd/MM/yy, h:mm"), F.lit(NARROW_SPACE), half, F.lit(" - ")
     )
-    rows = messages(spark, sf_dir).withColumn(
-        "content",
-        F.when((F.col("chat_id") + F.col("seq")) % 4 == 0, F.lit("<Media omitted>")).otherwise(
-            F.col("content")
-        ),
-    )
-    return _lines(rows, prefix, F.lit(NOTICE_TEXT))
+    media = F.when((F.col("chat_id") + F.col("seq")) % 4 == 0, F.lit("<Media omitted>"))
+    extra = F.coalesce(media, _golden())
+    return _lines(messages(spark, sf_dir), prefix, F.lit(NOTICE_TEXT), extra)

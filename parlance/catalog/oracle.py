@@ -36,19 +36,21 @@ def stripped(column: str) -> str:
 MESSAGES = """
 k AS (SELECT conv_id, count(DISTINCT role) AS n, min(role) AS a, max(role) AS b
       FROM conversations GROUP BY conv_id),
-t AS (SELECT c.*, CASE (c.conv_id*7 + c.turn*3) % 13 WHEN 0 THEN 'image' WHEN 1 THEN 'audio'
-      WHEN 2 THEN 'deleted_by_others' ELSE 'text' END AS typ FROM conversations c),
+t AS (SELECT conv_id, turn, role, text, 0 AS extra, 'text' AS typ FROM conversations
+      UNION ALL
+      SELECT conv_id, turn, role, NULL, 1, ['image', 'audio', 'deleted_by_others'][(conv_id*7 + turn*3) % 13 + 1]
+      FROM conversations WHERE (conv_id*7 + turn*3) % 13 < 3),
 messages AS (
-SELECT t.conv_id AS chat_id, t.turn AS seq, t.role AS sender,
+SELECT t.conv_id AS chat_id, t.turn * 2 + extra AS seq, t.role AS sender,
  CASE WHEN k.n > 2 THEN 'group' WHEN k.n = 2 THEN CASE WHEN t.role = k.a THEN k.b ELSE k.a END END
    AS receiver,
- CASE WHEN typ = 'text' THEN lower(trim(split_part(t.text, chr(10), 1))) ||
+ CASE WHEN typ = 'text' THEN lower(trim(t.text)) ||
    CASE (t.conv_id + t.turn) % 6 WHEN 0 THEN ' brb! sorry 😂😂' WHEN 1 THEN ' this is so cool 👍'
    WHEN 2 THEN ' asap, damn' WHEN 3 THEN ' why 😂 http://x.io/a' ELSE '' END END AS content,
  TIMESTAMP '2024-01-01 00:00:00' + ((t.conv_id % 90) * 1440 + (t.conv_id * 37) % 1440 + t.turn * 10
    + CASE WHEN t.turn >= 3 THEN (t.conv_id % 7) * 50 ELSE 0 END
    + CASE WHEN t.turn >= 5 THEN (t.conv_id % 3) * 235 ELSE 0 END
-   + CASE WHEN t.turn >= 7 THEN (t.conv_id % 4) * 300 ELSE 0 END) * INTERVAL '1' MINUTE AS ts,
+   + CASE WHEN t.turn >= 7 THEN (t.conv_id % 4) * 300 ELSE 0 END + extra) * INTERVAL '1' MINUTE AS ts,
  typ AS type
 FROM t JOIN k ON t.conv_id = k.conv_id)"""
 
@@ -61,7 +63,7 @@ SELECT event_id AS seq, user_id % 3 AS chat_id, 'u' || CAST(user_id % 20 AS VARC
  CASE event_type WHEN 'signup' THEN 'voice_call' WHEN 'purchase' THEN 'video_call'
    WHEN 'view' THEN 'missed_voice_call' WHEN 'click' THEN 'missed_video_call'
    ELSE 'silenced_voice_call' END AS type,
- ts FROM events WHERE extract(day FROM ts) % 7 <> 3)"""
+ CASE WHEN extract(day FROM ts) % 7 = 3 THEN ts - INTERVAL '1' DAY ELSE ts END AS ts FROM events)"""
 
 SCORED = MESSAGES + """,
 scored AS (
@@ -83,30 +85,30 @@ FROM messages m CROSS JOIN (VALUES (0, CAST(0.7 AS DOUBLE)), (1, CAST(0.2 AS DOU
   (2, CAST(0.0005 AS DOUBLE))) AS k(i, score) WHERE m.content IS NOT NULL)"""
 
 
-def _lines(name: str, prefix: str, notice: str, content: str) -> str:
+def _lines(name: str, prefix: str, notice: str, extra: str) -> str:
     return f"""
 {name} AS (
-WITH base AS (SELECT *, {content} AS body, {prefix} AS prefix FROM messages),
-said AS (SELECT chat_id, seq, sender, prefix, coalesce(
-    list_extract({texts(SPECIAL)}, CAST((chat_id*5 + seq) % 29 + 1 AS BIGINT)),
-    body, {text(MARKER)} || type || ' omitted') AS body FROM base)
-SELECT chat_id, seq*3 AS seq, {notice} AS line FROM said WHERE seq = 0
-UNION ALL SELECT chat_id, seq*3 + 1, prefix || sender || ': ' || body FROM said
-UNION ALL SELECT chat_id, seq*3 + 2, 'and a second line: more' FROM said
-  WHERE (chat_id + seq) % 5 = 0)"""
+WITH head AS (SELECT *, {prefix} AS prefix, {prefix} || sender || ': ' AS head,
+   coalesce(content, {text(MARKER)} || type || ' omitted') AS body FROM messages),
+pieces AS (SELECT chat_id, seq, list_filter(list_concat(
+   [CASE WHEN seq = 0 THEN {notice} END], string_split(head || body, chr(10)),
+   [head || {extra}, CASE WHEN (chat_id + seq) % 5 = 0 THEN 'and a second line: more' END]),
+   lambda x: x IS NOT NULL) AS p FROM head)
+SELECT chat_id, seq * 1000 + generate_subscripts(p, 1) - 1 AS seq, unnest(p) AS line FROM pieces)"""
 
 
+GOLDEN = f"list_extract({texts(SPECIAL)}, CAST((chat_id*5 + seq) % 29 + 1 AS BIGINT))"
 LINES_IOS = MESSAGES + "," + _lines(
     "lines_ios",
     "'[' || strftime(ts, '%d/%m/%y, %-I:%M:%S %p') || '] '",
     f"prefix || CASE WHEN chat_id % 2 = 0 THEN 'Desk' ELSE sender END || ': ' || {text(NOTICE_TEXT)}",
-    "content",
+    GOLDEN,
 )
 LINES_ANDROID = MESSAGES + "," + _lines(
     "lines_android",
     f"strftime(ts, '%d/%m/%y, %-I:%M') || {text(NARROW_SPACE)} || lower(strftime(ts, '%p')) || ' - '",
     text(NOTICE_TEXT),
-    "CASE WHEN (chat_id + seq) % 4 = 0 THEN '<Media omitted>' ELSE content END",
+    f"CASE WHEN (chat_id + seq) % 4 = 0 THEN '<Media omitted>' ELSE {GOLDEN} END",
 )
 
 # The line and content patterns of the export formats, one pattern per rule.
@@ -596,7 +598,15 @@ FROM emotions_long WHERE score > 0.001 GROUP BY 1, 2"""
 
 # -- model outputs ---------------------------------------------------------------------------------
 
-VECTORS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"""
+
+
+def vectors(n: int) -> str:
+    """n logits that together use all 64 values: value j counts for logit j mod n."""
+    sums = ", ".join(" + ".join(f"x[{j + 1}]" for j in range(i, 64, n)) for i in range(n))
+    return f"""v AS (SELECT vec_id, [{sums}] AS x
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings))"""
+
+
 
 
 def _softmax(x: str) -> str:
@@ -604,10 +614,10 @@ def _softmax(x: str) -> str:
     return f"list_transform({exps}, lambda z: z / list_sum({exps}))"
 
 
-ORACLE["sentiment_label"] = f"""WITH {VECTORS}
+ORACLE["sentiment_label"] = f"""WITH {vectors(5)}
 SELECT vec_id, list_extract(['Very Negative', 'Negative', 'Neutral', 'Positive', 'Very Positive'],
  list_position(x[1:5], list_max(x[1:5]))) AS sentiment FROM v"""
-ORACLE["top_emotions"] = f"""WITH {VECTORS},
+ORACLE["top_emotions"] = f"""WITH {vectors(28)},
 p AS (SELECT vec_id, {_softmax("x[1:28]")} AS p FROM v),
 u AS (SELECT vec_id, generate_subscripts(p, 1) AS i, round(unnest(p), 4) AS score FROM p)
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i) - 1 AS rank,
@@ -619,12 +629,12 @@ def _toxic(x: str) -> str:
     return f"list_transform({x}, lambda z: round(1 / (1 + exp(-z)), 4))"
 
 
-ORACLE["toxicity_post"] = f"""WITH {VECTORS}, p AS (SELECT vec_id, {_toxic("x[1:7]")} AS p FROM v)
+ORACLE["toxicity_post"] = f"""WITH {vectors(7)}, p AS (SELECT vec_id, {_toxic("x[1:7]")} AS p FROM v)
 SELECT vec_id, p[1] AS score, CASE WHEN p[1] > 0.5 THEN
  list_extract({texts(TOXICITY_LABELS[1:])}, list_position(p[2:7], list_max(p[2:7]))) END AS type
 FROM p"""
 _EN, _HI = LANGUAGES.index("en") + 1, LANGUAGES.index("hi") + 1
-ORACLE["restrict_language"] = f"""WITH {VECTORS}
+ORACLE["restrict_language"] = f"""WITH {vectors(20)}
 SELECT vec_id, CASE WHEN x[{_HI}] > x[{_EN}] THEN 'hi' ELSE 'en' END AS language FROM v"""
 
 
