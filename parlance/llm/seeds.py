@@ -12,10 +12,11 @@ input and not with documents x shards.
 2. ``seeds``: each block names its seeds and how often it has them; a seed that the whole corpus has
    once cannot belong to a repeated window.  (seed, block) pairs bound a hot seed by the blocks.
 3. ``segments``: each block cuts the segments of the seeds that are left, equal ones once.
-4. Segments meet by shard; equal ones of different blocks are merged; the operator's index finds
+4. Segments meet by shard; equal ones of different blocks are merged, with a list of the blocks
+   (one list per ``LISTS``-th of the blocks, so that none grows long); the operator's index finds
    which windows repeat.  A seed with more than ``HOT`` occurrences would make a large shard: each
    of its windows is sent on its own, to the shard of its own hash, where equal ones merge.
-5. The findings return to the blocks that hold the segment.
+5. The findings go to the blocks on the list, which look their segments up by key and digest.
 
 Everything is recomputed from the texts by set of documents, never by position in a partition, so
 lost tasks repeat with the same outcome.
@@ -40,6 +41,8 @@ BLOCK = 2 << 20
 HOT = 1_024
 #: Windows in a segment at most; longer runs (repetitive texts) are cut into overlapping pieces.
 LONGEST = 256
+#: Lists of blocks that a segment is merged to.
+LISTS = 64
 #: Id of documents without one: larger than all others.
 NO_ID = (1 << 63) - 1
 
@@ -112,8 +115,19 @@ def seed_rows(block, symbols, window, gram):
 
 def places(starts, seeds, sums, window, cold, hot):
     """(first window, last window, key, is hot) of the segments of cold seeds and windows of hot ones."""
+    return _places(starts, seeds, sums, window, cold, starts[np.isin(seeds, hot)])
+
+
+def answered_places(starts, seeds, sums, window, cold, hot):
+    """As places, for windows known by their own hash instead of their seed's."""
+    alone = starts[:0]
+    if len(hot):
+        alone = starts[np.isin(span_hash(sums, starts, starts + window, BASES[0]), hot)]
+    return _places(starts, seeds, sums, window, cold, alone)
+
+
+def _places(starts, seeds, sums, window, cold, alone):
     first, last, key = runs(starts, seeds, np.isin(seeds, cold))
-    alone = starts[np.isin(seeds, hot)]
     hashes = span_hash(sums, alone, alone + window, BASES[0])
     return (
         np.concatenate([first, alone]),
@@ -124,7 +138,8 @@ def places(starts, seeds, sums, window, cold, hot):
 
 
 def digest(piece):
-    return xxhash.xxh3_128_digest(piece)
+    """Tells the segments of one key apart; signed."""
+    return xxhash.xxh3_64_intdigest(piece) - (1 << 63)
 
 
 def block_id(table):
@@ -177,37 +192,74 @@ def mask_spans(mask):
     return edge[0::2], edge[1::2]
 
 
-def split_answers(rows, *names):
-    """(seeds of a block with whether they are hot, digest -> answer) from the rows that return to it."""
-    import pyarrow.compute as pc
+def segment_table(block, keys, hot, pieces, **columns):
+    """The distinct segments of a block; ``columns`` are lists of their values."""
+    return pa.table(
+        {
+            "key": pa.array(keys, pa.int64()),
+            "hot": pa.array(hot, pa.bool_()),
+            "segment": pa.array(pieces, pa.binary()),
+            "at": pa.array(np.full(len(keys), block, dtype=np.int64)),
+            **{name: pa.array(values, pa.int64()) for name, values in columns.items()},
+        }
+    )
 
-    asked = pc.is_valid(rows.column("seed"))
-    answers = rows.filter(pc.invert(asked))
-    values = zip(*(answers.column(n).to_pylist() for n in names))
-    return rows.filter(asked), dict(zip(answers.column("digest").to_pylist(), values))
 
+def merged_segments(shard):
+    """(distinct segments, number of the segment of each row) of a shard."""
+    number = {}
+    which = [number.setdefault(s, len(number)) for s in shard.column("segment").to_pylist()]
+    return list(number), np.array(which, dtype=np.int64)
 
-def through_index(
-    docs: DataFrame, *, seeds_of, segment_rows, merged, held, asking_rows, search, found, remove, result
-) -> DataFrame:
+
+def answer_table(shard, segments, which, chosen, **columns):
+    """Answers for the blocks of every row whose segment is ``chosen``; columns by segment."""
+    rows = np.flatnonzero(chosen[which])
+    blocks = shard.column("blocks").take(pa.array(rows)).to_pylist()
+    rows = np.repeat(rows, [len(x) for x in blocks])
+    digests = np.array([digest(s) if c else 0 for s, c in zip(segments, chosen)], dtype=np.int64)
+    at = pa.array(rows)
+    return pa.table(
+        {
+            "at": pa.array([b for x in blocks for b in x], pa.int64()),
+            "key": shard.column("key").take(at),
+            "hot": shard.column("hot").take(at),
+            "digest": pa.array(digests[which[rows]]),
+            **{name: pa.array(values).take(pa.array(which[rows])) for name, values in columns.items()},
+        }
+    )
+
+
+def split_answers(rows, *names):
+    """(cold keys, hot keys, (key, digest) -> answer) from the answers to a block."""
+    key = rows.column("key").to_numpy(zero_copy_only=False).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    hot = rows.column("hot").to_numpy(zero_copy_only=False).astype(bool) if len(rows) else np.zeros(0, bool)
+    values = zip(*(rows.column(n).to_pylist() for n in names))
+    answers = dict(zip(zip(key.tolist(), rows.column("digest").to_pylist()), values))
+    return np.unique(key[~hot]).view(np.uint64), np.unique(key[hot]).view(np.uint64), answers
+
+
+def through_index(docs: DataFrame, *, seeds_of, segment_rows, merged, held, search, found, remove, result) -> DataFrame:
     """Run the steps of this module around an operator's index.
 
-    ``segment_rows`` and ``asking_rows`` get (documents, seeds) of a block: the first gives key, segment
-    and the columns ``held``, merged over blocks by ``merged``; the second gives (digest, at).
-    ``search`` gets the segments of a shard and returns answer (a digest) and the columns ``found``.
-    ``remove`` gets the documents of a block and the rows of ``split_answers``.
+    ``segment_rows`` gets (documents, seeds) of a block and returns a ``segment_table`` with the
+    columns ``held``, merged over blocks by ``merged``.  ``search`` gets the segments of a shard and
+    returns an ``answer_table`` with the columns ``found``; ``remove`` gets the documents of a block
+    and its answers.
     """
     rows, n = blocked(docs)
     hits = repeated(rows, seeds_of)
     at = rows.groupBy("block")
-    segments = at.cogroup(hits.groupBy("at")).applyInArrow(segment_rows, f"key bigint, segment binary, {held}")
+    segments = at.cogroup(hits.groupBy("at")).applyInArrow(
+        segment_rows, f"key bigint, hot boolean, segment binary, at bigint, {held}"
+    )
     shards = (
         segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n)))
         .repartition("shard")
-        .groupBy("shard", "key", "segment")
-        .agg(*merged)
+        .groupBy("shard", "key", "hot", "segment", F.pmod("at", F.lit(LISTS)).alias("list"))
+        .agg(F.collect_list("at").alias("blocks"), *merged)
+    )
+    answers = shards.groupBy("shard").applyInArrow(
+        search, f"at bigint, key bigint, hot boolean, digest bigint, {found}"
     )
-    answers = shards.groupBy("shard").applyInArrow(search, f"answer binary, {found}")
-    asked = at.cogroup(hits.groupBy("at")).applyInArrow(asking_rows, "digest binary, at bigint")
-    back = asked.join(answers, asked["digest"] == answers["answer"]).drop("answer")
-    return at.cogroup(hits.unionByName(back, allowMissingColumns=True).groupBy("at")).applyInArrow(remove, result)
+    return at.cogroup(answers.groupBy("at")).applyInArrow(remove, result)

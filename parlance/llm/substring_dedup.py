@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import by_value
 from parlance.llm.seeds import (
-    NO_ID, block_id, covered, digest, mask_spans, places, seed_rows, sorted_docs, split_answers,
-    split_hits, through_index, window_seeds,
+    NO_ID, answer_table, answered_places, block_id, covered, digest, mask_spans, merged_segments, places,
+    seed_rows, segment_table, sorted_docs, split_answers, split_hits, through_index, window_seeds,
 )
 from parlance.llm.textscan import BASES, prefix, scan, span_hash
 
 by_value(__name__)
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 4
 RESULT = "doc_id bigint, n_words bigint, removed array<struct<start:int,end:int>>, kept string"
 
 
@@ -53,46 +53,33 @@ def seeds_of(docs):
     return seed_rows(block_id(docs), word_stream(texts)[3], WINDOW, GRAM)
 
 
-def pieces(docs, hits):
-    """Segments of a block: (document ids, word data, first and last window, key, hot, bytes)."""
+def pieces(docs, places, cold, hot):
+    """Segments of a block: (document ids, texts, word data, first and last window, key, hot, bytes)."""
     ids, texts = sorted_docs(docs)
     stream = joined, at, row, hashes = word_stream(texts)
-    first, last, key, hot = places(*window_seeds(hashes, row, WINDOW, GRAM), WINDOW, *split_hits(hits))
+    first, last, key, alone = places(*window_seeds(hashes, row, WINDOW, GRAM), WINDOW, cold, hot)
     ends = at[last + WINDOW] - 1
     found = [joined[a:b] for a, b in zip(at[first].tolist(), ends.tolist())]
-    return ids, texts, stream, first, last, key, hot, found
+    return ids, texts, stream, first, last, key.view(np.int64).tolist(), alone.tolist(), found
 
 
 def segment_rows(docs, hits):
     if not len(docs) or not len(hits):
-        return pa.table({"key": pa.array([], pa.int64()), "segment": pa.array([], pa.binary()), "doc": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    ids, _, (_, _, row, _), first, _, key, _, found = pieces(docs, hits)
+        return segment_table(0, [], [], [], doc=[], n=[])
+    ids, _, (_, _, row, _), first, _, key, hot, found = pieces(docs, places, *split_hits(hits))
     once = {}
-    for k, piece, doc in zip(key.view(np.int64).tolist(), found, ids[row[first]].tolist()):
-        seen = once.get((k, piece))
+    for k, h, piece, doc in zip(key, hot, found, ids[row[first]].tolist()):
+        seen = once.get((k, h, piece))
         if seen is None:
-            once[k, piece] = [doc, 1]  # documents come in the order of their ids
+            once[k, h, piece] = [doc, 1]
         else:
-            seen[1] += 1
-    return pa.table(
-        {
-            "key": pa.array([k for k, _ in once], pa.int64()),
-            "segment": pa.array([p for _, p in once], pa.binary()),
-            "doc": pa.array([v[0] for v in once.values()], pa.int64()),
-            "n": pa.array([v[1] for v in once.values()], pa.int64()),
-        }
+            seen[0], seen[1] = min(seen[0], doc), seen[1] + 1
+    docs_n = list(once.values())
+    return segment_table(
+        block_id(docs), *([x[i] for x in once] for i in range(3)), doc=[v[0] for v in docs_n], n=[v[1] for v in docs_n]
     )
 
 
-def asking_rows(docs, hits):
-    """The digests of a block's segments, to be answered."""
-    if not len(docs) or not len(hits):
-        return pa.table({"digest": pa.array([], pa.binary()), "at": pa.array([], pa.int64())})
-    found = pieces(docs, hits)[-1]
-    asked = [digest(p) for p in dict.fromkeys(found)]
-    return pa.table({"digest": pa.array(asked, pa.binary()), "at": pa.array(np.full(len(asked), block_id(docs)))})
-
-
 class Wavelet:
     """Rank queries over an integer sequence: a bit vector per bit, packed, with running counts."""
 
@@ -198,31 +185,28 @@ def numbered(segments):
 
 def search_shard(shard):
     """What a block must know of its segments: smallest document, and the windows found before it."""
-    segments = shard.column("segment").to_pylist()
-    docs = shard.column("doc").to_numpy(zero_copy_only=False)
-    often = shard.column("n").to_numpy(zero_copy_only=False)
+    segments, which = merged_segments(shard)
+    docs = np.full(len(segments), NO_ID, dtype=np.int64)
+    np.minimum.at(docs, which, shard.column("doc").to_numpy(zero_copy_only=False))
+    often = np.bincount(which, shard.column("n").to_numpy(zero_copy_only=False))
     words, owner, plain, lengths = numbered(segments)
     found = FMIndex(words, owner, docs).stream(plain, lengths)
     earlier = found < np.repeat(docs, lengths)
     first = np.concatenate([[0], np.cumsum(lengths)])
-    rows = np.flatnonzero((often > 1) | (np.add.reduceat(earlier.astype(np.int64), first[:-1]) > 0))
-    bits = [np.packbits(earlier[first[i] : first[i + 1] - WINDOW + 1]).tobytes() for i in rows]
-    return pa.table(
-        {
-            "answer": pa.array([digest(segments[i]) for i in rows], pa.binary()),
-            "first": pa.array(docs[rows]),
-            "bits": pa.array(bits, pa.binary()),
-        }
-    )
+    chosen = (often > 1) | (np.add.reduceat(earlier.astype(np.int64), first[:-1]) > 0)
+    bits = [
+        np.packbits(earlier[first[i] : first[i + 1] - WINDOW + 1]).tobytes() if c else b"" for i, c in enumerate(chosen)
+    ]
+    return answer_table(shard, segments, which, chosen, first=docs, bits=bits)
 
 
 def remove(docs, hits):
     """The documents of a block without their repeated words."""
-    known, answers = split_answers(hits, "first", "bits")
-    ids, texts, (joined, at, row, _), first, last, _, _, found = pieces(docs, known)
+    cold, hot, answers = split_answers(hits, "first", "bits")
+    ids, texts, (joined, at, row, _), first, last, key, _, found = pieces(docs, answered_places, cold, hot)
     gone = []
-    for a, b, piece in zip(first.tolist(), last.tolist(), found):
-        answer = answers.get(digest(piece))
+    for a, b, k, piece in zip(first.tolist(), last.tolist(), key, found):
+        answer = answers.get((k, digest(piece)))
         if answer is None:
             continue
         smallest, bits = answer
@@ -256,7 +240,6 @@ def dedup(docs: DataFrame) -> DataFrame:
         segment_rows=segment_rows,
         merged=[F.min("doc").alias("doc"), F.sum("n").alias("n")],
         held="doc bigint, n bigint",
-        asking_rows=asking_rows,
         search=search_shard,
         found="first bigint, bits binary",
         remove=remove,

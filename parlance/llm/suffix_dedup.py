@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import by_value
 from parlance.llm.seeds import (
-    NO_ID, block_id, covered, digest, mask_spans, places, seed_rows, sorted_docs, split_answers,
-    split_hits, through_index, window_seeds,
+    NO_ID, answer_table, answered_places, block_id, covered, digest, mask_spans, merged_segments, places,
+    seed_rows, segment_table, sorted_docs, split_answers, split_hits, through_index, window_seeds,
 )
 
 by_value(__name__)
@@ -57,32 +57,22 @@ def seeds_of(docs):
     return seed_rows(block_id(docs), np.frombuffer(data, dtype=np.uint8), WINDOW, GRAM)
 
 
-def pieces(docs, hits):
+def pieces(docs, places, cold, hot):
     ids, texts = sorted_docs(docs)
     data, row, found = windows_of(texts)
-    first, last, key, _ = places(*found, WINDOW, *split_hits(hits))
-    return ids, texts, data, row, first, last, key, [data[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist())]
+    first, last, key, alone = places(*found, WINDOW, cold, hot)
+    cut = [data[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist())]
+    return ids, texts, row, first, last, key.view(np.int64).tolist(), alone.tolist(), cut
 
 
 def segment_rows(docs, hits):
     once = {}
     if len(docs) and len(hits):
-        *_, key, found = pieces(docs, hits)
-        for pair in zip(key.view(np.int64).tolist(), found):
-            once[pair] = once.get(pair, 0) + 1
-    return pa.table(
-        {
-            "key": pa.array([k for k, _ in once], pa.int64()),
-            "segment": pa.array([p for _, p in once], pa.binary()),
-            "n": pa.array(list(once.values()), pa.int64()),
-        }
-    )
-
-
-def asking_rows(docs, hits):
-    asked = [digest(p) for p in dict.fromkeys(pieces(docs, hits)[-1])] if len(docs) and len(hits) else []
-    at = np.full(len(asked), block_id(docs) if len(docs) else 0, dtype=np.int64)
-    return pa.table({"digest": pa.array(asked, pa.binary()), "at": pa.array(at)})
+        *_, key, hot, found = pieces(docs, places, *split_hits(hits))
+        for known in zip(key, hot, found):
+            once[known] = once.get(known, 0) + 1
+    block = block_id(docs) if once else 0
+    return segment_table(block, *([x[i] for x in once] for i in range(3)), n=list(once.values()))
 
 
 def sorted_suffixes(symbols, owner):
@@ -167,30 +157,26 @@ def matching_statistics(symbols, owner):
 
 def search_shard(shard):
     """The windows that repeat, for every segment that has some."""
-    segments = shard.column("segment").to_pylist()
-    often = shard.column("n").to_numpy(zero_copy_only=False) > 1
+    segments, which = merged_segments(shard)
+    often = np.bincount(which, shard.column("n").to_numpy(zero_copy_only=False)) > 1
     lengths = np.array([len(s) for s in segments])
     symbols = np.frombuffer(b"\xff".join(segments) + b"\xff", dtype=np.uint8)
     owner = np.repeat(np.arange(len(segments)), lengths + 1)
     marks = matching_statistics(symbols, owner) >= WINDOW
     marks |= often[owner]
     first = np.concatenate([[0], np.cumsum(lengths + 1)])
-    answers, bits = [], []
-    for i, piece in enumerate(segments):
-        mine = marks[first[i] : first[i] + lengths[i] - WINDOW + 1]
-        if mine.any():
-            answers.append(digest(piece))
-            bits.append(np.packbits(mine).tobytes())
-    return pa.table({"answer": pa.array(answers, pa.binary()), "bits": pa.array(bits, pa.binary())})
+    mine = [marks[first[i] : first[i] + n - WINDOW + 1] for i, n in enumerate(lengths.tolist())]
+    chosen = np.array([m.any() for m in mine])
+    return answer_table(shard, segments, which, chosen, bits=[np.packbits(m).tobytes() if c else b"" for m, c in zip(mine, chosen)])
 
 
 def remove(docs, hits):
     """The documents of a block without their repeated bytes."""
-    known, answers = split_answers(hits, "bits")
-    ids, texts, data, row, first, last, _, found = pieces(docs, known)
+    cold, hot, answers = split_answers(hits, "bits")
+    ids, texts, row, first, last, key, _, found = pieces(docs, answered_places, cold, hot)
     gone = []
-    for a, b, piece in zip(first.tolist(), last.tolist(), found):
-        answer = answers.get(digest(piece))
+    for a, b, k, piece in zip(first.tolist(), last.tolist(), key, found):
+        answer = answers.get((k, digest(piece)))
         if answer is not None:
             gone.append(a + np.flatnonzero(np.unpackbits(np.frombuffer(answer[0], np.uint8), count=b - a + 1)))
     mask = covered(len(row), np.concatenate(gone), WINDOW) if gone else np.zeros(len(row), dtype=bool)
@@ -218,7 +204,6 @@ def dedup(docs: DataFrame) -> DataFrame:
         segment_rows=segment_rows,
         merged=[F.sum("n").alias("n")],
         held="n bigint",
-        asking_rows=asking_rows,
         search=search_shard,
         found="bits binary",
         remove=remove,
