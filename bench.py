@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from parlance.catalog.queries import QUERIES  # noqa: E402
-from parlance.session import build  # noqa: E402
+from parlance.session import build, clear_scratch  # noqa: E402
 
 HEADLINE = (
     "parse_ios", "call_types", "reply_time", "contexts", "top_words", "top_emojis", "first_texter",
@@ -44,6 +44,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    clear_scratch(spark)
     spark.stop()
     print(
         json.dumps(

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from parlance.operators import contexts, participants, parse, preprocess, report, scoring
-from parlance.plans.blocks import spread, tail
+from parlance.plans.blocks import tail
 from parlance.plans.stored import stored
-from parlance.resources.phrases import ABBREVIATIONS
 from parlance.schema import KEYS
 from parlance.sources import exports
 
@@ -19,28 +18,29 @@ def analyze(
     path: str,
     platform: str,
     *,
+    abbreviations: Mapping[str, str] | DataFrame,
+    load_model: scoring.Loader | None,
     chat_id: Column | None = None,
     spelling: DataFrame | None = None,
-    deep: bool = True,
     sample_size: int | None = None,
     batch_size: int = scoring.BATCH,
     threshold: int = 60,
-    load_model: scoring.Loader | None = None,
+    context_column: str = "translated",
     detect: Callable[[DataFrame], DataFrame] | None = None,
-    translation: Column | Mapping[str, str] | None = None,
-    abbreviations: Mapping[str, str] | DataFrame = ABBREVIATIONS,
+    translation: Column | Mapping[str, str] | DataFrame | None = None,
+    stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Report per chat of the ``.txt`` or ``.zip`` exports under a path.
+    """Report per chat of the ``.txt`` and ``.zip`` exports under a file, folder or glob.
 
     A chat is named by its file unless ``chat_id`` says otherwise (text exports only).
+    ``abbreviations`` is the dictionary to expand with (``sources.dictionaries`` reads a JSON file).
     ``sample_size`` keeps the last messages and calls of chats with more messages than that.
-    ``deep`` adds scored contexts: cleaned text (``spelling`` is the dictionary to correct with, none
-    skips the clean-up), merged over ``threshold`` minutes and scored by ``load_model``.
+    ``load_model`` adds scored contexts; None means a report without them, there is no default model.
+    Their text is cleaned: language (``detect``), spelling (only with a dictionary to correct by),
+    translation, stop words.  Contexts over ``threshold`` minutes are made of ``context_column`` of
+    the cleaned rows, the translated text without stop words or ``content``.
     """
-    if path.endswith(".zip"):
-        lines = stored(exports.scan_zip(spark, path), "lines")
-    else:
-        lines = stored(exports.scan_lines(spark, path, chat_id), "lines")
+    lines = stored(exports.scan(spark, path, chat_id), "lines")
     people = stored(participants.from_lines(lines, platform), "people")
     messages = parse.parse_lines(lines, platform, people)
     calls = parse.parse_calls(lines, platform, people)
@@ -48,15 +48,15 @@ def analyze(
         messages, calls = sample(stored(messages, "parsed"), calls, sample_size)
     messages = stored(preprocess.preprocess(messages, dictionary=abbreviations), "messages")
     scored = None
-    if deep:
-        clean = preprocess.text_rows(messages)
-        if spelling is not None:
-            clean = stored(
-                preprocess.clean_text(clean, spelling, detect, translation), "clean"
-            )
-        merged = stored(contexts.merge(clean, threshold), "contexts")
-        texts = spread(merged)
-        scored = stored(scoring.score_all(texts, "merged_content", load_model, batch_size), "scored")
+    if load_model is not None:
+        clean = stored(
+            preprocess.clean_text(messages, spelling, detect, translation, stop_words=stop_words), "clean"
+        )
+        merged = stored(contexts.merge(clean, threshold, context_column), "contexts")
+        scored = stored(
+            scoring.score_all(merged.repartition(*KEYS, "sender", "start_ts"), load_model, batch_size=batch_size),
+            "scored",
+        )
     return report.full_report(
         messages, people, stored(calls, "calls"), scored, preprocessed=False, store=False
     )

@@ -274,8 +274,7 @@ def dictionary(condition: str = "true") -> str:
     return f"""
 dict AS (SELECT word, count(*) AS freq FROM (
     SELECT unnest({words("lower(text)")}) AS word FROM documents WHERE {condition})
-  WHERE regexp_matches(word, '^\\p{{L}}+$') AND length(word) BETWEEN 2 AND 20
-  GROUP BY word HAVING count(*) >= 3)"""
+  WHERE regexp_matches(word, '^\\p{{L}}+$') GROUP BY word)"""
 
 
 ORACLE["expand_abbreviations_by_table"] = f"""WITH {MESSAGES}, {dictionary()},

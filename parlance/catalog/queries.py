@@ -414,7 +414,7 @@ def score_batch(spark, sf_dir):
 @query
 def score_all(spark, sf_dir):
     rows = X.messages(spark, sf_dir).select("chat_id", "seq", "content")
-    scored = scoring.score_all(rows, "content")
+    scored = scoring.score_all(rows, scoring.stand_in(**scoring.STAND_IN), "content")
     return scored.select(
         "chat_id", "seq", "sentiment", F.array_join(F.map_keys("emotion"), ",").alias("emotions"),
         F.element_at(F.map_values("emotion"), 1).alias("emotion_score"),

@@ -6,9 +6,11 @@ message up to the threshold after its last own one; own messages after the first
 It is closed by the first later message of the chat, which also gives the receiver, or by the end
 of the chat.
 
-No step joins all sessions of a chat with all its messages: sessions are listed per hour they touch
-and meet only the messages of that hour.  The closing row is the one that follows the last message
-held, so each message brings its successor's receiver along.
+No step joins all sessions of a chat with all its messages: sessions are listed per slot they touch
+and meet only the messages of that slot.  A slot is no wider than the threshold, so a session fills
+every slot between its first and last one, and only those two hold messages it does not reach.  The
+closing row is the one that follows the last message held, so each message brings its successor's
+receiver along.  Windows and the join carry keys only; texts are joined to the outcome.
 """
 
 from __future__ import annotations
@@ -58,24 +60,39 @@ def members(
     text_column: str = "content",
     dedupe: bool = False,
     keys: Sequence[str] = KEYS,
+    span: int | None = None,
 ) -> DataFrame:
-    """Long form: one row per context and message in it, with ``copies`` 1 or 2.
+    """Long form: one row per context and message in it, with ``copies`` 1 or 2 and ``_text``.
 
-    This is the form for contexts of any length; ``parts`` and ``merge`` build on it.
+    This is the form for contexts of any length; ``parts`` and ``merge`` build on it.  ``span`` is
+    the width of a slot in seconds, by default an hour or the threshold if that is shorter.
     """
+    held = _held(messages, threshold, text_column, dedupe, keys, _width(threshold, span))
+    return held.join(_texts(messages, text_column, keys), [*keys, "seq"])
+
+
+def _width(threshold: int, span: int | None) -> int:
+    return span or max(1, min(HOUR, threshold * 60))
+
+
+def _texts(messages: DataFrame, text_column: str, keys: Sequence[str]) -> DataFrame:
+    rows = messages.where(F.col(text_column).isNotNull())
+    return rows.select(*keys, "seq", F.col(text_column).alias("_text"))
+
+
+def _held(messages, threshold, text_column, dedupe, keys, span) -> DataFrame:
+    """Members without their texts."""
     usable = F.col(text_column).isNotNull() & F.col("ts").isNotNull()
-    rows = messages.where(usable).select(
-        *keys, "seq", "sender", "receiver", "ts", F.col(text_column).alias("_text")
-    )
+    rows = messages.where(usable).select(*keys, "seq", "sender", "receiver", "ts")
     reach = shift_minutes(F.col("last_ts"), threshold)
     windows = (
-        sessions(rows, threshold, keys)
+        sessions(rows, threshold, keys, span)
         .withColumn("_reach", reach)
-        .withColumn("_hour", F.explode(F.sequence(slot("first_ts"), slot("_reach"))))
+        .withColumn("_hour", F.explode(F.sequence(slot("first_ts", span), slot("_reach", span))))
     )
     said = nearest(
         rows.withColumnRenamed("sender", "_by"), keys, F.struct("receiver"), "_next",
-        after=True, slot_column="_hour",
+        after=True, slot_column="_hour", span=span,
     )
     first = (F.col("ts") == F.col("first_ts")) & (F.col("seq") == F.col("first_seq"))
     begun = (F.col("ts") > F.col("first_ts")) | (
@@ -90,8 +107,8 @@ def members(
 
 
 def parts(held: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Text of each context per hour (joined in order, a context is its full text) and the last
-    message held in that hour."""
+    """Text of each context per slot (joined in order, a context is its full text) and the last
+    message held in that slot."""
     text = F.when(F.col("copies") == 2, F.concat_ws(" ", "_text", "_text")).otherwise(F.col("_text"))
     pieces = F.sort_array(F.collect_list(F.struct("ts", "seq", text.alias("text"))))
     return held.groupBy(*keys, *SESSION, "_hour").agg(
@@ -107,13 +124,14 @@ def merge(
     merged_column: str = "merged_content",
     dedupe: bool = False,
     keys: Sequence[str] = KEYS,
+    span: int | None = None,
 ) -> DataFrame:
     """One row per context whose trimmed text is longer than three characters.
 
     ``start_ts`` is the participant's last own message; ``end_ts`` equals it unless the chat ended
     first, in which case it is the last message held.
     """
-    held = members(messages, threshold, text_column, dedupe, keys)
+    held = members(messages, threshold, text_column, dedupe, keys, span)
     slices = F.sort_array(F.collect_list(F.struct("_hour", "_part")))
     whole = (
         parts(held, keys)

@@ -13,11 +13,10 @@ from parlance.functions import emoji as E
 from parlance.functions.text import is_blank, strip, tokens
 from parlance.operators.scoring import route_by_language
 from parlance.plans.blocks import salted_lookup
+from parlance.plans.stored import stored
 from parlance.resources.phrases import ABBREVIATIONS
 from parlance.schema import KEYS
 
-#: A dictionary up to this size travels inside the plan; a larger one must be a DataFrame.
-LITERAL_ENTRIES = 5_000
 # Languages with a stop list.
 STOP_LANGUAGES = (
     "danish", "dutch", "english", "finnish", "french", "german", "hungarian", "italian",
@@ -33,12 +32,13 @@ def bare(token: Column) -> Column:
 def map_tokens(text: Column, table: Mapping[str, str], punctuated: bool = False) -> Column:
     """Replace the tokens found in the table; tokens are rejoined by one space.
 
+    The table travels in the plan: a mapping is in the driver's memory already.  Larger dictionaries
+    come as DataFrames (map_tokens_by_table).
+
     Membership is one hash probe; only hits search the literal map.  With ``punctuated`` a token is
     looked up by its bare form, which is only made for tokens that have punctuation; entries with
     punctuation of their own can then never be reached.
     """
-    if len(table) > LITERAL_ENTRIES:
-        raise ValueError("dictionary too large for the plan; pass it as a DataFrame")
     if punctuated:
         table = {k: v for k, v in table.items() if re.fullmatch("[a-zA-Z0-9]*", k)}
     if not table:
@@ -120,17 +120,10 @@ def text_rows(rows: DataFrame, columns: Sequence[str] = ("content",)) -> DataFra
     return rows.dropna(subset=list(columns))
 
 
-def word_frequencies(
-    documents: DataFrame, text: str = "text", at_least: int = 3, longest: int = 20
-) -> DataFrame:
-    """Spelling dictionary ``word, freq``: lower-cased tokens made of letters only."""
+def word_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Spelling dictionary ``word, freq``: every lower-cased token made of letters only."""
     words = documents.select(F.explode(tokens(F.lower(text))).alias("word"))
-    return (
-        words.where(F.col("word").rlike(r"^\p{L}+$") & F.length("word").between(2, longest))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("freq"))
-        .where(F.col("freq") >= at_least)
-    )
+    return words.where(F.col("word").rlike(r"^\p{L}+$")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def _shorter(word: Column) -> Column:
@@ -146,39 +139,71 @@ def _shorter(word: Column) -> Column:
 
 
 def _deletions(word: Column, distance: int) -> Column:
-    """The word and everything left of it after up to ``distance`` deletions."""
+    """What is left of a word after up to ``distance`` deletions, the word itself and never nothing."""
     layers, last = [F.array(word)], F.array(word)
     for _ in range(distance):
         last = F.array_distinct(F.flatten(F.transform(last, _shorter)))
         layers.append(last)
-    return F.array_distinct(F.concat(*layers))
+    return F.array_remove(F.array_distinct(F.concat(*layers)), "")
 
 
-def corrections(words: DataFrame, dictionary: DataFrame, distance: int = 2) -> DataFrame:
-    """``key, phrase`` for each distinct word that is not in the dictionary but close to an entry.
+def _closest(unknown: DataFrame, dictionary: DataFrame, distance: int) -> DataFrame:
+    """``key, phrase`` of the words that have an entry within ``distance``.
 
-    Two words within an edit distance share a string after that many deletions each, so an equi-join
-    on deletions finds every pair without comparing all pairs.  The nearest entry wins, then the
-    more frequent, then the first in alphabet.
+    Words that leave nothing after the deletions are within the distance of all entries as short as
+    they are: the best such entry per length is one row, so the empty string is no join key.
     """
-    unknown = words.select("word").distinct().join(dictionary, "word", "left_anti")
     reach = F.explode(F.sequence(F.length("word") - distance, F.length("word") + distance))
     lengths = dictionary.select(reach.alias("_n")).distinct()
-    unknown = unknown.withColumn("_n", F.length("word")).join(lengths, "_n", "left_semi")
-    left = unknown.select("word", F.explode(_deletions(F.col("word"), distance)).alias("_left"))
+    near = unknown.withColumn("_n", F.length("word")).join(lengths, "_n", "left_semi")
+    left = near.select("word", F.explode(_deletions(F.col("word"), distance)).alias("_left"))
     right = dictionary.select(
         F.col("word").alias("phrase"), "freq",
         F.explode(_deletions(F.col("word"), distance)).alias("_left"),
     )
-    steps = F.levenshtein("word", "phrase", distance)
-    return (
-        left.join(right.hint("merge"), "_left")
-        .withColumn("_steps", steps)
+    met = (
+        left.join(right, "_left")
+        .withColumn("_steps", F.levenshtein("word", "phrase", distance))
         .where(F.col("_steps") >= 0)
-        .groupBy(F.col("word").alias("key"))
-        .agg(F.min(F.struct("_steps", -F.col("freq"), "phrase")).alias("_best"))
-        .select("key", "_best.phrase")
+        .select("word", F.struct("_steps", (-F.col("freq")).alias("f"), "phrase").alias("_best"))
+    )
+    # entries of up to ``distance`` letters: no closer one is missed above, so the best of them will do
+    short = (
+        dictionary.where(F.length("word") <= distance)
+        .agg(F.min(F.struct((-F.col("freq")).alias("f"), F.col("word").alias("w"))).alias("_s"))
+        .select(F.explode(F.sequence(F.lit(1), F.lit(distance))).alias("_n"), "_s")
+        .where(F.col("_s").isNotNull())
+    )
+    brief = unknown.withColumn("_n", F.length("word")).join(short, "_n").select(
+        "word",
+        F.struct(
+            F.levenshtein("word", F.col("_s.w")).alias("_steps"), F.col("_s.f"), F.col("_s.w").alias("phrase")
+        ).alias("_best"),
+    )
+    schema = "struct<_steps:int,f:bigint,phrase:string>"
+    both = met.select("word", F.col("_best").cast(schema).alias("_best")).unionByName(
+        brief.select("word", F.col("_best").cast(schema).alias("_best"))
     )
+    return both.groupBy(F.col("word").alias("key")).agg(F.min("_best").alias("_best")).select("key", "_best.phrase")
+
+
+def corrections(words: DataFrame, dictionary: DataFrame, distance: int = 2) -> DataFrame:
+    """``key, phrase`` for each distinct word that is not in the dictionary but close to an entry.
+
+    A word that the dictionary has is never changed.  For the others, the nearest entry wins, then
+    the more frequent, then the first in alphabet.  Two words within an edit distance share a string
+    after that many deletions each, so an equi-join on deletions finds every pair without comparing
+    all pairs.  Distances are tried from 1 upwards and a word that is settled asks no further, which
+    keeps short words from meeting everything that shares a letter with them.
+    """
+    unknown = stored(words.select("word").distinct().join(dictionary, "word", "left_anti"), "unknown")
+    found = None
+    for d in range(1, distance + 1):
+        step = stored(_closest(unknown, dictionary, d), "spelling")
+        found = step if found is None else found.unionByName(step)
+        if d < distance:
+            unknown = unknown.join(step.select(F.col("key").alias("word")), "word", "left_anti")
+    return found
 
 
 def correct_text(
@@ -225,13 +250,20 @@ def remove_stop_words(
 
 def translate(
     rows: DataFrame,
-    translation: Column | Mapping[str, str],
+    translation: Column | Mapping[str, str] | DataFrame,
     column: str = "content",
     language: str = "language",
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Add ``translated``.  ``translation`` is an expression (such as a scoring UDF on the text) or
-    a token dictionary, the stand-in used when no translator is plugged in."""
+    """Add ``translated``.  ``translation`` is an expression (such as a scoring UDF on the text), a
+    token dictionary, or one of any size as a DataFrame ``key, phrase``."""
     text = F.col(column)
+    if isinstance(translation, DataFrame):
+        copied = rows.withColumn("_turned", text)
+        wanted = ~is_blank(text)
+        turned = map_tokens_by_table(copied, "_turned", translation, where=F.coalesce(wanted, F.lit(False)), keys=keys)
+        needed = F.when(wanted, F.col("_turned"))
+        return turned.withColumn("translated", route_by_language(F.col(language), text, needed)).drop("_turned")
     if not isinstance(translation, Column):
         translation = map_tokens(text, translation)
     needed = F.when(~is_blank(text), translation)
@@ -240,23 +272,24 @@ def translate(
 
 def clean_text(
     rows: DataFrame,
-    dictionary: DataFrame,
+    dictionary: DataFrame | None = None,
     detect: Callable[[DataFrame], DataFrame] | None = None,
-    translation: Column | Mapping[str, str] | None = None,
+    translation: Column | Mapping[str, str] | DataFrame | None = None,
     default_language: str = "en",
     stop_words: Sequence[str] | None = None,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Text rows with ``language``, corrected ``content`` and stop-word-free ``translated``.
 
-    Without ``detect`` every row has the default language; without ``translation`` the text is used
+    Without ``dictionary`` nothing is corrected, the other steps are always done.  Without ``detect`` every row has the default language; without ``translation`` the text is used
     as it is.
     """
     found = text_rows(rows)
     found = detect(found) if detect else found.withColumn("language", F.lit(default_language))
-    found = correct_text(found, dictionary, keys=keys)
+    if dictionary is not None:
+        found = correct_text(found, dictionary, keys=keys)
     if translation is None:
         found = found.withColumn("translated", F.col("content"))
     else:
-        found = translate(found, translation)
+        found = translate(found, translation, keys=keys)
     return remove_stop_words(found, "translated", stop_words)

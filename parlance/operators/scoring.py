@@ -58,13 +58,13 @@ STAND_IN = {
 
 def score_all(
     rows: DataFrame,
+    load: Loader,
     text_column: str = "merged_content",
-    load: Loader | None = None,
     batch_size: int = BATCH,
 ) -> DataFrame:
     """Add ``sentiment``, ``emotion`` and ``toxicity`` in one pass over the text."""
     heads = ("sentiment", "emotion", "toxicity")
-    udf = logits_udf(load or stand_in(**STAND_IN), heads, batch_size)
+    udf = logits_udf(load, heads, batch_size)
     logits = rows.withColumn("_scores", udf(F.col(text_column)))
     get = lambda head: F.col(f"_scores.{head}")
     return logits.select(

@@ -50,17 +50,34 @@ def unzip_lines(batches, member, batch_lines):
         for path, content in zip(files["path"], files["content"]):
             stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
             name = " ".join(stem.split()[3:])
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                with archive.open(member) as raw:
-                    text = io.TextIOWrapper(raw, encoding="utf-8")
-                    held, start = [], 0
-                    for line in text:
-                        held.append(line.rstrip("\n"))
-                        if len(held) == batch_lines:
-                            yield _frame(name, start, held)
-                            start, held = start + len(held), []
-                    if held:
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+                raw = archive.open(member)
+            except (zipfile.BadZipFile, KeyError, RuntimeError, NotImplementedError):
+                continue  # named by unzip_errors
+            with archive, raw:
+                text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
+                held, start = [], 0
+                for line in text:
+                    held.append(line.rstrip("\n"))
+                    if len(held) == batch_lines:
                         yield _frame(name, start, held)
+                        start, held = start + len(held), []
+                if held:
+                    yield _frame(name, start, held)
+
+
+def unzip_errors(batches, member):
+    """Why a zip has no lines, for those that have none."""
+    for files in batches:
+        out = []
+        for path, content in zip(files["path"], files["content"]):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(member):
+                    continue
+            except (zipfile.BadZipFile, KeyError, RuntimeError, NotImplementedError) as error:
+                out.append((path, f"{type(error).__name__}: {error}"))
+        yield pd.DataFrame(out, columns=["path", "reason"])
 
 
 def _frame(name, start, lines):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,14 +25,19 @@ def build(master: str | None = None, app: str = "parlance", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def _root(spark: SparkSession) -> str:
+    """The folder every executor shares: ``spark.checkpoint.dir``, else one in the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{root.rstrip('/')}/parlance-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder every executor shares (``spark.checkpoint.dir``).
+    """A fresh path in the shared folder, under a name of this application."""
+    return f"{_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
-    Only a local session without that setting falls back to a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="parlance-")
-    return f"{root.rstrip('/')}/parlance-{label}-{uuid.uuid4().hex[:12]}"
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application left in the shared folder; its stored tables are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from parlance.operators import workers
 
 MEMBER = "_chat.txt"
+#: Bytes that fit a binary cell.
+CELL = (1 << 31) - 64
 LINES = "chat_id string, seq bigint, line string"
 
 
@@ -17,14 +19,16 @@ def chat_of_path(path: Column) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def scan_lines(spark: SparkSession, path: str, chat_id: Column | None = None) -> DataFrame:
+def scan_lines(
+    spark: SparkSession, path: str, chat_id: Column | None = None, pattern: str = "*"
+) -> DataFrame:
     """Read text exports line by line; ``seq`` is the line number in the file.
 
     Files are split like any other input, so one huge chat is read by many tasks.  The row id of
     the scan counts up inside a split; the lines of earlier splits of the file are added to it.
     ``chat_id`` may name an expression, such as a partition column; default is the file name.
     """
-    raw = spark.read.text(path)
+    raw = spark.read.option("pathGlobFilter", pattern).text(path)
     raw = raw.select(
         (chat_id if chat_id is not None else chat_of_path(F.col("_metadata.file_path"))).alias(
             "chat_id"
@@ -61,6 +65,33 @@ def unzip(files: DataFrame, member: str = MEMBER, batch_lines: int = 10_000) ->
     )
 
 
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """The zips under a file, folder or glob, by file name."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
+
+
 def scan_zip(spark: SparkSession, path: str, member: str = MEMBER) -> DataFrame:
-    """Read zipped exports from a folder or glob, a file at a time."""
-    return unzip(spark.read.format("binaryFile").load(path), member)
+    """Read zipped exports, a file at a time.  Archives that can't be read have no lines, see
+    ``unreadable``."""
+    return unzip(archives(spark, path).where(F.col("length") < CELL), member)
+
+
+def unreadable(spark: SparkSession, path: str, member: str = MEMBER) -> DataFrame:
+    """``path, reason`` of the zips that ``scan_zip`` has no lines of."""
+    files = archives(spark, path)
+    large = files.where(F.col("length") >= CELL).select("path", F.lit("too large").alias("reason"))
+    run = workers.unzip_errors
+    broken = (
+        files.where(F.col("length") < CELL)
+        .select("path", "content")
+        .mapInPandas(lambda batches: run(batches, member), "path string, reason string")
+    )
+    return large.unionByName(broken)
+
+
+def scan(
+    spark: SparkSession, path: str, chat_id: Column | None = None, member: str = MEMBER
+) -> DataFrame:
+    """Lines of all text and zip exports under a file, folder or glob, told apart by file name."""
+    texts = scan_lines(spark, path, chat_id, "*.[tT][xX][tT]")
+    return texts.unionByName(scan_zip(spark, path, member))

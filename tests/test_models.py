@@ -48,7 +48,7 @@ def test_scorer_keeps_rows_and_skips_blanks(spark):
     for i, t in enumerate(texts):
         want = [10 * t.count(c) / len(t) for c in "abc"] if t and t.strip() else None
         assert (list(got[i]) if got[i] is not None else None) == want
-    empty = scoring.score_all(df.where("i in (1, 2)"), "t").collect()
+    empty = scoring.score_all(df.where("i in (1, 2)"), scoring.stand_in(**scoring.STAND_IN), "t").collect()
     assert all(r["sentiment"] is None and r["emotion"] is None and r["toxicity"] is None for r in empty)
 
 

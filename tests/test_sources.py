@@ -1,7 +1,11 @@
 import json
 import zipfile
 
+from pyspark.sql import functions as F
+
 from parlance.analyze import analyze
+from parlance.operators import scoring
+from parlance.resources.phrases import ABBREVIATIONS
 from parlance.sources import dictionaries, exports
 
 TEXT = "first\r\nsecond: ünï\n\nfourth" + "".join(f"\nline {i}" for i in range(200)) + "\n"
@@ -52,7 +56,8 @@ def test_analyze_end_to_end(spark, tmp_path):
     (tmp_path / "ann.txt").write_text("\n".join(line.format(*s) for s in said), encoding="utf-8")
     (tmp_path / "few.txt").write_text(line.format(1, "C", "hi") + "\n" + line.format(2, "D", "yo"))
     out = {r["chat_id"]: json.loads(r["j"]) for r in analyze(
-        spark, str(tmp_path), "ios", sample_size=2
+        spark, str(tmp_path), "ios", sample_size=2, abbreviations=ABBREVIATIONS,
+        load_model=scoring.stand_in(**scoring.STAND_IN),
     ).selectExpr("chat_id", "to_json(struct(*)) AS j").collect()}
     ann = out["ann"]
     assert ann["participants"] == ["Ann", "Ben"]
@@ -64,6 +69,41 @@ def test_analyze_end_to_end(spark, tmp_path):
     assert out["few"]["participants"] == ["C", "D"] and "call_stats" not in out["few"]
 
 
+def test_folder_of_texts_and_zips(spark, tmp_path):
+    line = "[28/05/24, 1:00:00 PM] {}: hi"
+    (tmp_path / "one.txt").write_text(line.format("A"))
+    (tmp_path / "note.md").write_text("no export")
+    with zipfile.ZipFile(tmp_path / "WhatsApp Chat - two.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("_chat.txt", line.format("B"))
+    with zipfile.ZipFile(tmp_path / "x y z empty.zip", "w") as z:
+        z.writestr("other.txt", "x")
+    (tmp_path / "x y z bad.zip").write_bytes(b"PK not a zip")
+    got = {(r["chat_id"], r["line"]) for r in exports.scan(spark, str(tmp_path)).collect()}
+    assert got == {("one", line.format("A")), ("two", line.format("B"))}
+    bad = {r["path"].rsplit("/", 1)[1].replace("%20", " "): r["reason"] for r in exports.unreadable(spark, str(tmp_path)).collect()}
+    assert set(bad) == {"x y z empty.zip", "x y z bad.zip"}
+
+
+def test_deep_path_reads_cleaned_text(spark, tmp_path):
+    """Translation and stop words count without a spelling dictionary."""
+    said = "\n".join(f"[28/05/24, 1:{m:02d}:00 PM] Ann: chat noir the" for m in range(3))
+    (tmp_path / "c.txt").write_text(said)
+    seen = tmp_path / "seen"
+
+    def load():
+        def model(texts):
+            seen.write_text(" ".join(texts))
+            return {"sentiment": [[0.0] * 5] * len(texts), "emotion": [[0.0] * 28] * len(texts), "toxicity": [[0.0] * 7] * len(texts)}
+        return model
+
+    out = analyze(
+        spark, str(tmp_path / "c.txt"), "ios", abbreviations={}, load_model=load, stop_words=["the"],
+        detect=lambda df: df.withColumn("language", F.lit("fr")), translation={"chat": "cat", "noir": "black"},
+    )
+    assert out.count() == 1
+    assert set(seen.read_text().split()) == {"cat", "black"}
+
+
 def test_json_fields_are_sorted_at_every_level(spark, tmp_path):
     from parlance.sources import tables
 

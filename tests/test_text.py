@@ -77,8 +77,8 @@ def test_abbreviations(spark):
         [("brb", "be right back"), ("asap", "as soon as possible"), ("b4", "before"),
          ("u", "you"), ("lol", "laughing out loud")], "key string, phrase string")
     assert contents(P.expand_abbreviations(rows(spark, values), dictionary=table)) == want
-    with pytest.raises(ValueError):
-        P.map_tokens(F.col("content"), {str(i): "" for i in range(P.LITERAL_ENTRIES + 1)})
+    many = {f"w{i}": str(i) for i in range(6_000)}
+    assert contents(P.expand_abbreviations(rows(spark, ["w5999 x"]), dictionary=many)) == ["5999 x"]
 
 
 def distance(a, b):
@@ -106,6 +106,32 @@ def test_corrections_equal_brute_force(spark):
     assert got == want
 
 
+def test_words_of_the_dictionary_stay(spark):
+    """Single letters, very long words and words seen once are words like others."""
+    text = "a i the pneumonoultramicroscopicsilicovolcanoconiosis once the"
+    documents = spark.createDataFrame([(text,)], "text string")
+    d = P.word_frequencies(documents)
+    df = rows(spark, [text, "a i teh", "q"]).withColumn("language", F.lit("en"))
+    assert contents(P.correct_text(df, d)) == [text, "a i the", "q"]
+
+
+def test_short_words_meet_one_entry(spark):
+    """All two-letter words are within two steps of each other; no join gathers them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    known = spark.createDataFrame([(x + y, 1 + (x + y == "qz")) for x in letters for y in letters], "word string, freq bigint")
+    words = spark.createDataFrame([(chr(0x4E00 + i) + chr(0x5E00 + i),) for i in range(200)], "word string")
+    got = {r["key"]: r["phrase"] for r in P.corrections(words, known).collect()}
+    assert len(got) == 200 and set(got.values()) == {"qz"}
+
+
+def test_translation_table(spark):
+    table = spark.createDataFrame([("les", "the")], "key string, phrase string")
+    df = rows(spark, ["les  chats", "les", None, " "]).withColumn("language", F.when(F.col("seq") == 1, "en").otherwise("fr"))
+    got = {r["seq"]: r["translated"] for r in P.translate(df, table).collect()}
+    want = {r["seq"]: r["translated"] for r in P.translate(df, {"les": "the"}).collect()}
+    assert got == want and got[0] == "the chats" and got[1] == "les"
+
+
 def test_correct_text(spark):
     d = spark.createDataFrame([("hello", 5), ("world", 4)], "word string, freq bigint")
     df = rows(spark, ["helo wrld!", "x", "helo  helo", None]).withColumn(
