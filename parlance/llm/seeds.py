@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import block_count, by_value
-from parlance.llm.textscan import BASES, prefix, span_hash, utf8
+from parlance.llm.textscan import BASES, mix, powers, prefix, utf8
 
 by_value(__name__)
 
 #: Bytes of text in a block.
 BLOCK = 2 << 20
 #: Occurrences of a seed beyond which its windows travel alone.
-HOT = 1_024
+HOT = 16_384
 #: Windows in a segment at most; longer runs (repetitive texts) are cut into overlapping pieces.
 LONGEST = 256
 #: Lists of blocks that a segment is merged to.
@@ -60,35 +60,51 @@ def sliding(pick, values, width):
 
 
 def gram_hashes(sums, gram):
-    at = np.arange(len(sums) - gram)
-    return span_hash(sums, at, at + gram, BASES[0])
+    """span_hash of all runs of ``gram`` symbols."""
+    down = powers(pow(BASES[0], -1, 1 << 64), len(sums) - gram)
+    return mix((sums[gram:] - sums[:-gram]) * down)
 
 
 def window_seeds(symbols, row, window, gram):
-    """(starts of the windows inside one document each, their seeds, running sums of the symbols).
+    """(starts of the windows inside one document each, their seeds).
 
     ``symbols`` are unsigned integers, ``row`` the document of each.
     """
-    sums = prefix(symbols, BASES[0])
     n = len(symbols)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), sums
-    seeds = sliding(np.minimum, gram_hashes(sums, gram), window - gram + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    seeds = sliding(np.minimum, gram_hashes(prefix(symbols, BASES[0]), gram), window - gram + 1)
     inside = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
-    return inside, seeds[inside], sums
+    return inside, seeds[inside]
 
 
-def runs(starts, seeds, chosen):
-    """(first, last window start) of the maximal runs of chosen windows with one seed, cut to LONGEST."""
-    starts, seeds = starts[chosen], seeds[chosen]
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), seeds
+def ranges(first, count):
+    """All numbers of the ranges that begin at ``first`` and have ``count`` members."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
+def places(starts, seeds, cold, hot):
+    """(first window, last window, seed, is hot) of a block's segments.
+
+    A run of neighbouring windows with one seed is a segment if the seed is cold, cut to LONGEST
+    windows; of a hot seed every window is one.
+    """
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (seeds[1:] != seeds[:-1]) | (starts[1:] != starts[:-1] + 1)
     head = np.flatnonzero(new)
-    since = np.arange(len(starts)) - np.repeat(head, np.diff(np.append(head, len(starts))))
-    head = np.flatnonzero(since % LONGEST == 0)
-    return starts[head], starts[np.append(head[1:], len(starts)) - 1], seeds[head]
+    count, first, seed = np.diff(np.append(head, len(starts))), starts[head], seeds[head]
+    is_cold, is_hot = np.isin(seed, cold), np.isin(seed, hot)
+    parts = -(-count[is_cold] // LONGEST)
+    begin = np.repeat(first[is_cold], parts) + LONGEST * ranges(np.zeros(len(parts), np.int64), parts)
+    end = np.minimum(begin + LONGEST, np.repeat((first + count)[is_cold], parts)) - 1
+    alone = ranges(first[is_hot], count[is_hot])
+    return (
+        np.concatenate([begin, alone]),
+        np.concatenate([end, alone]),
+        np.concatenate([np.repeat(seed[is_cold], parts), np.repeat(seed[is_hot], count[is_hot])]),
+        np.concatenate([np.zeros(len(begin), bool), np.ones(len(alone), bool)]),
+    )
 
 
 def seed_rows(block, symbols, window, gram):
@@ -113,30 +129,6 @@ def seed_rows(block, symbols, window, gram):
     )
 
 
-def places(starts, seeds, sums, window, cold, hot):
-    """(first window, last window, key, is hot) of the segments of cold seeds and windows of hot ones."""
-    return _places(starts, seeds, sums, window, cold, starts[np.isin(seeds, hot)])
-
-
-def answered_places(starts, seeds, sums, window, cold, hot):
-    """As places, for windows known by their own hash instead of their seed's."""
-    alone = starts[:0]
-    if len(hot):
-        alone = starts[np.isin(span_hash(sums, starts, starts + window, BASES[0]), hot)]
-    return _places(starts, seeds, sums, window, cold, alone)
-
-
-def _places(starts, seeds, sums, window, cold, alone):
-    first, last, key = runs(starts, seeds, np.isin(seeds, cold))
-    hashes = span_hash(sums, alone, alone + window, BASES[0])
-    return (
-        np.concatenate([first, alone]),
-        np.concatenate([last, alone]),
-        np.concatenate([key, hashes]),
-        np.concatenate([np.zeros(len(first), bool), np.ones(len(alone), bool)]),
-    )
-
-
 def digest(piece):
     """Tells the segments of one key apart; signed."""
     return xxhash.xxh3_64_intdigest(piece) - (1 << 63)
@@ -180,9 +172,7 @@ def split_hits(hits):
 
 def covered(n, starts, window):
     """Mask of n symbols covered by the windows that begin at ``starts``."""
-    step = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + window, -1)
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
     return np.cumsum(step[:n]) > 0
 
 
@@ -254,7 +244,7 @@ def through_index(docs: DataFrame, *, seeds_of, segment_rows, merged, held, sear
         segment_rows, f"key bigint, hot boolean, segment binary, at bigint, {held}"
     )
     shards = (
-        segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n)))
+        segments.withColumn("shard", F.pmod(F.when(F.col("hot"), F.xxhash64("segment")).otherwise(F.xxhash64("key")), F.lit(n)))
         .repartition("shard")
         .groupBy("shard", "key", "hot", "segment", F.pmod("at", F.lit(LISTS)).alias("list"))
         .agg(F.collect_list("at").alias("blocks"), *merged)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import by_value
 from parlance.llm.seeds import (
-    NO_ID, answer_table, answered_places, block_id, covered, digest, mask_spans, merged_segments, places,
+    NO_ID, answer_table, block_id, covered, digest, mask_spans, merged_segments, places,
     seed_rows, segment_table, sorted_docs, split_answers, split_hits, through_index, window_seeds,
 )
 from parlance.llm.textscan import BASES, prefix, scan, span_hash
@@ -53,11 +53,11 @@ def seeds_of(docs):
     return seed_rows(block_id(docs), word_stream(texts)[3], WINDOW, GRAM)
 
 
-def pieces(docs, places, cold, hot):
+def pieces(docs, cold, hot):
     """Segments of a block: (document ids, texts, word data, first and last window, key, hot, bytes)."""
     ids, texts = sorted_docs(docs)
     stream = joined, at, row, hashes = word_stream(texts)
-    first, last, key, alone = places(*window_seeds(hashes, row, WINDOW, GRAM), WINDOW, cold, hot)
+    first, last, key, alone = places(*window_seeds(hashes, row, WINDOW, GRAM), cold, hot)
     ends = at[last + WINDOW] - 1
     found = [joined[a:b] for a, b in zip(at[first].tolist(), ends.tolist())]
     return ids, texts, stream, first, last, key.view(np.int64).tolist(), alone.tolist(), found
@@ -66,7 +66,7 @@ def pieces(docs, places, cold, hot):
 def segment_rows(docs, hits):
     if not len(docs) or not len(hits):
         return segment_table(0, [], [], [], doc=[], n=[])
-    ids, _, (_, _, row, _), first, _, key, hot, found = pieces(docs, places, *split_hits(hits))
+    ids, _, (_, _, row, _), first, _, key, hot, found = pieces(docs, *split_hits(hits))
     once = {}
     for k, h, piece, doc in zip(key, hot, found, ids[row[first]].tolist()):
         seen = once.get((k, h, piece))
@@ -203,7 +203,7 @@ def search_shard(shard):
 def remove(docs, hits):
     """The documents of a block without their repeated words."""
     cold, hot, answers = split_answers(hits, "first", "bits")
-    ids, texts, (joined, at, row, _), first, last, key, _, found = pieces(docs, answered_places, cold, hot)
+    ids, texts, (joined, at, row, _), first, last, key, _, found = pieces(docs, cold, hot)
     gone = []
     for a, b, k, piece in zip(first.tolist(), last.tolist(), key, found):
         answer = answers.get((k, digest(piece)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import by_value
 from parlance.llm.seeds import (
-    NO_ID, answer_table, answered_places, block_id, covered, digest, mask_spans, merged_segments, places,
+    NO_ID, answer_table, block_id, covered, digest, mask_spans, merged_segments, places,
     seed_rows, segment_table, sorted_docs, split_answers, split_hits, through_index, window_seeds,
 )
 
@@ -38,18 +38,17 @@ RESULT = "doc_id bigint, n_bytes bigint, removed array<struct<start:int,end:int>
 
 
 def byte_stream(texts):
-    """(bytes with one byte after each text, document of each byte)."""
+    """(bytes with one byte after each text, document of each byte, of the byte after it none)."""
     data = b"\xff".join(texts) + b"\xff"
-    row = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    length = np.array([len(t) + 1 for t in texts])
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), length)
+    row[np.cumsum(length) - 1] = -1 - np.arange(len(texts), dtype=np.int32)
     return data, row
 
 
 def windows_of(texts):
     data, row = byte_stream(texts)
-    symbols = np.frombuffer(data, dtype=np.uint8)
-    # the byte after a text belongs to none
-    own = np.where(symbols == 0xFF, -1 - np.arange(len(symbols)), row)
-    return data, row, window_seeds(symbols, own, WINDOW, GRAM)
+    return data, row, window_seeds(np.frombuffer(data, dtype=np.uint8), row, WINDOW, GRAM)
 
 
 def seeds_of(docs):
@@ -57,10 +56,10 @@ def seeds_of(docs):
     return seed_rows(block_id(docs), np.frombuffer(data, dtype=np.uint8), WINDOW, GRAM)
 
 
-def pieces(docs, places, cold, hot):
+def pieces(docs, cold, hot):
     ids, texts = sorted_docs(docs)
     data, row, found = windows_of(texts)
-    first, last, key, alone = places(*found, WINDOW, cold, hot)
+    first, last, key, alone = places(*found, cold, hot)
     cut = [data[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist())]
     return ids, texts, row, first, last, key.view(np.int64).tolist(), alone.tolist(), cut
 
@@ -68,15 +67,38 @@ def pieces(docs, places, cold, hot):
 def segment_rows(docs, hits):
     once = {}
     if len(docs) and len(hits):
-        *_, key, hot, found = pieces(docs, places, *split_hits(hits))
+        *_, key, hot, found = pieces(docs, *split_hits(hits))
         for known in zip(key, hot, found):
             once[known] = once.get(known, 0) + 1
     block = block_id(docs) if once else 0
     return segment_table(block, *([x[i] for x in once] for i in range(3)), n=list(once.values()))
 
 
+def settle(keys, base):
+    """Ranks of keys, tied ones equal: ``base`` (of a group of neighbours in order) plus smaller keys."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    place = np.arange(len(keys))
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(keys), dtype=np.int64)
+    if base is None:
+        rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+        return rank
+    base = base[order]
+    head = np.ones(len(keys), dtype=bool)
+    head[1:] = base[1:] != base[:-1]
+    within = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(head, place, 0))
+    rank[order] = base + within
+    return rank
+
+
 def sorted_suffixes(symbols, owner):
-    """(rank of every suffix, ranks by 8, 16, 32 ... symbols); borders between segments are all different."""
+    """(rank of every suffix, ranks by 8, 16, 32 ... symbols); borders between segments are all different.
+
+    A rank is the number of smaller suffixes, so ties are settled inside their own range and the
+    others are not touched again.
+    """
     n = len(symbols)
     wide = np.concatenate([symbols, np.full(8, 0xFF, dtype=np.uint8)])
     key = np.zeros(n, dtype=np.uint64)
@@ -85,31 +107,19 @@ def sorted_suffixes(symbols, owner):
         byte = wide[i : i + n]
         key = (key << np.uint64(8)) | np.where(ended, 0, byte).astype(np.uint64)
         ended |= byte == 0xFF
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    rank = settle(key, None)
     # suffixes that reach their border within 8 bytes differ by segment
-    rank = np.unique((rank << 32) | np.where(ended, owner + 1, 0), return_inverse=True)[1].astype(np.int64)
-    ranks, step = [rank.astype(np.int32)], 8
+    short = np.flatnonzero(ended)
+    rank[short] = settle((rank[short] << 32) | owner[short], rank[short])
+    ranks, step = [], 8
+    tied = np.arange(n)
     while True:
-        order_size = np.bincount(rank)
-        tied = np.flatnonzero(order_size[rank] > 1)
+        tied = tied[np.bincount(rank, minlength=n)[rank[tied]] > 1]
+        ranks.append(rank.astype(np.int32))
         if not len(tied):
             return rank, ranks
-        # ranks count the smaller suffixes, so a tie can be resolved inside its own range
-        smaller = np.concatenate([[0], np.cumsum(order_size)[:-1]])
-        rank = smaller[rank]
-        pair = (rank[tied] << 32) | rank[np.minimum(tied + step, n - 1)]
-        order = np.argsort(pair)
-        ordered = pair[order]
-        base = ordered >> 32
-        new = np.ones(len(tied), dtype=bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        head = np.ones(len(tied), dtype=bool)
-        head[1:] = base[1:] != base[:-1]
-        place = np.arange(len(tied))
-        within = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(head, place, 0))
-        rank[tied[order]] = base + within
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-        ranks.append(rank.astype(np.int32))
+        after = rank[np.minimum(tied + step, n - 1)]
+        rank[tied] = settle((rank[tied] << 32) | after, rank[tied])
         step *= 2
 
 
@@ -129,8 +139,9 @@ def common_prefix(symbols, ranks, a, b):
     return length
 
 
-def matching_statistics(symbols, owner):
-    """Longest match of every suffix with another one, streamed from the samples at run ends."""
+def matching_statistics(symbols, owner, least=0):
+    """Longest match of every suffix with another one, streamed from the samples at run ends; matches
+    shorter than ``least`` may be given as shorter ones."""
     n = len(symbols)
     rank, ranks = sorted_suffixes(symbols, owner)
     suffix = np.empty(n, dtype=np.int64)
@@ -142,7 +153,10 @@ def matching_statistics(symbols, owner):
     run_ends = np.append(run_starts[1:] - 1, n - 1)
     best = np.zeros(n, dtype=np.int64)
     for rows, side in ((run_starts, -1), (run_ends, 1)):
-        inside = (rows + side >= 0) & (rows + side < n)
+        inside = np.flatnonzero((rows + side >= 0) & (rows + side < n))
+        for level, by in enumerate(ranks):  # a sample that is too short is one by any length
+            if 8 << level <= least:
+                inside = inside[by[suffix[rows[inside]]] == by[suffix[rows[inside] + side]]]
         at, other = suffix[rows[inside]], suffix[rows[inside] + side]
         length = np.zeros(len(rows), dtype=np.int64)
         length[inside] = common_prefix(symbols, ranks, at, other)
@@ -162,7 +176,7 @@ def search_shard(shard):
     lengths = np.array([len(s) for s in segments])
     symbols = np.frombuffer(b"\xff".join(segments) + b"\xff", dtype=np.uint8)
     owner = np.repeat(np.arange(len(segments)), lengths + 1)
-    marks = matching_statistics(symbols, owner) >= WINDOW
+    marks = matching_statistics(symbols, owner, WINDOW) >= WINDOW
     marks |= often[owner]
     first = np.concatenate([[0], np.cumsum(lengths + 1)])
     mine = [marks[first[i] : first[i] + n - WINDOW + 1] for i, n in enumerate(lengths.tolist())]
@@ -173,7 +187,7 @@ def search_shard(shard):
 def remove(docs, hits):
     """The documents of a block without their repeated bytes."""
     cold, hot, answers = split_answers(hits, "bits")
-    ids, texts, row, first, last, key, _, found = pieces(docs, answered_places, cold, hot)
+    ids, texts, row, first, last, key, _, found = pieces(docs, cold, hot)
     gone = []
     for a, b, k, piece in zip(first.tolist(), last.tolist(), key, found):
         answer = answers.get((k, digest(piece)))
