@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.session import scratch
+
 #: A word is a maximal run of anything but ASCII white space (a Java pattern).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,21 +29,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that all executors share; set on sessions that have none (as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def stored(rows: DataFrame, label: str) -> DataFrame:
-    """Write rows once to the shared folder and read them back: cuts the lineage."""
+    """Write rows once to the folder all executors share and read them back: cuts the lineage."""
     spark = rows.sparkSession
-    path = f"{shared(spark)}/llm-{label}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, f"llm-{label}")
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
