@@ -32,8 +32,10 @@ def zero_fill(people: DataFrame, stats: DataFrame, keys: Sequence[str], **fill)
 
 def _appearance() -> Column:
     """(ts, seq) as one number with room for a position, so that a running minimum is a plain
-    fixed-width aggregate instead of a sort of every token."""
-    at = epoch_seconds("ts").cast("decimal(38,0)") * F.lit(Decimal(10) ** 24)
+    fixed-width aggregate instead of a sort of every token.  Rows without a time come after all
+    others, in the order of ``seq``."""
+    seconds = F.coalesce(epoch_seconds("ts"), F.lit(10**13))
+    at = seconds.cast("decimal(38,0)") * F.lit(Decimal(10) ** 24)
     row = F.col("seq").cast("decimal(14,0)") * F.lit(Decimal(10) ** 9)
     return (at + row).cast("decimal(38,0)")
 

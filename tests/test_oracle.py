@@ -4,6 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from parlance.catalog.oracle import ORACLE
+from parlance.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,14 +13,18 @@ def con(sf):
     return compare.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, sf, con, name):
-    assert compare.check(entry.queries()[name](spark, sf), con, entry.oracle_sql()[name]) is None
+    assert compare.check(QUERIES[name](spark, sf), con, ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, sf, name):
-    assert entry.queries()[name](spark, sf).count() > 0
+    assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
