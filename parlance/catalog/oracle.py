@@ -665,3 +665,35 @@ SELECT tox.chat_id, tox.seq, list_extract(['Very Negative', 'Negative', 'Neutral
  list_extract({texts(TOXICITY_LABELS[1:])}, list_position(t[2:7], list_max(t[2:7]))) END
  AS toxicity_type
 FROM tox LEFT JOIN e USING (chat_id, seq)"""
+
+
+def _grams(source: str, keys: str, column: str) -> str:
+    """One row per character trigram of the padded lower-cased words."""
+    return f"""(SELECT {keys}, substr(p, i, 3) AS gram FROM (
+  SELECT {keys}, ' ' || w || ' ' AS p, unnest(range(1, length(w) + 1)) AS i FROM (
+    SELECT {keys}, unnest({words(f"lower({column})")}) AS w FROM {source})))"""
+
+
+ORACLE["detect_language"] = f"""WITH {MESSAGES},
+g AS (SELECT lang, gram, count(*) AS n FROM {_grams("documents", "lang", "text")}
+  WHERE lang IS NOT NULL GROUP BY ALL),
+tot AS (SELECT lang, sum(n) AS t, (SELECT count(DISTINCT gram) FROM g) AS v FROM g GROUP BY lang),
+m AS (SELECT chat_id, seq, gram, count(*) AS c FROM {_grams("messages", "chat_id, seq", "content")} GROUP BY ALL),
+sizes AS (SELECT chat_id, seq, sum(c) AS size FROM m GROUP BY ALL),
+hits AS (SELECT chat_id, seq, lang, sum(c * ln(n + 1)) AS s FROM m JOIN g USING (gram) GROUP BY ALL),
+scores AS (SELECT chat_id, seq, lang, coalesce(s, 0) - size * ln(t + v) AS score
+  FROM sizes CROSS JOIN tot LEFT JOIN hits USING (chat_id, seq, lang)),
+best AS (SELECT chat_id, seq, lang FROM scores
+  QUALIFY row_number() OVER (PARTITION BY chat_id, seq ORDER BY score DESC, lang) = 1)
+SELECT chat_id, seq, lang AS language FROM messages LEFT JOIN best USING (chat_id, seq)"""
+
+ORACLE["toxicity_model"] = f"""WITH
+w AS (SELECT DISTINCT doc_id, unnest({words("lower(text)")}) AS w FROM documents),
+prior AS (SELECT avg(toxic::DOUBLE) AS p FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+n AS (SELECT w, count(*) FILTER (toxic = 0) AS n0, count(*) FILTER (toxic = 1) AS n1
+  FROM w JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY w),
+s AS (SELECT doc_id, sum(ln((n1 + 10 * p) / (n0 + 10 * (1 - p))) - ln(p / (1 - p))) AS s
+  FROM w JOIN n USING (w) CROSS JOIN prior GROUP BY doc_id)
+SELECT doc_id, CASE WHEN {stripped("text")} <> '' THEN
+  round(1 / (1 + exp(-(coalesce(s, 0) + ln(p / (1 - p))))), 4) END AS toxicity_score
+FROM documents LEFT JOIN s USING (doc_id) CROSS JOIN prior"""

@@ -437,4 +437,4 @@ def toxicity_model(spark, sf_dir):
     documents = _documents(spark, sf_dir, "doc_id", "text")
     labels = X.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = language.train_toxicity(documents.join(labels, "doc_id"))
-    return language.score_toxicity(documents, model, "text").select("doc_id", "toxicity_score")
+    return language.score_toxicity(documents, model, "text", ["doc_id"]).select("doc_id", "toxicity_score")

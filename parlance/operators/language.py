@@ -1,110 +1,154 @@
-"""Spark ML models for language and toxicity, trained on labelled tables.
+"""Language and toxicity models by counting, trained on labelled tables.
 
-They stand where published checkpoints would plug in and do not reproduce them.
+They stand where published checkpoints would plug in and do not reproduce them.  A model is a table
+of exact counts, one row per feature with a count per label, and a few totals; scoring explodes a
+row's features, adds them up first, joins the table and sums logarithms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import (
-    HashingTF, IDF, RegexTokenizer, StringIndexer,
-)
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.scores import restrict_language
-from parlance.functions.text import SPACE_CLASS, is_blank, tokens
+from parlance.functions.text import is_blank, tokens
+from parlance.plans.stored import stored
 
+#: Documents' worth of prior belief in a word's toxicity.
+SMOOTHING = 10
+ROW = ("chat_id", "seq")
 
-def trigrams(text: Column) -> Column:
-    """Character trigrams of the lower-cased words, word edges marked by a space."""
-    grams = lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))
-    )
-    padded = F.transform(tokens(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.flatten(F.transform(padded, grams))
 
+@dataclass
+class Counts:
+    """``table``: feature and n_0, n_1 ... per label; totals per label (one number each)."""
+
+    table: DataFrame
+    labels: list
+    totals: list[int]
+    features: int
 
-def train_language(
-    documents: DataFrame, text: str = "text", label: str = "lang", features: int = 1 << 14
-) -> PipelineModel:
-    """Naive Bayes on character trigrams.
 
-    Words are counted first and each distinct word is one weighted instance: the trigram counts are
-    the same as over whole texts, at a fraction of the work.  Class priors are shares of words.
+def count_features(
+    rows: DataFrame,
+    label: str,
+    words: Column,
+    expand: Callable[[Column], Column] | None = None,
+    labels: Sequence | None = None,
+) -> Counts:
+    """Counts of the features of ``words`` per label; labels are few and named on the driver.
+
+    Words are counted first, so ``expand``, which makes a word's features, sees each word once.
     """
-    documents = documents.where(F.col(label).isNotNull())
-    rows = (
-        documents.select(label, F.explode(tokens(F.lower(text))).alias("_word"))
-        .groupBy(label, "_word")
-        .agg(F.count(F.lit(1)).cast("double").alias("_weight"))
-        .select(label, "_weight", trigrams(F.col("_word")).alias("_grams"))
+    rows = rows.where(F.col(label).isNotNull())
+    labels = list(labels) if labels else sorted(r[0] for r in rows.select(label).distinct().collect())
+    per_label = [F.count(F.when(F.col(label) == x, 1)).alias(f"n_{i}") for i, x in enumerate(labels)]
+    counted = rows.select(label, F.explode(words).alias("feature")).groupBy("feature").agg(*per_label)
+    if expand is not None:
+        counted = (
+            counted.withColumn("feature", F.explode(expand(F.col("feature"))))
+            .groupBy("feature")
+            .agg(*[F.sum(f"n_{i}").alias(f"n_{i}") for i in range(len(labels))])
+        )
+    table = stored(counted, "counts")
+    sums = table.agg(F.count(F.lit(1)), *[F.sum(f"n_{i}") for i in range(len(labels))]).first()
+    return Counts(table, labels, [n or 0 for n in sums[1:]], sums[0])
+
+
+def _summed(rows: DataFrame, row: Sequence[str], features: Column, model: Counts, terms: Sequence[Column]) -> DataFrame:
+    """Per row the sums of ``terms`` (over n_i and the feature's count c) and the features' number."""
+    found = rows.select(*row, F.explode(features).alias("feature")).groupBy(*row, "feature").agg(
+        F.count(F.lit(1)).alias("c")
     )
-    indexer = StringIndexer(
-        inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"
-    ).fit(documents.select(label))
-    stages = [
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features),
-        NaiveBayes(
-            featuresCol="_tf", labelCol="_label", weightCol="_weight", rawPredictionCol="_raw",
-            predictionCol="_class", probabilityCol="_probability",
-        ),
-    ]
-    fitted = Pipeline(stages=stages).fit(indexer.transform(rows))
-    return PipelineModel([indexer, *fitted.stages])
+    return (
+        found.join(model.table, "feature")
+        .groupBy(*[F.col(c).alias(f"_{c}") for c in row])
+        .agg(*[F.sum(t).alias(f"_s{i}") for i, t in enumerate(terms)])
+    )
+
+
+def _joined(rows: DataFrame, sums: DataFrame, row: Sequence[str]) -> DataFrame:
+    same = F.lit(True)
+    for c in row:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return rows.join(sums, same, "left").drop(*[f"_{c}" for c in row])
+
+
+def word_trigrams(word: Column) -> Column:
+    """Character trigrams of a word, its edges marked by a space."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(padded, i, F.lit(3)))
+
+
+def trigrams(text: Column) -> Column:
+    """Character trigrams of the lower-cased words."""
+    return F.flatten(F.transform(tokens(F.lower(text)), word_trigrams))
 
 
-def languages_of(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].labels)
+def train_language(documents: DataFrame, text: str = "text", label: str = "lang") -> Counts:
+    """Multinomial naive Bayes on character trigrams: their counts per language."""
+    return count_features(documents, label, tokens(F.lower(text)), word_trigrams)
 
 
 def detect_language(
     rows: DataFrame,
-    model: PipelineModel,
+    model: Counts,
     text: str = "content",
     language: str = "language",
     valid: Sequence[str] | None = None,
+    row: Sequence[str] = ROW,
 ) -> DataFrame:
     """Add the best language among ``valid`` (all the model knows when not given); null for blank
-    text."""
-    names = languages_of(model)
-    scored = PipelineModel(model.stages[1:]).transform(
-        rows.withColumn("_grams", trigrams(F.coalesce(F.col(text), F.lit(""))))
-    )
-    best = restrict_language(vector_to_array("_raw"), names, valid or names)
-    return scored.withColumn(language, F.when(~is_blank(F.col(text)), best)).select(
+    text.  ``row`` names the rows' unique key.
+
+    With add-one smoothing a trigram counts ln(n + 1) - ln(total + trigrams known) for a language;
+    the second part is the same for all trigrams, so unknown ones need no join.
+    """
+    terms = [F.col("c") * F.log1p(f"n_{i}") for i in range(len(model.labels))]
+    content = F.coalesce(F.col(text), F.lit(""))
+    sums = _summed(rows.select(*row, text), row, trigrams(content), model, terms)
+    size = F.size(trigrams(content))
+    scores = [
+        F.coalesce(f"_s{i}", F.lit(0.0)) - size * F.lit(math.log(max(total, 0) + max(model.features, 1)))
+        for i, total in enumerate(model.totals)
+    ]
+    best = restrict_language(F.array(*scores), model.labels, valid or model.labels)
+    return _joined(rows, sums, row).withColumn(language, F.when(~is_blank(F.col(text)), best)).select(
         *[c for c in rows.columns if c != language], language
     )
 
 
-def train_toxicity(
-    documents: DataFrame, text: str = "text", label: str = "toxic", features: int = 1 << 16,
-    iterations: int = 20,
-) -> PipelineModel:
-    """Word TF-IDF and logistic regression."""
-    rows = documents.select(
-        F.col(text).alias("_text"), F.col(label).cast("double").alias("_label")
-    )
-    stages = [
-        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=SPACE_CLASS + "+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        LogisticRegression(
-            featuresCol="_tfidf", labelCol="_label", probabilityCol="_probability",
-            rawPredictionCol="_raw", predictionCol="_class", maxIter=iterations, regParam=0.01,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(tokens(F.lower(text)))
+
+
+def train_toxicity(documents: DataFrame, text: str = "text", label: str = "toxic") -> tuple[Counts, float]:
+    """Documents per word and label, and the share of toxic documents."""
+    known = documents.where(F.col(label).isNotNull())
+    share = known.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    return count_features(known, label, distinct_words(F.col(text)), labels=[0, 1]), share
 
 
-def score_toxicity(rows: DataFrame, model: PipelineModel, text: str = "content") -> DataFrame:
-    """Add ``toxicity_score`` to four places; null for blank text."""
-    scored = model.transform(rows.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
-    score = F.round(F.get(vector_to_array("_probability"), F.lit(1)), 4)
-    return scored.withColumn(
+def score_toxicity(
+    rows: DataFrame, model: tuple[Counts, float], text: str = "content", row: Sequence[str] = ROW
+) -> DataFrame:
+    """Add ``toxicity_score`` to four places; null for blank text.
+
+    Naive Bayes over the words a text has: each moves the log odds by how much the odds of its
+    documents, smoothed to those of all, differ from those of all.
+    """
+    counts, share = model
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    prior = math.log(share / (1 - share))
+    term = F.log((F.col("n_1") + SMOOTHING * share) / (F.col("n_0") + SMOOTHING * (1 - share))) - F.lit(prior)
+    content = F.coalesce(F.col(text), F.lit(""))
+    sums = _summed(rows.select(*row, text), row, distinct_words(content), counts, [term])
+    odds = F.coalesce("_s0", F.lit(0.0)) + F.lit(prior)
+    score = F.round(1 / (1 + F.exp(-odds)), 4)
+    return _joined(rows, sums, row).withColumn(
         "toxicity_score", F.when(~is_blank(F.col(text)), score)
     ).select(*rows.columns, "toxicity_score")

@@ -55,10 +55,10 @@ def test_scorer_keeps_rows_and_skips_blanks(spark):
 def test_language_model_on_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_fold", F.col("doc_id") % 5)
     model = language.train_language(docs.where("_fold > 0"))
-    held = language.detect_language(docs.where("_fold = 0"), model, "text", "guess")
+    held = language.detect_language(docs.where("_fold = 0"), model, "text", "guess", row=["doc_id"])
     right = held.select(F.avg((F.col("guess") == F.col("lang")).cast("double"))).first()[0]
     assert right > 0.85
-    only = language.detect_language(docs.where("_fold = 0"), model, "text", "guess", valid=["fr", "de"])
+    only = language.detect_language(docs.where("_fold = 0"), model, "text", "guess", valid=["fr", "de"], row=["doc_id"])
     assert {r["guess"] for r in only.select("guess").distinct().collect()} <= {"fr", "de"}
 
 
@@ -67,7 +67,7 @@ def test_toxicity_model(spark, sf):
         spark.read.parquet(f"{sf}/labels.parquet"), "doc_id"
     )
     model = language.train_toxicity(docs)
-    scored = language.score_toxicity(docs, model, "text").withColumn("_y", F.col("toxic").cast("double"))
+    scored = language.score_toxicity(docs, model, "text", ["doc_id"]).withColumn("_y", F.col("toxic").cast("double"))
     auc = BinaryClassificationEvaluator(
         rawPredictionCol="toxicity_score", labelCol="_y"
     ).evaluate(scored)
