@@ -464,13 +464,7 @@ FROM txt LEFT JOIN c ON c.chat_id = txt.chat_id AND c.sender = txt.sender AND c.
   AND c.rn = 1 JOIN lastrow l ON l.chat_id = txt.chat_id
 WHERE length(trim(txt.merged_content)) > 3"""
 
-ORACLE["llm_prompts"] = f"""WITH {MESSAGES},
-x AS (SELECT chat_id, string_agg(content, ' ' ORDER BY seq) AS body FROM messages
-  WHERE content IS NOT NULL GROUP BY chat_id),
-p AS (SELECT chat_id, string_agg(DISTINCT sender, ', ' ORDER BY sender) AS people FROM messages
-  GROUP BY chat_id)
-SELECT x.chat_id, k.kind, 0::BIGINT AS part,
- replace(k.head, '<people>', p.people) || x.body AS prompt, k.max_length::BIGINT AS max_length FROM x JOIN p USING (chat_id) CROSS JOIN (VALUES
+KINDS = """(VALUES
  ('tone', 'Analyze the tone of this text: ', 50),
  ('topics', 'Extract key topics from this text: ', 100),
  ('relationships', 'Analyze the relationships between <people> based on this text: ', 150),
@@ -479,6 +473,19 @@ SELECT x.chat_id, k.kind, 0::BIGINT AS part,
  ('cultural_backgrounds', 'Infer the cultural backgrounds of <people> based on this text: ', 150),
  ('llm_insights', 'Generate unique insights about this conversation: ', 200))
  AS k(kind, head, max_length)"""
+PROMPTS = f"""WITH {MESSAGES},
+x AS (SELECT chat_id, string_agg(content, ' ' ORDER BY seq) AS body FROM messages
+  WHERE content IS NOT NULL GROUP BY chat_id),
+p AS (SELECT chat_id, string_agg(DISTINCT sender, ', ' ORDER BY sender) AS people FROM messages
+  GROUP BY chat_id)"""
+ORACLE["llm_prompts"] = f"""{PROMPTS}
+SELECT x.chat_id, k.kind, 0::BIGINT AS part,
+ replace(k.head, '<people>', p.people) || x.body AS prompt, k.max_length::BIGINT AS max_length
+FROM x JOIN p USING (chat_id) CROSS JOIN {KINDS}"""
+ORACLE["prompt_texts"] = f"""{PROMPTS} SELECT chat_id, 0::BIGINT AS part, body AS text FROM x"""
+ORACLE["prompt_heads"] = f"""{PROMPTS}
+SELECT p.chat_id, k.kind, replace(k.head, '<people>', p.people) AS head,
+ k.max_length::BIGINT AS max_length FROM p CROSS JOIN {KINDS}"""
 
 # -- calls -----------------------------------------------------------------------------------------
 

@@ -328,6 +328,17 @@ def llm_prompts(spark, sf_dir):
     return prompts.prompts(rows, participants.from_rows(rows))
 
 
+@query
+def prompt_texts(spark, sf_dir):
+    """The texts of all prompts, each once."""
+    return prompts.combined_text(X.messages(spark, sf_dir))
+
+
+@query
+def prompt_heads(spark, sf_dir):
+    return prompts.heads(participants.from_rows(X.messages(spark, sf_dir)))
+
+
 # -- call statistics -----------------------------------------------------------------------------
 
 for _op in (

@@ -88,19 +88,24 @@ def longest_message(
     messages: DataFrame, people: DataFrame | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """Longest message in words per participant, the earliest of equals."""
-    rows = messages.where(F.col("content").isNotNull()).withColumn(
-        "_words", word_count(F.col("content"))
+    said = messages.where(F.col("content").isNotNull())
+    # words, then early, then first in the file, as one number: a plain fixed-width maximum
+    words = word_count(F.col("content")).cast("decimal(38,0)") * F.lit(Decimal(10) ** 26)
+    late = (F.lit(10**12) - F.coalesce(epoch_seconds("ts"), F.lit(10**12))).cast("decimal(38,0)")
+    last = F.lit(10**14 - 1) - F.col("seq")
+    order = (words + late * F.lit(Decimal(10) ** 14) + last).cast("decimal(38,0)")
+    who = [*keys, F.col("sender").alias("participant")]
+    best = said.select(*who, order.alias("_order")).groupBy(*keys, "participant").agg(
+        F.max("_order").alias("_order")
     )
-    best = rows.groupBy(*keys, F.col("sender").alias("participant")).agg(
-        F.max_by(
-            F.struct("content", F.col("_words").alias("length"), "ts"),
-            F.struct("_words", -epoch_seconds("ts"), -F.col("seq")),
-        ).alias("_best")
+    best = best.withColumn(
+        "seq", (F.lit(10**14 - 1) - F.pmod("_order", F.lit(Decimal(10) ** 14))).cast("bigint")
+    ).drop("_order")
+    found = best.join(
+        said.select(*keys, "seq", "content", word_count(F.col("content")).alias("length"), "ts"), [*keys, "seq"]
     )
     people = people if people is not None else from_rows(messages, keys)
-    return zero_fill(people, best, keys).select(
-        *keys, "participant", "_best.content", "_best.length", "_best.ts"
-    )
+    return zero_fill(people, found, keys).select(*keys, "participant", "content", "length", "ts")
 
 
 def active_hours(messages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -162,19 +167,36 @@ def top_emojis(messages: DataFrame, n: int = 10, keys: Sequence[str] = KEYS) ->
     return top_n(counts, n, keys, [F.desc("n"), F.asc("_seen")]).drop("_seen")
 
 
-def top_emojis_by_sender(messages: DataFrame, n: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
+def _with_absent(stats: DataFrame, people: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Participants that ``stats`` (by sender) lacks, with a count of 0 and nothing to count."""
+    if people is None:
+        return stats
+    everyone = people.select(*keys, F.col("participant").alias("sender"))
+    full = everyone.join(stats, [*keys, "sender"], "left")
+    return full.withColumn("n", F.coalesce("n", F.lit(0))).select(*stats.columns)
+
+
+def top_emojis_by_sender(
+    messages: DataFrame, n: int = 10, keys: Sequence[str] = KEYS, people: DataFrame | None = None
+) -> DataFrame:
+    """As top_emojis per sender; with ``people`` those without emojis get a row without one."""
     group = [*keys, "sender"]
     counts = _emoji_counts(messages, group)
-    return top_n(counts, n, group, [F.desc("n"), F.asc("_seen")]).drop("_seen")
+    best = top_n(counts, n, group, [F.desc("n"), F.asc("_seen")]).drop("_seen")
+    return _with_absent(best, people, keys)
 
 
-def media_stats(messages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Messages per sender and type, for every type but text."""
-    return (
+def media_stats(
+    messages: DataFrame, keys: Sequence[str] = KEYS, people: DataFrame | None = None
+) -> DataFrame:
+    """Messages per sender and type, for every type but text; with ``people`` those who sent none
+    get a row without a type."""
+    counts = (
         messages.where(F.col("type") != "text")
         .groupBy(*keys, "sender", "type")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return _with_absent(counts, people, keys)
 
 
 def media_table(

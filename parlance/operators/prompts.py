@@ -38,34 +38,48 @@ def combined_text(
     )
 
 
-def prompts(
-    messages: DataFrame,
-    people: DataFrame,
-    keys: Sequence[str] = KEYS,
-    part_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Seven prompts per chat: ``keys, kind, part, prompt, max_length``.  Part 0 starts with the
-    instruction; the parts of one kind, joined by a space, are the whole prompt."""
+def heads(people: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``keys, kind, head, max_length``: the instructions of every chat.
+
+    With ``combined_text`` this is all a prompt is made of, each chat's text written once; a job that
+    calls a model streams the parts of a chat after each head.
+    """
     names = people.groupBy(*keys).agg(
         F.array_join(F.sort_array(F.collect_set("participant")), ", ").alias("_people")
     )
-    texts = combined_text(messages, keys, part_rows)
-    first = texts.groupBy(*keys).agg(F.min("part").alias("_first")).join(names, list(keys), "left")
-    rows = attach(
-        texts.withColumn("seq", F.col("part")), first, keys
-    )
     table = F.array(
         *[
             F.struct(F.lit(k).alias("kind"), F.lit(t).alias("head"), F.lit(n).alias("max_length"))
             for k, t, n in TEMPLATES
         ]
     )
-    head = F.replace(F.col("t.head"), F.lit("{people}"), F.coalesce("_people", F.lit("")))
-    return rows.withColumn("t", F.explode(table)).select(
+    head = F.replace(F.col("t.head"), F.lit("{people}"), F.col("_people"))
+    return names.withColumn("t", F.explode(table)).select(
+        *keys, F.col("t.kind").alias("kind"), head.alias("head"), F.col("t.max_length").alias("max_length")
+    )
+
+
+def prompts(
+    messages: DataFrame,
+    people: DataFrame,
+    keys: Sequence[str] = KEYS,
+    part_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Seven prompts per chat: ``keys, kind, part, prompt, max_length``.  Part 0 starts with the
+    instruction; the parts of one kind, joined by a space, are the whole prompt.
+
+    Every text is repeated per kind; see ``heads`` for the form without repetition.
+    """
+    texts = combined_text(messages, keys, part_rows)
+    kinds = F.struct("kind", "head", "max_length")
+    begun = heads(people, keys).groupBy(*keys).agg(F.collect_list(kinds).alias("_heads"))
+    first = texts.groupBy(*keys).agg(F.min("part").alias("_first")).join(begun, list(keys))
+    rows = attach(texts.withColumn("seq", F.col("part")), first, keys)
+    return rows.withColumn("t", F.explode("_heads")).select(
         *keys,
         F.col("t.kind").alias("kind"),
         (F.col("part") - F.col("_first")).alias("part"),
-        F.when(F.col("part") == F.col("_first"), F.concat(head, F.col("text")))
+        F.when(F.col("part") == F.col("_first"), F.concat(F.col("t.head"), F.col("text")))
         .otherwise(F.col("text"))
         .alias("prompt"),
         F.col("t.max_length").alias("max_length"),

@@ -50,11 +50,11 @@ def chat_summary(
             listed(chat_stats.avg_message_length(messages, keys), "who_sends_longer_messages", "sender"),
             listed(chat_stats.longest_message(messages, people, keys), "longest_message", "participant"),
             listed(chat_stats.reply_time(messages, people, keys=keys), "average_reply_time", "participant"),
-            listed(chat_stats.media_stats(messages, keys), "media_stats", "sender", "-n", "type"),
+            listed(chat_stats.media_stats(messages, keys, people), "media_stats", "sender", "-n", "type"),
             listed(chat_stats.active_hours(messages, keys), "most_active_chat_times", "hour"),
             listed(chat_stats.top_emojis(messages, keys=keys), "most_used_emojis", "rank"),
             listed(
-                chat_stats.top_emojis_by_sender(messages, keys=keys),
+                chat_stats.top_emojis_by_sender(messages, keys=keys, people=people),
                 "most_used_emojis_by_sender", "sender", "rank",
             ),
             listed(insights.phrase_counts(messages, people=people, keys=keys), "insights", "participant"),
