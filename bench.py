@@ -20,7 +20,7 @@ HEADLINE = (
     "longest_message", "swearing", "media_stats", "tail_sample", "expand_abbreviations", "preprocess",
     "spell_correct", "calls_per_day", "busiest_call_days", "days_without_calls", "longest_call",
     "mood_trends", "emotion_trend", "mood_heatmap", "love_score", "toxicity_summary", "top_emotions",
-    "score_all", "llm_prompts", "detect_language",
+    "score_all", "llm_prompts", "detect_language", "toxicity_model", "full_report",
 )
 
 
