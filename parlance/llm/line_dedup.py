@@ -164,9 +164,11 @@ def removals(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataF
     lines = lines.groupBy("__id", "__t").agg(*(F.first(c).alias(c) for c in ("hashes", "words", "numbers")))
     lines = stored(lines, "lines")
     holders = lines.select("__id", "__t", "hashes").mapInArrow(holder_batches, "line binary, __id bigint, __t bigint")
-    counted = (
+    # stored, so that the join has an exchange on both sides and a line of many documents is split
+    counted = stored(
         holders.groupBy("line").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("docs"))
-        .where("docs > 1").withColumnRenamed("line", "known")
+        .where("docs > 1").withColumnRenamed("line", "known"),
+        "held",
     )
     shared = holders.join(counted, holders["line"] == counted["known"]).where("first < __id")
     rarest = F.min("docs").over(Window.partitionBy("__id", "__t"))
