@@ -5,7 +5,7 @@ has a marker after another character (``pieces_stay_inside`` checks that), so no
 a character to a following marker, and a text falls into chunks, a run of markers and what follows
 up to the next marker, that are segmented independently.
 
-Every task keeps a table of the distinct chunks it has met.  A portion of texts becomes sequences of
+Every task keeps a table of the distinct chunks it has met.  A slice of texts becomes sequences of
 chunk numbers; the chunks that are new are segmented, each once, in one call; then the ids of each
 document are taken from the table by position, with begin and end ids, and decoded by the library.
 The table is started again when it holds ``TABLE`` chunks, which bounds its memory for any input.
@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import by_value
-from parlance.llm.textscan import portions
+from parlance.llm.textscan import slices
 
 by_value(__name__)
 
-#: Characters of text in a portion.
-PORTION = 2 << 20
+#: Bytes of text in a slice.
+PORTION = 1 << 20
 #: Distinct chunks a task remembers.
-TABLE = 500_000
+TABLE = 200_000
 MARK = "▁"
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
@@ -90,21 +90,19 @@ class ChunkTable:
 def encode_batches(batches, model):
     sp = load(model)
     table = ChunkTable(sp)
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in portions([len(t or "") for t in texts], PORTION):
-            found = [CHUNK.findall(" " + t) if t else [] for t in texts[a:b]]
-            table.learn([c for chunks in found for c in chunks])
-            ids = [table.take(chunks) for chunks in found]
-            decoded = [sp.decode(x.tolist()) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(a, b - a),
-                    pa.array([x.tobytes() for x in ids], pa.binary()),
-                    pa.array(decoded, pa.string()),
-                ],
-                ["doc_id", "ids", "decoded"],
-            )
+    for batch in slices(batches, "text", PORTION):
+        found = [CHUNK.findall(" " + t) if t else [] for t in batch.column("text").to_pylist()]
+        table.learn([c for chunks in found for c in chunks])
+        ids = [table.take(chunks) for chunks in found]
+        decoded = [sp.decode(x.tolist()) for x in ids]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([x.tobytes() for x in ids], pa.binary()),
+                pa.array(decoded, pa.string()),
+            ],
+            ["doc_id", "ids", "decoded"],
+        )
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

@@ -75,3 +75,13 @@ def utf8(column):
     import pyarrow as pa
 
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(batches, column, most):
+    """The rows of record batches in slices of about ``most`` bytes of a text column."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
+        for a, b in portions(sizes, most):
+            yield batch.slice(a, b - a)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import by_value
-from parlance.llm.textscan import portions
+from parlance.llm.textscan import slices
 
 by_value(__name__)
 
@@ -35,7 +35,7 @@ LEAF = 64
 CONTEXT = 2
 #: Pre-tokens a task remembers the counts of.
 CACHE = 200_000
-#: Characters of text in a portion.
+#: Bytes of text in a slice.
 PORTION = 4 << 20
 EDIT = "struct<start:bigint,length:bigint,replacement:string>"
 
@@ -167,19 +167,9 @@ def unpacked(data):
     return np.frombuffer(data, dtype="<u4").tolist()
 
 
-def small(batches):
-    """The same rows in batches of about PORTION bytes of text, whatever the number of rows."""
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        sizes = [n or 0 for n in pc.binary_length(batch.column("text")).to_pylist()]
-        for a, b in portions(sizes, PORTION):
-            yield batch.slice(a, b - a)
-
-
 def build_batches(batches, ranks_path, pattern, names):
     counter = Counter(ranks_path, pattern)
-    for batch in small(batches):
+    for batch in slices(batches, "text", PORTION):
         lengths, counts, totals = [], [], []
         for text in batch.column("text").to_pylist():
             a, b = split(text or "", counter)
@@ -192,7 +182,7 @@ def build_batches(batches, ranks_path, pattern, names):
 
 def edit_batches(batches, ranks_path, pattern):
     counter = Counter(ranks_path, pattern)
-    for batch in small(batches):
+    for batch in slices(batches, "text", PORTION):
         out = []
         for doc, text, a, b, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lengths", "counts", "edits"))):
             tree, done, text = Tree(unpacked(a), unpacked(b)), 0, text or ""
