@@ -42,10 +42,11 @@ CROWD = 4_096
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text, shingle=SHINGLE):
+def shingle_hashes(text, shingle):
+    """Hashes of the runs of ``shingle`` lower-cased words; of the whole text if it has no more."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
         pieces = [joined]
@@ -54,7 +55,13 @@ def fingerprint(text, shingle=SHINGLE):
         starts = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
         pieces = [joined[a:b] for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, SEED) for p in pieces), dtype="<u8", count=len(pieces))
+    return np.fromiter((digest(p, SEED) for p in pieces), dtype="<u8", count=len(pieces))
+
+
+def fingerprint(text, shingle=SHINGLE):
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
