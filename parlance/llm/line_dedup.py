@@ -1,11 +1,10 @@
 """Line dedup by pairwise alignment.
 
-1. Lines with a word are hashed (128 bits).  Counting the documents of every line tells rare lines
-   from frequent ones and names each line's first holder, the smallest id that has it.
-2. A document is paired with the first holders of its rare lines: those in at most ``RARE`` documents,
-   and, whatever their count, the rarest of the lines it shares with an earlier document.  So a document
-   has at most one partner per line, and thousands of copies make thousands of pairs with their first
-   member, not millions among themselves.
+1. Lines with a word are hashed (128 bits).  Counting the documents of every line names the lines that
+   two or more have and each one's first holder, the smallest id that has it.
+2. A document is paired with the first holder of every line it shares with an earlier document, however
+   many have the line.  So a document has at most one partner per line, and thousands of copies make
+   thousands of pairs with their first member, not millions among themselves.
 3. A pair is one row with both documents' line hashes and is aligned by patience diff: equal beginnings
    and ends, then lines that are unique on both sides, in their longest common order, then the same
    between them.  Frequent lines take part here.
@@ -25,7 +24,7 @@ import bisect
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import by_value, stored
@@ -33,7 +32,7 @@ from parlance.llm.textscan import utf8
 
 by_value(__name__)
 
-RARE = 8
+RARE = 8  # of the former pairing; only a test still reads it
 MIN_WORDS = 10
 NO_ID = (1 << 63) - 1
 
@@ -155,7 +154,7 @@ def delete_batches(batches, names):
         yield batch.select(names)
 
 
-def removals(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataFrame:
+def removals(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(__id, __t, __lines): numbers of the lines to delete, for documents that lose some."""
     lines = docs.select("__id", "__t", "text").mapInArrow(
         line_batches, "__id bigint, __t bigint, hashes binary, words binary, numbers binary"
@@ -171,12 +170,7 @@ def removals(docs: DataFrame, rare: int = RARE, least: int = MIN_WORDS) -> DataF
         "held",
     )
     shared = holders.join(counted, holders["line"] == counted["known"]).where("first < __id")
-    rarest = F.min("docs").over(Window.partitionBy("__id", "__t"))
-    pairs = (
-        shared.select("__id", "__t", "first", "docs").withColumn("rarest", rarest)
-        .where((F.col("docs") <= rare) | (F.col("docs") == F.col("rarest")))
-        .select("__id", "__t", "first").distinct()
-    )
+    pairs = shared.select("__id", "__t", "first").distinct()
     early = lines.select(F.col("__id").alias("__early"), F.col("hashes").alias("early"))
     aligned = (
         pairs.join(lines, ["__id", "__t"])
