@@ -6,8 +6,8 @@ of ``documents``; the last one returns token ids.  ``run`` applies them to the d
 1. quality classifier: documents scored below its cutoff go.
 2. line dedup: blocks of lines that an earlier document has go; n_chars follows the text.  A document
    that is nothing but such blocks stays with an empty text (all empty texts are one group below).
-3. near-dedup: of each group of texts linked at a Jaccard similarity of 0.8 or more of their five-word
-   shingles, one document stays.
+3. SimHash near-dedup: of each group of documents whose fingerprints over three-word shingles are linked
+   at three or fewer differing bits, one stays.
 4. mixing sources to target weights: documents leave their source's queue as often as its target asks
    (none to two times) and are ordered by training position.  A copy that the target would cut short
    is taken whole if at least half of it is asked for.
@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import line_dedup, mixing, near_dedup, quality_classifier, sentencepieces
+from parlance.llm import line_dedup, mixing, quality_classifier, sentencepieces, simhash
 from parlance.llm.common import documents, stored
 
 
@@ -35,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("line dedup", lines),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("mixing sources to target weights", mix),
     ("SentencePiece encoding and decoding", tokens),
 ]
