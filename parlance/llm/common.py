@@ -6,7 +6,7 @@ import math
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.session import scratch
@@ -46,3 +46,32 @@ def block_count(docs: DataFrame, block_bytes: int, text: str = "text") -> int:
     """How many blocks of about ``block_bytes`` the texts fill (one number reaches the driver)."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(1, math.ceil(total / block_bytes))
+
+
+def numbered(rows: DataFrame, order: list[str], keys: list[str] | None = None, label: str = "numbered") -> DataFrame:
+    """``rows`` with ``pos``, the place from 0 among rows of equal ``keys`` in ascending ``order``, and
+    ``count``, how many there are.  Nulls come first.
+
+    The rows are range-sorted and written with their partition and place in it; a key's place is
+    shifted by the counts of earlier partitions, one row per key and partition.  No key, however
+    frequent, is ordered in one task, provided ``order`` tells its rows apart.
+    """
+    keys = keys or []
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    laid = stored(
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()),
+        label,
+    ).withColumn("__part", F.shiftright("__at", 33))
+    parts = laid.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
+        *[F.col(c).alias(f"__{c}") for c in keys],
+        F.col("__part").alias("__p"),
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
+        F.sum("__n").over(whole).alias("count"),
+    )
+    same = F.col("__part") == F.col("__p")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return laid.join(starts, same).withColumn("pos", F.col("__at") + F.col("__shift")).select(*rows.columns, "pos", "count")

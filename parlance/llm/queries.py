@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parlance.llm import fingerprints, line_dedup, mixing, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, suffix_dedup, token_counts
+from parlance.llm import fingerprints, line_dedup, merkle, mixing, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, suffix_dedup, token_counts
 from parlance.llm.common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,9 +25,11 @@ QUERIES = {
         documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN
     ),
     "op10_fingerprints": lambda spark, sf_dir: fingerprints.fingerprints(documents(spark, sf_dir)),
+    "op13_merkle": lambda spark, sf_dir: merkle.merkle(documents(spark, sf_dir)),
 }
 
 ORACLE = {
     "op3_quality_rules": quality_rules.SQL,
     "op7_mixing": mixing.SQL,
+    "op13_merkle": merkle.SQL,
 }
