@@ -15,6 +15,11 @@ of such a phrase occurs as often, so:
    pass finds none.  Then every frequent phrase has been counted over all documents, whatever the
    sample missed.
 
+Pairs of words are by far the most, and nearly all of them are rare.  A block sends them as stripes: one
+row per first word with its sorted second words as small differences, about two bytes a pair.  A first
+word has as many stripes per block as its exact count asks for, so that no group of stripes holds much
+more than ``STRIPE`` pairs, however frequent the word.  Longer phrases travel as rows.
+
 What was proposed or found travels to the tasks as a Bloom filter of at most ``FILTER_BITS`` (16 MB,
 however large the corpus).  A filter has no false negatives, so that a full filter only means that more
 phrases are counted than needed.  Blocks add up equal phrases before anything is shuffled; phrases are
@@ -34,6 +39,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +55,9 @@ TOP = 2_000
 SHARE = 8
 PROPOSE = 5
 FILTER_BITS = 1 << 27
-#: Bytes of text in a block.
+#: Bytes of text in a block; pairs in a group of stripes.
 BLOCK = 8 << 20
+STRIPE = 1 << 20
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: No byte of UTF-8: stands for a break between pieces.
@@ -77,70 +84,175 @@ def parts(text, most):
     yield text[at:]
 
 
+def pack(tokens):
+    return zstandard.compress(np.ascontiguousarray(tokens, dtype=np.int32).tobytes(), 1)
+
+
+def unpack(data):
+    return np.frombuffer(zstandard.decompress(data), dtype=np.int32)
+
+
 def block_batches(batches, share, most):
-    """Per block of texts: sampled or not, language, word numbers (-1 at a break), the words and their counts."""
-    names = ["lang", "sampled", "tokens", "words", "counts"]
-    kinds = [pa.string(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+    """Per block of texts of a language: word numbers (-1 at a break), how many of them are of sampled
+    documents (they come first), the words and their counts."""
+    names = ["lang", "tokens", "sampled", "words", "counts"]
+    kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.binary()]
+    cut = lambda texts: BREAK.join(texts).replace(BREAK, b" " + BREAK + b" ").split()
     for batch in slices(batches, "text", most):
         held = {}
         ids = batch.column("doc_id").to_pylist()
         for i, lang, text in zip(ids, batch.column("lang").to_pylist(), utf8(batch.column("text"))):
             chosen = xxhash.xxh64_intdigest(text, (i or 0) & 0xFFFFFFFF) % share == 0
-            held.setdefault((lang, chosen), []).extend(parts(text.translate(TABLE), most))
-        for (lang, chosen), texts in held.items():
+            held.setdefault(lang, []).extend((not chosen, part) for part in parts(text.translate(TABLE), most))
+        for lang, texts in held.items():
+            texts.sort(key=lambda x: x[0])
             while texts:
                 n, size = 0, 0
-                while n < len(texts) and (not n or size + len(texts[n]) <= most):
-                    size += len(texts[n])
+                while n < len(texts) and (not n or size + len(texts[n][1]) <= most):
+                    size += len(texts[n][1])
                     n += 1
-                found = BREAK.join(texts[:n]).replace(BREAK, b" " + BREAK + b" ").split()
+                first = [*cut([x for late, x in texts[:n] if not late]), BREAK]
+                found = first + cut([x for late, x in texts[:n] if late])
                 texts = texts[n:]
-                if not found:
-                    continue
                 coded = pa.array(found, pa.binary()).dictionary_encode()
                 del found
                 tokens, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
                 counts = np.bincount(tokens, minlength=len(words)).astype(np.int64)
-                if BREAK in words:
-                    at = words.index(BREAK)
-                    tokens = np.where(tokens == at, -1, tokens - (tokens > at)).astype(np.int32)
-                    words.pop(at)
-                    counts = np.delete(counts, at)
-                row = [lang, chosen, tokens.astype(np.int32).tobytes(), words, counts.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+                at = words.index(BREAK)
+                tokens = np.where(tokens == at, -1, tokens - (tokens > at))
+                words.pop(at)
+                if words:
+                    row = [lang, pack(tokens), len(first), words, np.delete(counts, at).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
 
-def count_batches(batches):
-    """(block, lang, at, word, n) of every word of a block."""
+def word_hash(words):
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def count_batches(batches, known):
+    """(block, lang, at, word, n) of the words of a block that a filter lets pass."""
     for batch in batches:
         for block, lang, words, counts in rows_of(batch, "block", "lang", "words", "counts"):
+            at, counts = np.arange(len(words), dtype=np.int32), np.frombuffer(counts, dtype=np.int64)
+            if known is not None:
+                at = at[inside(known, word_hash(words))]
+                words, counts = [words[i] for i in at.tolist()], counts[at]
             n = len(words)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * n, pa.int64()), pa.array([lang] * n, pa.string()),
-                    pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()),
-                    pa.array(np.frombuffer(counts, dtype=np.int64)),
-                ],
+                [pa.array([block] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array(at), pa.array(words, pa.binary()), pa.array(counts)],
                 ["block", "lang", "at", "word", "n"],
             )
 
 
 def frequent_batches(batches):
-    """Blocks with frequent words only: numbers into ``ids``, -1 for anything else."""
+    """Blocks with frequent words only: numbers into ``ids`` and ``counts``, -1 for anything else."""
     for batch in batches:
         for sampled, tokens, known in rows_of(batch, "sampled", "tokens", "known"):
-            codes = np.frombuffer(tokens, dtype=np.int32)
+            codes = unpack(tokens)
+            known.sort(key=lambda x: x["id"])
             at = np.array([x["at"] for x in known], dtype=np.int64)
             to = np.full(max(int(codes.max(initial=0)), int(at.max(initial=0))) + 2, -1, dtype=np.int32)
             to[at] = np.arange(len(at))
             codes = to[codes]  # a break, -1, meets the last place
-            ids = np.array([x["id"] for x in known], dtype=np.int64)
+            whole = [np.array([x[c] for x in known], dtype=np.int64).tobytes() for c in ("id", "n")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sampled], pa.int32()), pa.array([pack(codes)], pa.binary()), *(pa.array([x], pa.binary()) for x in whole)],
+                ["sampled", "tokens", "ids", "counts"],
+            )
+
+
+def small(values):
+    """Unsigned integers with seven bits a byte, the last byte of each below 128, and where each ends."""
+    n = np.ones(len(values), dtype=np.int64)
+    for shift in range(7, 64, 7):
+        n += values >= (1 << shift)
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    for j in range(int(n.max(initial=0))):
+        some = n > j
+        out[(ends - n)[some] + j] = (values[some] >> (7 * j)) & 127 | np.where(n[some] > j + 1, 128, 0)
+    return out, ends
+
+
+def large(data):
+    """The integers of ``small``."""
+    last = np.flatnonzero(data < 128)
+    starts = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(len(data)) - np.repeat(starts, last + 1 - starts)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
+
+
+def pair_batches(batches, sample, stripe):
+    """Stripes of the pairs of frequent words: first word, part, and the second words, sorted, as differences."""
+    for batch in batches:
+        for sampled, tokens, ids, counts in rows_of(batch, "sampled", "tokens", "ids", "counts"):
+            c, ids = unpack(tokens).astype(np.int64), np.frombuffer(ids, dtype=np.int64)
+            c = c[:sampled] if sample else c
+            at = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
+            if not len(at):
+                continue
+            one, two = c[at], ids[c[at + 1]]
+            share = np.frombuffer(counts, dtype=np.int64) // stripe + 1
+            part = two % share[one]
+            order = np.lexsort((two, part, one))
+            one, two, part = one[order], two[order], part[order]
+            new = np.ones(len(one), dtype=bool)
+            new[1:] = (one[1:] != one[:-1]) | (part[1:] != part[:-1])
+            step = two.copy()
+            step[1:] -= np.where(new[1:], 0, two[:-1])
+            data, ends = small(step)
+            first = np.flatnonzero(new)
+            cuts = np.concatenate([[0], ends])[np.append(first, len(one))].astype(np.int32)
+            payload = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([sampled]), pa.array([codes.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())],
-                ["sampled", "tokens", "ids"],
+                [pa.array(ids[one[first]]), pa.array(part[first]), payload], ["first", "part", "seconds"]
             )
 
 
+def stripe_batches(batches, least, dtype):
+    """(phrase, n) of the pairs that occur ``least`` times, from stripes sorted by first word and part."""
+    held = None
+
+    def done(first, part, second, n):
+        order = np.lexsort((second, part, first))
+        first, second, n = first[order], second[order], n[order]
+        new = np.ones(len(first), dtype=bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        at = np.flatnonzero(new)
+        n = np.add.reduceat(n, at) if len(at) else n
+        return first[at], part[order][at], second[at], n
+
+    def rows(first, second, n):
+        keep = n >= least
+        out = np.stack([first[keep], second[keep]], axis=1).astype(dtype)
+        size = out.itemsize * 2
+        ends = np.arange(len(out) + 1, dtype=np.int32) * np.int32(size)
+        keys = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
+        return pa.RecordBatch.from_arrays([keys, pa.array(n[keep])], ["phrase", "n"])
+
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 2_000):
+            batch = whole.slice(lo, 2_000)
+            seconds = batch.column("seconds").to_pylist()
+            steps = large(np.frombuffer(b"".join(seconds), dtype=np.uint8))
+            count = np.fromiter((np.count_nonzero(np.frombuffer(x, np.uint8) < 128) for x in seconds), np.int64, len(seconds))
+            start = np.cumsum(count) - count
+            upto = np.cumsum(steps)
+            second = upto - np.repeat(np.concatenate([[0], upto])[start], count)
+            both = [np.repeat(batch.column(x).to_numpy(zero_copy_only=False), count) for x in ("first", "part")]
+            table = [*both, second, np.ones(len(second), dtype=np.int64)]
+            if held is not None:
+                table = [np.concatenate(x) for x in zip(held, table)]
+            # the last first word and part may go on in the next batch
+            first, part, second, n = done(*table)
+            last = (first == first[-1]) & (part == part[-1])
+            held = [x[last] for x in (first, part, second, n)]
+            yield rows(first[~last], second[~last], n[~last])
+    if held is not None:
+        yield rows(held[0], held[2], held[3])
+
+
 def phrase_hash(ids):
     """Hashes of phrases, one per row of a matrix of word ids."""
     h = np.full(len(ids), ids.shape[1], dtype=np.uint64)
@@ -160,16 +272,14 @@ def inside(table, h):
     return test(one) & test(two)
 
 
-def phrase_batches(batches, known, new, longest, dtype):
-    """(phrase, n) per block.
-
-    Without ``known`` all phrases of frequent words are counted.  With it those whose parts are both
-    known, and with ``new`` only those of them that have a new part.
-    """
+def phrase_batches(batches, sample, known, new, longest, dtype):
+    """(phrase, n) per block of the phrases of three words or more whose parts are both known, and with
+    ``new`` only those of them that have a new part."""
     width = np.dtype(dtype).itemsize
     for batch in batches:
-        for tokens, ids in rows_of(batch, "tokens", "ids"):
-            c, ids = np.frombuffer(tokens, dtype=np.int32).astype(np.int64), np.frombuffer(ids, dtype=np.int64)
+        for sampled, tokens, ids in rows_of(batch, "sampled", "tokens", "ids"):
+            c, ids = unpack(tokens).astype(np.int64), np.frombuffer(ids, dtype=np.int64)
+            c = c[:sampled] if sample else c
             number = c  # of the phrase that starts at a place
             good = c >= 0  # the phrase of one word less is known
             fresh = np.zeros(len(c), dtype=bool)  # and new
@@ -182,27 +292,21 @@ def phrase_batches(batches, known, new, longest, dtype):
                 code = number[at] * max(len(ids), 1) + c[at + k - 1]
                 _, first, back, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
                 words = ids[c[at[first][:, None] + np.arange(k)]]
-                send = slice(None)
-                if new is not None:
-                    send = np.flatnonzero((fresh[at] | fresh[at + 1])[first])
-                out = words[send].astype(dtype)
-                if len(out):
+                if k > 2:
+                    send = slice(None) if new is None else np.flatnonzero((fresh[at] | fresh[at + 1])[first])
+                    out = words[send].astype(dtype)
                     ends = np.arange(len(out) + 1, dtype=np.int32) * np.int32(k * width)
                     buffers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())]
                     phrases = pa.Array.from_buffers(pa.binary(), len(out), buffers)
                     yield pa.RecordBatch.from_arrays([phrases, pa.array(n[send].astype(np.int64))], ["phrase", "n"])
-                if k == longest:
-                    break
-                number = np.zeros(len(good) - 1, dtype=np.int64)
+                h = phrase_hash(words)
+                number = np.zeros(len(both), dtype=np.int64)
                 number[at] = back
-                good = both
-                if known is not None:
-                    h = phrase_hash(words)
-                    good = np.zeros(len(both), dtype=bool)
-                    good[at] = inside(known, h)[back]
-                    if new is not None:
-                        fresh = np.zeros(len(both), dtype=bool)
-                        fresh[at] = inside(new, h)[back] & good[at]
+                good = np.zeros(len(both), dtype=bool)
+                good[at] = inside(known, h)[back]
+                fresh = np.zeros(len(both), dtype=bool)
+                if new is not None:
+                    fresh[at] = inside(new, h)[back] & good[at]
 
 
 def bit_batches(batches, bits, dtype):
@@ -221,15 +325,28 @@ def bit_batches(batches, bits, dtype):
             )
 
 
-def bloom(phrases: DataFrame, bits: int, dtype: str) -> np.ndarray:
-    """A Bloom filter of ``bits`` over phrases; bits are combined by Spark, one word a row reaches the driver."""
-    rows = phrases.select("phrase").mapInArrow(lambda it: bit_batches(it, bits, dtype), "slot bigint, bits bigint")
+def word_bit_batches(batches, bits):
+    for batch in batches:
+        at = np.concatenate(places(word_hash(batch.column("word").to_pylist()), bits))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
+            ["slot", "bits"],
+        )
+
+
+def gathered(rows: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` from rows (slot, bits): Spark combines them, one word a row reaches the driver."""
     found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(bits // 64, dtype=np.uint64)
     table[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return table
 
 
+def bloom(phrases: DataFrame, bits: int, dtype: str) -> np.ndarray:
+    rows = phrases.select("phrase").mapInArrow(lambda it: bit_batches(it, bits, dtype), "slot bigint, bits bigint")
+    return gathered(rows, bits)
+
+
 def filter_size(n: int, most: int) -> int:
     bits = 1 << 10
     while bits < 16 * n and bits < most:
@@ -243,61 +360,91 @@ def blocks_of(docs: DataFrame, share: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("string"))
     cut = rows.mapInArrow(
         lambda it: block_batches(it, share, most),
-        "lang string, sampled boolean, tokens binary, words array<binary>, counts binary",
+        "lang string, tokens binary, sampled int, words array<binary>, counts binary",
     )
     return stored(cut.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
 def frequent_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent words (lang, word, n, id), the words of each language (lang, total) and the blocks of frequent words."""
-    words = blocks.select("block", "lang", "words", "counts").mapInArrow(
-        count_batches, "block bigint, lang string, at int, word binary, n bigint"
+    spark = blocks.sparkSession
+    look = lambda known: blocks.select("block", "lang", "words", "counts").mapInArrow(
+        lambda it: count_batches(it, known and known.value), "block bigint, lang string, at int, word binary, n bigint"
     )
-    sums = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    sums = stored(look(None).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
     known = numbered(sums.where(F.col("n") >= least), ["lang", "word"], label="frequent").drop("count")
     known = stored(known.withColumnRenamed("pos", "id"), "numbers")
+    bits = filter_size(known.count(), FILTER_BITS)
+    table = gathered(known.select("word").mapInArrow(lambda it: word_bit_batches(it, bits), "slot bigint, bits bigint"), bits)
+    named = known.select(F.col("lang").alias("_lang"), F.col("word").alias("_word"), "id", F.col("n").alias("_n"))
     met = (
-        words.join(known.select(F.col("lang").alias("_lang"), F.col("word").alias("_word"), "id"), (F.col("lang") == F.col("_lang")) & (F.col("word") == F.col("_word")))
+        look(spark.sparkContext.broadcast(table))
+        .join(named, (F.col("lang") == F.col("_lang")) & (F.col("word") == F.col("_word")))
         .groupBy(F.col("block").alias("_block"))
-        .agg(F.collect_list(F.struct("at", "id")).alias("known"))
+        .agg(F.collect_list(F.struct("at", "id", F.col("_n").alias("n"))).alias("known"))
     )
     coded = (
         blocks.select("block", "sampled", "tokens")
         .join(met, F.col("block") == F.col("_block"))
         .select("sampled", "tokens", "known")
-        .mapInArrow(frequent_batches, "sampled boolean, tokens binary, ids binary")
+        .mapInArrow(frequent_batches, "sampled int, tokens binary, ids binary, counts binary")
     )
     return known, totals, stored(coded, "coded")
 
 
-def _counts(coded: DataFrame, known, new, longest: int, dtype: str) -> DataFrame:
-    """Exact counts of the phrases that a pass looks at."""
+def pair_counts(coded: DataFrame, sample: bool, least: int, dtype: str) -> DataFrame:
+    """(phrase, n) of the pairs of frequent words that occur ``least`` times."""
+    stripe = STRIPE
+    stripes = coded.mapInArrow(lambda it: pair_batches(it, sample, stripe), "first bigint, part bigint, seconds binary")
+    return (
+        stripes.repartition("first", "part")
+        .sortWithinPartitions("first", "part")
+        .mapInArrow(lambda it: stripe_batches(it, least, dtype), "phrase binary, n bigint")
+    )
+
+
+def longer_counts(coded: DataFrame, sample: bool, known, new, longest: int, dtype: str) -> DataFrame:
+    """Exact counts of the longer phrases that a pass looks at."""
     spark = coded.sparkSession
-    send = lambda table: None if table is None else spark.sparkContext.broadcast(table)
-    known, new = send(known), send(new)
-    value = lambda b: None if b is None else b.value
+    known, new = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(new)
     return (
-        coded.select("tokens", "ids")
-        .mapInArrow(lambda it: phrase_batches(it, value(known), value(new), longest, dtype), "phrase binary, n bigint")
+        coded.select("sampled", "tokens", "ids")
+        .mapInArrow(lambda it: phrase_batches(it, sample, known.value, new.value, longest, dtype), "phrase binary, n bigint")
         .groupBy("phrase")
         .agg(F.sum("n").alias("n"))
     )
 
 
+def proposals(coded: DataFrame, propose: int, longest: int, dtype: str) -> DataFrame:
+    """Phrases with ``propose`` occurrences in the sample, length by length."""
+    last = stored(pair_counts(coded, True, propose, dtype).select("phrase"), "proposed")
+    seen = last
+    for k in range(3, longest + 1):
+        bits = filter_size(seen.count(), FILTER_BITS)
+        counted = longer_counts(coded, True, bloom(seen, bits, dtype), bloom(last, bits, dtype), k, dtype)
+        last = stored(counted.where(F.col("n") >= propose).select("phrase"), "proposed")
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    return seen
+
+
 def frequent_phrases(coded: DataFrame, least: int, propose: int, longest: int, dtype: str) -> tuple[DataFrame, int]:
     """(phrase, n) of all phrases of two words or more that occur ``least`` times, and the number of full passes."""
     width = np.dtype(dtype).itemsize
-    sample = _counts(coded.where("sampled"), None, None, longest, dtype).where(F.col("n") >= propose)
-    seen = stored(sample.select("phrase"), "proposed")
+    seen = stored(proposals(coded, propose, longest, dtype), "proposals")
     bits = filter_size(seen.count(), FILTER_BITS)
-    known, new, found, passes = bloom(seen, bits, dtype), None, None, 0
+    known, new, passes = bloom(seen, bits, dtype), None, 0
+    found = stored(pair_counts(coded, False, least, dtype), "pairs")
+    fresh = found
     while True:
-        counted = stored(_counts(coded, known, new, longest, dtype).where(F.col("n") >= least), "counted")
+        counted = longer_counts(coded, False, known, new, longest, dtype).where(F.col("n") >= least)
+        counted = stored(counted, "counted")
         passes += 1
-        found = counted if found is None else found.unionByName(counted)
+        found, fresh = found.unionByName(counted), counted if passes > 1 else fresh.unionByName(counted)
         failed = stored(
-            counted.where(F.octet_length("phrase") < longest * width).select("phrase").join(seen, "phrase", "left_anti"),
+            fresh.where(F.octet_length("phrase") < longest * width).select("phrase").join(seen, "phrase", "left_anti"),
             "failed",
         )
         if failed.isEmpty():
@@ -354,7 +501,10 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
         .select("lang", F.col("text").alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score")
     )
-    best = top_n(scored, top, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")])
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # parts of a language first, so that its last ranking sees a fixed number of rows at most
+    some = top_n(scored.withColumn("_part", F.pmod(F.hash("phrase"), F.lit(16))), top, ["lang", "_part"], order)
+    best = top_n(some.drop("rank", "_part"), top, ["lang"], order)
     return best.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
 from parlance.llm import collocations
@@ -74,6 +75,7 @@ def found(df):
 def test_exact_whatever_the_sample(spark, monkeypatch, share, propose, bits, block):
     monkeypatch.setattr(collocations, "FILTER_BITS", bits)
     monkeypatch.setattr(collocations, "BLOCK", block)
+    monkeypatch.setattr(collocations, "STRIPE", block)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     out = collocations.mine(docs, least=6, top=15, share=share, propose=propose)
@@ -100,6 +102,14 @@ def test_failures_of_the_sample_are_followed(spark):
     assert passes <= 4 and good.count() == len(everything)
 
 
+def test_small_integers():
+    rng = np.random.default_rng(0)
+    values = np.concatenate([rng.integers(0, 1 << b, 200) for b in (1, 7, 8, 14, 15, 31, 40)])
+    data, ends = collocations.small(values)
+    assert collocations.large(data).tolist() == values.tolist()
+    assert ends[-1] == len(data) and (data[ends - 1] < 128).all()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert collocations.collocations(docs).count() == 0
