@@ -4,21 +4,25 @@ Phrases are runs of 2 to ``LONGEST`` words inside a piece of text (no punctuatio
 between), counted per language.  Only phrases that occur ``LEAST`` times or more matter, and every part
 of such a phrase occurs as often, so:
 
-1. Documents become blocks of word numbers; each block counts its own words, and the sums name the
-   frequent words exactly.  Blocks are then stored with frequent words only.
-2. A sample of the documents (one of ``SHARE``, by a hash of id and text) proposes phrases: those with
-   ``PROPOSE`` or more occurrences in it.  That is less than the share of ``LEAST``, so few are missed.
-3. A full pass counts exactly every phrase that occurs and whose two parts, the phrase without its
-   last word and the phrase without its first, were proposed: the proposals and their negative border.
-4. A border phrase that proves frequent is a failure of the sample: phrases that it is a part of may be
+1. Documents become blocks of numbered words; each block counts its own words, and the sums name the
+   frequent words exactly.  A word's id is a hash of language and word that is checked to be its own
+   (ids grow until no two words share one).  Blocks are then stored with frequent words only.
+2. Every pair of frequent words is counted exactly: the pairs are the negative border of the words.
+3. A sample of the documents (one of ``SHARE``, by a hash of id and text) proposes longer phrases, length
+   by length: those whose parts, the phrase without its last word and the phrase without its first, are
+   frequent pairs or proposed and that occur ``PROPOSE`` times in it.  That is less than the share of
+   ``LEAST``, so few are missed.
+4. A full pass counts exactly every longer phrase that occurs and whose two parts are frequent pairs or
+   proposed: the proposals and their negative border.
+5. A border phrase that proves frequent is a failure of the sample: phrases that it is a part of may be
    frequent too.  Such failures trigger a pass that counts the phrases they extend to, and so on until a
    pass finds none.  Then every frequent phrase has been counted over all documents, whatever the
    sample missed.
 
 Pairs of words are by far the most, and nearly all of them are rare.  A block sends them as stripes: one
-row per first word with its sorted second words as small differences, about two bytes a pair.  A first
-word has as many stripes per block as its exact count asks for, so that no group of stripes holds much
-more than ``STRIPE`` pairs, however frequent the word.  Longer phrases travel as rows.
+row per first word with its sorted second words as small differences.  Stripes of words that occur
+``STRIPE`` times or more are cut into parts by second word, so that no group of stripes holds much more
+than that, however frequent the word.  Longer phrases travel as rows.
 
 What was proposed or found travels to the tasks as a Bloom filter of at most ``FILTER_BITS`` (16 MB,
 however large the corpus).  A filter has no false negatives, so that a full filter only means that more
@@ -43,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import by_value, numbered, stored
+from parlance.llm.common import by_value, stored
 from parlance.llm.textscan import mix, slices, utf8
 from parlance.plans.topk import top_n
 
@@ -126,46 +130,80 @@ def block_batches(batches, share, most):
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
 
-def word_hash(words):
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+def word_hash(lang, words):
+    seed = xxhash.xxh3_64_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def count_batches(batches, known):
-    """(block, lang, at, word, n) of the words of a block that a filter lets pass."""
+def shortened(h, width):
+    """Ids of ``width`` bytes from hashes; never negative."""
+    return (h >> np.uint64(max(1, 64 - 8 * width))).astype(np.int64)
+
+
+def keys_of(ids, width):
+    """An Arrow column of phrases from a matrix of word ids, the words' bytes in order."""
+    n, k = ids.shape
+    data = np.ascontiguousarray(ids.astype(">i8").view(np.uint8).reshape(n, k, 8)[:, :, 8 - width :])
+    ends = np.arange(n + 1, dtype=np.int32) * np.int32(k * width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def ids_of(data, k, width):
+    """The matrix of word ids of phrases of ``k`` words."""
+    held = np.frombuffer(data, dtype=np.uint8).reshape(-1, k, width)
+    whole = np.zeros((len(held), k, 8), dtype=np.uint8)
+    whole[:, :, 8 - width :] = held
+    return whole.reshape(len(held), k * 8).view(">i8").astype(np.int64)
+
+
+def count_batches(batches):
+    """(lang, word, n) of the words of a block."""
     for batch in batches:
-        for block, lang, words, counts in rows_of(batch, "block", "lang", "words", "counts"):
-            at, counts = np.arange(len(words), dtype=np.int32), np.frombuffer(counts, dtype=np.int64)
-            if known is not None:
-                at = at[inside(known, word_hash(words))]
-                words, counts = [words[i] for i in at.tolist()], counts[at]
-            n = len(words)
+        for lang, words, counts in rows_of(batch, "lang", "words", "counts"):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array(at), pa.array(words, pa.binary()), pa.array(counts)],
-                ["block", "lang", "at", "word", "n"],
+                [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(np.frombuffer(counts, dtype=np.int64))],
+                ["lang", "word", "n"],
             )
 
 
-def frequent_batches(batches):
-    """Blocks with frequent words only: numbers into ``ids`` and ``counts``, -1 for anything else."""
+def row_hashes(batch):
+    """The hashes of rows (lang, word)."""
+    langs, words = batch.column("lang").to_pylist(), batch.column("word").to_pylist()
+    h = np.zeros(len(words), dtype=np.uint64)
+    for lang in set(langs):
+        at = np.array([i for i, x in enumerate(langs) if x == lang])
+        h[at] = word_hash(lang, [words[i] for i in at.tolist()])
+    return h
+
+
+def id_batches(batches, known, width):
+    """(id, lang, word, n) of the words that a filter lets pass."""
+    for batch in batches:
+        h = row_hashes(batch)
+        columns = [pa.array(shortened(h, width)), *(batch.column(c) for c in ("lang", "word", "n"))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "word", "n"]).filter(pa.array(inside(known, h)))
+
+
+def frequent_batches(batches, known, hot, width):
+    """Blocks with frequent words only: numbers into ``ids``, -1 for anything else; which of them are hot."""
     for batch in batches:
-        for sampled, tokens, known in rows_of(batch, "sampled", "tokens", "known"):
-            codes = unpack(tokens)
-            known.sort(key=lambda x: x["id"])
-            at = np.array([x["at"] for x in known], dtype=np.int64)
-            to = np.full(max(int(codes.max(initial=0)), int(at.max(initial=0))) + 2, -1, dtype=np.int32)
+        for lang, sampled, tokens, words in rows_of(batch, "lang", "sampled", "tokens", "words"):
+            codes, h = unpack(tokens), word_hash(lang, words)
+            at = np.flatnonzero(inside(known, h))
+            to = np.full(len(words) + 1, -1, dtype=np.int32)
             to[at] = np.arange(len(at))
             codes = to[codes]  # a break, -1, meets the last place
-            whole = [np.array([x[c] for x in known], dtype=np.int64).tobytes() for c in ("id", "n")]
+            whole = [shortened(h[at], width).tobytes(), inside(hot, h[at]).tobytes()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([sampled], pa.int32()), pa.array([pack(codes)], pa.binary()), *(pa.array([x], pa.binary()) for x in whole)],
-                ["sampled", "tokens", "ids", "counts"],
+                ["sampled", "tokens", "ids", "hot"],
             )
 
 
 def small(values):
     """Unsigned integers with seven bits a byte, the last byte of each below 128, and where each ends."""
     n = np.ones(len(values), dtype=np.int64)
-    for shift in range(7, 64, 7):
+    for shift in range(7, 63, 7):
         n += values >= (1 << shift)
     ends = np.cumsum(n)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
@@ -183,18 +221,16 @@ def large(data):
     return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
 
 
-def pair_batches(batches, sample, stripe):
+def pair_batches(batches, split):
     """Stripes of the pairs of frequent words: first word, part, and the second words, sorted, as differences."""
     for batch in batches:
-        for sampled, tokens, ids, counts in rows_of(batch, "sampled", "tokens", "ids", "counts"):
+        for tokens, ids, hot in rows_of(batch, "tokens", "ids", "hot"):
             c, ids = unpack(tokens).astype(np.int64), np.frombuffer(ids, dtype=np.int64)
-            c = c[:sampled] if sample else c
             at = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
             if not len(at):
                 continue
             one, two = c[at], ids[c[at + 1]]
-            share = np.frombuffer(counts, dtype=np.int64) // stripe + 1
-            part = two % share[one]
+            part = np.where(np.frombuffer(hot, dtype=bool)[one], two % split, 0)
             order = np.lexsort((two, part, one))
             one, two, part = one[order], two[order], part[order]
             new = np.ones(len(one), dtype=bool)
@@ -210,7 +246,7 @@ def pair_batches(batches, sample, stripe):
             )
 
 
-def stripe_batches(batches, least, dtype):
+def stripe_batches(batches, least, width):
     """(phrase, n) of the pairs that occur ``least`` times, from stripes sorted by first word and part."""
     held = None
 
@@ -225,10 +261,7 @@ def stripe_batches(batches, least, dtype):
 
     def rows(first, second, n):
         keep = n >= least
-        out = np.stack([first[keep], second[keep]], axis=1).astype(dtype)
-        size = out.itemsize * 2
-        ends = np.arange(len(out) + 1, dtype=np.int32) * np.int32(size)
-        keys = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
+        keys = keys_of(np.stack([first[keep], second[keep]], axis=1), width)
         return pa.RecordBatch.from_arrays([keys, pa.array(n[keep])], ["phrase", "n"])
 
     for whole in batches:
@@ -239,7 +272,7 @@ def stripe_batches(batches, least, dtype):
             count = np.fromiter((np.count_nonzero(np.frombuffer(x, np.uint8) < 128) for x in seconds), np.int64, len(seconds))
             start = np.cumsum(count) - count
             upto = np.cumsum(steps)
-            second = upto - np.repeat(np.concatenate([[0], upto])[start], count)
+            second = upto - np.repeat(np.concatenate([[0], upto])[start], count)  # sums may wrap, differences don't
             both = [np.repeat(batch.column(x).to_numpy(zero_copy_only=False), count) for x in ("first", "part")]
             table = [*both, second, np.ones(len(second), dtype=np.int64)]
             if held is not None:
@@ -272,10 +305,9 @@ def inside(table, h):
     return test(one) & test(two)
 
 
-def phrase_batches(batches, sample, known, new, longest, dtype):
+def phrase_batches(batches, sample, known, new, longest, width):
     """(phrase, n) per block of the phrases of three words or more whose parts are both known, and with
     ``new`` only those of them that have a new part."""
-    width = np.dtype(dtype).itemsize
     for batch in batches:
         for sampled, tokens, ids in rows_of(batch, "sampled", "tokens", "ids"):
             c, ids = unpack(tokens).astype(np.int64), np.frombuffer(ids, dtype=np.int64)
@@ -294,10 +326,7 @@ def phrase_batches(batches, sample, known, new, longest, dtype):
                 words = ids[c[at[first][:, None] + np.arange(k)]]
                 if k > 2:
                     send = slice(None) if new is None else np.flatnonzero((fresh[at] | fresh[at + 1])[first])
-                    out = words[send].astype(dtype)
-                    ends = np.arange(len(out) + 1, dtype=np.int32) * np.int32(k * width)
-                    buffers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())]
-                    phrases = pa.Array.from_buffers(pa.binary(), len(out), buffers)
+                    phrases = keys_of(words[send], width)
                     yield pa.RecordBatch.from_arrays([phrases, pa.array(n[send].astype(np.int64))], ["phrase", "n"])
                 h = phrase_hash(words)
                 number = np.zeros(len(both), dtype=np.int64)
@@ -309,42 +338,44 @@ def phrase_batches(batches, sample, known, new, longest, dtype):
                     fresh[at] = inside(new, h)[back] & good[at]
 
 
-def bit_batches(batches, bits, dtype):
-    """The words of a filter that phrases set, with their bits."""
-    width = np.dtype(dtype).itemsize
+def bits_of(h, bits):
+    """The 64-bit slots of a filter that hashes set, with their bits."""
+    at = np.concatenate(places(h, bits))
+    set_to = np.uint64(1) << (at & np.uint64(63))
+    return pa.RecordBatch.from_arrays(
+        [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(set_to.view(np.int64))], ["slot", "bits"]
+    )
+
+
+def bit_batches(batches, bits, width):
     for batch in batches:
         found = {}
         for phrase in batch.column("phrase").to_pylist():
             found.setdefault(len(phrase) // width, []).append(phrase)
         for k, phrases in found.items():
-            h = phrase_hash(np.frombuffer(b"".join(phrases), dtype=dtype).reshape(-1, k).astype(np.int64))
-            at = np.concatenate(places(h, bits))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
-                ["slot", "bits"],
-            )
+            yield bits_of(phrase_hash(ids_of(b"".join(phrases), k, width)), bits)
 
 
 def word_bit_batches(batches, bits):
     for batch in batches:
-        at = np.concatenate(places(word_hash(batch.column("word").to_pylist()), bits))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
-            ["slot", "bits"],
-        )
+        yield bits_of(row_hashes(batch), bits)
 
 
-def gathered(rows: DataFrame, bits: int) -> np.ndarray:
-    """A filter of ``bits`` from rows (slot, bits): Spark combines them, one word a row reaches the driver."""
-    found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+def bloom(rows: DataFrame, bits: int, set_bits) -> np.ndarray:
+    """A Bloom filter of ``bits``: Spark combines the bits, one slot of 64 a row reaches the driver."""
+    found = rows.mapInArrow(set_bits, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(bits // 64, dtype=np.uint64)
     table[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return table
 
 
-def bloom(phrases: DataFrame, bits: int, dtype: str) -> np.ndarray:
-    rows = phrases.select("phrase").mapInArrow(lambda it: bit_batches(it, bits, dtype), "slot bigint, bits bigint")
-    return gathered(rows, bits)
+def phrase_filter(phrases: DataFrame, bits: int, width: int) -> np.ndarray:
+    return bloom(phrases.select("phrase"), bits, lambda it: bit_batches(it, bits, width))
+
+
+def word_filter(words: DataFrame) -> np.ndarray:
+    bits = filter_size(words.count(), FILTER_BITS)
+    return bloom(words.select("lang", "word", "n"), bits, lambda it: word_bit_batches(it, bits))
 
 
 def filter_size(n: int, most: int) -> int:
@@ -365,64 +396,60 @@ def blocks_of(docs: DataFrame, share: int) -> DataFrame:
     return stored(cut.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def frequent_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frequent words (lang, word, n, id), the words of each language (lang, total) and the blocks of frequent words."""
-    spark = blocks.sparkSession
-    look = lambda known: blocks.select("block", "lang", "words", "counts").mapInArrow(
-        lambda it: count_batches(it, known and known.value), "block bigint, lang string, at int, word binary, n bigint"
-    )
-    sums = stored(look(None).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+def frequent_words(blocks: DataFrame, least: int):
+    """Frequent words (id, lang, word, n), the words of each language (lang, total), the blocks of frequent
+    words, the bytes of an id and the parts of a hot word's stripes."""
+    send = blocks.sparkSession.sparkContext.broadcast
+    counted = blocks.select("lang", "words", "counts").mapInArrow(count_batches, "lang string, word binary, n bigint")
+    sums = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
-    known = numbered(sums.where(F.col("n") >= least), ["lang", "word"], label="frequent").drop("count")
-    known = stored(known.withColumnRenamed("pos", "id"), "numbers")
-    bits = filter_size(known.count(), FILTER_BITS)
-    table = gathered(known.select("word").mapInArrow(lambda it: word_bit_batches(it, bits), "slot bigint, bits bigint"), bits)
-    named = known.select(F.col("lang").alias("_lang"), F.col("word").alias("_word"), "id", F.col("n").alias("_n"))
-    met = (
-        look(spark.sparkContext.broadcast(table))
-        .join(named, (F.col("lang") == F.col("_lang")) & (F.col("word") == F.col("_word")))
-        .groupBy(F.col("block").alias("_block"))
-        .agg(F.collect_list(F.struct("at", "id", F.col("_n").alias("n"))).alias("known"))
-    )
-    coded = (
-        blocks.select("block", "sampled", "tokens")
-        .join(met, F.col("block") == F.col("_block"))
-        .select("sampled", "tokens", "known")
-        .mapInArrow(frequent_batches, "sampled int, tokens binary, ids binary, counts binary")
+    often = sums.where(F.col("n") >= least)
+    known, hot = send(word_filter(often)), send(word_filter(often.where(F.col("n") >= STRIPE)))
+    for width in range(4, 9):
+        size = width
+        named = sums.mapInArrow(lambda it: id_batches(it, known.value, size), "id bigint, lang string, word binary, n bigint")
+        named = stored(named, "named")  # what the filter lets pass, some rare words too
+        if named.groupBy("id").count().where("count > 1").isEmpty():
+            break
+    else:
+        raise ValueError("two words share a hash of 63 bits")
+    split = (often.agg(F.max("n")).first()[0] or 0) // STRIPE + 1
+    coded = blocks.select("lang", "sampled", "tokens", "words").mapInArrow(
+        lambda it: frequent_batches(it, known.value, hot.value, size), "sampled int, tokens binary, ids binary, hot binary"
     )
-    return known, totals, stored(coded, "coded")
+    return named.where(F.col("n") >= least), totals, stored(coded, "coded"), width, split
 
 
-def pair_counts(coded: DataFrame, sample: bool, least: int, dtype: str) -> DataFrame:
+def pair_counts(coded: DataFrame, least: int, width: int, split: int) -> DataFrame:
     """(phrase, n) of the pairs of frequent words that occur ``least`` times."""
-    stripe = STRIPE
-    stripes = coded.mapInArrow(lambda it: pair_batches(it, sample, stripe), "first bigint, part bigint, seconds binary")
+    stripes = coded.select("tokens", "ids", "hot").mapInArrow(
+        lambda it: pair_batches(it, split), "first bigint, part bigint, seconds binary"
+    )
     return (
         stripes.repartition("first", "part")
         .sortWithinPartitions("first", "part")
-        .mapInArrow(lambda it: stripe_batches(it, least, dtype), "phrase binary, n bigint")
+        .mapInArrow(lambda it: stripe_batches(it, least, width), "phrase binary, n bigint")
     )
 
 
-def longer_counts(coded: DataFrame, sample: bool, known, new, longest: int, dtype: str) -> DataFrame:
+def longer_counts(coded: DataFrame, sample: bool, known, new, longest: int, width: int) -> DataFrame:
     """Exact counts of the longer phrases that a pass looks at."""
     spark = coded.sparkSession
     known, new = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(new)
     return (
         coded.select("sampled", "tokens", "ids")
-        .mapInArrow(lambda it: phrase_batches(it, sample, known.value, new.value, longest, dtype), "phrase binary, n bigint")
+        .mapInArrow(lambda it: phrase_batches(it, sample, known.value, new.value, longest, width), "phrase binary, n bigint")
         .groupBy("phrase")
         .agg(F.sum("n").alias("n"))
     )
 
 
-def proposals(coded: DataFrame, propose: int, longest: int, dtype: str) -> DataFrame:
-    """Phrases with ``propose`` occurrences in the sample, length by length."""
-    last = stored(pair_counts(coded, True, propose, dtype).select("phrase"), "proposed")
-    seen = last
+def proposals(coded: DataFrame, pairs: DataFrame, propose: int, longest: int, width: int) -> DataFrame:
+    """The pairs and longer phrases with ``propose`` occurrences in the sample, length by length."""
+    seen = last = pairs.select("phrase")
     for k in range(3, longest + 1):
         bits = filter_size(seen.count(), FILTER_BITS)
-        counted = longer_counts(coded, True, bloom(seen, bits, dtype), bloom(last, bits, dtype), k, dtype)
+        counted = longer_counts(coded, True, phrase_filter(seen, bits, width), phrase_filter(last, bits, width), k, width)
         last = stored(counted.where(F.col("n") >= propose).select("phrase"), "proposed")
         if last.isEmpty():
             break
@@ -430,38 +457,35 @@ def proposals(coded: DataFrame, propose: int, longest: int, dtype: str) -> DataF
     return seen
 
 
-def frequent_phrases(coded: DataFrame, least: int, propose: int, longest: int, dtype: str) -> tuple[DataFrame, int]:
-    """(phrase, n) of all phrases of two words or more that occur ``least`` times, and the number of full passes."""
-    width = np.dtype(dtype).itemsize
-    seen = stored(proposals(coded, propose, longest, dtype), "proposals")
+def frequent_phrases(coded: DataFrame, least: int, propose: int, longest: int, width: int, split: int) -> tuple[DataFrame, int]:
+    """(phrase, n) of all phrases of two words or more that occur ``least`` times, and the number of full
+    passes over longer phrases."""
+    found = stored(pair_counts(coded, least, width, split), "pairs")
+    seen = proposals(coded, found, propose, longest, width)
     bits = filter_size(seen.count(), FILTER_BITS)
-    known, new, passes = bloom(seen, bits, dtype), None, 0
-    found = stored(pair_counts(coded, False, least, dtype), "pairs")
-    fresh = found
+    known, new, passes = phrase_filter(seen, bits, width), None, 0
     while True:
-        counted = longer_counts(coded, False, known, new, longest, dtype).where(F.col("n") >= least)
+        counted = longer_counts(coded, False, known, new, longest, width).where(F.col("n") >= least)
         counted = stored(counted, "counted")
         passes += 1
-        found, fresh = found.unionByName(counted), counted if passes > 1 else fresh.unionByName(counted)
+        found = found.unionByName(counted)
         failed = stored(
-            fresh.where(F.octet_length("phrase") < longest * width).select("phrase").join(seen, "phrase", "left_anti"),
+            counted.where(F.octet_length("phrase") < longest * width).select("phrase").join(seen, "phrase", "left_anti"),
             "failed",
         )
         if failed.isEmpty():
             # a phrase that two passes counted has the same number twice
             return found.groupBy("phrase").agg(F.max("n").alias("n")), passes
-        new = bloom(failed, bits, dtype)
+        new = phrase_filter(failed, bits, width)
         known = known | new
         seen = seen.unionByName(failed)
 
 
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE, propose: int = PROPOSE, longest: int = LONGEST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the ``top`` phrases of each language."""
-    words, totals, coded = frequent_words(blocks_of(docs, share), least)
-    dtype = ">u4" if words.count() < 1 << 32 else ">u8"
-    width = np.dtype(dtype).itemsize
-    phrases = stored(frequent_phrases(coded, least, propose, longest, dtype)[0], "phrases")
-    word_key = F.unhex(F.lpad(F.hex("id"), 2 * width, "0"))
+    words, totals, coded, width, split = frequent_words(blocks_of(docs, share), least)
+    phrases = stored(frequent_phrases(coded, least, propose, longest, width, split)[0], "phrases")
+    word_key = F.expr(f"substring(unhex(lpad(hex(id), 16, '0')), {9 - width}, {width})")
     counts = phrases.select("phrase", "n").unionByName(words.select(word_key.alias("phrase"), "n"))
     size = f"(octet_length(phrase) div {width})"
     # of the same count as a phrase one word longer that has it as a part

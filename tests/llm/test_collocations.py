@@ -84,22 +84,30 @@ def test_exact_whatever_the_sample(spark, monkeypatch, share, propose, bits, blo
 
 
 def test_failures_of_the_sample_are_followed(spark):
-    """A phrase that no proposal leads to is reached by as many passes as it has words beyond two."""
+    """Without proposals a frequent phrase is reached by as many passes as it has words beyond two."""
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
-    words, _, coded = collocations.frequent_words(collocations.blocks_of(docs, 4), 6)
-    out, passes = collocations.frequent_phrases(coded, 6, 10**6, 5, ">u4")
-    assert passes == 4
+    words, _, coded, width, split = collocations.frequent_words(collocations.blocks_of(docs, 4), 6)
+    out, passes = collocations.frequent_phrases(coded, 6, 10**6, 5, width, split)
+    assert passes == 3
     everything = {(lang, p): c for lang, f in counted(rows, 5).items() for p, c in f.items() if c >= 6 and len(p) > 1}
     names = {r["id"]: (r["lang"], bytes(r["word"]).decode()) for r in words.collect()}
     got = {}
     for r in out.collect():
         key = bytes(r["phrase"])
-        ids = [int.from_bytes(key[i : i + 4], "big") for i in range(0, len(key), 4)]
+        ids = [int.from_bytes(key[i : i + width], "big") for i in range(0, len(key), width)]
         got[names[ids[0]][0], tuple(names[i][1] for i in ids)] = r["n"]
     assert got == everything
-    good, passes = collocations.frequent_phrases(coded, 6, 1, 5, ">u8")
-    assert passes <= 4 and good.count() == len(everything)
+    good, passes = collocations.frequent_phrases(coded, 6, 1, 5, width, split)
+    assert passes <= 3 and good.count() == len(everything)
+
+
+@pytest.mark.parametrize("width", [4, 5, 8])
+def test_keys(width):
+    h = np.random.default_rng(1).integers(0, 1 << 64, 60, dtype=np.uint64)
+    ids = collocations.shortened(h, width).reshape(20, 3)
+    data = b"".join(collocations.keys_of(ids, width).to_pylist())
+    assert len(data) == 60 * width and (collocations.ids_of(data, 3, width) == ids).all()
 
 
 def test_small_integers():
