@@ -20,9 +20,10 @@ of such a phrase occurs as often, so:
    sample missed.
 
 Pairs of words are by far the most, and nearly all of them are rare.  A block sends them as stripes: one
-row per first word with its sorted second words as small differences.  Stripes of words that occur
-``STRIPE`` times or more are cut into parts by second word, so that no group of stripes holds much more
-than that, however frequent the word.  Longer phrases travel as rows.
+row per bucket of first words, which holds the words, sorted, and the sorted second words of each as
+small differences.  There are at least ``BUCKETS`` buckets and one for every ``STRIPE`` words of the corpus;
+stripes of words that occur ``STRIPE`` times or more are cut into parts by second word.  So no group of
+stripes grows with the corpus, however frequent a word.  Longer phrases travel as rows.
 
 What was proposed or found travels to the tasks as a Bloom filter of at most ``FILTER_BITS`` (16 MB,
 however large the corpus).  A filter has no false negatives, so that a full filter only means that more
@@ -59,9 +60,12 @@ TOP = 2_000
 SHARE = 8
 PROPOSE = 5
 FILTER_BITS = 1 << 27
-#: Bytes of text in a block; pairs in a group of stripes.
+#: Bytes of text in a block; pairs in a group of stripes, and the least number of groups.
 BLOCK = 8 << 20
 STRIPE = 1 << 20
+BUCKETS = 1 << 12
+#: Bytes of stripes that are added up at a time.
+PORTION = 2 << 20
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: No byte of UTF-8: stands for a break between pieces.
@@ -135,17 +139,16 @@ def word_hash(lang, words):
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def shortened(h, width):
-    """Ids of ``width`` bytes from hashes; never negative."""
-    return (h >> np.uint64(max(1, 64 - 8 * width))).astype(np.int64)
+def shortened(h, bits):
+    """Ids of ``bits`` (63 at most) from hashes."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def keys_of(ids, width):
     """An Arrow column of phrases from a matrix of word ids, the words' bytes in order."""
     n, k = ids.shape
     data = np.ascontiguousarray(ids.astype(">i8").view(np.uint8).reshape(n, k, 8)[:, :, 8 - width :])
-    ends = np.arange(n + 1, dtype=np.int32) * np.int32(k * width)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return cut_at(data, np.arange(n + 1) * (k * width))
 
 
 def ids_of(data, k, width):
@@ -176,15 +179,15 @@ def row_hashes(batch):
     return h
 
 
-def id_batches(batches, known, width):
-    """(id, lang, word, n) of the words that a filter lets pass."""
+def id_batches(batches, known):
+    """(id, lang, word, n) of the words that a filter lets pass, with ids of 63 bits."""
     for batch in batches:
         h = row_hashes(batch)
-        columns = [pa.array(shortened(h, width)), *(batch.column(c) for c in ("lang", "word", "n"))]
+        columns = [pa.array(shortened(h, 63)), *(batch.column(c) for c in ("lang", "word", "n"))]
         yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "word", "n"]).filter(pa.array(inside(known, h)))
 
 
-def frequent_batches(batches, known, hot, width):
+def frequent_batches(batches, known, hot, bits):
     """Blocks with frequent words only: numbers into ``ids``, -1 for anything else; which of them are hot."""
     for batch in batches:
         for lang, sampled, tokens, words in rows_of(batch, "lang", "sampled", "tokens", "words"):
@@ -193,7 +196,7 @@ def frequent_batches(batches, known, hot, width):
             to = np.full(len(words) + 1, -1, dtype=np.int32)
             to[at] = np.arange(len(at))
             codes = to[codes]  # a break, -1, meets the last place
-            whole = [shortened(h[at], width).tobytes(), inside(hot, h[at]).tobytes()]
+            whole = [shortened(h[at], bits).tobytes(), inside(hot, h[at]).tobytes()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([sampled], pa.int32()), pa.array([pack(codes)], pa.binary()), *(pa.array([x], pa.binary()) for x in whole)],
                 ["sampled", "tokens", "ids", "hot"],
@@ -221,69 +224,98 @@ def large(data):
     return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
 
 
-def pair_batches(batches, split):
-    """Stripes of the pairs of frequent words: first word, part, and the second words, sorted, as differences."""
+def cut_at(data, ends):
+    """A binary column of runs of bytes."""
+    ends = np.ascontiguousarray(ends, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def differences(values, new):
+    """Steps from one value to the next; a value where a run begins stays."""
+    step = values.copy()
+    step[1:] -= np.where(new[1:], 0, values[:-1])
+    return step
+
+
+def running(step, counts):
+    """The values of ``differences``, in runs of ``counts``."""
+    upto = np.concatenate([[0], np.cumsum(step)])
+    return upto[1:] - np.repeat(upto[np.cumsum(counts) - counts], counts)
+
+
+def integers(column):
+    """All integers of a binary column of ``small``, and how many each row has."""
+    rows = column.to_pylist()
+    data = np.frombuffer(b"".join(rows), dtype=np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+    upto = np.concatenate([[0], np.cumsum(data < 128)])
+    return large(data), np.diff(upto[np.concatenate([[0], ends])])
+
+
+def pair_batches(batches, buckets, parts):
+    """Stripes of the pairs of frequent words: bucket and part, the first words, the number of second words
+    of each, and the second words; words sorted and as differences."""
     for batch in batches:
         for tokens, ids, hot in rows_of(batch, "tokens", "ids", "hot"):
             c, ids = unpack(tokens).astype(np.int64), np.frombuffer(ids, dtype=np.int64)
             at = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
             if not len(at):
                 continue
-            one, two = c[at], ids[c[at + 1]]
-            part = np.where(np.frombuffer(hot, dtype=bool)[one], two % split, 0)
-            order = np.lexsort((two, part, one))
-            one, two, part = one[order], two[order], part[order]
-            new = np.ones(len(one), dtype=bool)
-            new[1:] = (one[1:] != one[:-1]) | (part[1:] != part[:-1])
-            step = two.copy()
-            step[1:] -= np.where(new[1:], 0, two[:-1])
-            data, ends = small(step)
-            first = np.flatnonzero(new)
-            cuts = np.concatenate([[0], ends])[np.append(first, len(one))].astype(np.int32)
-            payload = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[one[first]]), pa.array(part[first]), payload], ["first", "part", "seconds"]
-            )
+            one, two = ids[c[at]], ids[c[at + 1]]
+            part = np.where(np.frombuffer(hot, dtype=bool)[c[at]], two % parts, 0)
+            bucket = one % buckets
+            order = np.lexsort((two, one, part, bucket))
+            one, two, part, bucket = one[order], two[order], part[order], bucket[order]
+            row = np.ones(len(one), dtype=bool)
+            row[1:] = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
+            word = row.copy()
+            word[1:] |= one[1:] != one[:-1]
+            first, begin = np.flatnonzero(word), np.flatnonzero(row)
+            words_upto = np.append(np.cumsum(word)[begin] - 1, len(first))
+            columns = [pa.array(bucket[begin]), pa.array(part[begin])]
+            for values, upto in (
+                (differences(one[first], row[first]), words_upto),
+                (np.diff(np.append(first, len(one))), words_upto),
+                (differences(two, word), np.append(begin, len(one))),
+            ):
+                data, ends = small(values)
+                columns.append(cut_at(data, np.concatenate([[0], ends])[upto]))
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "part", "firsts", "counts", "seconds"])
 
 
 def stripe_batches(batches, least, width):
-    """(phrase, n) of the pairs that occur ``least`` times, from stripes sorted by first word and part."""
+    """(phrase, n) of the pairs that occur ``least`` times, from stripes sorted by bucket and part."""
     held = None
 
-    def done(first, part, second, n):
-        order = np.lexsort((second, part, first))
-        first, second, n = first[order], second[order], n[order]
+    def added(bucket, part, first, second, n):
+        """Equal pairs as one, sorted."""
+        order = np.lexsort((second, first, part, bucket))
+        bucket, part, first, second, n = (x[order] for x in (bucket, part, first, second, n))
         new = np.ones(len(first), dtype=bool)
         new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
         at = np.flatnonzero(new)
-        n = np.add.reduceat(n, at) if len(at) else n
-        return first[at], part[order][at], second[at], n
+        return bucket[at], part[at], first[at], second[at], np.add.reduceat(n, at)
 
     def rows(first, second, n):
         keep = n >= least
         keys = keys_of(np.stack([first[keep], second[keep]], axis=1), width)
         return pa.RecordBatch.from_arrays([keys, pa.array(n[keep])], ["phrase", "n"])
 
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 2_000):
-            batch = whole.slice(lo, 2_000)
-            seconds = batch.column("seconds").to_pylist()
-            steps = large(np.frombuffer(b"".join(seconds), dtype=np.uint8))
-            count = np.fromiter((np.count_nonzero(np.frombuffer(x, np.uint8) < 128) for x in seconds), np.int64, len(seconds))
-            start = np.cumsum(count) - count
-            upto = np.cumsum(steps)
-            second = upto - np.repeat(np.concatenate([[0], upto])[start], count)  # sums may wrap, differences don't
-            both = [np.repeat(batch.column(x).to_numpy(zero_copy_only=False), count) for x in ("first", "part")]
-            table = [*both, second, np.ones(len(second), dtype=np.int64)]
-            if held is not None:
-                table = [np.concatenate(x) for x in zip(held, table)]
-            # the last first word and part may go on in the next batch
-            first, part, second, n = done(*table)
-            last = (first == first[-1]) & (part == part[-1])
-            held = [x[last] for x in (first, part, second, n)]
-            yield rows(first[~last], second[~last], n[~last])
+    for batch in slices(batches, "seconds", PORTION):
+        firsts, words = integers(batch.column("firsts"))
+        counts, _ = integers(batch.column("counts"))
+        steps, pairs = integers(batch.column("seconds"))
+        both = [np.repeat(batch.column(x).to_numpy(zero_copy_only=False), pairs) for x in ("bucket", "part")]
+        table = [*both, np.repeat(running(firsts, words), counts), running(steps, counts), np.ones(len(steps), dtype=np.int64)]
+        if held is not None:
+            table = [np.concatenate(x) for x in zip(held, table)]
+        table = added(*table)
+        # the last bucket and part may go on in the next batch
+        last = (table[0] == table[0][-1]) & (table[1] == table[1][-1])
+        held = [x[last] for x in table]
+        yield rows(*(x[~last] for x in table[2:]))
     if held is not None:
-        yield rows(held[0], held[2], held[3])
+        yield rows(*held[2:])
 
 
 def phrase_hash(ids):
@@ -398,36 +430,37 @@ def blocks_of(docs: DataFrame, share: int) -> DataFrame:
 
 def frequent_words(blocks: DataFrame, least: int):
     """Frequent words (id, lang, word, n), the words of each language (lang, total), the blocks of frequent
-    words, the bytes of an id and the parts of a hot word's stripes."""
+    words, the bytes of an id, the buckets of first words and the parts of a hot word's stripes."""
     send = blocks.sparkSession.sparkContext.broadcast
     counted = blocks.select("lang", "words", "counts").mapInArrow(count_batches, "lang string, word binary, n bigint")
     sums = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
     often = sums.where(F.col("n") >= least)
     known, hot = send(word_filter(often)), send(word_filter(often.where(F.col("n") >= STRIPE)))
-    for width in range(4, 9):
-        size = width
-        named = sums.mapInArrow(lambda it: id_batches(it, known.value, size), "id bigint, lang string, word binary, n bigint")
-        named = stored(named, "named")  # what the filter lets pass, some rare words too
-        if named.groupBy("id").count().where("count > 1").isEmpty():
+    named = sums.mapInArrow(lambda it: id_batches(it, known.value), "id bigint, lang string, word binary, n bigint")
+    named = stored(named, "named")  # what the filter lets pass, some rare words too
+    for size in range(23, 64, 4):
+        if named.groupBy(F.shiftright("id", 63 - size)).count().where("count > 1").isEmpty():
             break
     else:
         raise ValueError("two words share a hash of 63 bits")
-    split = (often.agg(F.max("n")).first()[0] or 0) // STRIPE + 1
+    named, width = named.withColumn("id", F.shiftright("id", 63 - size)), -(-size // 8)
+    most, total = often.agg(F.max("n"), F.sum("n")).first()
+    split = ((total or 0) // STRIPE + BUCKETS, (most or 0) // STRIPE + 1)
     coded = blocks.select("lang", "sampled", "tokens", "words").mapInArrow(
         lambda it: frequent_batches(it, known.value, hot.value, size), "sampled int, tokens binary, ids binary, hot binary"
     )
     return named.where(F.col("n") >= least), totals, stored(coded, "coded"), width, split
 
 
-def pair_counts(coded: DataFrame, least: int, width: int, split: int) -> DataFrame:
+def pair_counts(coded: DataFrame, least: int, width: int, split: tuple[int, int]) -> DataFrame:
     """(phrase, n) of the pairs of frequent words that occur ``least`` times."""
     stripes = coded.select("tokens", "ids", "hot").mapInArrow(
-        lambda it: pair_batches(it, split), "first bigint, part bigint, seconds binary"
+        lambda it: pair_batches(it, *split), "bucket bigint, part bigint, firsts binary, counts binary, seconds binary"
     )
     return (
-        stripes.repartition("first", "part")
-        .sortWithinPartitions("first", "part")
+        stripes.repartition("bucket", "part")
+        .sortWithinPartitions("bucket", "part")
         .mapInArrow(lambda it: stripe_batches(it, least, width), "phrase binary, n bigint")
     )
 
@@ -457,7 +490,7 @@ def proposals(coded: DataFrame, pairs: DataFrame, propose: int, longest: int, wi
     return seen
 
 
-def frequent_phrases(coded: DataFrame, least: int, propose: int, longest: int, width: int, split: int) -> tuple[DataFrame, int]:
+def frequent_phrases(coded: DataFrame, least: int, propose: int, longest: int, width: int, split: tuple[int, int]) -> tuple[DataFrame, int]:
     """(phrase, n) of all phrases of two words or more that occur ``least`` times, and the number of full
     passes over longer phrases."""
     found = stored(pair_counts(coded, least, width, split), "pairs")

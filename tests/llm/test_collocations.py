@@ -76,6 +76,8 @@ def test_exact_whatever_the_sample(spark, monkeypatch, share, propose, bits, blo
     monkeypatch.setattr(collocations, "FILTER_BITS", bits)
     monkeypatch.setattr(collocations, "BLOCK", block)
     monkeypatch.setattr(collocations, "STRIPE", block)
+    monkeypatch.setattr(collocations, "PORTION", block)
+    monkeypatch.setattr(collocations, "BUCKETS", 3)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     out = collocations.mine(docs, least=6, top=15, share=share, propose=propose)
@@ -105,7 +107,7 @@ def test_failures_of_the_sample_are_followed(spark):
 @pytest.mark.parametrize("width", [4, 5, 8])
 def test_keys(width):
     h = np.random.default_rng(1).integers(0, 1 << 64, 60, dtype=np.uint64)
-    ids = collocations.shortened(h, width).reshape(20, 3)
+    ids = collocations.shortened(h, min(63, 8 * width)).reshape(20, 3)
     data = b"".join(collocations.keys_of(ids, width).to_pylist())
     assert len(data) == 60 * width and (collocations.ids_of(data, 3, width) == ids).all()
 
