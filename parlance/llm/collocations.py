@@ -23,7 +23,8 @@ Pairs of words are by far the most, and nearly all of them are rare.  A block se
 row per bucket of first words, which holds the words, sorted, and the sorted second words of each as
 small differences.  There are at least ``BUCKETS`` buckets and one for every ``STRIPE`` words of the corpus;
 stripes of words that occur ``STRIPE`` times or more are cut into parts by second word.  So no group of
-stripes grows with the corpus, however frequent a word.  Longer phrases travel as rows.
+stripes grows with the corpus, however frequent a word.  Longer phrases travel packed too, one row per
+bucket of their hashes.
 
 What was proposed or found travels to the tasks as a Bloom filter of at most ``FILTER_BITS`` (16 MB,
 however large the corpus).  A filter has no false negatives, so that a full filter only means that more
@@ -102,9 +103,9 @@ def unpack(data):
 
 def block_batches(batches, share, most):
     """Per block of texts of a language: word numbers (-1 at a break), how many of them are of sampled
-    documents (they come first), the words and their counts."""
-    names = ["lang", "tokens", "sampled", "words", "counts"]
-    kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.binary()]
+    documents (they come first), the words, their counts and the sum of these."""
+    names = ["lang", "tokens", "sampled", "words", "counts", "total"]
+    kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.int64()]
     cut = lambda texts: BREAK.join(texts).replace(BREAK, b" " + BREAK + b" ").split()
     for batch in slices(batches, "text", most):
         held = {}
@@ -129,8 +130,9 @@ def block_batches(batches, share, most):
                 at = words.index(BREAK)
                 tokens = np.where(tokens == at, -1, tokens - (tokens > at))
                 words.pop(at)
+                counts = np.delete(counts, at)
                 if words:
-                    row = [lang, pack(tokens), len(first), words, np.delete(counts, at).tobytes()]
+                    row = [lang, pack(tokens), len(first), words, counts.tobytes(), int(counts.sum())]
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
 
@@ -159,32 +161,28 @@ def ids_of(data, k, width):
     return whole.reshape(len(held), k * 8).view(">i8").astype(np.int64)
 
 
-def count_batches(batches):
-    """(lang, word, n) of the words of a block."""
+def hash_batches(batches):
+    """(h, n) of the words of a block."""
     for batch in batches:
         for lang, words, counts in rows_of(batch, "lang", "words", "counts"):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(np.frombuffer(counts, dtype=np.int64))],
-                ["lang", "word", "n"],
-            )
-
-
-def row_hashes(batch):
-    """The hashes of rows (lang, word)."""
-    langs, words = batch.column("lang").to_pylist(), batch.column("word").to_pylist()
-    h = np.zeros(len(words), dtype=np.uint64)
-    for lang in set(langs):
-        at = np.array([i for i, x in enumerate(langs) if x == lang])
-        h[at] = word_hash(lang, [words[i] for i in at.tolist()])
-    return h
+            h = word_hash(lang, words)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.frombuffer(counts, dtype=np.int64))], ["h", "n"])
 
 
-def id_batches(batches, known):
-    """(id, lang, word, n) of the words that a filter lets pass, with ids of 63 bits."""
+def count_batches(batches, known):
+    """(id, lang, word, n) of the words of a block that a filter lets pass, with ids of 63 bits."""
     for batch in batches:
-        h = row_hashes(batch)
-        columns = [pa.array(shortened(h, 63)), *(batch.column(c) for c in ("lang", "word", "n"))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "word", "n"]).filter(pa.array(inside(known, h)))
+        for lang, words, counts in rows_of(batch, "lang", "words", "counts"):
+            h = word_hash(lang, words)
+            at = np.flatnonzero(inside(known, h))
+            found = [words[i] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(shortened(h[at], 63)), pa.array([lang] * len(found), pa.string()),
+                    pa.array(found, pa.binary()), pa.array(np.frombuffer(counts, dtype=np.int64)[at]),
+                ],
+                ["id", "lang", "word", "n"],
+            )
 
 
 def frequent_batches(batches, known, hot, bits):
@@ -337,9 +335,57 @@ def inside(table, h):
     return test(one) & test(two)
 
 
-def phrase_batches(batches, sample, known, new, longest, width):
-    """(phrase, n) per block of the phrases of three words or more whose parts are both known, and with
-    ``new`` only those of them that have a new part."""
+def packed(words, n, width, buckets):
+    """Rows (size, bucket, phrases, counts) of phrases of one length."""
+    size = words.shape[1]
+    bucket = (phrase_hash(words) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys = bucket[order], keys_of(words[order], width).buffers()[2]
+    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    upto = np.append(begin, len(bucket))
+    data, ends = small(n[order].astype(np.int64))
+    phrases = cut_at(np.frombuffer(keys, dtype=np.uint8)[: len(bucket) * size * width], upto * (size * width))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(begin), size, np.int32)), pa.array(bucket[begin]), phrases, cut_at(data, np.concatenate([[0], ends])[upto])],
+        ["size", "bucket", "phrases", "counts"],
+    )
+
+
+def added_batches(batches, least, width):
+    """(phrase, n) of the phrases that occur ``least`` times, from packed rows sorted by size and bucket."""
+    held = None
+
+    def rows(words, n):
+        return pa.RecordBatch.from_arrays([keys_of(words[n >= least], width), pa.array(n[n >= least])], ["phrase", "n"])
+
+    for batch in slices(batches, "phrases", PORTION):
+        sizes = batch.column("size").to_numpy()
+        cuts = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1])).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(sizes)]):
+            some, size = batch.slice(a, b - a), int(sizes[a])
+            phrases = some.column("phrases").to_pylist()
+            words = ids_of(b"".join(phrases), size, width)
+            n, _ = integers(some.column("counts"))
+            bucket = np.repeat(some.column("bucket").to_numpy(), [len(x) // (size * width) for x in phrases])
+            if held is not None and held[0].shape[1] != size:
+                yield rows(*held[:2])
+                held = None
+            if held is not None:
+                words, n, bucket = (np.concatenate(x) for x in zip(held, (words, n, bucket)))
+            order = np.lexsort((*words.T[::-1], bucket))
+            words, n, bucket = words[order], n[order], bucket[order]
+            at = np.flatnonzero(np.append(True, (words[1:] != words[:-1]).any(axis=1)))
+            words, n, bucket = words[at], np.add.reduceat(n, at), bucket[at]
+            last = bucket == bucket[-1]  # may go on in the next batch
+            held = words[last], n[last], bucket[last]
+            yield rows(words[~last], n[~last])
+    if held is not None:
+        yield rows(*held[:2])
+
+
+def phrase_batches(batches, sample, known, new, longest, width, buckets):
+    """Per block and bucket the phrases, with their counts, of three words or more whose parts are both
+    known, and with ``new`` only those of them that have a new part."""
     for batch in batches:
         for sampled, tokens, ids in rows_of(batch, "sampled", "tokens", "ids"):
             c, ids = unpack(tokens).astype(np.int64), np.frombuffer(ids, dtype=np.int64)
@@ -358,8 +404,7 @@ def phrase_batches(batches, sample, known, new, longest, width):
                 words = ids[c[at[first][:, None] + np.arange(k)]]
                 if k > 2:
                     send = slice(None) if new is None else np.flatnonzero((fresh[at] | fresh[at + 1])[first])
-                    phrases = keys_of(words[send], width)
-                    yield pa.RecordBatch.from_arrays([phrases, pa.array(n[send].astype(np.int64))], ["phrase", "n"])
+                    yield packed(words[send], n[send], width, buckets)
                 h = phrase_hash(words)
                 number = np.zeros(len(both), dtype=np.int64)
                 number[at] = back
@@ -390,7 +435,7 @@ def bit_batches(batches, bits, width):
 
 def word_bit_batches(batches, bits):
     for batch in batches:
-        yield bits_of(row_hashes(batch), bits)
+        yield bits_of(batch.column("h").to_numpy().view(np.uint64), bits)
 
 
 def bloom(rows: DataFrame, bits: int, set_bits) -> np.ndarray:
@@ -407,7 +452,7 @@ def phrase_filter(phrases: DataFrame, bits: int, width: int) -> np.ndarray:
 
 def word_filter(words: DataFrame) -> np.ndarray:
     bits = filter_size(words.count(), FILTER_BITS)
-    return bloom(words.select("lang", "word", "n"), bits, lambda it: word_bit_batches(it, bits))
+    return bloom(words.select("h"), bits, lambda it: word_bit_batches(it, bits))
 
 
 def filter_size(n: int, most: int) -> int:
@@ -418,30 +463,31 @@ def filter_size(n: int, most: int) -> int:
 
 
 def blocks_of(docs: DataFrame, share: int) -> DataFrame:
-    """The corpus as blocks of numbered words, stored under block numbers."""
+    """The corpus as blocks of numbered words, stored."""
     most = BLOCK
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("string"))
     cut = rows.mapInArrow(
         lambda it: block_batches(it, share, most),
-        "lang string, tokens binary, sampled int, words array<binary>, counts binary",
+        "lang string, tokens binary, sampled int, words array<binary>, counts binary, total bigint",
     )
-    return stored(cut.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return stored(cut, "blocks")
 
 
 def frequent_words(blocks: DataFrame, least: int):
     """Frequent words (id, lang, word, n), the words of each language (lang, total), the blocks of frequent
     words, the bytes of an id, the buckets of first words and the parts of a hot word's stripes."""
     send = blocks.sparkSession.sparkContext.broadcast
-    counted = blocks.select("lang", "words", "counts").mapInArrow(count_batches, "lang string, word binary, n bigint")
-    sums = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
-    often = sums.where(F.col("n") >= least)
+    held = blocks.select("lang", "words", "counts")
+    # a first look by hash finds what may be frequent, a second one counts that exactly
+    sums = held.mapInArrow(hash_batches, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    often = stored(sums.where(F.col("n") >= least), "words")
     known, hot = send(word_filter(often)), send(word_filter(often.where(F.col("n") >= STRIPE)))
-    named = sums.mapInArrow(lambda it: id_batches(it, known.value), "id bigint, lang string, word binary, n bigint")
-    named = stored(named, "named")  # what the filter lets pass, some rare words too
+    named = held.mapInArrow(lambda it: count_batches(it, known.value), "id bigint, lang string, word binary, n bigint")
+    named = stored(named.groupBy("id", "lang", "word").agg(F.sum("n").alias("n")), "named")
+    totals = blocks.groupBy("lang").agg(F.sum("total").alias("total"))
     for size in range(23, 64, 4):
         if named.groupBy(F.shiftright("id", 63 - size)).count().where("count > 1").isEmpty():
-            break
+            break  # told apart, words that the filter lets pass by chance as well
     else:
         raise ValueError("two words share a hash of 63 bits")
     named, width = named.withColumn("id", F.shiftright("id", 63 - size)), -(-size // 8)
@@ -465,25 +511,29 @@ def pair_counts(coded: DataFrame, least: int, width: int, split: tuple[int, int]
     )
 
 
-def longer_counts(coded: DataFrame, sample: bool, known, new, longest: int, width: int) -> DataFrame:
-    """Exact counts of the longer phrases that a pass looks at."""
+def longer_counts(coded: DataFrame, sample: bool, known, new, least: int, longest: int, width: int, buckets: int) -> DataFrame:
+    """Exact counts, from ``least`` up, of the longer phrases that a pass looks at."""
     spark = coded.sparkSession
     known, new = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(new)
     return (
         coded.select("sampled", "tokens", "ids")
-        .mapInArrow(lambda it: phrase_batches(it, sample, known.value, new.value, longest, width), "phrase binary, n bigint")
-        .groupBy("phrase")
-        .agg(F.sum("n").alias("n"))
+        .mapInArrow(
+            lambda it: phrase_batches(it, sample, known.value, new.value, longest, width, buckets),
+            "size int, bucket bigint, phrases binary, counts binary",
+        )
+        .repartition("size", "bucket")
+        .sortWithinPartitions("size", "bucket")
+        .mapInArrow(lambda it: added_batches(it, least, width), "phrase binary, n bigint")
     )
 
 
-def proposals(coded: DataFrame, pairs: DataFrame, propose: int, longest: int, width: int) -> DataFrame:
+def proposals(coded: DataFrame, pairs: DataFrame, propose: int, longest: int, width: int, buckets: int) -> DataFrame:
     """The pairs and longer phrases with ``propose`` occurrences in the sample, length by length."""
     seen = last = pairs.select("phrase")
     for k in range(3, longest + 1):
         bits = filter_size(seen.count(), FILTER_BITS)
-        counted = longer_counts(coded, True, phrase_filter(seen, bits, width), phrase_filter(last, bits, width), k, width)
-        last = stored(counted.where(F.col("n") >= propose).select("phrase"), "proposed")
+        filters = phrase_filter(seen, bits, width), phrase_filter(last, bits, width)
+        last = stored(longer_counts(coded, True, *filters, propose, k, width, buckets).select("phrase"), "proposed")
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
@@ -494,12 +544,11 @@ def frequent_phrases(coded: DataFrame, least: int, propose: int, longest: int, w
     """(phrase, n) of all phrases of two words or more that occur ``least`` times, and the number of full
     passes over longer phrases."""
     found = stored(pair_counts(coded, least, width, split), "pairs")
-    seen = proposals(coded, found, propose, longest, width)
+    seen = proposals(coded, found, propose, longest, width, split[0])
     bits = filter_size(seen.count(), FILTER_BITS)
     known, new, passes = phrase_filter(seen, bits, width), None, 0
     while True:
-        counted = longer_counts(coded, False, known, new, longest, width).where(F.col("n") >= least)
-        counted = stored(counted, "counted")
+        counted = stored(longer_counts(coded, False, known, new, least, longest, width, split[0]), "counted")
         passes += 1
         found = found.unionByName(counted)
         failed = stored(
