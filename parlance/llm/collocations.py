@@ -5,8 +5,9 @@ between), counted per language.  Only phrases that occur ``LEAST`` times or more
 of such a phrase occurs as often, so:
 
 1. Documents become blocks of numbered words; each block counts its own words, and the sums name the
-   frequent words exactly.  A word's id is a hash of language and word that is checked to be its own
-   (ids grow until no two words share one).  Blocks are then stored with frequent words only.
+   frequent words exactly.  A word's id is the place of its hash among those of all frequent words;
+   beyond ``KNOWN`` of them, ids are the hashes, as many bits as tell the words apart.  Either is checked
+   to be the word's own.  Blocks are then stored with frequent words only.
 2. Every pair of frequent words is counted exactly: the pairs are the negative border of the words.
 3. A sample of the documents (one of ``SHARE``, by a hash of id and text) proposes longer phrases, length
    by length: those whose parts, the phrase without its last word and the phrase without its first, are
@@ -65,6 +66,8 @@ FILTER_BITS = 1 << 27
 BLOCK = 8 << 20
 STRIPE = 1 << 20
 BUCKETS = 1 << 12
+#: Frequent words whose sorted hashes travel as they are (16 MB); beyond it a filter does.
+KNOWN = 1 << 21
 #: Bytes of stripes that are added up at a time.
 PORTION = 2 << 20
 
@@ -103,9 +106,9 @@ def unpack(data):
 
 def block_batches(batches, share, most):
     """Per block of texts of a language: word numbers (-1 at a break), how many of them are of sampled
-    documents (they come first), the words, their counts and the sum of these."""
-    names = ["lang", "tokens", "sampled", "words", "counts", "total"]
-    kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.int64()]
+    documents (they come first), the words and their counts."""
+    names = ["lang", "tokens", "sampled", "words", "counts"]
+    kinds = [pa.string(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.binary()]
     cut = lambda texts: BREAK.join(texts).replace(BREAK, b" " + BREAK + b" ").split()
     for batch in slices(batches, "text", most):
         held = {}
@@ -132,7 +135,7 @@ def block_batches(batches, share, most):
                 words.pop(at)
                 counts = np.delete(counts, at)
                 if words:
-                    row = [lang, pack(tokens), len(first), words, counts.tobytes(), int(counts.sum())]
+                    row = [lang, pack(tokens), len(first), words, counts.tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
 
@@ -161,28 +164,45 @@ def ids_of(data, k, width):
     return whole.reshape(len(held), k * 8).view(">i8").astype(np.int64)
 
 
-def hash_batches(batches):
-    """(h, n) of the words of a block."""
+def count_batches(batches):
+    """(lang, word, n) of the words of a block."""
     for batch in batches:
         for lang, words, counts in rows_of(batch, "lang", "words", "counts"):
-            h = word_hash(lang, words)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.frombuffer(counts, dtype=np.int64))], ["h", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(np.frombuffer(counts, dtype=np.int64))],
+                ["lang", "word", "n"],
+            )
 
 
-def count_batches(batches, known):
-    """(id, lang, word, n) of the words of a block that a filter lets pass, with ids of 63 bits."""
+def hash_batches(batches):
+    """(h, lang, word, n) of rows (lang, word, n)."""
     for batch in batches:
-        for lang, words, counts in rows_of(batch, "lang", "words", "counts"):
-            h = word_hash(lang, words)
-            at = np.flatnonzero(inside(known, h))
-            found = [words[i] for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(shortened(h[at], 63)), pa.array([lang] * len(found), pa.string()),
-                    pa.array(found, pa.binary()), pa.array(np.frombuffer(counts, dtype=np.int64)[at]),
-                ],
-                ["id", "lang", "word", "n"],
-            )
+        langs, words = batch.column("lang").to_pylist(), batch.column("word").to_pylist()
+        h = np.zeros(len(words), dtype=np.uint64)
+        for lang in set(langs):
+            at = np.array([i for i, x in enumerate(langs) if x == lang])
+            h[at] = word_hash(lang, [words[i] for i in at.tolist()])
+        columns = [pa.array(h.view(np.int64)), *(batch.column(c) for c in ("lang", "word", "n"))]
+        yield pa.RecordBatch.from_arrays(columns, ["h", "lang", "word", "n"])
+
+
+def numbers(h, known, bits):
+    """Which words are frequent, and their ids: places in the sorted hashes of all frequent words, or with
+    ``bits`` the hashes themselves, shortened, of what a filter lets pass."""
+    if bits:
+        at = np.flatnonzero(inside(known, h))
+        return at, shortened(h[at], bits)
+    place = np.searchsorted(known, h)
+    at = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == h) if len(known) else np.zeros(0, np.int64)
+    return at, place[at]
+
+
+def id_batches(batches, known, bits):
+    """(id, lang, word, n) of the words that have one."""
+    for batch in batches:
+        at, ids = numbers(batch.column("h").to_numpy().view(np.uint64), known, bits)
+        columns = [pa.array(ids), *(batch.column(c).take(pa.array(at)) for c in ("lang", "word", "n"))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "word", "n"])
 
 
 def frequent_batches(batches, known, hot, bits):
@@ -190,11 +210,11 @@ def frequent_batches(batches, known, hot, bits):
     for batch in batches:
         for lang, sampled, tokens, words in rows_of(batch, "lang", "sampled", "tokens", "words"):
             codes, h = unpack(tokens), word_hash(lang, words)
-            at = np.flatnonzero(inside(known, h))
+            at, numbered = numbers(h, known, bits)
             to = np.full(len(words) + 1, -1, dtype=np.int32)
             to[at] = np.arange(len(at))
             codes = to[codes]  # a break, -1, meets the last place
-            whole = [shortened(h[at], bits).tobytes(), inside(hot, h[at]).tobytes()]
+            whole = [numbered.astype(np.int64).tobytes(), inside(hot, h[at]).tobytes()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([sampled], pa.int32()), pa.array([pack(codes)], pa.binary()), *(pa.array([x], pa.binary()) for x in whole)],
                 ["sampled", "tokens", "ids", "hot"],
@@ -468,7 +488,7 @@ def blocks_of(docs: DataFrame, share: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("string"))
     cut = rows.mapInArrow(
         lambda it: block_batches(it, share, most),
-        "lang string, tokens binary, sampled int, words array<binary>, counts binary, total bigint",
+        "lang string, tokens binary, sampled int, words array<binary>, counts binary",
     )
     return stored(cut, "blocks")
 
@@ -477,24 +497,29 @@ def frequent_words(blocks: DataFrame, least: int):
     """Frequent words (id, lang, word, n), the words of each language (lang, total), the blocks of frequent
     words, the bytes of an id, the buckets of first words and the parts of a hot word's stripes."""
     send = blocks.sparkSession.sparkContext.broadcast
-    held = blocks.select("lang", "words", "counts")
-    # a first look by hash finds what may be frequent, a second one counts that exactly
-    sums = held.mapInArrow(hash_batches, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    often = stored(sums.where(F.col("n") >= least), "words")
-    known, hot = send(word_filter(often)), send(word_filter(often.where(F.col("n") >= STRIPE)))
-    named = held.mapInArrow(lambda it: count_batches(it, known.value), "id bigint, lang string, word binary, n bigint")
-    named = stored(named.groupBy("id", "lang", "word").agg(F.sum("n").alias("n")), "named")
-    totals = blocks.groupBy("lang").agg(F.sum("total").alias("total"))
-    for size in range(23, 64, 4):
-        if named.groupBy(F.shiftright("id", 63 - size)).count().where("count > 1").isEmpty():
-            break  # told apart, words that the filter lets pass by chance as well
-    else:
-        raise ValueError("two words share a hash of 63 bits")
-    named, width = named.withColumn("id", F.shiftright("id", 63 - size)), -(-size // 8)
+    counted = blocks.select("lang", "words", "counts").mapInArrow(count_batches, "lang string, word binary, n bigint")
+    sums = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = stored(sums.mapInArrow(hash_batches, "h bigint, lang string, word binary, n bigint"), "words")
+    totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
+    often = sums.where(F.col("n") >= least)
+    many = often.count()
+    few = many <= KNOWN
+    known = send(np.sort(often.select("h").toArrow().column("h").to_numpy().view(np.uint64)) if few else word_filter(often))
+    hot = send(word_filter(often.where(F.col("n") >= STRIPE)))
+    longest = 0 if few else 63
+    named = sums.mapInArrow(lambda it: id_batches(it, known.value, longest), "id bigint, lang string, word binary, n bigint")
+    named = stored(named, "named")  # a filter lets some rare words pass too
+    clash = lambda id: not named.groupBy(id).count().where("count > 1").isEmpty()
+    if clash(F.col("id")):
+        raise ValueError("two words share a hash")
+    bits = 0 if few else next(n for n in range(min(63, many.bit_length()), 64) if not clash(F.shiftright("id", 63 - n)))
+    if bits:
+        named = named.withColumn("id", F.shiftright("id", 63 - bits))
+    width = max(1, -(-(bits or many.bit_length()) // 8))
     most, total = often.agg(F.max("n"), F.sum("n")).first()
     split = ((total or 0) // STRIPE + BUCKETS, (most or 0) // STRIPE + 1)
     coded = blocks.select("lang", "sampled", "tokens", "words").mapInArrow(
-        lambda it: frequent_batches(it, known.value, hot.value, size), "sampled int, tokens binary, ids binary, hot binary"
+        lambda it: frequent_batches(it, known.value, hot.value, bits), "sampled int, tokens binary, ids binary, hot binary"
     )
     return named.where(F.col("n") >= least), totals, stored(coded, "coded"), width, split
 

@@ -78,6 +78,7 @@ def test_exact_whatever_the_sample(spark, monkeypatch, share, propose, bits, blo
     monkeypatch.setattr(collocations, "STRIPE", block)
     monkeypatch.setattr(collocations, "PORTION", block)
     monkeypatch.setattr(collocations, "BUCKETS", 3)
+    monkeypatch.setattr(collocations, "KNOWN", block // 100)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     out = collocations.mine(docs, least=6, top=15, share=share, propose=propose)
@@ -100,6 +101,7 @@ def test_failures_of_the_sample_are_followed(spark):
         ids = [int.from_bytes(key[i : i + width], "big") for i in range(0, len(key), width)]
         got[names[ids[0]][0], tuple(names[i][1] for i in ids)] = r["n"]
     assert got == everything
+    assert width == 1
     good, passes = collocations.frequent_phrases(coded, 6, 1, 5, width, split)
     assert passes <= 3 and good.count() == len(everything)
 
