@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from parlance.llm import collocations, fingerprints, line_dedup, merkle, mixing, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, suffix_dedup, token_counts
+from parlance.llm import collocations, fingerprints, line_dedup, merkle, mixing, pii, quality_classifier, quality_rules, sentencepieces, simhash, substring_dedup, suffix_dedup, token_counts
 from parlance.llm.common import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,7 @@ QUERIES = {
         documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN
     ),
     "op10_fingerprints": lambda spark, sf_dir: fingerprints.fingerprints(documents(spark, sf_dir)),
+    "op11_pii": lambda spark, sf_dir: pii.pii(documents(spark, sf_dir)),
     "op12_collocations": lambda spark, sf_dir: collocations.collocations(documents(spark, sf_dir)),
     "op13_merkle": lambda spark, sf_dir: merkle.merkle(documents(spark, sf_dir)),
 }
