@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
-1. Lines with a word are hashed (128 bits).  Counting the documents of every line names the lines that
-   two or more have and each one's first holder, the smallest id that has it.
-2. A document is paired with the first holder of every line it shares with an earlier document, however
-   many have the line.  So a document has at most one partner per line, and thousands of copies make
-   thousands of pairs with their first member, not millions among themselves.
+1. Lines with a word are hashed (128 bits), and so are runs of lines: the shortest ones that begin at a
+   line and the shortest ones that end at it with ``MIN_WORDS`` words or more.  Counting the documents of
+   every line and run names those that two or more have and each one's first holder, the smallest id.
+2. A document is paired with the first holder of every line and run it shares with an earlier document,
+   however many have it.  Every block that could be deleted is made of such runs, so each of its lines
+   has a partner that holds it within a long enough run.  A document has at most three partners per
+   line, and thousands of copies make thousands of pairs with their first member, not millions.
 3. A pair is one row with both documents' line hashes and is aligned by patience diff: equal beginnings
    and ends, then lines that are unique on both sides, in their longest common order, then the same
    between them.  Frequent lines take part here.
@@ -32,7 +34,6 @@ from parlance.llm.textscan import utf8
 
 by_value(__name__)
 
-RARE = 8  # of the former pairing; only a test still reads it
 MIN_WORDS = 10
 NO_ID = (1 << 63) - 1
 
@@ -56,14 +57,32 @@ def cut(data):
     return [data[i : i + 16] for i in range(0, len(data), 16)]
 
 
-def holder_batches(batches):
-    """One row for each document and distinct line."""
+def runs(lines, words, least):
+    """Hashes of the shortest runs of two lines or more that begin or end at each line."""
+    upto, spans, end, first = np.concatenate([[0], np.cumsum(words)]).tolist(), set(), 0, 0
+    for i in range(len(lines)):
+        while end < len(lines) and upto[end] - upto[i] < least:
+            end += 1
+        if upto[end] - upto[i] >= least:
+            spans.add((i, end))
+        while upto[i + 1] - upto[first + 1] >= least:
+            first += 1
+        if upto[i + 1] - upto[first] >= least:
+            spans.add((first, i + 1))
+    return [xxhash.xxh3_128_digest(b"".join(lines[a:b])) for a, b in spans if b - a > 1]
+
+
+def holder_batches(batches, least):
+    """One row for each document and distinct line or run."""
     for batch in batches:
-        lines = [list(dict.fromkeys(cut(x))) for x in batch.column("hashes").to_pylist()]
-        which = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+        found = []
+        for hashes, words in zip(batch.column("hashes").to_pylist(), batch.column("words").to_pylist()):
+            lines = cut(hashes)
+            found.append(list(dict.fromkeys(lines + runs(lines, np.frombuffer(words, dtype=np.int32), least))))
+        which = np.repeat(np.arange(len(found)), [len(x) for x in found])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([x for doc in lines for x in doc], pa.binary()),
+                pa.array([x for doc in found for x in doc], pa.binary()),
                 batch.column("__id").take(pa.array(which)),
                 batch.column("__t").take(pa.array(which)),
             ],
@@ -162,7 +181,9 @@ def removals(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     # equal rows count once
     lines = lines.groupBy("__id", "__t").agg(*(F.first(c).alias(c) for c in ("hashes", "words", "numbers")))
     lines = stored(lines, "lines")
-    holders = lines.select("__id", "__t", "hashes").mapInArrow(holder_batches, "line binary, __id bigint, __t bigint")
+    holders = lines.select("__id", "__t", "hashes", "words").mapInArrow(
+        lambda it: holder_batches(it, least), "line binary, __id bigint, __t bigint"
+    )
     # stored, so that the join has an exchange on both sides and a line of many documents is split
     counted = stored(
         holders.groupBy("line").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("docs"))

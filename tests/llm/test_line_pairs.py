@@ -1,4 +1,4 @@
-"""Line dedup pairs a document with the first holder of every line it shares, frequent ones too."""
+"""Line dedup pairs a document with the first holder of every line and run it shares, frequent ones too."""
 
 import random
 
@@ -21,11 +21,16 @@ def test_all_first_holders_by_brute_force(spark):
     texts = {d: [rng.choice(lines) for _ in range(rng.randint(1, 8))] for d in range(150)}
     docs = spark.createDataFrame([(d, "\n".join(t)) for d, t in texts.items()], "doc_id bigint, text string").repartition(3)
     first, want = {}, {}
+    long = lambda run: sum(len(x.split()) for x in run) >= line_dedup.MIN_WORDS
     for d, mine in texts.items():
-        for x in mine:
+        keys = {(x,) for x in mine}
+        for i in range(len(mine)):
+            keys |= {next((tuple(mine[i:j]) for j in range(i + 1, len(mine) + 1) if long(mine[i:j])), (mine[i],))}
+            keys |= {next((tuple(mine[j : i + 1]) for j in range(i, -1, -1) if long(mine[j : i + 1])), (mine[i],))}
+        for x in keys:
             first.setdefault(x, d)
         gone, words = set(), [len(x.split()) for x in mine]
-        for f in {first[x] for x in mine} - {d}:
+        for f in {first[x] for x in keys} - {d}:
             for a, b in line_dedup.common_blocks(texts[f], mine, words, line_dedup.MIN_WORDS):
                 gone.update(range(a, b))
         want[d] = "\n".join(x for i, x in enumerate(mine) if i not in gone)
