@@ -644,36 +644,6 @@ ORACLE["restrict_language"] = f"""WITH {vectors(20)}
 SELECT vec_id, CASE WHEN x[{_HI}] > x[{_EN}] THEN 'hi' ELSE 'en' END AS language FROM v"""
 
 
-def _letters(n: int) -> str:
-    """Logits of the stand-in model: ten times the share of each letter."""
-    alphabet = texts([chr(97 + i % 26) for i in range(n)])
-    count = "(length(content) - length(replace(content, a, '')))"
-    return (
-        f"CASE WHEN {stripped('content')} <> '' THEN "
-        f"list_transform({alphabet}, lambda a: 10.0::DOUBLE * {count} / length(content)) END"
-    )
-
-
-ORACLE["score_batch"] = f"""WITH {MESSAGES}, l AS (SELECT chat_id, seq, {_letters(5)} AS x FROM messages)
-SELECT chat_id, seq, {", ".join(f"round(x[{i + 1}], 6) AS logit_{i}" for i in range(5))} FROM l"""
-ORACLE["score_all"] = f"""WITH {MESSAGES},
-l AS (SELECT chat_id, seq, {_letters(28)} AS x FROM messages),
-p AS (SELECT chat_id, seq, {_softmax("x")} AS p FROM l WHERE x IS NOT NULL),
-u AS (SELECT chat_id, seq, generate_subscripts(p, 1) AS i, round(unnest(p), 4) AS score FROM p),
-b AS (SELECT chat_id, seq, i, score,
-  row_number() OVER (PARTITION BY chat_id, seq ORDER BY score DESC, i) AS rank FROM u
-  QUALIFY rank <= 3),
-e AS (SELECT chat_id, seq, string_agg(list_extract({texts(EMOTIONS)}, i), ',' ORDER BY rank)
-  AS emotions, max(score) AS emotion_score FROM b GROUP BY 1, 2),
-tox AS (SELECT chat_id, seq, x, {_toxic("x[1:7]")} AS t FROM l)
-SELECT tox.chat_id, tox.seq, list_extract(['Very Negative', 'Negative', 'Neutral', 'Positive',
- 'Very Positive'], list_position(x[1:5], list_max(x[1:5]))) AS sentiment,
- e.emotions, e.emotion_score, t[1] AS toxicity_score, CASE WHEN t[1] > 0.5 THEN
- list_extract({texts(TOXICITY_LABELS[1:])}, list_position(t[2:7], list_max(t[2:7]))) END
- AS toxicity_type
-FROM tox LEFT JOIN e USING (chat_id, seq)"""
-
-
 def _grams(source: str, keys: str, column: str) -> str:
     """One row per character trigram of the padded lower-cased words."""
     return f"""(SELECT {keys}, substr(p, i, 3) AS gram FROM (

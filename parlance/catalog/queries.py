@@ -14,7 +14,7 @@ from parlance.functions import emoji as E
 from parlance.functions import scores as S
 from parlance.functions.text import strip_first_link
 from parlance.operators import (
-    call_stats, chat_stats, contexts, insights, language, mood, parse, participants, preprocess,
+    call_stats, chat_stats, contexts, insights, language, learned, mood, parse, participants, preprocess,
     prompts, report, scoring, workers,
 )
 from parlance.plans.blocks import spread, tail
@@ -413,19 +413,33 @@ def restrict_language(spark, sf_dir):
     return rows.select("vec_id", S.restrict_language(F.col("logits")).alias("language"))
 
 
+def _learned(spark, sf_dir, **heads):
+    """A model fitted on the documents and their labels; a head is a column and its labels."""
+    labels = X.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    rows = _documents(spark, sf_dir, "doc_id", "text", "lang").join(labels, "doc_id", "left")
+    columns = [F.col(column).cast("string").alias(head) for head, (column, _) in heads.items()]
+    return learned.loader(learned.fit(rows.select("text", *columns), {h: values for h, (_, values) in heads.items()}))
+
+
 @query
 def score_batch(spark, sf_dir):
+    """Logits of quality, toxicity and language, all learnt from the documents."""
     rows = X.messages(spark, sf_dir).select("chat_id", "seq", "content")
-    scored = scoring.score_batch(rows, "content", scoring.stand_in(sentiment=5), ["sentiment"])
-    return scored.select(
-        "chat_id", "seq", *[F.get("sentiment", F.lit(i)).alias(f"logit_{i}") for i in range(5)]
-    )
+    heads = {"quality": ("quality", (0, 1)), "toxic": ("toxic", (0, 1)), "lang": ("lang", DOC_LANGUAGES)}
+    scored = scoring.score_batch(rows, "content", _learned(spark, sf_dir, **heads), list(heads))
+    logits = [F.get(h, F.lit(i)).alias(f"{h}_{i}") for h, (_, names) in heads.items() for i in range(len(names))]
+    return scored.select("chat_id", "seq", *logits)
 
 
 @query
 def score_all(spark, sf_dir):
+    """The three heads of a context, learnt from what the tables have labels for."""
     rows = X.messages(spark, sf_dir).select("chat_id", "seq", "content")
-    scored = scoring.score_all(rows, scoring.stand_in(**scoring.STAND_IN), "content")
+    model = _learned(
+        spark, sf_dir, sentiment=("quality", (0, 1)), emotion=("lang", DOC_LANGUAGES), toxicity=("toxic", (1, 0))
+    )
+    names = {"sentiment": ("poor", "good"), "emotion": DOC_LANGUAGES, "toxicity": ("toxicity", "none")}
+    scored = scoring.score_all(rows, model, "content", names=names)
     return scored.select(
         "chat_id", "seq", "sentiment", F.array_join(F.map_keys("emotion"), ",").alias("emotions"),
         F.element_at(F.map_values("emotion"), 1).alias("emotion_score"),

@@ -1,8 +1,10 @@
 """Language and toxicity models by counting, trained on labelled tables.
 
 They stand where published checkpoints would plug in and do not reproduce them.  A model is a table
-of exact counts, one row per feature with a count per label, and a few totals; scoring explodes a
-row's features, adds them up first, joins the table and sums logarithms.
+of exact counts, one row per feature with a count per label, and a few totals.  Scoring makes a vector
+of log terms per distinct word, however often the word is written: its features meet the model once.
+Rows then only sum the vectors of their words, and partial sums leave one row of them per message and
+task.  A small table of words is broadcast by the optimizer, a large one joined with its skew split.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from parlance.plans.stored import stored
 
 #: Documents' worth of prior belief in a word's toxicity.
 SMOOTHING = 10
+#: Labels that a model may have when they are not named.
+MOST_LABELS = 1_000
 ROW = ("chat_id", "seq")
 
 
@@ -40,12 +44,17 @@ def count_features(
     expand: Callable[[Column], Column] | None = None,
     labels: Sequence | None = None,
 ) -> Counts:
-    """Counts of the features of ``words`` per label; labels are few and named on the driver.
+    """Counts of the features of ``words`` per label; labels are few (``MOST_LABELS``).
 
     Words are counted first, so ``expand``, which makes a word's features, sees each word once.
     """
     rows = rows.where(F.col(label).isNotNull())
-    labels = list(labels) if labels else sorted(r[0] for r in rows.select(label).distinct().collect())
+    if labels is None:
+        found = rows.select(label).distinct().limit(MOST_LABELS + 1).collect()
+        if len(found) > MOST_LABELS:
+            raise ValueError(f"more than {MOST_LABELS} labels in {label}: name those that count")
+        labels = sorted(r[0] for r in found)
+    labels = list(labels)
     per_label = [F.count(F.when(F.col(label) == x, 1)).alias(f"n_{i}") for i, x in enumerate(labels)]
     counted = rows.select(label, F.explode(words).alias("feature")).groupBy("feature").agg(*per_label)
     if expand is not None:
@@ -59,15 +68,13 @@ def count_features(
     return Counts(table, labels, [n or 0 for n in sums[1:]], sums[0])
 
 
-def _summed(rows: DataFrame, row: Sequence[str], features: Column, model: Counts, terms: Sequence[Column]) -> DataFrame:
-    """Per row the sums of ``terms`` (over n_i and the feature's count c) and the features' number."""
-    found = rows.select(*row, F.explode(features).alias("feature")).groupBy(*row, "feature").agg(
-        F.count(F.lit(1)).alias("c")
-    )
+def _summed(rows: DataFrame, row: Sequence[str], words: Column, table: DataFrame, terms: int) -> DataFrame:
+    """Per row the sums of the terms _s0, _s1 ... that ``table`` has for its words (column word)."""
+    said = rows.select(*[F.col(c).alias(f"_{c}") for c in row], F.explode(words).alias("word"))
     return (
-        found.join(model.table, "feature")
-        .groupBy(*[F.col(c).alias(f"_{c}") for c in row])
-        .agg(*[F.sum(t).alias(f"_s{i}") for i, t in enumerate(terms)])
+        said.join(table, "word")
+        .groupBy(*[f"_{c}" for c in row])
+        .agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(terms)])
     )
 
 
@@ -84,11 +91,6 @@ def word_trigrams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(padded, i, F.lit(3)))
 
 
-def trigrams(text: Column) -> Column:
-    """Character trigrams of the lower-cased words."""
-    return F.flatten(F.transform(tokens(F.lower(text)), word_trigrams))
-
-
 def train_language(documents: DataFrame, text: str = "text", label: str = "lang") -> Counts:
     """Multinomial naive Bayes on character trigrams: their counts per language."""
     return count_features(documents, label, tokens(F.lower(text)), word_trigrams)
@@ -108,10 +110,18 @@ def detect_language(
     With add-one smoothing a trigram counts ln(n + 1) - ln(total + trigrams known) for a language;
     the second part is the same for all trigrams, so unknown ones need no join.
     """
-    terms = [F.col("c") * F.log1p(f"n_{i}") for i in range(len(model.labels))]
-    content = F.coalesce(F.col(text), F.lit(""))
-    sums = _summed(rows.select(*row, text), row, trigrams(content), model, terms)
-    size = F.size(trigrams(content))
+    labels = range(len(model.labels))
+    spoken = tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    words = rows.select(F.explode(spoken).alias("word")).distinct()
+    parts = words.select("word", F.explode(word_trigrams(F.col("word"))).alias("feature"))
+    table = (
+        parts.join(model.table, "feature")
+        .groupBy("word")
+        .agg(*[F.sum(F.log1p(f"n_{i}")).alias(f"_s{i}") for i in labels])
+    )
+    sums = _summed(rows, row, spoken, stored(table, "words"), len(model.labels))
+    # a word has as many trigrams as characters
+    size = F.aggregate(spoken, F.lit(0), lambda n, w: n + F.length(w))
     scores = [
         F.coalesce(f"_s{i}", F.lit(0.0)) - size * F.lit(math.log(max(total, 0) + max(model.features, 1)))
         for i, total in enumerate(model.totals)
@@ -145,8 +155,8 @@ def score_toxicity(
     share = min(max(share, 1e-6), 1 - 1e-6)
     prior = math.log(share / (1 - share))
     term = F.log((F.col("n_1") + SMOOTHING * share) / (F.col("n_0") + SMOOTHING * (1 - share))) - F.lit(prior)
-    content = F.coalesce(F.col(text), F.lit(""))
-    sums = _summed(rows.select(*row, text), row, distinct_words(content), counts, [term])
+    table = counts.table.select(F.col("feature").alias("word"), term.alias("_s0"))
+    sums = _summed(rows, row, distinct_words(F.coalesce(F.col(text), F.lit(""))), table, 1)
     odds = F.coalesce("_s0", F.lit(0.0)) + F.lit(prior)
     score = F.round(1 / (1 + F.exp(-odds)), 4)
     return _joined(rows, sums, row).withColumn(

@@ -45,15 +45,8 @@ def score_batch(
     return scored.select(*rows.columns, *[F.col(f"_scores.{h}").alias(h) for h in heads])
 
 
-def stand_in(**heads: int) -> Loader:
-    """Letter-share model for tests and demos; not a reproduction of any checkpoint."""
-    model = workers.letter_model
-    return lambda: model(heads)
-
-
-STAND_IN = {
-    "sentiment": len(SENTIMENTS), "emotion": len(EMOTIONS), "toxicity": len(TOXICITY_LABELS),
-}
+#: The labels of the three heads of ``score_all``.
+NAMES = {"sentiment": tuple(SENTIMENTS), "emotion": EMOTIONS, "toxicity": TOXICITY_LABELS}
 
 
 def score_all(
@@ -61,17 +54,22 @@ def score_all(
     load: Loader,
     text_column: str = "merged_content",
     batch_size: int = BATCH,
+    names: Mapping[str, Sequence[str]] = NAMES,
 ) -> DataFrame:
-    """Add ``sentiment``, ``emotion`` and ``toxicity`` in one pass over the text."""
+    """Add ``sentiment``, ``emotion`` and ``toxicity`` in one pass over the text.
+
+    ``names`` are the labels of each head in the order of the model's logits; one of the toxicity
+    head is ``toxicity``.
+    """
     heads = ("sentiment", "emotion", "toxicity")
     udf = logits_udf(load, heads, batch_size)
     logits = rows.withColumn("_scores", udf(F.col(text_column)))
     get = lambda head: F.col(f"_scores.{head}")
     return logits.select(
         *rows.columns,
-        S.sentiment_label(get("sentiment")).alias("sentiment"),
-        S.emotion_map(get("emotion")).alias("emotion"),
-        S.toxicity(get("toxicity")).alias("toxicity"),
+        S.sentiment_label(get("sentiment"), names["sentiment"]).alias("sentiment"),
+        S.emotion_map(get("emotion"), names=names["emotion"]).alias("emotion"),
+        S.toxicity(get("toxicity"), names["toxicity"]).alias("toxicity"),
     )
 
 

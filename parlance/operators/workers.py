@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import sys
 import zipfile
 
@@ -30,15 +31,46 @@ def score_series(texts, model, batch_size, heads):
     return out
 
 
-def letter_model(heads):
-    """Stand-in model: label i of a head scores ten times the share of the i-th letter."""
+def murmur(data, seed=42):
+    """MurmurHash3 of 32 bits (signed), the hash of Spark's feature hashing."""
+    rotate = lambda x, n: ((x << n) | (x >> (32 - n))) & 0xFFFFFFFF
+    scramble = lambda k: rotate(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+    h, whole = seed, len(data) & ~3
+    for (k,) in struct.iter_unpack("<I", data[:whole]):
+        h = (rotate(h ^ scramble(k), 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    if whole < len(data):
+        h ^= scramble(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+#: Words whose slots a task remembers.
+REMEMBERED = 1 << 18
+
+
+def linear_model(heads):
+    """Logits of hashed words.  ``heads`` maps a name to (intercepts, weights by slot and label)."""
+    slots = {}
+    dim = len(next(iter(heads.values()))[1])
+
+    def slot(word):
+        at = slots.get(word)
+        if at is None:
+            if len(slots) >= REMEMBERED:
+                slots.clear()
+            at = slots[word] = murmur(word.encode()) % dim
+        return at
 
     def model(texts):
-        result = {}
-        for head, labels in heads.items():
-            result[head] = [
-                [10.0 * t.count(chr(97 + i % 26)) / len(t) for i in range(labels)] for t in texts
-            ]
+        result = {head: np.zeros((len(texts), len(b))) for head, (b, _) in heads.items()}
+        for i, text in enumerate(texts):
+            at, n = np.unique([slot(w) for w in text.lower().split()], return_counts=True)
+            share = n / np.sqrt((n * n).sum()) if len(n) else n
+            for head, (b, w) in heads.items():
+                result[head][i] = b + (share @ w[at.astype(np.int64)] if len(n) else 0.0)
         return result
 
     return model

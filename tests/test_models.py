@@ -1,11 +1,13 @@
 import math
 import random
 
+import letters
+import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from parlance.functions import scores as S
-from parlance.operators import language, scoring
+from parlance.operators import language, learned, scoring, workers
 from parlance.schema import EMOTIONS, TOXICITY_LABELS
 
 
@@ -43,12 +45,12 @@ def test_post_processing(spark):
 def test_scorer_keeps_rows_and_skips_blanks(spark):
     texts = ["abc", None, " ", "", "bbb", *["a" * i for i in range(1, 80)]]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(5)
-    seen = scoring.score_batch(df, "t", scoring.stand_in(h=3), ["h"], batch_size=4)
+    seen = scoring.score_batch(df, "t", letters.letters(h=3), ["h"], batch_size=4)
     got = {r["i"]: r["h"] for r in seen.collect()}
     for i, t in enumerate(texts):
         want = [10 * t.count(c) / len(t) for c in "abc"] if t and t.strip() else None
         assert (list(got[i]) if got[i] is not None else None) == want
-    empty = scoring.score_all(df.where("i in (1, 2)"), scoring.stand_in(**scoring.STAND_IN), "t").collect()
+    empty = scoring.score_all(df.where("i in (1, 2)"), letters.letters(**letters.HEADS), "t").collect()
     assert all(r["sentiment"] is None and r["emotion"] is None and r["toxicity"] is None for r in empty)
 
 
@@ -72,3 +74,72 @@ def test_toxicity_model(spark, sf):
         rawPredictionCol="toxicity_score", labelCol="_y"
     ).evaluate(scored)
     assert auc > 0.8
+
+
+HEADS = {"quality": (0, 1), "toxic": (0, 1), "lang": ("de", "en", "es", "fr")}
+
+
+def labelled(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").withColumn("_fold", F.col("doc_id") % 4)
+
+
+def test_learned_model_on_held_out_documents(spark):
+    """Fitted on three quarters of the documents and scored by the batch scorer on the others."""
+    docs = labelled(spark, "/root/testdata/sf0.01")
+    weights = learned.fit(docs.where("_fold > 0"), HEADS)
+    best = {h: S.label_of_max(F.col(h), [str(x) for x in names]) for h, names in HEADS.items()}
+    rows = scoring.score_batch(
+        docs.where("_fold = 0").select("doc_id", "text", *[F.col(h).cast("string").alias(f"true_{h}") for h in HEADS]),
+        "text", learned.loader(weights), list(HEADS),
+    )
+    shares = rows.select(*[F.avg((best[h] == F.col(f"true_{h}")).cast("double")).alias(h) for h in HEADS]).first()
+    assert shares["lang"] > 0.94 and shares["quality"] > 0.94
+    # one labelled document in nine is toxic, so the order of the scores says more than a cutoff
+    odds = rows.where("true_toxic IS NOT NULL AND toxic IS NOT NULL").select(
+        (F.get("toxic", F.lit(1)) - F.get("toxic", F.lit(0))).alias("odds"), F.col("true_toxic").cast("double").alias("y")
+    )
+    assert BinaryClassificationEvaluator(rawPredictionCol="odds", labelCol="y").evaluate(odds) > 0.85
+
+
+def test_learned_logits_equal_the_fitted_model(spark, sf):
+    """Slots, lengths and weights of the batch scorer against Spark's own transformation."""
+    docs = labelled(spark, sf).select("doc_id", "text", "lang")
+    weights = learned.fit(docs, {"lang": HEADS["lang"]}, dim=512, iterations=3)
+    rows = {r["position"]: r for r in weights.collect()}
+    vectors = learned.features(docs, "text", "v", 512).collect()
+    found = scoring.score_batch(docs.drop("lang"), "text", learned.loader(weights), ["lang"])
+    got = {r["doc_id"]: r["lang"] for r in found.select("doc_id", F.col("lang")).collect()}
+    for r in vectors:
+        if got[r["doc_id"]] is not None:
+            want = [rows[i]["intercept"] + r["v"].dot(rows[i]["weights"]) for i in range(4)]
+            assert all(abs(a - b) < 1e-9 for a, b in zip(want, got[r["doc_id"]]))
+
+
+def test_murmur(spark):
+    words = ["", "a", "ab", "abc", "abcd", "abcdefghij", "\u00e9\u65e5\u672c", "x" * 1001]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.array("w").alias("_words"))
+    from pyspark.ml.feature import HashingTF
+
+    for r in HashingTF(numFeatures=1 << 20, inputCol="_words", outputCol="v").transform(got).collect():
+        assert r["v"].indices.tolist() == [workers.murmur(r["w"].encode()) % (1 << 20)]
+
+
+def test_learned_labels(spark):
+    rows = spark.createDataFrame([("good day", "a", None), ("bad day", "b", None), (None, "a", "x")], "text string, h string, g string")
+    weights = learned.fit(rows, {"h": ("a", "b", "c")}, dim=64)
+    assert learned.labels_of(weights) == {"h": ["a", "b", "c"]}
+    out = scoring.score_batch(rows.select("text"), "text", learned.loader(weights), ["h"]).collect()
+    assert all(r["h"] is None or r["h"][2] == learned.ABSENT for r in out)
+    with pytest.raises(ValueError):
+        learned.loader(weights, most_bytes=10)
+    with pytest.raises(ValueError):
+        learned.fit(rows.where("g IS NULL"), {"g": ("x",)})
+
+
+def test_labels_that_are_not_named_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LABELS", 3)
+    rows = spark.createDataFrame([(f"w{i}", f"l{i}") for i in range(4)], "text string, lang string")
+    with pytest.raises(ValueError):
+        language.train_language(rows)
+    assert language.count_features(rows, "lang", language.tokens(F.col("text")), labels=["l0"]).labels == ["l0"]

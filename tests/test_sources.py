@@ -3,8 +3,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+import letters
+
 from parlance.analyze import analyze
-from parlance.operators import scoring
 from parlance.resources.phrases import ABBREVIATIONS
 from parlance.sources import dictionaries, exports
 
@@ -57,7 +58,7 @@ def test_analyze_end_to_end(spark, tmp_path):
     (tmp_path / "few.txt").write_text(line.format(1, "C", "hi") + "\n" + line.format(2, "D", "yo"))
     out = {r["chat_id"]: json.loads(r["j"]) for r in analyze(
         spark, str(tmp_path), "ios", sample_size=2, abbreviations=ABBREVIATIONS,
-        load_model=scoring.stand_in(**scoring.STAND_IN),
+        load_model=letters.letters(**letters.HEADS),
     ).selectExpr("chat_id", "to_json(struct(*)) AS j").collect()}
     ann = out["ann"]
     assert ann["participants"] == ["Ann", "Ben"]
