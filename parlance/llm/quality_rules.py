@@ -2,7 +2,9 @@
 
 Instead of fixed cutoffs every language and source gets its own: the metrics of its documents go
 into quantile sketches, and a document is an outlier when a metric lies beyond a fence drawn from
-the quartiles of its group.
+the quantiles of its group: beyond its quartiles by ``REACH`` times their distance (word length,
+symbols), or above all but the last ``TAIL`` of the group (repeated lines and words, which most
+documents don't have at all, so that quartiles say nothing).
 
 The sketch is a histogram with buckets of 1/32 relative width (values below 64 are exact).  Two
 sketches merge by adding counts, so it is an ordinary sum by (lang, source, metric, bucket):
@@ -28,16 +30,16 @@ MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 SYMBOLS = "#*$%&|<>"
 
-#: metric -> (has lower fence, has upper fence, slack added to the interquartile range).  A slack in
-#: the metric's unit keeps groups without any spread from rejecting small deviations.
-METRICS = {
-    "word_millichars": (True, True, 2_000),
-    "symbol_ppm": (False, True, 50_000),
-    "dup_line_ppm": (False, True, 300_000),
-    "repeat_ppm": (False, True, 150_000),
-}
+#: metric -> (has lower fence, slack added to the interquartile range); metrics with quartile fences.
+#: The slack of word length is two sketch buckets at common lengths; that of symbols, one in a hundred
+#: characters, keeps groups that mostly have none from rejecting a single sign.
+SPREAD = {"word_millichars": (True, 256), "symbol_ppm": (False, 10_000)}
 #: Fences lie this many (interquartile range + slack) outside the quartiles.
 REACH = 3
+#: metrics whose fence is a high quantile, and the part of a group above it (one in so many).
+HIGH = ("dup_line_ppm", "repeat_ppm")
+TAIL = 200
+METRICS = (*SPREAD, *HIGH)
 
 
 def repeated_words(found: str) -> Column:
@@ -133,16 +135,25 @@ def fences(sketches: DataFrame) -> DataFrame:
         F.sum("n").over(group).alias("_all"),
         F.sum("n").over(group.orderBy("bucket")).alias("_upto"),
     )
-    at = lambda q: F.min(F.expr(f"CASE WHEN 4 * _upto >= {q} * _all THEN bucket END"))
-    quartiles = ranked.groupBy("lang", "source", "metric").agg(at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda part, of: F.min(F.expr(f"CASE WHEN {of} * _upto >= {part} * _all THEN bucket END"))
+    quantiles = ranked.groupBy("lang", "source", "metric").agg(
+        at(1, 4).alias("q1"), at(3, 4).alias("q3"), at(TAIL - 1, TAIL).alias("high")
+    )
     out = []
-    for metric, (lower, upper, slack) in METRICS.items():
+    for metric in METRICS:
         mine = F.col("metric") == metric
-        if lower:
-            out.append(F.max(F.when(mine, F.expr(f"q1 - {REACH} * (q3 - q1 + {slack})"))).alias(f"{metric}_low"))
-        if upper:
-            out.append(F.max(F.when(mine, F.expr(f"q3 + {REACH} * (q3 - q1 + {slack})"))).alias(f"{metric}_high"))
-    return quartiles.groupBy("lang", "source").agg(*out)
+        for side, fence in fence_of(metric).items():
+            out.append(F.max(F.when(mine, F.expr(fence))).alias(f"{metric}_{side}"))
+    return quantiles.groupBy("lang", "source").agg(*out)
+
+
+def fence_of(metric: str) -> dict[str, str]:
+    """SQL of a metric's fences over the quantiles q1, q3 and high (lower bounds of buckets)."""
+    if metric in HIGH:  # the last value of the bucket
+        return {"high": "high + shiftleft(1L, greatest(length(bin(high)) - 6, 0)) - 1"}
+    lower, slack = SPREAD[metric]
+    fences = {"low": f"q1 - {REACH} * (q3 - q1 + {slack})"} if lower else {}
+    return fences | {"high": f"q3 + {REACH} * (q3 - q1 + {slack})"}
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -160,11 +171,10 @@ def judge(docs: DataFrame) -> DataFrame:
         "left",
     ).drop("_lang", "_source")
     outside = F.lit(False)
-    for metric, (lower, upper, _) in METRICS.items():
-        if lower:
-            outside = outside | (F.col(metric) < F.col(f"{metric}_low"))
-        if upper:
-            outside = outside | (F.col(metric) > F.col(f"{metric}_high"))
+    for metric in METRICS:
+        for side in fence_of(metric):
+            limit = F.col(f"{metric}_{side}")
+            outside = outside | (F.col(metric) < limit if side == "low" else F.col(metric) > limit)
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
 
 
@@ -178,12 +188,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def _sql() -> str:
     shift = "greatest(length(bin(value)) - 6, 0)"
     outside = []
-    for metric, (lower, upper, slack) in METRICS.items():
-        q = f"(SELECT {{}} FROM quartiles q WHERE q.metric = '{metric}' AND q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source)"
+    for metric in METRICS:
+        q = f"(SELECT {{}} FROM quantiles q WHERE q.metric = '{metric}' AND q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source)"
+        if metric in HIGH:
+            outside.append(f"{metric} > {q.format('high + (1 << greatest(length(bin(high)) - 6, 0)) - 1')}")
+            continue
+        lower, slack = SPREAD[metric]
+        outside.append(f"{metric} > {q.format(f'q3 + {REACH} * (q3 - q1 + {slack})')}")
         if lower:
             outside.append(f"{metric} < {q.format(f'q1 - {REACH} * (q3 - q1 + {slack})')}")
-        if upper:
-            outside.append(f"{metric} > {q.format(f'q3 + {REACH} * (q3 - q1 + {slack})')}")
     pairs = " UNION ALL ".join(
         f"SELECT lang, source, '{m}' AS metric, {m} AS value FROM metrics WHERE NOT base_failed" for m in METRICS
     )
@@ -222,9 +235,10 @@ def _sql() -> str:
     ranked AS (
       SELECT *, sum(n) OVER (PARTITION BY lang, source, metric) AS a,
              sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS u FROM buckets),
-    quartiles AS (
+    quantiles AS (
       SELECT lang, source, metric, min(CASE WHEN 4 * u >= a THEN bucket END) AS q1,
-             min(CASE WHEN 4 * u >= 3 * a THEN bucket END) AS q3 FROM ranked GROUP BY ALL)
+             min(CASE WHEN 4 * u >= 3 * a THEN bucket END) AS q3,
+             min(CASE WHEN {TAIL} * u >= {TAIL - 1} * a THEN bucket END) AS high FROM ranked GROUP BY ALL)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND NOT coalesce({" OR ".join(outside)}, false) AS kept
     FROM metrics m"""
