@@ -29,7 +29,7 @@ def planted(rng, letters):
     return {
         "long words": "\n".join(line(letters * 3) for _ in range(6)),
         "short words": "\n".join(line(1) for _ in range(6)),
-        "symbols": "\n".join(line() + " ##$$%%" for _ in range(6)),
+        "symbols": "\n".join(line() + " " + "#$%" * letters for _ in range(6)),
         "lines": "\n".join(x for _ in range(4) for x in (line(), "a b")),
         "repeats": "\n".join([*[line() for _ in range(9)], (x := " ".join(word(letters) for _ in range(20))) + " " + x + " end"]),
     }
