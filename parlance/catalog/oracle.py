@@ -674,3 +674,66 @@ s AS (SELECT doc_id, sum(ln((n1 + 10 * p) / (n0 + 10 * (1 - p))) - ln(p / (1 - p
 SELECT doc_id, CASE WHEN {stripped("text")} <> '' THEN
   round(1 / (1 + exp(-(coalesce(s, 0) + ln(p / (1 - p))))), 4) END AS toxicity_score
 FROM documents LEFT JOIN s USING (doc_id) CROSS JOIN prior"""
+
+
+def _report() -> str:
+    """The report in long form, put together from the SQL of its statistics.
+
+    Message statistics are those of the preprocessed text, in which an emoji's name counts as the emoji.
+    """
+    said = MESSAGES.replace("messages AS (", "raw AS (") + """,
+messages AS (SELECT raw.* REPLACE (pre.content AS content) FROM raw JOIN pre USING (chat_id, seq))"""
+    people = f"SELECT DISTINCT chat_id, sender FROM (WITH {MESSAGES} SELECT * FROM messages)"
+    scored = f"SELECT DISTINCT chat_id, sender FROM (WITH {SCORED} SELECT * FROM scored)"
+    absent = lambda sql, columns: f"SELECT p.chat_id, p.sender, {columns} FROM ({people}) p LEFT JOIN ({sql}) s USING (chat_id, sender)"
+    on = lambda name: ORACLE[name].replace(MESSAGES, said)
+    for_people = lambda sql, columns: f"SELECT p.chat_id, p.sender AS participant, {columns} FROM ({people}) p LEFT JOIN ({sql}) s ON s.chat_id = p.chat_id AND s.participant = p.sender"
+    toxic = f"""SELECT t.chat_id, t.rank, t.sender, s.receiver, t.merged_content, s.date, s.sentiment, t.toxicity_score,
+ t.toxicity_type, e.emotions AS emotions_str FROM ({ORACLE["toxicity_summary"]}) t
+ JOIN (WITH {SCORED} SELECT * FROM scored) s USING (src, seq) JOIN ({ORACLE["emotions_str"]}) e USING (src, seq)"""
+    moods = [e for e in EMOTIONS if e != "neutral"]
+    # section -> (SQL, what names an item, texts, numbers)
+    sections = {
+        "most_used_words_phrases": (on("top_words"), ["rank"], ["word"], ["n"]),
+        "who_texts_first_most": (on("first_texter"), ["sender"], [], ["days"]),
+        "who_sends_longer_messages": (on("avg_message_length"), ["sender"], [], ["avg_words"]),
+        "longest_message": (on("longest_message"), ["participant"], ["content", "ts"], ["length"]),
+        "average_reply_time": (on("reply_time"), ["participant"], [], ["avg_reply_minutes"]),
+        "media_stats": (absent(on("media_stats"), "type, coalesce(n, 0) AS n"), ["sender", "type"], [], ["n"]),
+        "most_active_chat_times": (on("active_hours"), ["hour"], [], ["n"]),
+        "most_used_emojis": (ORACLE["top_emojis"], ["rank"], ["emoji"], ["n"]),
+        "most_used_emojis_by_sender": (
+            absent(ORACLE["top_emojis_by_sender"], "emoji, rank, coalesce(n, 0) AS n"), ["sender", "rank"], ["emoji"], ["n"]
+        ),
+        "insights": (on("phrase_counts"), ["participant"], [], ["apology", "compliment", "questioning", "swearing"]),
+        "missed_calls_per_participant": (ORACLE["missed_calls"], ["receiver"], [], ["n"]),
+        "most_active_call_times": (ORACLE["call_hours"], ["hour"], [], ["n"]),
+        "longest_call_details": (ORACLE["longest_call"], [], ["sender", "receiver", "type", "ts"], ["seq", "duration"]),
+        "total_calls_per_participant": (ORACLE["calls_per_sender"], ["sender"], [], ["n"]),
+        "type_of_calls_count": (ORACLE["calls_per_type"], ["type"], [], ["n"]),
+        "toxicity_summary": (
+            toxic, ["rank"], ["sender", "receiver", "merged_content", "date", "sentiment", "toxicity_type", "emotions_str"],
+            ["toxicity_score"],
+        ),
+        "sentiment_summary": (ORACLE["sentiment_summary"], ["sender", "sentiment"], [], ["n", "mean_sentiment"]),
+        "mood_trends": (ORACLE["mood_trends"], ["date"], [], ["sentiment_rolling", "toxicity_rolling"]),
+        "emotion_trend": (ORACLE["emotion_trend_wide"], ["week"], [], moods),
+        "mood_toxicity_heatmap": (ORACLE["mood_heatmap"], ["week"], ["sentiment_bin", "toxicity_bin"], []),
+        "love_score": (for_people(ORACLE["love_score"], "coalesce(love_score, 0) AS love_score, coalesce(love_percentage, 0) AS love_percentage"), ["participant"], [], ["love_score", "love_percentage"]),
+        "hate_score": (for_people(ORACLE["hate_score"], "coalesce(hate_score, 0) AS hate_score, coalesce(hate_percentage, 0) AS hate_percentage"), ["participant"], [], ["hate_score", "hate_percentage"]),
+    }
+    out = [f"SELECT chat_id, 'participants' AS field, sender AS item, sender AS text, NULL::DOUBLE AS value FROM ({people})"]
+    for section, (sql, names, texts_, numbers) in sections.items():
+        item = f"concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in names)})" if names else "''"
+        for column in [*texts_, *numbers]:
+            said_, counted = (f"CAST({column} AS VARCHAR)", "NULL") if column in texts_ else ("NULL", f"CAST({column} AS DOUBLE)")
+            out.append(f"SELECT chat_id, '{section}.{column}', {item}, {said_}, {counted} FROM ({sql})")
+    for field, (name, column) in {
+        "average_call_duration": ("avg_call_duration", "avg_duration"), "average_call_frequency_per_day": ("calls_per_day", "avg_calls"),
+    }.items():
+        out.append(f"SELECT chat_id, '{field}', '', NULL, CAST({column} AS DOUBLE) FROM ({ORACLE[name]})")
+    out.append(f"SELECT chat_id, 'most_frequent_call_type', '', type, NULL FROM ({ORACLE['call_mode']})")
+    return f"WITH pre AS MATERIALIZED ({ORACLE['preprocess']})\n" + "\nUNION ALL\n".join(out)
+
+
+ORACLE["full_report"] = _report()

@@ -131,7 +131,7 @@ def full_report(spark, sf_dir):
     rows = report.full_report(
         messages, participants.from_rows(messages), X.calls(spark, sf_dir), X.scored(spark, sf_dir)
     )
-    return rows.select("chat_id", F.to_json(F.struct(*rows.columns)).alias("report"))
+    return report.entries(rows)
 
 
 # -- parsing -------------------------------------------------------------------------------------

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.operators import call_stats, chat_stats, insights, mood
 from parlance.operators.preprocess import preprocess
@@ -146,6 +147,58 @@ def full_report(
     )
 
 
+#: What names an item of a section; its other fields are what is said about it.
+ITEM_KEYS = {
+    "most_used_words_phrases": ("rank",), "who_texts_first_most": ("sender",),
+    "who_sends_longer_messages": ("sender",), "longest_message": ("participant",),
+    "average_reply_time": ("participant",), "media_stats": ("sender", "type"),
+    "most_active_chat_times": ("hour",), "most_used_emojis": ("rank",),
+    "most_used_emojis_by_sender": ("sender", "rank"), "insights": ("participant",),
+    "missed_calls_per_participant": ("receiver",), "most_active_call_times": ("hour",),
+    "longest_call_details": (), "total_calls_per_participant": ("sender",),
+    "type_of_calls_count": ("type",), "toxicity_summary": ("rank",),
+    "sentiment_summary": ("sender", "sentiment"), "mood_trends": ("date",), "emotion_trend": ("week",),
+    "mood_toxicity_heatmap": ("week",), "love_score": ("participant",), "hate_score": ("participant",),
+}
+
+
+def _entries(section: str, kind: T.DataType, value: Column) -> Column:
+    """The entries (field, item, text, value) of a section of the report."""
+
+    def entry(field, item, kind, value):
+        number = isinstance(kind, T.NumericType)
+        return F.struct(
+            F.lit(field).alias("field"), item.cast("string").alias("item"),
+            (F.lit(None) if number else value).cast("string").alias("text"),
+            (value if number else F.lit(None)).cast("double").alias("value"),
+        )
+
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.StructType):
+        return F.transform(value, lambda x: entry(section, x, T.StringType(), x))
+    if not isinstance(kind, (T.ArrayType, T.StructType)):
+        return F.when(value.isNotNull(), F.array(entry(section, F.lit(""), kind, value)))
+    keys = ITEM_KEYS[section]
+
+    def of_record(fields, record):
+        item = F.concat_ws("|", *[record[k].cast("string") for k in keys])
+        return F.array(*[entry(f"{section}.{f.name}", item, f.dataType, record[f.name]) for f in fields if f.name not in keys])
+
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), of_record(kind.fields, value))
+    return F.flatten(F.transform(value, lambda x: of_record(kind.elementType.fields, x)))
+
+
+def entries(report: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The report in long form: one row per chat, field and item with a text or a number."""
+    found = [_entries("participants", report.schema["participants"].dataType, F.col("participants"))]
+    for path in ("chat_stats.overview", "chat_stats.deep_analysis", "call_stats"):
+        kind = report.select(path).schema[0].dataType
+        if isinstance(kind, T.StructType):
+            found += [_entries(f.name, f.dataType, F.col(path)[f.name]) for f in kind.fields]
+    every = F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return report.select(*keys, F.explode(every).alias("e")).select(*keys, "e.*")
+
+
 def save_report(report: DataFrame, path: str, by_chat: bool = False) -> None:
     """JSON lines, replacing an earlier report.  ``by_chat`` writes a folder per chat, which suits
     few chats only."""
