@@ -84,30 +84,37 @@ def avg_message_length(messages: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     )
 
 
-def longest_message(
-    messages: DataFrame, people: DataFrame | None = None, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """Longest message in words per participant, the earliest of equals."""
-    said = messages.where(F.col("content").isNotNull())
-    # words, then early, then first in the file, as one number: a plain fixed-width maximum
+def length_order() -> Column:
+    """Words, then early, then first in the file, as one number: a plain fixed-width maximum."""
     words = word_count(F.col("content")).cast("decimal(38,0)") * F.lit(Decimal(10) ** 26)
     late = (F.lit(10**12) - F.coalesce(epoch_seconds("ts"), F.lit(10**12))).cast("decimal(38,0)")
     last = F.lit(10**14 - 1) - F.col("seq")
-    order = (words + late * F.lit(Decimal(10) ** 14) + last).cast("decimal(38,0)")
-    who = [*keys, F.col("sender").alias("participant")]
-    best = said.select(*who, order.alias("_order")).groupBy(*keys, "participant").agg(
-        F.max("_order").alias("_order")
+    return (words + late * F.lit(Decimal(10) ** 14) + last).cast("decimal(38,0)")
+
+
+def longest_of(best: DataFrame, messages: DataFrame, people: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The messages behind the largest ``_order`` of each participant."""
+    best = best.select(
+        *keys, "participant",
+        (F.lit(10**14 - 1) - F.pmod("_order", F.lit(Decimal(10) ** 14))).cast("bigint").alias("seq"),
     )
-    best = best.withColumn(
-        "seq", (F.lit(10**14 - 1) - F.pmod("_order", F.lit(Decimal(10) ** 14))).cast("bigint")
-    ).drop("_order")
+    said = messages.where(F.col("content").isNotNull())
     found = best.join(
         said.select(*keys, "seq", "content", word_count(F.col("content")).alias("length"), "ts"), [*keys, "seq"]
     )
-    people = people if people is not None else from_rows(messages, keys)
     return zero_fill(people, found, keys).select(*keys, "participant", "content", "length", "ts")
 
 
+def longest_message(
+    messages: DataFrame, people: DataFrame | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Longest message in words per participant, the earliest of equals."""
+    said = messages.where(F.col("content").isNotNull())
+    best = said.select(*keys, F.col("sender").alias("participant"), length_order().alias("_order"))
+    best = best.groupBy(*keys, "participant").agg(F.max("_order").alias("_order"))
+    return longest_of(best, messages, people if people is not None else from_rows(messages, keys), keys)
+
+
 def active_hours(messages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Messages per hour of day; empty hours are absent."""
     timed = messages.where(F.col("ts").isNotNull())
@@ -167,7 +174,7 @@ def top_emojis(messages: DataFrame, n: int = 10, keys: Sequence[str] = KEYS) ->
     return top_n(counts, n, keys, [F.desc("n"), F.asc("_seen")]).drop("_seen")
 
 
-def _with_absent(stats: DataFrame, people: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+def with_absent(stats: DataFrame, people: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """Participants that ``stats`` (by sender) lacks, with a count of 0 and nothing to count."""
     if people is None:
         return stats
@@ -183,7 +190,7 @@ def top_emojis_by_sender(
     group = [*keys, "sender"]
     counts = _emoji_counts(messages, group)
     best = top_n(counts, n, group, [F.desc("n"), F.asc("_seen")]).drop("_seen")
-    return _with_absent(best, people, keys)
+    return with_absent(best, people, keys)
 
 
 def media_stats(
@@ -196,7 +203,7 @@ def media_stats(
         .groupBy(*keys, "sender", "type")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return _with_absent(counts, people, keys)
+    return with_absent(counts, people, keys)
 
 
 def media_table(

@@ -37,29 +37,35 @@ def emotions_str(emotion: Column) -> Column:
     return F.array_join(F.map_keys(F.map_filter(emotion, lambda _, v: v > FLOOR)), ", ")
 
 
-def _emotion_score(scored, names, score, percentage, people, keys) -> DataFrame:
-    hits = sum(
-        (
-            F.when(F.try_element_at("emotion", F.lit(name)) > FLOOR, 1).otherwise(0)
-            for name in names
-        ),
-        F.lit(0),
+def hits(names: Sequence[str]) -> Column:
+    """How many of the named emotions are above the floor."""
+    present = (F.when(F.try_element_at("emotion", F.lit(name)) > FLOOR, 1).otherwise(0) for name in names)
+    return sum(present, F.lit(0))
+
+
+def emotion_score(stats: DataFrame, people: DataFrame, kind: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Score and percentage per participant from the sums ``_hits`` over ``n`` contexts."""
+    shares = stats.select(
+        *keys, "participant", F.col("_hits").alias(f"{kind}_score"),
+        F.bround(F.col("_hits") / F.col("n") * 100, 2).alias(f"{kind}_percentage"),
     )
+    return zero_fill(people, shares, keys, **{f"{kind}_score": 0, f"{kind}_percentage": 0.0})
+
+
+def _emotion_score(scored, names, kind, people, keys) -> DataFrame:
     stats = scored.groupBy(*keys, F.col("sender").alias("participant")).agg(
-        F.sum(hits).alias(score),
-        F.bround(F.sum(hits) / F.count(F.lit(1)) * 100, 2).alias(percentage),
+        F.sum(hits(names)).alias("_hits"), F.count(F.lit(1)).alias("n")
     )
-    people = people if people is not None else from_rows(scored, keys)
-    return zero_fill(people, stats, keys, **{score: 0, percentage: 0.0})
+    return emotion_score(stats, people if people is not None else from_rows(scored, keys), kind, keys)
 
 
 def love_score(scored: DataFrame, people=None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Present love emotions per participant, and their number per 100 messages."""
-    return _emotion_score(scored, LOVE_EMOTIONS, "love_score", "love_percentage", people, keys)
+    return _emotion_score(scored, LOVE_EMOTIONS, "love", people, keys)
 
 
 def hate_score(scored: DataFrame, people=None, keys: Sequence[str] = KEYS) -> DataFrame:
-    return _emotion_score(scored, HATE_EMOTIONS, "hate_score", "hate_percentage", people, keys)
+    return _emotion_score(scored, HATE_EMOTIONS, "hate", people, keys)
 
 
 def sentiment_summary(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -68,6 +74,11 @@ def sentiment_summary(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     counts = scored.groupBy(*keys, "sender", "sentiment").agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("_sum"), F.count(value).alias("_n")
     )
+    return sender_means(counts, keys)
+
+
+def sender_means(counts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Counts per sender and label, with the sender's mean from the sums of all labels."""
     w = Window.partitionBy(*keys, "sender")
     mean = F.sum("_sum").over(w) / F.nullif(F.sum("_n").over(w), F.lit(0))
     return counts.withColumn("mean_sentiment", mean).drop("_sum", "_n")
@@ -79,6 +90,11 @@ def mood_trends(scored: DataFrame, window: int = 7, keys: Sequence[str] = KEYS)
         F.avg(sentiment_value(F.col("sentiment"))).alias("_s"),
         F.avg(toxicity_score(F.col("toxicity"))).alias("_t"),
     )
+    return rolling(daily, window, keys)
+
+
+def rolling(daily: DataFrame, window: int = 7, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Daily means _s and _t, averaged over the last ``window`` days present."""
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(window - 1), 0)
     return daily.select(
         *keys, "date",
@@ -136,6 +152,11 @@ def mood_heatmap(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.avg(sentiment_value(F.col("sentiment"))).alias("_s"),
         F.avg(toxicity_score(F.col("toxicity"))).alias("_t"),
     )
+    return binned(weekly, keys)
+
+
+def binned(weekly: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Weekly means _s and _t as five equal-width bins per chat."""
     limits = weekly.groupBy(*keys).agg(
         F.min("_s").alias("_s0"), F.max("_s").alias("_s1"),
         F.min("_t").alias("_t0"), F.max("_t").alias("_t1"),

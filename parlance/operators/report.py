@@ -1,4 +1,8 @@
-"""The full report: every statistic of a chat in one record."""
+"""The full report: every statistic of a chat in one record.
+
+Plain counts and sums come from one cube per table (see cube); only what needs tokens, the order of
+messages or whole records reads the rows again.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.operators import call_stats, chat_stats, insights, mood
+from parlance.operators import call_stats, chat_stats, cube, mood
 from parlance.operators.preprocess import preprocess
 from parlance.plans.stored import stored
-from parlance.schema import KEYS
+from parlance.plans.topk import top_n
+from parlance.resources.phrases import PHRASES
+from parlance.schema import KEYS, MISSED_CALL_TYPES
 from parlance.sources.tables import write_json
 
 
@@ -44,21 +50,30 @@ def chat_summary(
 ) -> DataFrame:
     """One row per chat with the message statistics."""
     listed = lambda stats, name, *order: _listed(stats, name, keys, order)
+    facts = stored(cube.message_cube(messages, keys), "message_cube")
+    of = lambda *columns: cube.slice_of(facts, keys, cube.MESSAGE_COLUMNS, columns)
+    participant = F.col("sender").alias("participant")
+    lengths = of("sender").select(*keys, "sender", (F.col("words") / F.nullif("said", F.lit(0))).alias("avg_words"))
+    longest = of("sender").where(F.col("_order").isNotNull()).select(*keys, participant, "_order")
+    media = of("sender", "type").where(F.col("type") != "text").select(*keys, "sender", "type", "n")
+    wording = of("sender").select(*keys, participant, *PHRASES)
     return _gather(
         [
             listed(chat_stats.top_words(messages, keys=keys), "most_used_words_phrases", "rank"),
             listed(chat_stats.first_texter(messages, keys), "who_texts_first_most", "-days", "sender"),
-            listed(chat_stats.avg_message_length(messages, keys), "who_sends_longer_messages", "sender"),
-            listed(chat_stats.longest_message(messages, people, keys), "longest_message", "participant"),
+            listed(lengths, "who_sends_longer_messages", "sender"),
+            listed(chat_stats.longest_of(longest, messages, people, keys), "longest_message", "participant"),
             listed(chat_stats.reply_time(messages, people, keys=keys), "average_reply_time", "participant"),
-            listed(chat_stats.media_stats(messages, keys, people), "media_stats", "sender", "-n", "type"),
-            listed(chat_stats.active_hours(messages, keys), "most_active_chat_times", "hour"),
+            listed(chat_stats.with_absent(media, people, keys), "media_stats", "sender", "-n", "type"),
+            listed(of("hour").where("hour IS NOT NULL").select(*keys, "hour", "n"), "most_active_chat_times", "hour"),
             listed(chat_stats.top_emojis(messages, keys=keys), "most_used_emojis", "rank"),
             listed(
                 chat_stats.top_emojis_by_sender(messages, keys=keys, people=people),
                 "most_used_emojis_by_sender", "sender", "rank",
             ),
-            listed(insights.phrase_counts(messages, people=people, keys=keys), "insights", "participant"),
+            listed(
+                chat_stats.zero_fill(people, wording, keys, **{kind: 0 for kind in PHRASES}), "insights", "participant"
+            ),
         ],
         keys,
     )
@@ -67,22 +82,23 @@ def chat_summary(
 def call_summary(calls: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per chat with the call statistics."""
     listed = lambda stats, name, *order: _listed(stats, name, keys, order)
+    facts = stored(cube.call_cube(calls, keys), "call_cube")
+    of = lambda *columns: cube.slice_of(facts, keys, cube.CALL_COLUMNS, columns)
+    mean = F.coalesce(F.col("seconds") / F.nullif("held", F.lit(0)), F.lit(0.0))
+    missed = of("receiver", "type").where(F.col("type").isin(*MISSED_CALL_TYPES))
+    mode = top_n(of("type"), 1, keys, [F.desc("n"), F.asc("type")])
     return _gather(
         [
-            call_stats.avg_call_duration(calls, keys).withColumnRenamed(
-                "avg_duration", "average_call_duration"
-            ),
-            call_stats.call_mode(calls, keys).select(
-                *keys, F.col("type").alias("most_frequent_call_type")
-            ),
-            call_stats.calls_per_day(calls, keys).withColumnRenamed(
-                "avg_calls", "average_call_frequency_per_day"
+            of().select(*keys, mean.alias("average_call_duration")),
+            mode.select(*keys, F.col("type").alias("most_frequent_call_type")),
+            of("date").groupBy(*keys).agg(F.avg("n").alias("average_call_frequency_per_day")),
+            listed(
+                missed.groupBy(*keys, "receiver").agg(F.sum("n").alias("n")), "missed_calls_per_participant", "-n", "receiver"
             ),
-            listed(call_stats.missed_calls(calls, keys), "missed_calls_per_participant", "-n", "receiver"),
-            listed(call_stats.call_hours(calls, keys), "most_active_call_times", "-n", "hour"),
+            listed(of("hour").select(*keys, "hour", "n"), "most_active_call_times", "-n", "hour"),
             _tagged(call_stats.longest_call(calls, keys), "longest_call_details", keys),
-            listed(call_stats.calls_per_sender(calls, keys), "total_calls_per_participant", "-n", "sender"),
-            listed(call_stats.calls_per_type(calls, keys), "type_of_calls_count", "-n", "type"),
+            listed(of("sender").select(*keys, "sender", "n"), "total_calls_per_participant", "-n", "sender"),
+            listed(of("type").select(*keys, "type", "n"), "type_of_calls_count", "-n", "type"),
         ],
         keys,
     )
@@ -91,6 +107,11 @@ def call_summary(calls: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def deep_summary(scored: DataFrame, people: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per chat with the statistics over scored contexts."""
     listed = lambda stats, name, *order: _listed(stats, name, keys, order)
+    facts = stored(cube.context_cube(scored, keys), "context_cube")
+    of = lambda *columns: cube.slice_of(facts, keys, cube.CONTEXT_COLUMNS, columns)
+    means = ((F.col("_sum") / F.nullif("_n", F.lit(0))).alias("_s"), (F.col("_toxic") / F.col("n")).alias("_t"))
+    labels = of("sender", "sentiment").select(*keys, "sender", "sentiment", "n", "_sum", "_n")
+    emotional = lambda kind: of("sender").select(*keys, F.col("sender").alias("participant"), F.col(f"_{kind}").alias("_hits"), "n")
     toxic = mood.toxicity_summary(scored, keys=keys).select(
         *keys, "rank", "sender", "receiver", "merged_content", "date", "sentiment",
         "toxicity_score", "toxicity_type",
@@ -99,12 +120,14 @@ def deep_summary(scored: DataFrame, people: DataFrame, keys: Sequence[str] = KEY
     return _gather(
         [
             listed(toxic, "toxicity_summary", "rank"),
-            listed(mood.sentiment_summary(scored, keys), "sentiment_summary", "sender", "sentiment"),
-            listed(mood.mood_trends(scored, keys=keys), "mood_trends", "date"),
+            listed(mood.sender_means(labels, keys), "sentiment_summary", "sender", "sentiment"),
+            listed(mood.rolling(of("date").select(*keys, "date", *means), keys=keys), "mood_trends", "date"),
             listed(mood.emotion_trend_wide(scored, keys=keys), "emotion_trend", "week"),
-            listed(mood.mood_heatmap(scored, keys), "mood_toxicity_heatmap", "week"),
-            listed(mood.love_score(scored, people, keys), "love_score", "participant"),
-            listed(mood.hate_score(scored, people, keys), "hate_score", "participant"),
+            listed(
+                mood.binned(stored(of("week").select(*keys, "week", *means), "weeks"), keys), "mood_toxicity_heatmap", "week"
+            ),
+            listed(mood.emotion_score(emotional("love"), people, "love", keys), "love_score", "participant"),
+            listed(mood.emotion_score(emotional("hate"), people, "hate", keys), "hate_score", "participant"),
         ],
         keys,
     )

@@ -115,3 +115,29 @@ def test_typed_results_survive_storage(spark, sf, tmp_path):
     assert sorted(map(str, tables.read_json(spark, str(tmp_path / "j"), rows.schema).collect())) == want
     assert tables.read_results(spark, str(tmp_path / "c")).columns == rows.columns
     assert START.year == 2024
+
+
+def test_cubes_give_what_the_single_statistics_give(spark):
+    """Slices of a cube against the operators, with null senders, types and times."""
+    from parlance.operators import cube
+
+    rows = [
+        (i % 3, i, [None, "a", "b"][i % 3 if i % 7 else 0], ["text", "image", None][i % 4 % 3], ["sorry you are great", None, "", "why so damn"][i % 4],
+         None if i % 9 == 0 else dt.datetime(2024, 1, 1 + i % 5, i % 24))
+        for i in range(200)
+    ]
+    messages = spark.createDataFrame(rows, "chat_id int, seq int, sender string, type string, content string, ts timestamp_ntz")
+    facts = cube.message_cube(messages).cache()
+    of = lambda *columns: cube.slice_of(facts, ["chat_id"], cube.MESSAGE_COLUMNS, columns)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert same(chat_stats.active_hours(messages), of("hour").where("hour IS NOT NULL"))
+    assert same(chat_stats.media_stats(messages), of("sender", "type").where("type <> 'text'"))
+    lengths = of("sender").withColumn("avg_words", F.col("words") / F.nullif("said", F.lit(0)))
+    assert same(chat_stats.avg_message_length(messages), lengths)
+    assert facts.where("sender IS NULL").select("_set").distinct().count() == 3
+    calls = messages.select("chat_id", "sender", F.lit("r").alias("receiver"), "type", "ts", (F.col("seq") % 4).alias("duration"))
+    facts = cube.call_cube(calls).cache()
+    of = lambda *columns: cube.slice_of(facts, ["chat_id"], cube.CALL_COLUMNS, columns)
+    assert same(call_stats.calls_per_sender(calls), of("sender")) and same(call_stats.calls_per_type(calls), of("type"))
+    assert same(call_stats.call_hours(calls), of("hour"))
+    assert same(call_stats.avg_call_duration(calls), of().withColumn("avg_duration", F.coalesce(F.col("seconds") / F.col("held"), F.lit(0.0))))
