@@ -46,7 +46,7 @@ def analyze(
     calls = parse.parse_calls(lines, platform, people)
     if sample_size:
         messages, calls = sample(stored(messages, "parsed"), calls, sample_size)
-    messages = stored(preprocess.preprocess(messages, dictionary=abbreviations), "messages")
+    messages = stored(preprocess.preprocess(messages, abbreviations), "messages")
     scored = None
     if load_model is not None:
         clean = stored(
@@ -58,7 +58,7 @@ def analyze(
             "scored",
         )
     return report.full_report(
-        messages, people, stored(calls, "calls"), scored, preprocessed=False, store=False
+        messages, people, stored(calls, "calls"), scored, store=False
     )
 
 

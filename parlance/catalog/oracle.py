@@ -676,6 +676,11 @@ SELECT doc_id, CASE WHEN {stripped("text")} <> '' THEN
 FROM documents LEFT JOIN s USING (doc_id) CROSS JOIN prior"""
 
 
+ORACLE["read_dictionary"] = "SELECT lower(p_name || ' ' || p_partkey) AS key, lower(p_type) AS phrase FROM part"
+ORACLE["read_results"] = f"""SELECT CAST(chat_id AS VARCHAR) AS chat_id, CAST(date AS VARCHAR) AS date, sender,
+ CAST(n AS VARCHAR) AS n, day FROM ({ORACLE["busiest_call_days"]})"""
+
+
 def _report() -> str:
     """The report in long form, put together from the SQL of its statistics.
 

@@ -18,8 +18,9 @@ from parlance.operators import (
     prompts, report, scoring, workers,
 )
 from parlance.plans.blocks import spread, tail
+from parlance.resources.phrases import ABBREVIATIONS
 from parlance.session import scratch
-from parlance.sources import exports, tables
+from parlance.sources import dictionaries, exports, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,11 +126,33 @@ def json_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def read_dictionary(spark, sf_dir):
+    """JSON dictionaries of all parts, one object for every 10,000 of them, read back as a table."""
+    path = scratch(spark, "dictionary")
+    pair = F.struct(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("key"), F.upper("p_type").alias("value"))
+    objects = (
+        X.table(spark, sf_dir, "part")
+        .groupBy(F.floor(F.col("p_partkey") / 10_000).alias("block"))
+        .agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value"))
+    )
+    objects.write.partitionBy("block").text(path)
+    return dictionaries.abbreviations(spark, path)
+
+
+@query
+def read_results(spark, sf_dir):
+    """Results written as CSV and read as they are, every value a string."""
+    path = scratch(spark, "results")
+    tables.write_csv(call_stats.busiest_call_days(X.calls(spark, sf_dir)).select("chat_id", "date", "sender", "n", "day"), path)
+    return tables.read_results(spark, path)
+
+
 @query
 def full_report(spark, sf_dir):
     messages = X.messages(spark, sf_dir)
     rows = report.full_report(
-        messages, participants.from_rows(messages), X.calls(spark, sf_dir), X.scored(spark, sf_dir)
+        messages, participants.from_rows(messages), X.calls(spark, sf_dir), X.scored(spark, sf_dir), ABBREVIATIONS
     )
     return report.entries(rows)
 
@@ -200,7 +223,7 @@ def text_rows(spark, sf_dir):
 
 @query
 def expand_abbreviations(spark, sf_dir):
-    rows = preprocess.expand_abbreviations(X.messages(spark, sf_dir))
+    rows = preprocess.expand_abbreviations(X.messages(spark, sf_dir), ABBREVIATIONS)
     return rows.select("chat_id", "seq", "content")
 
 
@@ -226,7 +249,7 @@ def emojize(spark, sf_dir):
 
 @query
 def preprocess_text(spark, sf_dir):
-    return preprocess.preprocess(X.messages(spark, sf_dir)).select("chat_id", "seq", "content")
+    return preprocess.preprocess(X.messages(spark, sf_dir), ABBREVIATIONS).select("chat_id", "seq", "content")
 
 
 QUERIES["preprocess"] = QUERIES.pop("preprocess_text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,14 +45,18 @@ def call_hours(calls: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def longest_call(calls: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The whole record of the longest call, the first of equals."""
-    best = calls.groupBy(*keys).agg(
-        F.max_by(
-            F.struct(*[c for c in calls.columns if c not in keys]),
-            F.struct("duration", -F.col("seq")),
-        ).alias("_best")
+    """The whole record of the longest call, the first of equals.
+
+    Duration and order in the file make one number, so that the best is a plain fixed-width maximum;
+    its record is joined by ``seq``.  Calls without a duration come last.
+    """
+    last = F.lit(10**14 - 1) - F.col("seq")
+    order = F.coalesce(F.col("duration") + 1, F.lit(0)).cast("decimal(38,0)") * F.lit(Decimal(10) ** 14) + last
+    best = calls.groupBy(*keys).agg(F.max(order.cast("decimal(38,0)")).alias("_order"))
+    best = best.select(
+        *keys, (F.lit(10**14 - 1) - F.pmod("_order", F.lit(Decimal(10) ** 14))).cast("bigint").alias("seq")
     )
-    return best.select(*keys, "_best.*")
+    return best.join(calls, [*keys, "seq"]).select(*calls.columns)
 
 
 def calls_per_sender(calls: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

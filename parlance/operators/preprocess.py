@@ -14,7 +14,6 @@ from parlance.functions.text import is_blank, strip, tokens
 from parlance.operators.scoring import route_by_language
 from parlance.plans.blocks import salted_lookup
 from parlance.plans.stored import stored
-from parlance.resources.phrases import ABBREVIATIONS
 from parlance.schema import KEYS
 
 # Languages with a stop list.
@@ -24,6 +23,10 @@ STOP_LANGUAGES = (
 )
 
 
+#: Entries of a mapping that may become literals of a plan.
+LITERALS = 1_000
+
+
 def bare(token: Column) -> Column:
     """Token without anything but Latin letters and digits: the key of an abbreviation."""
     return F.regexp_replace(token, "[^a-zA-Z0-9]", "")
@@ -90,14 +93,21 @@ def map_tokens_by_table(
 
 def expand_abbreviations(
     rows: DataFrame,
+    dictionary: Mapping[str, str] | DataFrame,
     column: str = "content",
-    dictionary: Mapping[str, str] | DataFrame = ABBREVIATIONS,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Replace whole tokens by their phrase; the token's punctuation is lost on a hit."""
+    """Replace whole tokens by their phrase; the token's punctuation is lost on a hit.
+
+    There is no default dictionary (``sources.dictionaries.abbreviations`` reads one).  A mapping of
+    more than ``LITERALS`` entries is used as a table, which gives the same texts.
+    """
     if isinstance(dictionary, DataFrame):
         return map_tokens_by_table(rows, column, dictionary, bare, keys=keys)
     table = {k.lower(): v.lower() for k, v in dictionary.items()}
+    if len(table) > LITERALS:
+        held = rows.sparkSession.createDataFrame(list(table.items()), "key string, phrase string")
+        return map_tokens_by_table(rows, column, held, bare, keys=keys)
     text = F.col(column)
     return rows.withColumn(column, F.when(text.isNotNull(), map_tokens(text, table, punctuated=True)))
 
@@ -107,10 +117,13 @@ def demojize(rows: DataFrame, column: str = "content") -> DataFrame:
 
 
 def preprocess(
-    rows: DataFrame, column: str = "content", dictionary=ABBREVIATIONS, keys: Sequence[str] = KEYS
+    rows: DataFrame,
+    dictionary: Mapping[str, str] | DataFrame,
+    column: str = "content",
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Abbreviations, then emoji names."""
-    return demojize(expand_abbreviations(rows, column, dictionary, keys), column)
+    """Abbreviations of ``dictionary``, then emoji names."""
+    return demojize(expand_abbreviations(rows, dictionary, column, keys), column)
 
 
 def text_rows(rows: DataFrame, columns: Sequence[str] = ("content",)) -> DataFrame:

@@ -6,7 +6,7 @@ messages or whole records reads the rows again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,18 +138,19 @@ def full_report(
     people: DataFrame,
     calls: DataFrame | None = None,
     scored: DataFrame | None = None,
-    preprocessed: bool = True,
+    dictionary: Mapping[str, str] | DataFrame | None = None,
     store: bool = True,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """``keys, participants, chat_stats{overview, deep_analysis}, call_stats``.
 
-    The overview describes the preprocessed text, as the analysis it follows does.  Inputs are read
+    The overview describes the preprocessed text, as the analysis it follows does: pass the
+    ``dictionary`` of abbreviations, or messages that are preprocessed already.  Inputs are read
     by many statistics; ``store`` writes them once first (leave it off for tables on disk).
     """
     keep = stored if store else (lambda rows, _: rows)
     people = keep(people, "people")
-    rows = preprocess(messages, keys=keys) if preprocessed else messages
+    rows = messages if dictionary is None else preprocess(messages, dictionary, keys=keys)
     rows = keep(rows, "messages")
     names = people.groupBy(*keys).agg(
         F.sort_array(F.collect_set("participant")).alias("participants")

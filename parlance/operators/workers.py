@@ -6,6 +6,7 @@ import io
 import struct
 import sys
 import zipfile
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -76,38 +77,44 @@ def linear_model(heads):
     return model
 
 
+#: What a damaged or foreign archive raises, at opening or while its member is read.
+DAMAGE = (zipfile.BadZipFile, zlib.error, EOFError, KeyError, RuntimeError, NotImplementedError, OSError, ValueError)
+
+
 def unzip_lines(batches, member, batch_lines):
-    """Lines of the chat member of each zip, a bounded batch at a time."""
+    """Lines of the chat member of each zip, a bounded batch at a time.
+
+    Damage ends a member: lines before it are kept, what is left of a line at it is not, and
+    ``unzip_errors`` names the archive.
+    """
     for files in batches:
         for path, content in zip(files["path"], files["content"]):
             stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
             name = " ".join(stem.split()[3:])
+            held, start = [], 0
             try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                raw = archive.open(member)
-            except (zipfile.BadZipFile, KeyError, RuntimeError, NotImplementedError):
-                continue  # named by unzip_errors
-            with archive, raw:
-                text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
-                held, start = [], 0
-                for line in text:
-                    held.append(line.rstrip("\n"))
-                    if len(held) == batch_lines:
-                        yield _frame(name, start, held)
-                        start, held = start + len(held), []
-                if held:
-                    yield _frame(name, start, held)
+                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(member) as raw:
+                    for line in io.TextIOWrapper(raw, encoding="utf-8", errors="replace"):
+                        held.append(line.rstrip("\n"))
+                        if len(held) == batch_lines:
+                            yield _frame(name, start, held)
+                            start, held = start + len(held), []
+            except DAMAGE:
+                pass
+            if held:
+                yield _frame(name, start, held)
 
 
 def unzip_errors(batches, member):
-    """Why a zip has no lines, for those that have none."""
+    """Why a zip has no lines or not all, for those that can't be read to the end."""
     for files in batches:
         out = []
         for path, content in zip(files["path"], files["content"]):
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(member):
-                    continue
-            except (zipfile.BadZipFile, KeyError, RuntimeError, NotImplementedError) as error:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(member) as raw:
+                    while raw.read(1 << 20):
+                        pass
+            except DAMAGE as error:
                 out.append((path, f"{type(error).__name__}: {error}"))
         yield pd.DataFrame(out, columns=["path", "reason"])
 

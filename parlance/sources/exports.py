@@ -71,13 +71,13 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_zip(spark: SparkSession, path: str, member: str = MEMBER) -> DataFrame:
-    """Read zipped exports, a file at a time.  Archives that can't be read have no lines, see
-    ``unreadable``."""
+    """Read zipped exports, a file at a time.  Archives that can't be read have no lines, damaged ones
+    those before the damage, see ``unreadable``."""
     return unzip(archives(spark, path).where(F.col("length") < CELL), member)
 
 
 def unreadable(spark: SparkSession, path: str, member: str = MEMBER) -> DataFrame:
-    """``path, reason`` of the zips that ``scan_zip`` has no lines of."""
+    """``path, reason`` of the zips that ``scan_zip`` has no lines of, or not all."""
     files = archives(spark, path)
     large = files.where(F.col("length") >= CELL).select("path", F.lit("too large").alias("reason"))
     run = workers.unzip_errors

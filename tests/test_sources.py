@@ -41,6 +41,35 @@ def test_zip_exports(spark, tmp_path):
     assert small.count() == 2 * len(lines)
 
 
+def test_damaged_zips_keep_their_beginning_and_are_named(spark, tmp_path):
+    """A flipped byte, a truncated file and a wrong checksum stop neither the scan nor the report."""
+    lines = [f"line {i} {'é' * (i % 50)} {i * 7919 % 1000}" for i in range(40_000)]
+    for name in ("good", "flipped", "truncated", "checksum"):
+        with zipfile.ZipFile(tmp_path / f"Saved Chat with {name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("_chat.txt", "\n".join(lines))
+    at = tmp_path / "Saved Chat with flipped.zip"
+    data = bytearray(at.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    at.write_bytes(data)
+    at = tmp_path / "Saved Chat with truncated.zip"
+    at.write_bytes(at.read_bytes()[:-2000])
+    at = tmp_path / "Saved Chat with checksum.zip"
+    data = bytearray(at.read_bytes())
+    where = data.rindex(b"PK\x01\x02") + 16
+    data[where] ^= 0xFF
+    at.write_bytes(data)
+    found = {}
+    for r in exports.scan_zip(spark, str(tmp_path / "*.zip")).collect():
+        found.setdefault(r["chat_id"], {})[r["seq"]] = r["line"]
+    assert found["good"] == dict(enumerate(lines))
+    assert "truncated" not in found and 0 < len(found["flipped"]) <= len(lines) + 40_000
+    first = found["flipped"]
+    assert [first[i] for i in range(1000)] == lines[:1000]
+    assert [found["checksum"][i] for i in range(1000)] == lines[:1000]
+    bad = {r["path"].rsplit("%20", 1)[-1].rsplit(" ", 1)[-1] for r in exports.unreadable(spark, str(tmp_path / "*.zip")).collect()}
+    assert bad == {"flipped.zip", "truncated.zip", "checksum.zip"}
+
+
 def test_dictionaries(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"BRB": "Be Right Back",\n "u" : "you", "U": "YOU all"}')
     got = {tuple(r) for r in dictionaries.abbreviations(spark, str(tmp_path / "a.json")).collect()}

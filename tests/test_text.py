@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from parlance.functions import emoji as E
 from parlance.functions import text as TX
 from parlance.operators import preprocess as P
-from parlance.resources.phrases import PHRASES
+from parlance.resources.phrases import ABBREVIATIONS, PHRASES
 
 
 def column(spark, values, expr):
@@ -72,7 +72,7 @@ def test_abbreviations(spark):
     values = ["brb!! ok  asap", "B4 b4", "a.m a.m.", "(u) lol", "", None, "!!"]
     want = ["be right back ok as soon as possible", "B4 before", "a.m a.m.", "you laughing out loud",
             "", None, "!!"]
-    assert contents(P.expand_abbreviations(rows(spark, values))) == want
+    assert contents(P.expand_abbreviations(rows(spark, values), ABBREVIATIONS)) == want
     table = spark.createDataFrame(
         [("brb", "be right back"), ("asap", "as soon as possible"), ("b4", "before"),
          ("u", "you"), ("lol", "laughing out loud")], "key string, phrase string")
@@ -81,6 +81,14 @@ def test_abbreviations(spark):
     assert contents(P.expand_abbreviations(rows(spark, ["w5999 x"]), dictionary=many)) == ["5999 x"]
 
 
+def test_a_large_mapping_is_used_as_a_table(spark, monkeypatch):
+    values = ["brb!! ok  asap", "B4 b4", "a.m a.m.", "(u) lol", "", None, "!!"]
+    small = contents(P.expand_abbreviations(rows(spark, values), {**ABBREVIATIONS, "a.m": "x"}))
+    monkeypatch.setattr(P, "LITERALS", 3)
+    plan = P.expand_abbreviations(rows(spark, values), {**ABBREVIATIONS, "a.m": "x"})
+    assert contents(plan) == small and "Join" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
