@@ -21,6 +21,11 @@ def epoch_seconds(ts: str) -> Column:
     return F.expr(_epoch(ts))
 
 
+def epoch_micros(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp column, named."""
+    return F.expr(f"{_epoch(ts)} * 1000000L + CAST((date_part('SECOND', {ts}) - second({ts})) * 1000000 AS BIGINT)")
+
+
 def slot(ts: str, seconds: int = HOUR) -> Column:
     """Number of the time slot a timestamp column, named, falls into."""
     return F.expr(f"CAST(floor({_epoch(ts)} / {int(seconds)}) AS BIGINT)")

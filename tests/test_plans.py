@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import chat_stats, contexts
 from parlance.plans import blocks
-from parlance.plans.ordered import nearest
+from parlance.plans.ordered import celled, nearest
 
 START = dt.datetime(2024, 1, 1)
 
@@ -37,11 +37,11 @@ def random_rows(seed, n=120, chats=3, gap=90):
 
 
 @pytest.mark.parametrize("after", [False, True])
-@pytest.mark.parametrize("seed, span", [(0, 3600), (1, 3600), (2, 60)])
-def test_nearest(spark, after, seed, span):
+@pytest.mark.parametrize("seed, span, crowd", [(0, 3600, None), (1, 3600, 2), (2, 60, None), (3, 86_400, 1), (4, 7, 3)])
+def test_nearest(spark, after, seed, span, crowd):
     rows = random_rows(seed)
     df = nearest(
-        chat(spark, rows), ["chat_id"], F.col("content"), "found", after=after, span=span
+        chat(spark, rows), ["chat_id"], F.col("content"), "found", after=after, span=span, crowd=crowd
     )
     got = {(r["chat_id"], r["seq"]): r["found"] for r in df.collect()}
     for c, seq, _, m, _ in rows:
@@ -52,6 +52,28 @@ def test_nearest(spark, after, seed, span):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("after", [False, True])
+def test_a_burst_is_cut_into_cells(spark, after):
+    """100,000 messages in one minute beside quiet hours: no cell outgrows its size, order is kept."""
+    n, crowd = 100_000, 1_000
+    second = F.col("id") % 3 * (F.col("id") % 2)  # times that cross the order of seq
+    burst = spark.range(n).select(
+        F.lit(1).alias("chat_id"), F.col("id").alias("seq"),
+        (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(secs=second)).alias("ts"),
+    )
+    quiet = spark.range(50).select(
+        F.lit(1).alias("chat_id"), (F.col("id") + n).alias("seq"),
+        (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("id") - 25).cast("int"), mins=F.lit(7))).alias("ts"),
+    )
+    rows = burst.unionByName(quiet)
+    sizes = [r["count"] for r in celled(rows, ["chat_id"], crowd=crowd).groupBy("chat_id", "_at", "_run").count().collect()]
+    assert max(sizes) <= crowd and sum(sizes) == n + 50 and len(sizes) <= 3 * n // crowd + 50
+    found = nearest(rows, ["chat_id"], F.col("seq"), "found", after=after, crowd=crowd).collect()
+    order = [r["seq"] for r in sorted(found, key=lambda r: (r["ts"], r["seq"]))]
+    beside = dict(zip(order, [*order[1:], None])) if after else dict(zip(order[1:], order))
+    assert all(r["found"] == beside.get(r["seq"]) for r in found) and len(found) == n + 50
+
+
 @pytest.mark.parametrize("n", [1, 7, 40, 1000])
 @pytest.mark.parametrize("block", [1, 8, 1 << 16])
 def test_tail(spark, n, block):
