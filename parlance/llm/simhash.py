@@ -39,6 +39,8 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 CROWD = 4_096
+#: Questions that are compared at a time with what is filed.
+ASKED = 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -111,45 +113,73 @@ def connect(filed, asked):
     return out
 
 
+class Streamed:
+    """A bucket or cell that may go on in the next batch: what is filed is kept, what asks is not."""
+
+    def __init__(self, key):
+        self.key, self.filed, self.label = key, np.zeros(0, dtype=np.uint64), None
+
+    def settle(self):
+        """The links among what is filed, all of which has come, and the group each belongs to."""
+        if self.label is not None:
+            return []
+        self.label, out = self.filed.copy(), connect(self.filed, self.filed)
+        for members, smallest in out:
+            self.label[np.searchsorted(self.filed, members)] = smallest[0]
+        return out
+
+    def add(self, fp, filed):
+        """The links of some more rows; filed ones come before all others."""
+        self.filed = np.unique(np.concatenate([self.filed, fp[filed]]))
+        asked = np.unique(fp[~filed])
+        if not len(asked) or not len(self.filed):
+            return []
+        out = self.settle()
+        for at in range(0, len(asked), ASKED):
+            some = asked[at : at + ASKED]
+            who, near = np.nonzero(np.bitwise_count(some[:, None] ^ self.filed[None, :]) <= RADIUS)
+            pairs = np.unique(np.stack([some[who], self.label[near]], axis=1), axis=0)
+            out.append((pairs[:, 0], pairs[:, 1]))
+        return out
+
+
 def link_batches(batches, keys):
-    """Links of the buckets in a stream that is sorted by ``keys`` (fp, filed are the other columns)."""
-    held = None
+    """Links of the buckets in a stream that is sorted by ``keys`` and then has filed rows first (fp, filed
+    are the other columns).  A bucket inside a batch is linked at once, the last one of a batch is
+    streamed; no more than what is filed in one bucket stays in memory."""
+    last = None
     schema = pa.schema({"a": pa.int64(), "b": pa.int64()})
 
-    def links(table):
-        cols = [table[k] for k in keys]
-        fp, filed = table["fp"].view(np.uint64), table["filed"]
-        change = np.zeros(len(fp), dtype=bool)
-        change[:1] = True
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        first = np.append(np.flatnonzero(change), len(fp))
-        found = []
-        for a, b in zip(first[:-1], first[1:]):
-            one = fp[a:b]
-            mine = np.unique(one[filed[a:b]])
-            if b - a > 1 and len(mine):
-                found.extend(connect(mine, np.unique(one)))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
+    def rows(found):
+        a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64) for i in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
 
     for batch in batches:
         table = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in (*keys, "fp", "filed")}
-        if held is not None:
-            table = {n: np.concatenate([held[n], table[n]]) for n in table}
-        n = len(table["fp"])
-        if not n:
+        fp, filed = table["fp"].view(np.uint64), table["filed"].astype(bool)
+        if not len(fp):
             continue
-        same = np.ones(n, dtype=bool)
+        change = np.zeros(len(fp), dtype=bool)
+        change[0] = True
         for k in keys:
-            same &= table[k] == table[k][-1]
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        held = {k: v[cut:] for k, v in table.items()}
-        if cut:
-            yield links({k: v[:cut] for k, v in table.items()})
-    if held is not None:
-        yield links(held)
+            change[1:] |= table[k][1:] != table[k][:-1]
+        first = np.append(np.flatnonzero(change), len(fp))
+        found = []
+        for a, b in zip(first[:-1], first[1:]):
+            key = tuple(table[k][a] for k in keys)
+            if last is not None and last.key != key:
+                found.extend(last.settle())
+                last = None
+            if last is None and b < len(fp):
+                mine = np.unique(fp[a:b][filed[a:b]])
+                if b - a > 1 and len(mine):
+                    found.extend(connect(mine, np.unique(fp[a:b])))
+                continue
+            last = last or Streamed(key)
+            found.extend(last.add(fp[a:b], filed[a:b]))
+        yield rows(found)
+    if last is not None:
+        yield rows(last.settle())
 
 
 def fingerprinted(docs: DataFrame, name: str = "fp") -> DataFrame:
@@ -185,7 +215,7 @@ def links(fps: DataFrame) -> DataFrame:
     buckets = stored(buckets, "buckets")
     keys = ["seg", "value"]
     small = (
-        buckets.where(F.col("_n") <= CROWD).repartition(*keys).sortWithinPartitions(*keys)
+        buckets.where(F.col("_n") <= CROWD).repartition(*keys).sortWithinPartitions(*keys, F.desc("filed"))
         .mapInArrow(lambda it: link_batches(it, ["seg", "value"]), "a bigint, b bigint")
     )
     other = F.when(F.col("seg") == 0, high).otherwise(low)
@@ -198,7 +228,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     keys = ["seg", "value", "quarter", "cell"]
     crowded = (
-        cells.repartition(*keys).sortWithinPartitions(*keys)
+        cells.repartition(*keys).sortWithinPartitions(*keys, F.desc("filed"))
         .mapInArrow(lambda it: link_batches(it, ["seg", "value", "quarter", "cell"]), "a bigint, b bigint")
     )
     return small.unionByName(crowded)
