@@ -9,12 +9,14 @@ Weights are a table, one row per head and label, which may be written and read l
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from parlance.functions.text import tokens
 from parlance.operators import workers
@@ -23,6 +25,8 @@ from parlance.plans.stored import stored
 DIM = 1 << 14
 #: Bytes of weights that may travel to the tasks.
 MOST_BYTES = 64 << 20
+#: Heads that are fitted at a time.
+SIDE_BY_SIDE = 4
 #: Logit of a label that the training rows do not have.
 ABSENT = -50.0
 WEIGHTS = "head string, position int, label string, intercept double, weights array<double>"
@@ -48,24 +52,33 @@ def fit(
     A head learns from the rows that have one of its labels; a label without rows gets a low logit.
     """
     known = stored(features(rows.select(text, *heads), text, "_features", dim).drop(text), "features")
+    spark = rows.sparkSession
+    # heads are independent and their jobs short, so they are fitted side by side
+    run = inheritable_thread_target(spark)(lambda item: _fit_head(known, item[0], item[1], dim, iterations, penalty))
+    with ThreadPoolExecutor(max(1, min(len(heads), SIDE_BY_SIDE))) as pool:
+        out = [row for found in pool.map(run, heads.items()) for row in found]
+    return spark.createDataFrame(out, WEIGHTS)
+
+
+def _fit_head(known: DataFrame, head: str, labels: Sequence, dim: int, iterations: int, penalty: float) -> list[tuple]:
+    """The rows of ``WEIGHTS`` of one head."""
+    labels = [str(x) for x in labels]
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(head).cast("string")) - 1
+    mine = known.select("_features", place.cast("double").alias("_label")).where("_label >= 0")
+    if mine.isEmpty():
+        raise ValueError(f"no rows are labelled for {head}")
+    model = LogisticRegression(
+        featuresCol="_features", labelCol="_label", family="multinomial", maxIter=iterations,
+        regParam=penalty, standardization=False,
+    ).fit(mine)
+    matrix, intercept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    present = {int(r["_label"]) for r in mine.select("_label").distinct().collect()}
     out = []
-    for head, labels in heads.items():
-        labels = [str(x) for x in labels]
-        place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(head).cast("string")) - 1
-        mine = known.select("_features", place.cast("double").alias("_label")).where("_label >= 0")
-        if mine.isEmpty():
-            raise ValueError(f"no rows are labelled for {head}")
-        model = LogisticRegression(
-            featuresCol="_features", labelCol="_label", family="multinomial", maxIter=iterations,
-            regParam=penalty, standardization=False,
-        ).fit(mine)
-        matrix, intercept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-        present = {int(r["_label"]) for r in mine.select("_label").distinct().collect()}
-        for i, label in enumerate(labels):
-            fitted = i in present
-            weights = matrix[i] if fitted else np.zeros(dim)
-            out.append((head, i, label, float(intercept[i]) if fitted else ABSENT, weights.tolist()))
-    return rows.sparkSession.createDataFrame(out, WEIGHTS)
+    for i, label in enumerate(labels):
+        fitted = i in present
+        weights = matrix[i] if fitted else np.zeros(dim)
+        out.append((head, i, label, float(intercept[i]) if fitted else ABSENT, weights.tolist()))
+    return out
 
 
 def loader(weights: DataFrame, most_bytes: int = MOST_BYTES):
