@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions import emoji as E
 from parlance.functions.text import is_blank, strip, tokens
 from parlance.operators.scoring import route_by_language
-from parlance.plans.blocks import salted_lookup
+from parlance.plans.blocks import hit_of, hits_per_block, packed, salted_lookup
 from parlance.plans.stored import stored
 from parlance.schema import KEYS
 
@@ -69,26 +69,24 @@ def map_tokens_by_table(
     where: Column | None = None,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """As map_tokens with a table ``key, phrase`` of any size.  Rows need a unique (keys, seq).
+    """As map_tokens with a table ``key, phrase`` of any size, unique on ``key`` (else Spark reports a
+    repeated map key).
 
-    Rows failing ``where`` keep their text as it is.
+    The distinct tokens of a block of rows meet the table once; what it has comes back as one table
+    of hits per block, and texts are rewritten where they are.  Tokens are deduplicated before they
+    are shuffled, so what moves besides the rows is the vocabulary of the blocks.  Rows failing
+    ``where`` keep their text as it is.
     """
-    row = [*keys, "seq"]
     wanted = F.col(column).isNotNull() if where is None else F.col(column).isNotNull() & where
-    words = rows.where(wanted).select(
-        *row, F.posexplode(tokens(F.col(column))).alias("_pos", "_token")
-    )
-    hits = salted_lookup(
-        words.withColumn("key", key(F.col("_token"))), table.select("key", "phrase"), "key", row
-    )
-    pieces = F.sort_array(
-        F.collect_list(F.struct("_pos", F.coalesce("phrase", "_token").alias("w")))
-    )
-    texts = hits.groupBy(*row).agg(
-        F.array_join(F.transform(pieces, lambda p: p["w"]), " ").alias("_mapped")
-    )
-    mapped = F.when(wanted, F.coalesce("_mapped", F.lit(""))).otherwise(F.col(column))
-    return rows.join(texts, row, "left").withColumn(column, mapped).drop("_mapped").select(*rows.columns)
+    wanted = F.coalesce(wanted, F.lit(False))
+    blocked = packed(rows, keys, "_block")
+    words = blocked.where(wanted).select("_block", F.explode(F.array_distinct(tokens(F.col(column)))).alias("_token"))
+    asked = words.distinct().withColumn("key", key(F.col("_token")))
+    found = salted_lookup(asked, table.select("key", "phrase"), "key", ["_block"], how="inner")
+    hits = hits_per_block(found.where(F.col("phrase").isNotNull()), "_token", "phrase")
+    swapped = F.transform(tokens(F.col(column)), lambda t: F.coalesce(hit_of(F.col("_hits"), t), t))
+    mapped = F.when(wanted, F.array_join(swapped, " ")).otherwise(F.col(column))
+    return blocked.join(hits, "_block", "left").withColumn(column, mapped).select(*rows.columns)
 
 
 def expand_abbreviations(
@@ -209,6 +207,7 @@ def corrections(words: DataFrame, dictionary: DataFrame, distance: int = 2) -> D
     all pairs.  Distances are tried from 1 upwards and a word that is settled asks no further, which
     keeps short words from meeting everything that shares a letter with them.
     """
+    dictionary = stored(dictionary.select("word", "freq"), "dictionary")  # often counted from texts, read many times
     unknown = stored(words.select("word").distinct().join(dictionary, "word", "left_anti"), "unknown")
     found = None
     for d in range(1, distance + 1):

@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.plans.once import once
+
 BLOCK_ROWS = 1 << 16
+#: Rows of a block whose rows share their lookups, and of the runs such blocks are made of.
+PACK_ROWS, RUN_ROWS = 1 << 9, 1 << 6
+#: Cells by hash that the hits of a block lie in.
+HIT_CELLS = 256
 
 
 def block_of(seq: Column, rows: int = BLOCK_ROWS) -> Column:
@@ -69,16 +75,49 @@ def tail(
 
 
 def salted_lookup(
-    rows: DataFrame, table: DataFrame, on: str, by: Sequence[str], *, salts: int = 16
+    rows: DataFrame, table: DataFrame, on: str, by: Sequence[str], *, salts: int = 16, how: str = "left"
 ) -> DataFrame:
-    """Left join a table that is unique on ``on`` to rows in which one value may be very frequent.
+    """Join a table that is unique on ``on`` to rows in which one value may be very frequent.
 
     The rows of one value are spread over ``salts`` join keys (by the hash of ``by``) and the table
     is repeated that often.
     """
     salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [on, "_salt"], "left").drop("_salt")
+    return rows.withColumn("_salt", salt).join(copies, [on, "_salt"], how).drop("_salt")
+
+
+def packed(rows: DataFrame, keys: Sequence[str], name: str, *, block_rows: int = PACK_ROWS) -> DataFrame:
+    """Add a block number: blocks hold about ``block_rows`` rows each, whatever the sizes of the chats.
+
+    Runs of ``RUN_ROWS`` rows of a chat are dealt out by their hash, so small chats share a block
+    and a huge one is spread.  One count reaches the driver.
+    """
+    blocks = max(1, -(-rows.count() // block_rows))
+    run = F.xxhash64(*keys, block_of(F.col("seq"), RUN_ROWS))
+    return rows.withColumn(name, F.pmod(run, F.lit(blocks)))
+
+
+def hits_per_block(found: DataFrame, key: str, value: str, block: str = "_block") -> DataFrame:
+    """(block, _hits): the distinct keys of each block with their values, in cells by the key's hash.
+
+    Looking a key up in a map compares it with one entry after another; cells keep them few.
+    """
+    entry = F.collect_list(F.struct(F.col(key), F.col(value)))
+    cells = found.groupBy(block, _cell(F.col(key)).alias("_cell")).agg(F.map_from_entries(entry).alias("_map"))
+    every = cells.groupBy(block).agg(F.collect_list(F.struct("_cell", "_map")).alias("_list"))
+    every = once(every, "_cells", F.map_from_entries("_list"))
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(HIT_CELLS - 1)), lambda i: F.try_element_at("_cells", i))
+    return every.select(block, dealt.alias("_hits"))
+
+
+def hit_of(hits: Column, key: Column) -> Column:
+    """The value of a key in the hits of its block, null if there is none."""
+    return F.try_element_at(F.get(hits, _cell(key)), key)
+
+
+def _cell(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(HIT_CELLS)).cast("int")
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -89,6 +89,23 @@ def test_a_large_mapping_is_used_as_a_table(spark, monkeypatch):
     assert contents(plan) == small and "Join" in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tables_meet_the_words_of_a_block_once(spark, monkeypatch):
+    """One token a thousand times, many hits in one block, repeated (chat_id, seq), null ids."""
+    from parlance.plans import blocks
+
+    monkeypatch.setattr(blocks, "HIT_CELLS", 3)
+    table = spark.createDataFrame([(f"w{i}", f"W {i}") for i in range(0, 500, 2)] + [("n", None)], "key string, phrase string")
+    texts = [" ".join(["w4"] * 1000), " ".join(f"w{i}" for i in range(500)), "n w2", "", None, "w1"]
+    data = [(1, 0, t) for t in texts] + [(None, None, t) for t in texts] + [(c, 7, "w8 x") for c in range(900)]
+    df = spark.createDataFrame(data, "chat_id long, seq long, content string").repartition(3)
+    out = P.map_tokens_by_table(df, "content", table)
+    turn = lambda w: f"W {w[1:]}" if w[0] == "w" and int(w[1:]) % 2 == 0 else w
+    want = [(c, s, None if t is None else " ".join(turn(w) for w in t.split())) for c, s, t in data]
+    assert sorted(map(str, out.collect())) == sorted(str(r) for r in spark.createDataFrame(want, df.schema).collect())
+    assert out.columns == df.columns
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
