@@ -350,6 +350,25 @@ tagged AS (SELECT *, CASE WHEN chat_id % 4 = 0 THEN 'hi' ELSE 'en' END AS langua
 {translated("tagged")}
 SELECT chat_id, seq, language, content, translated FROM translated"""
 
+ORACLE["translate_phrases"] = f"""WITH RECURSIVE {MESSAGES},
+cut AS (SELECT {words("lower(text)")} AS ws, conv_id AS c FROM conversations WHERE turn = 0),
+entries AS (SELECT DISTINCT array_to_string(ws[1 + c % 3 : c % 3 + 1 + c % 4], ' ') AS key FROM cut),
+tagged AS (SELECT *, CASE WHEN chat_id % 4 = 0 THEN 'hi' ELSE 'en' END AS language FROM messages),
+foreign_rows AS (SELECT chat_id, seq, {words("content")} AS ws FROM tagged WHERE language <> 'en' AND content IS NOT NULL),
+places AS (SELECT chat_id, seq, ws, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS pos FROM foreign_rows),
+best AS (SELECT p.chat_id, p.seq, pos, max(l) AS l FROM places p CROSS JOIN range(1, 5) t(l)
+  JOIN entries e ON e.key = array_to_string(ws[pos : pos + l - 1], ' ')
+  WHERE pos + l - 1 <= n AND key <> '' GROUP BY ALL),
+steps AS MATERIALIZED (SELECT p.chat_id, p.seq, p.pos, coalesce(l, 1) AS l,
+  CASE WHEN l IS NULL THEN ws[p.pos] ELSE '<' || array_to_string(ws[p.pos : p.pos + l - 1], '_') || '>' END AS w
+  FROM places p LEFT JOIN best b ON p.chat_id = b.chat_id AND p.seq = b.seq AND p.pos = b.pos),
+walk AS (SELECT chat_id, seq, pos, l, w FROM steps WHERE pos = 1
+  UNION ALL SELECT s.chat_id, s.seq, s.pos, s.l, s.w FROM walk k
+  JOIN steps s ON s.chat_id = k.chat_id AND s.seq = k.seq AND s.pos = k.pos + k.l),
+turned AS (SELECT chat_id, seq, string_agg(w, ' ' ORDER BY pos) AS turned FROM walk GROUP BY chat_id, seq)
+SELECT chat_id, seq, language, CASE WHEN language = 'en' THEN content ELSE turned END AS translated
+FROM tagged LEFT JOIN turned USING (chat_id, seq)"""
+
 # -- message statistics ----------------------------------------------------------------------------
 
 ORACLE["top_words"] = f"""WITH {MESSAGES},

@@ -12,7 +12,7 @@ from parlance import schema
 from parlance.catalog import fixtures as X
 from parlance.functions import emoji as E
 from parlance.functions import scores as S
-from parlance.functions.text import strip_first_link
+from parlance.functions.text import strip_first_link, tokens
 from parlance.operators import (
     call_stats, chat_stats, contexts, insights, language, learned, mood, parse, participants, preprocess,
     prompts, report, scoring, workers,
@@ -293,6 +293,17 @@ def route_translate(spark, sf_dir):
     return rows.select("chat_id", "seq", "language", "content", "translated")
 
 
+@query
+def translate_phrases(spark, sf_dir):
+    """Entries of one to four words, cut from the first turns of the conversations."""
+    turns = X.table(spark, sf_dir, "conversations").where("turn = 0")
+    cut = F.slice(tokens(F.lower("text")), (1 + F.col("conv_id") % 3).cast("int"), (1 + F.col("conv_id") % 4).cast("int"))
+    keys = turns.select(F.array_join(cut, " ").alias("key")).where("key <> ''").distinct()
+    table = keys.withColumn("phrase", F.concat(F.lit("<"), F.replace("key", F.lit(" "), F.lit("_")), F.lit(">")))
+    rows = preprocess.translate(X.messages(spark, sf_dir).withColumn("language", _language()), table)
+    return rows.select("chat_id", "seq", "language", "translated")
+
+
 # -- message statistics --------------------------------------------------------------------------
 
 def _on_messages(op, **options) -> Query:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import emoji as E
 from parlance.functions.text import is_blank, strip, tokens
+from parlance.operators.phrases import map_runs_by_table
 from parlance.operators.scoring import route_by_language
 from parlance.plans.blocks import hit_of, hits_per_block, packed, salted_lookup
 from parlance.plans.stored import stored
@@ -268,12 +269,17 @@ def translate(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Add ``translated``.  ``translation`` is an expression (such as a scoring UDF on the text), a
-    token dictionary, or one of any size as a DataFrame ``key, phrase``."""
+    dictionary, or one of any size as a DataFrame ``key, phrase``.
+
+    Entries may have several words; from left to right the longest one is taken."""
     text = F.col(column)
+    if isinstance(translation, Mapping) and any(len(k.split()) > 1 for k in translation):
+        held = list(translation.items())
+        translation = rows.sparkSession.createDataFrame(held, "key string, phrase string")
     if isinstance(translation, DataFrame):
         copied = rows.withColumn("_turned", text)
         wanted = ~is_blank(text)
-        turned = map_tokens_by_table(copied, "_turned", translation, where=F.coalesce(wanted, F.lit(False)), keys=keys)
+        turned = map_runs_by_table(copied, "_turned", translation, where=wanted, keys=keys)
         needed = F.when(wanted, F.col("_turned"))
         return turned.withColumn("translated", route_by_language(F.col(language), text, needed)).drop("_turned")
     if not isinstance(translation, Column):

@@ -157,6 +157,46 @@ def test_translation_table(spark):
     assert got == want and got[0] == "the chats" and got[1] == "les"
 
 
+def longest_runs(words, table):
+    """Leftmost longest replacement by a plain loop."""
+    out, i = [], 0
+    while i < len(words):
+        ends = [n for n in range(len(words) - i, 0, -1) if " ".join(words[i : i + n]) in table]
+        out.append(table[" ".join(words[i : i + ends[0]])] if ends else words[i])
+        i += ends[0] if ends else 1
+    return " ".join(out)
+
+
+def test_runs_equal_a_plain_loop(spark, monkeypatch):
+    import random
+
+    from parlance.operators.phrases import map_runs_by_table
+    from parlance.plans import blocks
+
+    monkeypatch.setattr(blocks, "HIT_CELLS", 3)
+    rng = random.Random(8)
+    some = lambda n: [rng.choice("abcd") for _ in range(n)]
+    table = {" ".join(some(rng.randint(1, 5))): f"<{i}>" for i in range(60)}
+    for single in "cd":
+        table.pop(single, None)
+    texts = [" ".join(some(rng.randint(0, 40))) for _ in range(200)] + ["z z", "a" * 50, None, " ", "a  b\tc"]
+    df = rows(spark, texts)
+    entries = [(k.replace(" ", "  "), v) for k, v in table.items()] + [("", "no"), (" ", "no"), (None, "no"), ("z", None)]
+    d = spark.createDataFrame(entries, "key string, phrase string")
+    want = [None if t is None else longest_runs(t.split(), table) for t in texts]
+    assert contents(map_runs_by_table(df, "content", d)) == want
+    assert contents(map_runs_by_table(df, "content", d, where=F.col("seq") < 0)) == texts
+    assert map_runs_by_table(df.limit(0), "content", d).count() == 0
+    assert contents(map_runs_by_table(df, "content", d.limit(0))) == [None if t is None else " ".join(t.split()) for t in texts]
+
+
+def test_translation_of_phrases(spark):
+    df = rows(spark, ["les chats noirs dorment", "chats  les", "les chats"]).withColumn(
+        "language", F.when(F.col("seq") == 2, "en").otherwise("fr"))
+    table = {"les chats noirs": "black cats", "les": "the", "chats": "cats"}
+    assert contents(P.translate(df, table), "translated") == ["black cats dorment", "cats the", "les chats"]
+
+
 def test_correct_text(spark):
     d = spark.createDataFrame([("hello", 5), ("world", 4)], "word string, freq bigint")
     df = rows(spark, ["helo wrld!", "x", "helo  helo", None]).withColumn(
