@@ -37,6 +37,29 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def aside(docs: DataFrame, taken) -> tuple[DataFrame, list]:
+    """``docs`` with columns named like one of ``taken`` renamed, and what selects all columns under
+    their own names again.  Names are compared as Spark does, without case; ``docs`` without such
+    columns come back as they are."""
+    held = {c.lower() for c in [*docs.columns, *taken]}
+    moved = {}
+    for c in docs.columns:
+        if c.lower() in {t.lower() for t in taken}:
+            fresh = f"{c}_"
+            while fresh.lower() in held:
+                fresh += "_"
+            held.add(fresh.lower())
+            moved[c] = fresh
+    back = [F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(moved) if moved else docs, back
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the columns that an operator adds under these names."""
+    clash = [c for c in docs.columns if c.lower() in {n.lower() for n in names}]
+    return docs.drop(*clash) if clash else docs
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

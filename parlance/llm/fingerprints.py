@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import by_value
+from parlance.llm.common import by_value, without
 from parlance.llm.textscan import BASES, prefix, span_hash
 
 by_value(__name__)
@@ -140,7 +140,8 @@ def edit_run(rows, following):
 
 
 def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """All columns of ``docs`` and the fingerprint of a text column."""
+    """All columns of ``docs`` and the fingerprint of a text column (in place of a column called ``name``)."""
+    docs = without(docs, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
     return docs.mapInArrow(lambda it: print_batches(it, text, name), schema)
 

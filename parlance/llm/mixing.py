@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WORD
+from parlance.llm.common import WORD, aside, without
 
 WEIGHTS = (3, 1, 2)
 TILTS = (0.5, 0.0, -0.5)
@@ -121,8 +121,19 @@ def _position(epoch: str, words: str) -> str:
     return f"round(CASE WHEN tilt = 0 THEN {u} ELSE ({root} - (1 - tilt)) / (2 * tilt) END, 9)"
 
 
+#: Columns that ``plan`` and ``mixture`` add on their way.
+OWN = (
+    "_size", "_group", "_key", "_bucket", "_start", "_before", "_epochs", "_rest", "_epoch",
+    "source_size", "target", "tilt", "taken", "copy_words", "position",
+)
+
+
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mix: one row per copy (columns of docs, copy_words, position), range-sorted by position."""
+    """The mix: one row per copy (columns of docs, copy_words, position), range-sorted by position.
+
+    Columns of ``docs`` may have any names; one called copy_words or position gives way to ours.
+    """
+    docs, kept = aside(without(docs, "copy_words", "position"), OWN)
     planned = plan(docs, **how)
     copies = planned.withColumn(
         "_epoch", F.explode(F.expr("sequence(0, CAST(_epochs + CASE WHEN _rest > 0 THEN 0 ELSE -1 END AS INT))"))
@@ -131,7 +142,7 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
         "copy_words", F.expr("CASE WHEN _epoch < _epochs THEN _size ELSE _rest END")
     ).withColumn("position", F.expr(_position("_epoch", "copy_words")))
     return (
-        placed.select(*docs.columns, "copy_words", "position")
+        placed.select(*kept, "copy_words", "position")
         .repartitionByRange("position", "doc_id")
         .sortWithinPartitions("position", "doc_id")
     )

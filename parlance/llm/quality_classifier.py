@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import by_value
+from parlance.llm.common import by_value, without
 from parlance.llm.textscan import BASES, mix, portions, prefix, scan, span_hash, utf8
 
 by_value(__name__)
@@ -170,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
 
 def score(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, name: str = "score") -> DataFrame:
-    """All rows and columns of ``docs`` plus the score, in a column called ``name``."""
+    """All rows and columns of ``docs`` plus the score, in a column called ``name`` (in place of one of
+    that name)."""
+    docs = without(docs, name)
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled_docs if labelled_docs is not None else docs, labels))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(lambda it: score_batches(it, model, "text", name), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import by_value, stored
+from parlance.llm.common import aside, by_value, stored, without
 from parlance.llm.components import components
 from parlance.llm.textscan import utf8
 
@@ -183,7 +183,9 @@ def link_batches(batches, keys):
 
 
 def fingerprinted(docs: DataFrame, name: str = "fp") -> DataFrame:
-    """All columns of ``docs`` and the fingerprint as a signed 64-bit integer."""
+    """All columns of ``docs`` and the fingerprint as a signed 64-bit integer (in place of a column
+    of that name)."""
+    docs = without(docs, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
     return docs.mapInArrow(lambda it: print_batches(it, "text", name), schema)
 
@@ -252,13 +254,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the first row with the smallest id."""
+    """The rows of ``docs`` that stay: of each component the first row with the smallest id.
+
+    Columns of ``docs`` may have any names; an empty table gives an empty one.
+    """
+    docs, columns = aside(docs, ("__fp", "__id", "__f", "__root", "__n"))
     marked = fingerprinted(docs, "__fp")
     found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__f"), F.col("root").alias("__root")).distinct()
     rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")))
     first = Window.partitionBy("__root").orderBy("__fp", F.xxhash64("text"))
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*columns)
 
 
 def simhash(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import by_value
+from parlance.llm.common import by_value, without
 from parlance.llm.textscan import slices
 
 by_value(__name__)
@@ -199,7 +199,9 @@ def edit_batches(batches, ranks_path, pattern):
 
 
 def trees(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """All columns of ``docs`` and the state: lengths, counts (of pre-tokens) and n_tokens."""
+    """All columns of ``docs`` and the state: lengths, counts (of pre-tokens) and n_tokens (in place of
+    columns of these names)."""
+    docs = without(docs, "lengths", "counts", "n_tokens")
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(
@@ -212,7 +214,7 @@ def with_edits(states: DataFrame, edits: DataFrame) -> DataFrame:
     """Join edits (doc_id, seq, start, length, replacement) to states, in the order of seq."""
     lists = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "length", "replacement"))).alias("edits"))
     lists = lists.withColumn("edits", F.expr("transform(edits, e -> struct(e.start, e.length, e.replacement))"))
-    return states.join(lists, "doc_id", "left")
+    return without(states, "edits").join(lists, "doc_id", "left")
 
 
 def apply_edits(states: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
