@@ -10,12 +10,13 @@ Jaccard similarity of the phrase sets and exact for texts with fewer than K phra
 of the next document) and with that next document.  The parse of the part that both versions share
 is done once.  "Next" needs an order of all documents: ids are cut into runs of 64, texts are
 shuffled once by run, and the first document of a run goes as an extra row to the run before it.
-Which run comes before is found level by level, so no task orders more than 1024 runs, but for the
-top level (one row per 2**26 ids).
+Which run that is comes from a range sort of the runs, so no task orders them all, however sparse
+the ids are (of sparse ids each makes a run of its own).
 
 Null texts count as empty; two empty texts have likeness 1, an empty and another text 0.  Rows
-with equal ids follow one another in the order of their texts, null ids come last, a single row
-is followed by itself.
+with equal ids follow one another in the order of their texts; rows without id come last, ordered
+by the hash of their text, a run for each hash, equal ones counted before they are shuffled.  A
+single row is followed by itself, an empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +25,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import by_value, without
+from parlance.llm.common import by_value, numbered, without
 from parlance.llm.textscan import BASES, prefix, span_hash
 
 by_value(__name__)
 
 K = 64
-RUN_BITS, LEVEL_BITS, LEVELS = 6, 10, 2
-#: The run of rows without id: the last in descending order.
-NO_ID = -(1 << 62)
+RUN_BITS = 6
+#: A run: rows without id (0) come after those with one (1) in descending order.
+RUN = ["kind", "run"]
+#: Equal rows are written out in pieces of this many.
+COPIES = 1 << 16
 EDITS = (
     "doc_id bigint, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
@@ -109,33 +112,44 @@ def print_batches(batches, text, name):
 
 
 def descending(rows):
-    docs = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()), key=lambda r: r[1] or "")
+    """(doc_id, text, copies) of a run in the order that documents follow one another."""
+    docs = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "copies"))), key=lambda r: r[1] or "")
     docs.sort(key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)
     return docs
 
 
 def first_of_run(rows):
-    return pa.table({"of": rows.column("run").slice(0, 1), "head": pa.array([descending(rows)[0][1]], pa.string())})
+    head = pa.array([descending(rows)[0][1]], pa.string())
+    return pa.table({"kind": rows.column("kind").slice(0, 1), "run": rows.column("run").slice(0, 1), "head": head})
 
 
 def edit_run(rows, following):
-    """One run of ids, descending; ``following`` has the first row of the run after it."""
+    """One run, descending; ``following`` has the first row of the run after it."""
     docs = descending(rows)
-    texts = [t or "" for _, t in docs]
+    texts = [t or "" for _, t, _ in docs]
     after = following.column("head").to_pylist()[0] or ""
-    out, first, held = [], None, {}
-    for i, (doc, text) in enumerate(zip((d for d, _ in docs), texts)):
-        other = texts[i + 1] if i + 1 < len(texts) else after
-        cut = len(text) - len(text) // 3
-        edited = text[:cut] + other[: len(text) // 3]
-        mine, theirs = pair_prints(text, edited, cut)
-        held[i] = mine
-        if i:
-            out[-1].append(likeness_of(held.pop(i - 1), mine))
-        out.append([doc, len(text), edited, hexed(mine), hexed(theirs), likeness_of(mine, theirs)])
-    out[-1].append(likeness_of(held.pop(len(texts) - 1), print_of(after)))
-    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    out, held = [], None
+    for i, (doc, _, copies) in enumerate(docs):
+        text = texts[i]
+        third = len(text) // 3
+        cut = len(text) - third
+
+        def entry(other, near_next, copies):
+            edited = text[:cut] + other[:third]
+            mine, theirs = pair_prints(text, edited, cut)
+            found = [doc, len(text), edited, hexed(mine), hexed(theirs), likeness_of(mine, theirs), near_next, copies]
+            return mine, found
+
+        if copies > 1:  # all but the last of equal rows are followed by one of them
+            out.append(entry(text, 1.0, copies - 1)[1])
+        mine, found = entry(texts[i + 1] if i + 1 < len(texts) else after, None, 1)
+        if held is not None:
+            held[1][6] = likeness_of(held[0], mine)
+        held = mine, found
+        out.append(found)
+    held[1][6] = likeness_of(held[0], print_of(after))
+    names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copies"]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
@@ -146,33 +160,34 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     return docs.mapInArrow(lambda it: print_batches(it, text, name), schema)
 
 
-def _after(keys: DataFrame, levels: int) -> DataFrame:
-    """(key, after): the next smaller of all distinct keys; after the smallest comes the largest."""
-    if not levels:
-        down = Window.orderBy(F.desc("key"))
-        every = Window.partitionBy()
-        return keys.select("key", F.coalesce(F.lead("key").over(down), F.max("key").over(every)).alias("after"))
-    up = F.shiftright("key", LEVEL_BITS)
-    tops = keys.groupBy(up.alias("_up")).agg(F.max("key").alias("_top"))
-    ups = _after(tops.select(F.col("_up").alias("key")), levels - 1)
-    across = ups.join(tops.withColumnRenamed("_up", "after"), "after").select(F.col("key").alias("_up"), "_top")
-    down = Window.partitionBy("_up").orderBy(F.desc("key"))
-    return (
-        keys.withColumn("_up", up)
-        .withColumn("_lead", F.lead("key").over(down))
-        .join(across, "_up")
-        .select("key", F.coalesce("_lead", "_top").alias("after"))
+def _runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text, copies and the run of each; rows without id count once per text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = rows.where(F.col("doc_id").isNotNull()).select(
+        "doc_id", "text", F.lit(1).cast("bigint").alias("copies"), F.lit(1).alias("kind"),
+        F.shiftright("doc_id", RUN_BITS).alias("run"),
+    )
+    nameless = rows.where(F.col("doc_id").isNull()).groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    return named.unionByName(
+        nameless.select(
+            F.lit(None).cast("bigint").alias("doc_id"), "text", "copies", F.lit(0).alias("kind"),
+            F.xxhash64("text").alias("run"),
+        )
     )
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    run = F.coalesce(F.shiftright("doc_id", RUN_BITS), F.lit(NO_ID))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").select("doc_id", "text", run.alias("run"))
-    order = _after(rows.select(F.col("run").alias("key")).distinct(), LEVELS)
+    rows = _runs(docs)
+    order = numbered(rows.select(*RUN).distinct(), RUN, label="runs")
     # grouped as below, so that Spark reuses the shuffled texts instead of dealing them out again
-    firsts = rows.groupBy("run").applyInArrow(first_of_run, "of bigint, head string")
-    heads = order.join(firsts, order["after"] == firsts["of"]).select(F.col("key").alias("run"), "head")
-    return rows.groupBy("run").cogroup(heads.groupBy("run")).applyInArrow(edit_run, EDITS)
+    firsts = rows.groupBy(*RUN).applyInArrow(first_of_run, "kind int, run bigint, head string")
+    follows = firsts.join(order, RUN).select(F.expr("(pos + 1) % count").alias("pos"), "head")
+    heads = order.join(follows, "pos").select(*RUN, "head")
+    found = rows.groupBy(*RUN).cogroup(heads.groupBy(*RUN)).applyInArrow(edit_run, f"{EDITS}, copies bigint")
+    names = [c for c in found.columns if c != "copies"]
+    pieces = found.withColumn("_at", F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES}L)")))
+    each = F.explode(F.expr(f"sequence(1L, least({COPIES}L, copies - _at))"))
+    return pieces.select(*names, each.alias("_copy")).select(*names)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
