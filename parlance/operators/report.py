@@ -171,7 +171,8 @@ def full_report(
     )
 
 
-#: What names an item of a section; its other fields are what is said about it.
+#: What names an item of a section; its other fields are what is said about it (fixed values: the names
+#: of sections and fields of a report).
 ITEM_KEYS = {
     "most_used_words_phrases": ("rank",), "who_texts_first_most": ("sender",),
     "who_sends_longer_messages": ("sender",), "longest_message": ("participant",),

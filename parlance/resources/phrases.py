@@ -11,17 +11,20 @@ COMPLIMENT = (
     "breathtaking", "divine", "ravishing", "magnificent",
 )
 
+# As above, for apologies.
 APOLOGY = (
     "sorry", "apologize", "forgive", "pardon", "regret", "mistake", "oops", "remorse", "ashamed",
     "guilt", "blunder", "sorryyy", "maaf", "shama", "galti", "my bad",
 )
 
+# As above, for questions.
 QUESTIONING = (
     "who", "what", "when", "where", "why", "how", "which", "whom", "whose", "is", "are", "do",
     "does", "can", "could", "should", "was", "have", "kya", "kaun", "kab", "kyu", "kaise",
     "kitna", "kahan",
 )
 
+# As above, for swearing.
 SWEARING = (
     "fuck", "shit", "bitch", "asshole", "ass", "bastard", "damn", "crap", "hell", "dick", "prick",
     "cunt", "gaandu", "bhenchod", "madarchod", "chutiya", "harami", "kutti", "lodu", "loda",
@@ -47,7 +50,7 @@ PHRASES = {
     "swearing": SWEARING,
 }
 
-# A short default; pass the full dictionary (see sources.dictionaries) for real work.
+# A short dictionary for tests; real ones are read by sources.dictionaries.
 # "a.m" shows a key that can never match, because tokens lose their punctuation before lookup.
 ABBREVIATIONS = {
     "a.m": "before midday",

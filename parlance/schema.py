@@ -80,7 +80,8 @@ EMOTIONS = (
 LOVE_EMOTIONS = ("love", "caring")
 HATE_EMOTIONS = ("anger", "annoyance")
 
-# Model labels are parameters; these are the defaults.
+# Labels of the toxicity model and languages of the detector, in model order.  Both are
+# parameters; these are the defaults.
 TOXICITY_LABELS = (
     "toxicity", "severe_toxicity", "obscene", "identity_attack", "insult", "threat",
     "sexual_explicit",
