@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import tokens
-from parlance.plans.blocks import hit_of, hits_per_block, packed, salted_lookup
+from parlance.plans.blocks import hit_of, hits_per_block, packed, salted_lookup, salts_of
 from parlance.plans.once import once
 from parlance.schema import KEYS
 
@@ -84,15 +84,17 @@ def map_runs_by_table(
     )
     heads = entries.groupBy(F.col("head").alias("key")).agg(F.max("length").alias("longest"))
 
-    blocked = packed(rows, keys, "_block").withColumn("_wanted", wanted)
+    blocked, blocks = packed(rows, keys, "_block")
+    salts = salts_of(blocks)
+    blocked = blocked.withColumn("_wanted", wanted)
     texts = blocked.where("_wanted").select("_block", F.col(column).alias("_text"))
     first = texts.select("_block", F.explode(F.array_distinct(tokens(F.col("_text")))).alias("key")).distinct()
-    begun = hits_per_block(salted_lookup(first, heads, "key", ["_block"], how="inner"), "key", "longest")
+    begun = hits_per_block(salted_lookup(first, heads, "key", ["_block"], salts=salts, how="inner"), "key", "longest")
     begun = begun.withColumnRenamed("_hits", "_heads")
 
     live = once(texts.join(begun, "_block"), "_words", tokens(F.col("_text")))
     asked = live.select("_block", F.explode(_candidates(F.col("_words"), F.col("_heads"))).alias("key")).distinct()
-    met = salted_lookup(asked, entries.select("key", "phrase"), "key", ["_block"], how="inner")
+    met = salted_lookup(asked, entries.select("key", "phrase"), "key", ["_block"], salts=salts, how="inner")
     hits = begun.join(hits_per_block(met, "key", "phrase"), "_block")
 
     tagged = blocked.join(hits, "_block", "left")

@@ -13,7 +13,7 @@ from parlance.functions import emoji as E
 from parlance.functions.text import is_blank, strip, tokens
 from parlance.operators.phrases import map_runs_by_table
 from parlance.operators.scoring import route_by_language
-from parlance.plans.blocks import hit_of, hits_per_block, packed, salted_lookup
+from parlance.plans.blocks import hit_of, hits_per_block, packed, salted_lookup, salts_of
 from parlance.plans.stored import stored
 from parlance.schema import KEYS
 
@@ -80,10 +80,10 @@ def map_tokens_by_table(
     """
     wanted = F.col(column).isNotNull() if where is None else F.col(column).isNotNull() & where
     wanted = F.coalesce(wanted, F.lit(False))
-    blocked = packed(rows, keys, "_block")
+    blocked, blocks = packed(rows, keys, "_block")
     words = blocked.where(wanted).select("_block", F.explode(F.array_distinct(tokens(F.col(column)))).alias("_token"))
     asked = words.distinct().withColumn("key", key(F.col("_token")))
-    found = salted_lookup(asked, table.select("key", "phrase"), "key", ["_block"], how="inner")
+    found = salted_lookup(asked, table.select("key", "phrase"), "key", ["_block"], salts=salts_of(blocks), how="inner")
     hits = hits_per_block(found.where(F.col("phrase").isNotNull()), "_token", "phrase")
     swapped = F.transform(tokens(F.col(column)), lambda t: F.coalesce(hit_of(F.col("_hits"), t), t))
     mapped = F.when(wanted, F.array_join(swapped, " ")).otherwise(F.col(column))
@@ -168,13 +168,13 @@ def _closest(unknown: DataFrame, dictionary: DataFrame, distance: int) -> DataFr
     reach = F.explode(F.sequence(F.length("word") - distance, F.length("word") + distance))
     lengths = dictionary.select(reach.alias("_n")).distinct()
     near = unknown.withColumn("_n", F.length("word")).join(lengths, "_n", "left_semi")
-    left = near.select("word", F.explode(_deletions(F.col("word"), distance)).alias("_left"))
-    right = dictionary.select(
-        F.col("word").alias("phrase"), "freq",
-        F.explode(_deletions(F.col("word"), distance)).alias("_left"),
-    )
+    # numbers meet, which are shorter to shuffle; the distance is checked on the words
+    left_of = F.explode(F.transform(_deletions(F.col("word"), distance), lambda s: F.xxhash64(s))).alias("_left")
+    left = near.select("word", left_of)
+    right = dictionary.select(F.col("word").alias("phrase"), "freq", left_of)
+    # a word has some n * n / 2 deletions and Spark counts them as one row: neither side is one to broadcast
     met = (
-        left.join(right, "_left")
+        left.join(right.hint("merge"), "_left")
         .withColumn("_steps", F.levenshtein("word", "phrase", distance))
         .where(F.col("_steps") >= 0)
         .select("word", F.struct("_steps", (-F.col("freq")).alias("f"), "phrase").alias("_best"))
@@ -207,15 +207,17 @@ def corrections(words: DataFrame, dictionary: DataFrame, distance: int = 2) -> D
     after that many deletions each, so an equi-join on deletions finds every pair without comparing
     all pairs.  Distances are tried from 1 upwards and a word that is settled asks no further, which
     keeps short words from meeting everything that shares a letter with them.
+
+    Stored words are many times their files in memory, so they meet by merge joins; none is broadcast.
     """
     dictionary = stored(dictionary.select("word", "freq"), "dictionary")  # often counted from texts, read many times
-    unknown = stored(words.select("word").distinct().join(dictionary, "word", "left_anti"), "unknown")
+    unknown = stored(words.select("word").distinct().join(dictionary.hint("merge"), "word", "left_anti"), "unknown")
     found = None
     for d in range(1, distance + 1):
         step = stored(_closest(unknown, dictionary, d), "spelling")
         found = step if found is None else found.unionByName(step)
         if d < distance:
-            unknown = unknown.join(step.select(F.col("key").alias("word")), "word", "left_anti")
+            unknown = unknown.join(step.select(F.col("key").alias("word")).hint("merge"), "word", "left_anti")
     return found
 
 
@@ -240,7 +242,7 @@ def correct_text(
         F.col("word").rlike(r"^\p{L}+$")
     )
     table = corrections(words, dictionary, distance)
-    return map_tokens_by_table(rows, column, table, where=wanted, keys=keys)
+    return map_tokens_by_table(rows, column, table.hint("merge"), where=wanted, keys=keys)
 
 
 def default_stop_words(languages: Sequence[str] = STOP_LANGUAGES) -> list[str]:

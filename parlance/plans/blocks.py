@@ -12,6 +12,8 @@ from parlance.plans.once import once
 BLOCK_ROWS = 1 << 16
 #: Rows of a block whose rows share their lookups, and of the runs such blocks are made of.
 PACK_ROWS, RUN_ROWS = 1 << 9, 1 << 6
+#: Blocks that may ask for one key before its rows are salted.
+KEY_BLOCKS = 1 << 16
 #: Cells by hash that the hits of a block lie in.
 HIT_CELLS = 256
 
@@ -80,22 +82,32 @@ def salted_lookup(
     """Join a table that is unique on ``on`` to rows in which one value may be very frequent.
 
     The rows of one value are spread over ``salts`` join keys (by the hash of ``by``) and the table
-    is repeated that often.
+    is repeated that often.  Spark takes the copies for as small as the table, so they are never broadcast.
     """
+    if salts == 1:
+        return rows.join(table, on, how)
     salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [on, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", salt).join(copies.hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
-def packed(rows: DataFrame, keys: Sequence[str], name: str, *, block_rows: int = PACK_ROWS) -> DataFrame:
+def salts_of(blocks: int) -> int:
+    """Salts for rows that have each value once per block at most: one for every ``KEY_BLOCKS`` blocks."""
+    return -(-blocks // KEY_BLOCKS)
+
+
+def packed(
+    rows: DataFrame, keys: Sequence[str], name: str, *, block_rows: int = PACK_ROWS
+) -> tuple[DataFrame, int]:
     """Add a block number: blocks hold about ``block_rows`` rows each, whatever the sizes of the chats.
+    The number of blocks comes with the rows.
 
     Runs of ``RUN_ROWS`` rows of a chat are dealt out by their hash, so small chats share a block
     and a huge one is spread.  One count reaches the driver.
     """
     blocks = max(1, -(-rows.count() // block_rows))
     run = F.xxhash64(*keys, block_of(F.col("seq"), RUN_ROWS))
-    return rows.withColumn(name, F.pmod(run, F.lit(blocks)))
+    return rows.withColumn(name, F.pmod(run, F.lit(blocks))), blocks
 
 
 def hits_per_block(found: DataFrame, key: str, value: str, block: str = "_block") -> DataFrame:
