@@ -89,13 +89,14 @@ def map_runs_by_table(
     blocked = blocked.withColumn("_wanted", wanted)
     texts = blocked.where("_wanted").select("_block", F.col(column).alias("_text"))
     first = texts.select("_block", F.explode(F.array_distinct(tokens(F.col("_text")))).alias("key")).distinct()
-    begun = hits_per_block(salted_lookup(first, heads, "key", ["_block"], salts=salts, how="inner"), "key", "longest")
+    opened = salted_lookup(first, heads, "key", ["_block"], salts=salts, how="inner")
+    begun = hits_per_block(opened, "key", "longest", blocks)
     begun = begun.withColumnRenamed("_hits", "_heads")
 
     live = once(texts.join(begun, "_block"), "_words", tokens(F.col("_text")))
     asked = live.select("_block", F.explode(_candidates(F.col("_words"), F.col("_heads"))).alias("key")).distinct()
     met = salted_lookup(asked, entries.select("key", "phrase"), "key", ["_block"], salts=salts, how="inner")
-    hits = begun.join(hits_per_block(met, "key", "phrase"), "_block")
+    hits = begun.join(hits_per_block(met, "key", "phrase", blocks), "_block")
 
     tagged = blocked.join(hits, "_block", "left")
     tagged = once(tagged, "_words", F.when(F.col("_wanted"), tokens(F.col(column))))

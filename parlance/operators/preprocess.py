@@ -84,7 +84,7 @@ def map_tokens_by_table(
     words = blocked.where(wanted).select("_block", F.explode(F.array_distinct(tokens(F.col(column)))).alias("_token"))
     asked = words.distinct().withColumn("key", key(F.col("_token")))
     found = salted_lookup(asked, table.select("key", "phrase"), "key", ["_block"], salts=salts_of(blocks), how="inner")
-    hits = hits_per_block(found.where(F.col("phrase").isNotNull()), "_token", "phrase")
+    hits = hits_per_block(found.where(F.col("phrase").isNotNull()), "_token", "phrase", blocks)
     swapped = F.transform(tokens(F.col(column)), lambda t: F.coalesce(hit_of(F.col("_hits"), t), t))
     mapped = F.when(wanted, F.array_join(swapped, " ")).otherwise(F.col(column))
     return blocked.join(hits, "_block", "left").withColumn(column, mapped).select(*rows.columns)

@@ -12,6 +12,8 @@ from parlance.plans.once import once
 BLOCK_ROWS = 1 << 16
 #: Rows of a block whose rows share their lookups, and of the runs such blocks are made of.
 PACK_ROWS, RUN_ROWS = 1 << 9, 1 << 6
+#: Blocks of a task.
+TASK_BLOCKS = 1 << 4
 #: Blocks that may ask for one key before its rows are salted.
 KEY_BLOCKS = 1 << 16
 #: Cells by hash that the hits of a block lie in.
@@ -100,21 +102,30 @@ def packed(
     rows: DataFrame, keys: Sequence[str], name: str, *, block_rows: int = PACK_ROWS
 ) -> tuple[DataFrame, int]:
     """Add a block number: blocks hold about ``block_rows`` rows each, whatever the sizes of the chats.
-    The number of blocks comes with the rows.
+    The number of blocks comes with the rows.  A block lies in one partition, and partitions hold about
+    ``TASK_BLOCKS`` blocks, so the memory of a task does not grow with the input.
 
     Runs of ``RUN_ROWS`` rows of a chat are dealt out by their hash, so small chats share a block
     and a huge one is spread.  One count reaches the driver.
     """
     blocks = max(1, -(-rows.count() // block_rows))
     run = F.xxhash64(*keys, block_of(F.col("seq"), RUN_ROWS))
-    return rows.withColumn(name, F.pmod(run, F.lit(blocks))), blocks
+    return rows.withColumn(name, F.pmod(run, F.lit(blocks))).repartition(_tasks(rows, blocks), name), blocks
 
 
-def hits_per_block(found: DataFrame, key: str, value: str, block: str = "_block") -> DataFrame:
+def _tasks(rows: DataFrame, blocks: int) -> int:
+    """Partitions for so many blocks: some for each core, as blocks differ."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(min(blocks, 2 * cores), -(-blocks // TASK_BLOCKS))
+
+
+def hits_per_block(found: DataFrame, key: str, value: str, blocks: int, block: str = "_block") -> DataFrame:
     """(block, _hits): the distinct keys of each block with their values, in cells by the key's hash.
 
-    Looking a key up in a map compares it with one entry after another; cells keep them few.
+    Looking a key up in a map compares it with one entry after another; cells keep them few.  The hits
+    are dealt out like the rows that ``packed`` cut into ``blocks``, which they are joined to.
     """
+    found = found.select(block, key, value).repartition(_tasks(found, blocks), block)
     entry = F.collect_list(F.struct(F.col(key), F.col(value)))
     cells = found.groupBy(block, _cell(F.col(key)).alias("_cell")).agg(F.map_from_entries(entry).alias("_map"))
     every = cells.groupBy(block).agg(F.collect_list(F.struct("_cell", "_map")).alias("_list"))

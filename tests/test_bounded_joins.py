@@ -44,3 +44,19 @@ def test_copies_of_a_table_are_not_broadcast(spark):
 
 def test_salts_follow_the_number_of_blocks():
     assert [blocks.salts_of(n) for n in (1, 1 << 16, (1 << 16) + 1, 1 << 20)] == [1, 1, 2, 16]
+
+
+def test_a_task_holds_few_blocks(spark, monkeypatch):
+    """20 blocks of short rows are little to shuffle and would go to one task."""
+    from pyspark.sql import functions as F
+
+    from parlance.operators.phrases import map_runs_by_table
+
+    monkeypatch.setattr(blocks, "TASK_BLOCKS", 1, raising=False)
+    n = 20 * blocks.PACK_ROWS
+    rows = spark.range(n).select(F.lit(1).alias("chat_id"), F.col("id").alias("seq"), F.lit("a b c").alias("content"))
+    table = spark.createDataFrame([("a b", "x"), ("c", "y")], "key string, phrase string")
+    for mapped, want in ((map_runs_by_table, "x y"), (P.map_tokens_by_table, "a b y")):
+        out = mapped(rows, "content", table).groupBy(F.spark_partition_id().alias("p"), "content").count().collect()
+        assert {r["content"] for r in out} == {want} and sum(r["count"] for r in out) == n
+        assert max(r["count"] for r in out) <= n // 3
